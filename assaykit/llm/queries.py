@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decision_list, decontam, license_scan, line_dedup, pii, quality_fm
+from . import bpe, chosen_path, decision_list, decontam, license_scan, line_dedup, lm_scoring, pii, quality_fm, substring_dedup
 from .tables import table
 
 
@@ -22,6 +22,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = lm_scoring.fit(lm_scoring.flagged(docs, table(spark, sf_dir, "labels")))
+    return lm_scoring.score(docs, models)
+
+
 def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = quality_fm.fit(docs, table(spark, sf_dir, "labels"))
@@ -29,11 +35,20 @@ def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_fm.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return substring_dedup.summary(docs, substring_dedup.repeats(docs))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -64,7 +79,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_fm, op4_pii, op6_license_scan, op7_decontam, op8_bpe, op9_rules, op10_line_dedup)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (pipeline, op1_lm_scoring, op2_quality_fm, op3_substring_dedup, op4_pii, op5_chosen_path, op6_license_scan, op7_decontam, op8_bpe, op9_rules, op10_line_dedup)}
 
 
 def queries() -> dict:

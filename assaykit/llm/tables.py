@@ -11,8 +11,32 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once for each application, so they need no installed copy."""
+    import pathlib
+    import tempfile
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = pathlib.Path(__file__).resolve().parents[1]
+    if not root.is_dir():  # itself in an archive that Spark has shipped
+        return
+    to = pathlib.Path(tempfile.mkdtemp(prefix="assaykit-")) / "assaykit-src.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(to))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; any path that Spark's readers understand."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
