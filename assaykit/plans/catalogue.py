@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import scoring_queries
+
+MODULES = (scoring_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in m.registry.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in MODULES for k, s in m.registry.sql.items()}
