@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scoring_queries
+from . import pairing_queries, scoring_queries
 
-MODULES = (scoring_queries,)
+MODULES = (scoring_queries, pairing_queries)
 
 
 def queries() -> dict:

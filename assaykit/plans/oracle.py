@@ -11,7 +11,9 @@ ID_CASE = "CASE (l_linenumber - 1) % 7 " + " ".join(f"WHEN {i} THEN '{d}'" for i
 CHECKS = f"""checks AS (
   SELECT l_suppkey % 4 AS run, l_partkey AS case_id, {DIM_CASE} AS dim,
     CASE l_returnflag WHEN 'R' THEN 'critical' WHEN 'A' THEN 'major' ELSE 'minor' END AS severity, l_discount >= 0.005 AS passed,
-    l_quantity AS ms, CAST(round(l_tax * 100) AS BIGINT) AS cents, {ID_CASE} AS id, strftime(l_shipdate, '%Y-%m-%d') AS evidence
+    l_quantity AS ms, CAST(round(l_tax * 100) AS BIGINT) AS cents, {ID_CASE} AS id, 
+    CASE CAST(l_quantity AS BIGINT) % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'exact=0 partial=0 missed=2 total=2' WHEN 2 THEN 'exact=1 partial=0 missed=1 total=2' WHEN 3 THEN 'BI-RADS not mentioned' WHEN 4 THEN 'lesion of 5 mm' ELSE 'forbidden opener' END AS evidence,
+    'check' AS name, CASE l_partkey % 3 WHEN 0 THEN 'bi rads 2, left knee' WHEN 1 THEN 'lesion 0,5 cm' ELSE 'none' END AS report
   FROM lineitem)"""
 COUNTS = "counts AS (SELECT run, case_id, " + ", ".join(
     f"count(*) FILTER (WHERE dim = '{d}' AND passed) AS pass_{d}, count(*) FILTER (WHERE dim = '{d}') AS total_{d}, "

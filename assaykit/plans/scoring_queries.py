@@ -57,18 +57,19 @@ def dim_scores(spark, sf_dir):
 
 
 def _evaluator(checks: DataFrame) -> DataFrame:
-    """Evaluator scores for two dimensions of even cases, from the same checks; every ninth is unscored."""
-    own = checks.where(F.col("dim").isin("QUAL", "RAG") & (F.col("case_id") % 2 == 0)).groupBy(*KEYS, "dim").agg(
+    """Evaluator scores for two dimensions, from the same checks; negative ones are unscored."""
+    own = checks.where(F.col("dim").isin("QUAL", "RAG")).groupBy(*KEYS, "dim").agg(
         F.count_if("passed").alias("pass"), F.count("*").alias("total"),
         F.count_if(~F.col("passed") & (F.col("severity") == "critical")).alias("crit"), F.count_if(~F.col("passed") & (F.col("severity") == "major")).alias("major"),
     )
-    return own.withColumn("score", F.when(F.col("case_id") % 9 != 0, ((F.col("case_id") * 7 + F.col("total") * 13) % 130).cast("double") - 10.0))
+    raw = (F.col("case_id") * 7 + F.col("total") * 13) % 130 - 10
+    return own.withColumn("score", F.when(raw >= 0, raw.cast("double")))
 
 
 def _overlay_sql() -> str:
     parts = [WITH_SCORED, """ev AS (SELECT run, case_id, dim, count(*) FILTER (WHERE passed) AS p, count(*) AS t, count(*) FILTER (WHERE NOT passed AND severity = 'critical') AS c,
-      count(*) FILTER (WHERE NOT passed AND severity = 'major') AS m FROM checks WHERE dim IN ('QUAL', 'RAG') AND case_id % 2 = 0 GROUP BY 1, 2, 3),
-    eg AS (SELECT *, greatest(0.0::DOUBLE, least(100.0::DOUBLE, ((case_id * 7 + t * 13) % 130)::DOUBLE - 10.0::DOUBLE)) AS g FROM ev WHERE case_id % 9 <> 0),
+      count(*) FILTER (WHERE NOT passed AND severity = 'major') AS m FROM checks WHERE dim IN ('QUAL', 'RAG') GROUP BY 1, 2, 3),
+    eg AS (SELECT *, greatest(0.0::DOUBLE, least(100.0::DOUBLE, ((case_id * 7 + t * 13) % 130)::DOUBLE - 10.0::DOUBLE)) AS g FROM ev WHERE (case_id * 7 + t * 13) % 130 - 10 >= 0),
     es AS (SELECT *, """ + oracle.cap_sql(oracle.fx("g", 1), "c", "m") + """ AS s FROM eg),
     ew AS (SELECT *, CASE WHEN c > 0 THEN 'FAIL' WHEN s >= 80 THEN CASE WHEN p = t THEN 'PASS' ELSE 'PARTIAL' END WHEN s >= 50 THEN 'PARTIAL' ELSE 'FAIL' END AS v FROM es)"""]
     cols = ", ".join((f"coalesce(e_{d}.s, x.score_{d}) AS score_{d}, coalesce(e_{d}.v, x.verdict_{d}) AS verdict_{d}" if d in ("QUAL", "RAG") else f"x.score_{d}, x.verdict_{d}") for d in DIMS)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring
 from ..operators.scoring import DIMS
+from .scratch import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +22,8 @@ def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", "critical").when(F.col("l_returnflag") == "A", "major").otherwise("minor").alias("severity"),
         (F.col("l_discount") >= 0.005).alias("passed"), F.col("l_quantity").alias("ms"), F.round(F.col("l_tax") * 100).cast("long").alias("cents"),
         pick(((F.col("l_linenumber") - 1) % 7 + 1).cast("int"), "C01", "QG01", "T00", "G01", "R02", "Q10", "X99").alias("id"),
-        F.col("l_shipdate").cast("date").cast("string").alias("evidence"),
+        pick((F.col("l_quantity").cast("long") % 6 + 1).cast("int"), "ok", "exact=0 partial=0 missed=2 total=2", "exact=1 partial=0 missed=1 total=2", "BI-RADS not mentioned", "lesion of 5 mm", "forbidden opener").alias("evidence"),
+        F.lit("check").alias("name"), pick((F.col("l_partkey") % 3 + 1).cast("int"), "bi rads 2, left knee", "lesion 0,5 cm", "none").alias("report"),
     )
 
 
@@ -48,6 +50,11 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.combine(scored(spark, sf_dir)).join(cases(spark, sf_dir), "case_id", "left")
 
 
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results as a run artifact: scored once, stored, and read as often as needed."""
+    return stored(results(spark, sf_dir).drop("gate_reasons"))
+
+
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores with a judge made from the counts: a third of the cases without one, a seventh on the 0-5 scale."""
     rows = scored(spark, sf_dir)
