@@ -15,9 +15,9 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -53,7 +53,7 @@ class Bpe:
         shown = {**{i: t for t, i in model["vocab"].items()}, **{i: t for t, i in self.added.items()}}
         #: Decoding: all tokens in one string; token i is blob[offsets[i]:offsets[i + 1]].
         size = max(shown) + 1
-        self.offsets = np.cumsum([0, *(len(shown.get(i, "")) for i in range(size))])
+        self.offsets = [0, *accumulate(len(shown.get(i, "")) for i in range(size))]
         self.blob = "".join(shown.get(i, "") for i in range(size))
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in pre if p["type"] == "Split"))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
@@ -76,8 +76,11 @@ class Bpe:
         self.find.make_automaton()
         known = set(tokens)
         self.shorter = {t: next((t[:k] for k in range(len(t) - 1, 0, -1) if t[:k] in known), None) for t in tokens}
+        self.ends = [Cache(lambda t, k=k: self._spine(t, k), len(self.ids)) for k in (0, 1)]
         self.pairs = Cache(self._pair, 1 << 18)
-        self.pieces = Cache(self._piece, 1 << 18)
+        #: Decimal ids and decoded text of words, and of texts without white space.
+        self.words = Cache(self._word)
+        self.pieces = Cache(self._piece)
 
     def _spine(self, token: str, side: int) -> list[tuple[str, int]]:
         """Tokens at one end of token, with the rank of the merge that ends each."""
@@ -90,16 +93,18 @@ class Bpe:
 
     def _pair(self, pair: tuple[str, str]) -> bool:
         """Can the two stand side by side: no merge across the border comes first. At equal rank the left one wins."""
-        left, right = self._spine(pair[0], 1), self._spine(pair[1], 0)
-        for a, a_ends in left:
+        rank, right = self.rank, self.ends[0][pair[1]]
+        for a, a_ends in self.ends[1][pair[0]]:
             for b, b_ends in right:
-                r = self.rank.get((a, b))
-                if r is not None and r < a_ends and r <= b_ends:
+                if (a, b) in rank and (r := rank[a, b]) < a_ends and r <= b_ends:
                     return False
         return True
 
     def tokens(self, piece: str) -> list[str]:
         """Tokens of one piece in byte letters with its end mark; no tokens where a letter isn't in the vocabulary."""
+        greedy = [t for _, t in self.find.iter_long(piece)]
+        if sum(map(len, greedy)) == len(piece) and all(map(self.pairs.__getitem__, zip(greedy, greedy[1:], strict=False))):
+            return greedy  # the longest matches fit as they are
         longest: list[str | None] = [None] * len(piece)
         for end, token in self.find.iter(piece):
             longest[end - len(token) + 1] = token
@@ -124,26 +129,41 @@ class Bpe:
                 return []
         return out
 
-    def _piece(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a text without white space."""
-        ids: list[int] = []
+    def _piece(self, chunk: str) -> tuple[str, str]:
+        found: list[tuple[str, str]] = []
         for part in self.specials.split(chunk) if self.specials and "<" in chunk else [chunk]:
             if part in self.added:
-                ids.append(self.added[part])
+                found.append((str(self.added[part]), part))
                 continue
-            part = "".join(c.lower() for c in unicodedata.normalize("NFC", part))
-            for word in self.split.findall(part):
-                letters = "".join(map(self.letters.__getitem__, word.encode()))
-                ids += map(self.ids.__getitem__, self.tokens(letters + END if self.suffixed else letters))
-        return tuple(ids)
+            if not part.isascii():
+                part = unicodedata.normalize("NFC", part)
+            # str.lower() looks around a capital sigma, the tokenizer doesn't.
+            part = "".join(c.lower() for c in part) if "\u03a3" in part else part.lower()
+            found += map(self.words.__getitem__, self.split.findall(part))
+        if len(found) == 1:
+            return found[0]
+        return " ".join([x for x, _ in found if x]), " ".join([y for _, y in found if y])
+
+    def _word(self, word: str) -> tuple[str, str]:
+        letters = "".join(map(self.letters.__getitem__, word.encode()))
+        ids = [*map(self.ids.__getitem__, self.tokens(letters + END if self.suffixed else letters))]
+        return " ".join(map(str, ids)), self.decode(ids)
 
     def chunks(self, text: str) -> list[str]:
         if ODD.search(text):
             return [x for x in SPACE.split(text) if x]
         return text.split()
 
+    def both(self, text: str) -> tuple[str, str]:
+        """Decimal ids joined by spaces, and the text decoded from them."""
+        found = [x for x in map(self.pieces.__getitem__, self.chunks(text)) if x[0]]
+        if not found:
+            return "", ""
+        ids, decoded = zip(*found, strict=True)
+        return " ".join(ids), " ".join(decoded)
+
     def encode(self, text: str) -> list[int]:
-        return [i for c in self.chunks(text) for i in self.pieces[c]]
+        return [*map(int, self.both(text)[0].split())]
 
     def decode(self, ids) -> str:
         """Tokens one after another with spaces between; the vocabulary names no decoder that would join them."""
@@ -185,16 +205,13 @@ def encode(docs: DataFrame, vocabulary: str, fields=("n_tokens", "token_ids"), t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tables(spec.value)
-        ids_text = Cache(lambda c: " ".join(map(str, bpe.pieces[c])))
-        decoded = Cache(lambda c: bpe.decode(bpe.pieces[c]))
         for b in pieces(batches, text):
-            found = [bpe.chunks(x) for x in strings(b, text)]
-            joined = [" ".join(filter(None, map(ids_text.__getitem__, c))) for c in found]
+            found = [bpe.both(x) for x in strings(b, text)]
             new = {
-                "n_tokens": lambda: [x.count(" ") + 1 if x else 0 for x in joined],
-                "token_ids": lambda: [[int(i) for i in x.split()] for x in joined],
-                "ids_text": lambda: joined,
-                "decoded": lambda: [" ".join(filter(None, map(decoded.__getitem__, c))) for c in found],
+                "n_tokens": lambda: [x.count(" ") + 1 if x else 0 for x, _ in found],
+                "token_ids": lambda: [[*map(int, x.split())] for x, _ in found],
+                "ids_text": lambda: [x for x, _ in found],
+                "decoded": lambda: [y for _, y in found],
             }
             yield with_columns(b, keep, {f: pa.array(new[f](), FIELDS[f][1]) for f in fields})
 

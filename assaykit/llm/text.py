@@ -21,16 +21,20 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Cache(dict):
-    """A dict that fills itself by make(key) and starts anew at a fixed number of entries, so its memory is bounded."""
+    """A dict that fills itself by make(key), of bounded size: when it holds `entries`, it starts anew, and what is asked for again moves over from the last full one."""
 
-    def __init__(self, make, entries: int = 1 << 18):
+    def __init__(self, make, entries: int = 1 << 17):
         super().__init__()
-        self.make, self.entries = make, entries
+        self.make, self.entries, self.last = make, entries, {}
 
     def __missing__(self, key):
         if len(self) >= self.entries:
+            self.last = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.last.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
