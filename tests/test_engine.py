@@ -223,3 +223,24 @@ def test_query_equals_sql(spark, name):
 
 def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() == 4
+
+
+REPORT = (
+    "<center><b>COMPUTED TOMOGRAPHY OF THE CHEST</b></center><br><br><b>Technique:</b><br>Helical.<br><br><b>Findings:</b><br>Pulmonary nodule of 5 mm in the left lung, trachea, mediastinum, "
+    "lymph nodes, pleural spaces, heart, pericardium, aorta and esophagus are seen within expected limits today.<br><br><b>Impression:</b><br>Left pulmonary nodule of the lung."
+)
+
+
+def test_structural_checks(spark):
+    from assaykit.operators import catalogue
+
+    wrong = REPORT.replace("left lung", "right lung").replace("Left pulmonary nodule", "Right pulmonary nodule, 5 mm, enhancement [TODO_X]")
+    rows = [(1, REPORT, "left nodule of 5 mm. second finding here"), (2, wrong, "left nodule of 5 mm"), (3, "# plain", "nothing of note"), (4, None, None)]
+    df = spark.createDataFrame(rows, "case_id int, html string, findings string").withColumns({"modality": F.lit("CT"), "region": F.lit("chest"), "contrast": F.lit(False), "abnormal": F.lit(True)})
+    got = catalogue.structural_checks(df).collect()
+    failed = {k: {r.id for r in got if r.case_id == k and not r.passed} for k in (1, 2, 3)}
+    assert failed[1] == set() and failed[2] == {"C01", "C05", "Q07", "R02"}
+    assert {"C04", "Q01", "Q08", "Q11", "R01", "R06"} <= failed[3]
+    assert not {r.id for r in got if r.case_id == 1} & {"TM1", "TM2", "Q09", "R03", "R05"}
+    m = spark.range(1).select(*catalogue.exam_meta(F.lit("MRI of the lumbar spine with contrast"))).first()
+    assert tuple(m) == ("MRI", "spine", True)
