@@ -160,7 +160,7 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tupl
 
 
 def likely(sketches: np.ndarray, threshold: float) -> np.ndarray:
-    """Labels of the components of likely pairs. Members that are already together aren't compared again."""
+    """Labels of the components of likely pairs: the first member of each. Members that are already together aren't compared again."""
     need = math.ceil(SKETCH * (threshold - SLACK + (1 - threshold + SLACK) / 256))
     label = np.arange(len(sketches))
     for i in range(len(sketches) - 1):
@@ -168,7 +168,8 @@ def likely(sketches: np.ndarray, threshold: float) -> np.ndarray:
         if len(rest):
             hit = rest[(sketches[rest] == sketches[i]).sum(1) >= need]
             if len(hit):
-                label[np.isin(label, label[hit])] = label[i]
+                both = np.append(label[hit], label[i])
+                label[np.isin(label, both)] = both.min()
     return label
 
 
@@ -193,8 +194,9 @@ def candidate_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float
         large = members.join(sizes.where(F.col("size") > BUCKET).select("node"), "node").join(reps.select("v", "sketch"), "v")
         members = cut(_paths(large.select("node", "v", "sketch"), 1, None))
     dealt = _blocked(cut(ready).join(reps.select("v", "sketch"), "v"), "node", "size", BUCKET)
-    dealt = dealt.select("node", "lo", "hi", "v", "sketch").repartition("node", "lo", "hi").sortWithinPartitions("node", "lo", "hi")
+    dealt = dealt.select("node", "lo", "hi", "v", "sketch").repartition("node", "lo", "hi").sortWithinPartitions("node", "lo", "hi", "v")
 
+    # Members come in order of v, so links lead to the smallest: the buckets of a large group agree on few roots.
     def run(batches):
         a, b = [], []
         for rows in groups(batches, 3):
