@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows go to Python workers in batches of at most so many rows and about so many bytes, where the session has Spark's defaults.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
 _shipped: set[str] = set()
 
 
@@ -20,6 +23,9 @@ def ship(spark: SparkSession) -> None:
     import tempfile
     import zipfile
 
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
