@@ -7,6 +7,10 @@ the fingerprint are compared as wholes, and a window that also stands earlier is
 up. So a line goes exactly if it lies in a run of `run` or more lines that also stands earlier, in order of id and
 place. No pairs are formed: each window hash keeps its earliest place.
 
+With `words`, runs of fewer lines count too if they hold more than so many words: such a run is a window and a
+fingerprint of its own. remove_repeats, which the pipeline calls, does so with LONG; clean alone keeps to lines, as the
+SQL of op10_line_dedup does. Short common lines are left alone by both.
+
 Edge cases: null and empty texts have no lines; documents without an id are left as they are; rows that repeat an id
 and a text count as one document; of texts under one id the order is that of their hash. The first copy always stays.
 """
@@ -19,28 +23,48 @@ from pyspark.sql import functions as F
 from .tables import cut
 
 RUN = 3
+#: Runs of fewer lines than RUN go from more than so many words on.
+LONG = 50
 BLANKS = " \t\r\x0b\x0c"
 #: Deleted lines are broadcast up to so many numbers; beyond it texts are shuffled to them.
 BROADCAST_LINES = 2_000_000
 
 
-def _lines(text: Column) -> Column:
-    """(line number, hash) of each line that isn't blank."""
+def _lines(text: Column, count: bool = False) -> Column:
+    """(line number, hash, number of words if they count) of each line that isn't blank."""
     trimmed = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("line"), F.trim(x, F.lit(BLANKS)).alias("x")))
-    return F.transform(F.filter(trimmed, lambda y: y["x"] != ""), lambda y: F.struct(y["line"].alias("line"), F.xxhash64(y["x"]).alias("h")))
+    n = lambda y: [F.regexp_count(y["x"], F.lit(f"[^{BLANKS}]+")).alias("n")] if count else []
+    return F.transform(F.filter(trimmed, lambda y: y["x"] != ""), lambda y: F.struct(y["line"].alias("line"), F.xxhash64(y["x"]).alias("h"), *n(y)))
 
 
-def windows(docs: DataFrame, run: int = RUN, id_col="doc_id", text="text") -> DataFrame:
+def windows(docs: DataFrame, run: int = RUN, id_col="doc_id", text="text", words: int | None = None) -> DataFrame:
     """A row for each window: id, hash of the text, first and last line, fingerprint, whether the window before selected another one, two hashes of the window."""
     items = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(id_col).alias("id"), F.xxhash64(text).alias("k"), _lines(F.col(text)).alias("items")
-    ).where(F.size("items") >= run)
-    made = items.select("id", "k", F.transform(F.sequence(F.lit(0), F.size("items") - run), lambda s: _window(F.col("items"), s, run)).alias("win"))
+        F.col(id_col).alias("id"), F.xxhash64(text).alias("k"), _lines(F.col(text), words is not None).alias("items")
+    )
+    if words is not None:
+        items = cut(items)
+    made = items.where(F.size("items") >= run).select("id", "k", _starts(run, lambda s: _window(F.col("items"), s, run)).alias("win"))
     fresh = made.select("id", "k", F.posexplode(F.transform("win", lambda x, i: F.struct(
         x["lo"].alias("lo"), x["hi"].alias("hi"), x["least"]["h"].alias("f"), x["w1"].alias("w1"), x["w2"].alias("w2"),
         F.coalesce((F.get(F.col("win"), i - 1)["least"]["p"] != x["least"]["p"]).cast("int"), F.lit(1)).alias("fresh"),
     ))).alias("s", "x"))
-    return fresh.select("id", "k", "s", "x.*")
+    fresh = fresh.select("id", "k", "s", "x.*")
+    for fewer in range(1, run if words is not None else 1):
+        own = items.where(F.size("items") >= fewer).select("id", "k", F.explode(_long(fewer, words)).alias("y"))
+        fresh = fresh.union(own.select("id", "k", "y.s", "y.x.lo", "y.x.hi", F.col("y.x.w1").alias("f"), "y.x.w1", "y.x.w2", F.lit(1).alias("fresh")))
+    return fresh
+
+
+def _long(run: int, words: int) -> Column:
+    """Windows of run lines with more than so many words, and where they start."""
+    items = F.col("items")
+    held = F.filter(_starts(run, lambda s: s), lambda s: sum(F.get(items, s + k)["n"] for k in range(run)) > words)
+    return F.transform(held, lambda s: F.struct(s.alias("s"), _window(items, s, run).alias("x")))
+
+
+def _starts(run: int, made) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size("items") - run), made)
 
 
 def _window(items: Column, s: Column, run: int) -> Column:
@@ -53,9 +77,9 @@ def _window(items: Column, s: Column, run: int) -> Column:
     )
 
 
-def repeated(docs: DataFrame, run: int = RUN, id_col="doc_id", text="text") -> DataFrame:
+def repeated(docs: DataFrame, run: int = RUN, id_col="doc_id", text="text", words: int | None = None) -> DataFrame:
     """(id, k, gone): for each document with later copies of runs, the sorted numbers of the lines to delete."""
-    all_windows = cut(windows(docs, run, id_col, text))
+    all_windows = cut(windows(docs, run, id_col, text, words))
     # Tables are cut before a join, so that both of its sides are plain shuffles, which Spark can split where a key is hot.
     common = cut(all_windows.groupBy("f").agg(F.sum("fresh").alias("places")).where("places >= 2").select("f"))
     near = cut(all_windows.join(common, "f").select("id", "k", "s", "lo", "hi", "w1", "w2"))
@@ -67,9 +91,9 @@ def repeated(docs: DataFrame, run: int = RUN, id_col="doc_id", text="text") -> D
     return lines.groupBy("id", "k").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
-def clean(docs: DataFrame, run: int = RUN, id_col="doc_id", text="text", into="text", gone="_gone") -> DataFrame:
+def clean(docs: DataFrame, run: int = RUN, id_col="doc_id", text="text", into="text", gone="_gone", words: int | None = None) -> DataFrame:
     """docs with `gone` (numbers of the deleted lines, or null) and the text without them in `into`."""
-    found = cut(repeated(docs, run, id_col, text))
+    found = cut(repeated(docs, run, id_col, text, words))
     total = found.agg(F.sum(F.size("gone") + 4)).first()[0] or 0
     side = (F.broadcast(found) if total <= BROADCAST_LINES else found).select(F.col("id").alias("_id"), F.col("k").alias("_k"), F.col("gone").alias("_g"))
     joined = docs.join(side, (docs[id_col] == F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_k")), "left")
@@ -79,9 +103,9 @@ def clean(docs: DataFrame, run: int = RUN, id_col="doc_id", text="text", into="t
     return joined.withColumn(into, cleaned).withColumn(gone, F.col("_g")).drop("_id", "_k", "_g")
 
 
-def remove_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
+def remove_repeats(docs: DataFrame, run: int = RUN, words: int | None = LONG) -> DataFrame:
     """The documents with later copies of runs deleted from their texts and n_chars counted anew. A document of which nothing is left goes."""
-    out = clean(docs.select(*docs.columns), run, gone="_gone_lines")
+    out = clean(docs.select(*docs.columns), run, gone="_gone_lines", words=words)
     left = F.col("_gone_lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     out = out.where(left)
     if "n_chars" in docs.columns:

@@ -207,3 +207,15 @@ def test_lines_equal_brute_force(spark):
     assert left.columns == docs.columns and left.where((F.col("n_chars") != F.char_length("text")) & (F.col("doc_id") >= 100)).count() == 0
     assert line_dedup.remove_repeats(empty(spark)).count() == 0
     assert "Python" not in str(line_dedup.repeated(docs)._jdf.queryExecution().executedPlan())
+
+
+def test_long_runs_of_one_or_two_lines_go(spark):
+    r = random.Random(8)
+    flat = lambda n: " ".join(prose(r, n).split())
+    one, half, other, short = flat(60), flat(30), flat(30), flat(50)
+    rows = [(1, one), (2, f"own\n {one}\nmore"), (3, f"{half}\n\n{other}"), (4, f"a\n{half}\n{other}\nb"), (5, f"{half}\nc"), (6, f"{short}\nd"), (7, f"e\n{short}"), (8, one), (9, f"{one}\nf\n{one}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in line_dedup.remove_repeats(docs).collect()}
+    expected = dict(rows) | {2: "own\nmore", 4: "a\nb", 9: "f"}
+    del expected[8]
+    assert got == expected
