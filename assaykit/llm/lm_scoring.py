@@ -1,11 +1,16 @@
 """Language-model scoring by the difference of cross entropies.
 
 Two bigram models share one vocabulary: the background model counts every token of all documents, the target model those
-of the documents that a flag marks. Words under the vocabulary's count, and bigrams under the bigrams' count, fall back
-(to the unknown word and to the unigram); these counts are set by the corpus so that at most VOCABULARY words and BIGRAMS
-pairs stay, which bounds what is broadcast while counting covers everything. Probabilities are Dirichlet-smoothed: a
-bigram's by the unigram's, the unigram's by the even one. A document's score is the mean over its tokens of the
-difference of losses, background less target: above 0, it reads more like the target.
+of the documents that a flag marks. Every word and every pair of neighbours counts, whatever its frequency, so the models
+grow with the corpus; they are tables in the shared folder, and nothing of them is collected or broadcast as a whole.
+Pairs are counted in each batch and then over all of them; a word's count is the sum over its pairs. The losses of a pair
+are computed once, and a document's distinct pairs are joined to them. Probabilities are Dirichlet-smoothed: a bigram's by
+the unigram's, the unigram's by the even one. Pairs that a scored text has and the models don't fall back to the unigram,
+words likewise to the even probability. A document's score is the mean over its tokens of the difference of losses,
+background less target: above 0, it reads more like the target.
+
+Losses are summed as whole multiples of 2^-32, so sums don't depend on the order of rows. Words, pairs and texts are told
+apart by 64-bit hashes.
 
 Edge cases: null and empty texts have no tokens, null losses and score 0; without target documents both models are the
 background's, and every score is 0; repeated rows count each time; texts are read whole.
@@ -13,23 +18,22 @@ background's, and every score is 0; repeated rows count each time; texts are rea
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import cut, small
-from .text import Cache, pieces, raw, with_columns, words
+from .text import Cache, pieces, raw, words
 
-VOCABULARY = 1 << 14
-BIGRAMS = 1 << 20
 MASS = 32.0
-#: Words and pairs are handed on after so many, so a task's memory is bounded.
-FLUSH = 500_000
+#: Stands before the first word of a text.
+START = 0
+UNIT = 1 << 32
 
 
 def _key(word: bytes) -> int:
@@ -43,146 +47,120 @@ def flagged(docs: DataFrame, labels: DataFrame, id_col="doc_id", label="quality"
     return hit.select(F.col(text).alias("text"), F.col("_id").isNotNull().alias("target"))
 
 
-def word_counts(flagged_docs: DataFrame) -> DataFrame:
-    """(key, n, n_target) for all words."""
+def _pairs(text: bytes, cache: Cache) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the words, and of the ones before them."""
+    found = words(text)
+    own = np.fromiter(map(cache.__getitem__, found), np.int64, len(found))
+    return np.concatenate(([START], own[:-1])) if len(own) else own, own
+
+
+def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return before * np.int64(-7046029254386353131) ^ word
+
+
+def pair_counts(flagged_docs: DataFrame) -> DataFrame:
+    """(before, word, n, n_target) for all pairs of neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, target = Counter(), Counter()
-
-        def out():
-            both = pa.RecordBatch.from_arrays(
-                [pa.array([_key(w) for w in every], pa.int64()), pa.array(every.values(), pa.int64()), pa.array([target[w] for w in every], pa.int64())], ["key", "n", "n_target"]
-            )
-            every.clear()
-            target.clear()
-            return both
-
-        for b in pieces(batches, "text"):
-            for t, is_target in zip(raw(b, "text"), b.column("target").to_pylist(), strict=True):
-                w = words(t)
-                every.update(w)
-                if is_target:
-                    target.update(w)
-            if len(every) > FLUSH:
-                yield out()
-        yield out()
-
-    made = flagged_docs.mapInArrow(run, "key long, n long, n_target long")
-    return made.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def _frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The rows whose count is in the highest classes of counts that together hold at most `most` rows. Classes are an eighth of a power of two wide."""
-    level = F.floor(F.log2("n") * 8).cast("int")
-    sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("size")).orderBy(F.desc("level")).collect()
-    least, total = None, 0
-    for r in sizes:
-        total += r["size"]
-        if total > most:
-            break
-        least = r["level"]
-    return counts.where(level >= (least if least is not None else 1 << 30))
-
-
-class Vocabulary:
-    """Number of each known word; 0 stands for all others. Counts by number, for both models."""
-
-    def __init__(self, keys: list[int], n: np.ndarray, n_target: np.ndarray, total: int, total_target: int):
-        self.number = {k: i + 1 for i, k in enumerate(keys)}
-        self.size = len(keys) + 1
-        self.counts = [np.concatenate(([t - c.sum()], c)).astype(np.float64) for c, t in ((n, total), (n_target, total_target))]
-
-    def reader(self) -> Cache:
-        return Cache(lambda w: self.number.get(_key(w), 0))
-
-    def pairs(self, found: list[bytes], cache: Cache) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words, and of each pair of a word and the one before it (self.size before the first)."""
-        ids = np.fromiter(map(cache.__getitem__, found), np.int64, len(found))
-        return ids, np.concatenate(([self.size], ids[:-1])) * self.size + ids if len(ids) else ids
-
-
-def bigram_counts(flagged_docs: DataFrame, vocabulary) -> DataFrame:
-    """(key, n, n_target) for all pairs of known words. vocabulary: a broadcast Vocabulary."""
-
-    def run(batches):
-        cache = vocabulary.value.reader()
+        cache = Cache(_key)
         for b in pieces(batches, "text", 16 << 20):
-            found = [vocabulary.value.pairs(words(t), cache)[1] for t in raw(b, "text")]
-            target = np.repeat(b.column("target").to_numpy(zero_copy_only=False).astype(bool), [len(x) for x in found])
-            keys, inv, n = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n), pa.array(np.bincount(inv[target], minlength=len(keys)).astype(np.int64))], ["key", "n", "n_target"])
+            found = [_pairs(t, cache) for t in raw(b, "text")]
+            target = np.repeat(b.column("target").to_numpy(zero_copy_only=False).astype(bool), [len(w) for _, w in found])
+            before, word = (np.concatenate(x) for x in zip(*found, strict=True))
+            _, at, inv, n = np.unique(_mixed(before, word), return_index=True, return_inverse=True, return_counts=True)
+            n_target = np.bincount(inv[target], minlength=len(at)).astype(np.int64)
+            order = np.argsort(before[at])  # equal words stand together, which compresses
+            yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (before[at], word[at], n, n_target)], ["before", "word", "n", "n_target"])
 
-    made = flagged_docs.mapInArrow(run, "key long, n long, n_target long")
-    return made.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    made = flagged_docs.mapInArrow(run, "before long, word long, n long, n_target long")
+    return made.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
 
+@dataclass
 class Models:
-    """Both models' log probabilities."""
-
-    def __init__(self, vocabulary: Vocabulary, keys: np.ndarray, counts: list[np.ndarray]):
-        self.vocabulary, self.keys = vocabulary, keys
-        self.single, self.before, self.both = [], [], []
-        starts = keys // vocabulary.size == vocabulary.size
-        for c, b in zip(vocabulary.counts, counts, strict=True):
-            p = (c + MASS / vocabulary.size) / (c.sum() + MASS)
-            before = np.append(c, b[starts].sum())
-            self.single.append(p)
-            self.before.append(before + MASS)
-            self.both.append(((b + MASS * p[keys % vocabulary.size]) / self.before[-1][keys // vocabulary.size]).astype(np.float64))
-
-    def losses(self, ids: np.ndarray, pairs: np.ndarray) -> list[np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, pairs), max(0, len(self.keys) - 1))
-        known = self.keys[at] == pairs if len(self.keys) else np.zeros(len(pairs), bool)
-        prior = pairs // self.vocabulary.size
-        out = []
-        for p, before, both in zip(self.single, self.before, self.both, strict=True):
-            rest = MASS * p[ids] / before[prior]
-            out.append(-np.log(np.where(known, both[at], rest) if len(both) else rest))
-        return out
-
-
-def _columns(counts: DataFrame) -> list[np.ndarray]:
-    """key, n, n_target in order of key; handed over as Arrow columns, 24 bytes a row."""
-    rows = counts.select("key", "n", "n_target").toArrow()
-    out = [rows.column(c).to_numpy() for c in ("key", "n", "n_target")]
-    order = np.argsort(out[0], kind="stable")
-    return [x[order] for x in out]
-
-
-def fit(flagged_docs: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> Models:
-    spark = flagged_docs.sparkSession
-    counts = cut(word_counts(flagged_docs))
-    total = counts.agg(F.sum("n").alias("n"), F.sum("n_target").alias("t")).first()
-    key, n, n_target = _columns(_frequent(counts, vocabulary))
-    known = Vocabulary(key.tolist(), n.astype(np.float64), n_target.astype(np.float64), total.n or 0, total.t or 0)
-    pairs = cut(bigram_counts(flagged_docs, spark.sparkContext.broadcast(known)))
-    key, *both = _columns(_frequent(pairs, bigrams))
-    both = [x.astype(np.float64) for x in both]
-    if not total.t:
-        known.counts[1], both[1] = known.counts[0], both[0]
-    return Models(known, key, both)
+    """Both models: counts of words, losses of known pairs, and (background, target) totals."""
+
+    words: DataFrame
+    size: int
+    total: tuple[int, int]
+    starts: tuple[int, int]
+    known: DataFrame | None = None
+
+    def losses(self, pairs: DataFrame) -> DataFrame:
+        """(key, start, background, target) for pairs with their counts; losses in units."""
+        w = self.words.select("word", F.col("n").alias("w_n"), F.col("n_target").alias("w_n_target"))
+        b = self.words.select(F.col("word").alias("before"), F.col("n").alias("b_n"), F.col("n_target").alias("b_n_target"))
+        both = pairs.join(small(w), "word", "left").join(small(b), "before", "left")
+        start = F.col("before") == START
+
+        def loss(n: str, k: int) -> Column:
+            p = (F.coalesce(f"w_{n}", F.lit(0)) + MASS / self.size) / (self.total[k] + MASS)
+            seen = F.when(start, F.lit(self.starts[k])).otherwise(F.coalesce(f"b_{n}", F.lit(0)))
+            return F.round(-F.log((F.col(n) + MASS * p) / (seen + MASS)) * UNIT).cast("long")
+
+        target = loss("n_target", 1) if self.total[1] else loss("n", 0)
+        return both.select(_hash(), start.cast("int").alias("start"), loss("n", 0).alias("background"), target.alias("target"))
+
+
+def _hash() -> Column:
+    return F.xxhash64("before", "word").alias("key")
+
+
+def fit(flagged_docs: DataFrame) -> Models:
+    pairs = cut(pair_counts(flagged_docs))
+    single = cut(pairs.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
+    both = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_target")]
+    *total, size = single.agg(*both, F.count("*").alias("size")).first()
+    models = Models(single, size + 1, tuple(total), tuple(pairs.where(F.col("before") == START).agg(*both).first()))
+    models.known = models.losses(pairs)
+    return models
+
+
+def _tokens(docs: DataFrame, text: str) -> DataFrame:
+    """(d, key, before, word, n): the distinct pairs of each text, d the hash of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Cache(_key)
+        for b in pieces(batches, "text", 2 << 20):
+            out = []
+            for d, t in zip(b.column("d").to_pylist(), raw(b, "text"), strict=True):
+                before, word = _pairs(t, cache)
+                _, at, n = np.unique(_mixed(before, word), return_index=True, return_counts=True)
+                out.append((np.full(len(at), d, np.int64), before[at], word[at], n))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["d", "before", "word", "n"])
+
+    made = docs.select(F.xxhash64(text).alias("d"), F.col(text).alias("text")).mapInArrow(run, "d long, before long, word long, n long")
+    return made.select("d", _hash(), "before", "word", "n")
+
+
+def _sums(joined: DataFrame) -> DataFrame:
+    """For each text: its rows (each has one start), tokens, summed losses and tokens of unknown pairs."""
+    n = F.col("n")
+    of = {"copies": n * F.col("start"), "tokens": n, "background": n * F.col("background"), "target": n * F.col("target"), "missing": F.when(F.col("target").isNull(), n)}
+    return joined.groupBy("d").agg(*(F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in of.items()))
+
+
+def _summed(docs: DataFrame, models: Models, text: str) -> DataFrame:
+    tokens = _tokens(docs, text)
+    sums = cut(_sums(tokens.select("d", "key", "n").join(models.known, "key", "left")))
+    if not sums.where("missing > 0").limit(1).count():
+        return sums
+    rest = tokens.join(models.known.select("key"), "key", "left_anti")
+    fresh = cut(models.losses(cut(rest.select("before", "word").distinct()).withColumns({"n": F.lit(0), "n_target": F.lit(0)})))
+    more = _sums(rest.select("d", "key", "n").join(fresh, "key")).withColumn("tokens", F.lit(0))
+    return cut(sums.union(more).groupBy("d").agg(*(F.sum(c).alias(c) for c in sums.columns if c != "d")))
 
 
 def score(docs: DataFrame, models: Models, text="text", keep=("doc_id",)) -> DataFrame:
     """The columns of keep with n_tokens, loss_background, loss_target (nats a token) and score."""
     new = ["n_tokens", "loss_background", "loss_target", "score"]
-    keep = [c for c in keep if c not in new]
-    shipped = docs.sparkSession.sparkContext.broadcast(models)
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_tokens long, loss_background double, loss_target double, score double"])
-
-    def run(batches):
-        m = shipped.value
-        cache = m.vocabulary.reader()
-        for b in pieces(batches, text, 2 << 20):
-            found = [m.vocabulary.pairs(words(t), cache) for t in raw(b, text)]
-            n = np.array([len(i) for i, _ in found])
-            row = np.repeat(np.arange(len(n)), n)
-            losses = [np.bincount(row, x, len(n)) for x in m.losses(np.concatenate([i for i, _ in found]), np.concatenate([p for _, p in found]))]
-            mean = [x / np.maximum(1, n) for x in losses]
-            empty = n == 0
-            yield with_columns(b, keep, {
-                "n_tokens": pa.array(n.astype(np.int64)), "loss_background": pa.array(mean[0], mask=empty), "loss_target": pa.array(mean[1], mask=empty),
-                "score": pa.array(np.where(empty, 0.0, mean[0] - mean[1])),
-            })
-
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    keep = [c for c in dict.fromkeys(keep) if c not in new]
+    found = _summed(docs, models, text).select(F.col("d").alias("_d"), *(F.col(c).alias(f"_{c}") for c in ("copies", "tokens", "background", "target")))
+    rows = docs.select(*(docs[c] for c in keep), F.xxhash64(docs[text]).alias("_own"))
+    joined = rows.join(small(found), rows["_own"] == found["_d"], "left")
+    mean = lambda c: F.col(c) / F.col("_tokens") / UNIT
+    n_tokens = F.coalesce((F.col("_tokens") / F.col("_copies")).cast("long"), F.lit(0)).alias("n_tokens")
+    return joined.select(
+        *keep, n_tokens, mean("_background").alias("loss_background"), mean("_target").alias("loss_target"),
+        F.coalesce(mean("_background") - mean("_target"), F.lit(0.0)).alias("score"),
+    )

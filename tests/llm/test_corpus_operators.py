@@ -53,6 +53,21 @@ def test_lm_equals_brute_force(spark):
         assert x.loss_background == pytest.approx(loss(x.text.split()))
 
 
+def test_lm_keeps_every_word_and_pair(spark):
+    wide = [(i, " ".join(f"w{i}x{k}" for k in range(100))) for i in range(200)]  # 20,000 words, each seen once
+    docs = spark.createDataFrame([*wide, (200, wide[0][1]), (201, "w0x1 new w0x0")], "doc_id long, text string")
+    seen = docs.where("doc_id < 201")
+    m = lm_scoring.fit(lm_scoring.flagged(seen, labels(spark, [(5, 1, 0)])))
+    assert m.words.count() == 20_000 and m.known.count() == 20_000
+    total, size, mass = 20_100, 20_001, lm_scoring.MASS
+    p1 = lambda n: (n + mass / size) / (total + mass)
+    loss = lambda pair, n, before: -np.log((pair + mass * p1(n)) / (before + mass))
+    got = {x.doc_id: x for x in lm_scoring.score(docs, m).collect()}
+    assert got[5].loss_background == pytest.approx((loss(1, 1, 201) + 99 * loss(1, 1, 1)) / 100)
+    assert got[0].n_tokens == got[200].n_tokens == 100 and got[0].score == got[200].score
+    assert got[201].n_tokens == 3 and got[201].loss_background == pytest.approx((loss(0, 2, 201) + loss(0, 0, 2) + loss(0, 2, 0)) / 3)
+
+
 # op 2
 
 
