@@ -1,17 +1,21 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash rolls over the bytes of a text: each step shifts it by one bit and adds a fixed random number for the byte,
-so it depends on the last 16 bytes only. A chunk ends where its top five bits are zero, 32 bytes on average, wherever
-the same bytes stand; an insertion moves no border beyond its own place. Chunks of SHORT bytes or more are compared by a
-128-bit digest. The chunk of the smallest id (in a document, the first) is the original, later ones are copies.
-Neighbouring copies make a run (gaps under SHORT bytes are bridged); runs of LEAST bytes or more are repeats. So a
-passage of over 50 words that was seen before is found at any place, and single common lines are left alone.
+so it depends on the last 16 bytes only. A chunk ends where the hash is the least of some WINDOW neighbouring ones, about
+32 bytes on average, wherever the same bytes stand; an insertion moves borders near its own place only. Every WINDOW bytes
+have a border, repetitive ones too, whose many equal borders are thinned to SHORT bytes. Chunks are compared by a 128-bit
+digest. The chunk of the smallest id (in a document, the first) is the original, later ones are copies. Neighbouring
+copies make a run (gaps under SHORT bytes are bridged). The bytes before and after a run are then compared with those
+around its original, up to REACH, which is more than the cut-off chunks at the ends of a passage; runs of LEAST bytes or
+more are repeats. So a passage that was seen before is found at any place if it has LEAST bytes and a whole chunk, which
+2 * WINDOW + 32 bytes hold unless short chunks fall together; single short lines are left alone. In
+repetitive stretches a chunk at the start may be lost, since the original is the first of many.
 
 Digests are counted with map-side combination, and each chunk is joined with its digest's original only, so there are no
-pairs, and Spark can split a digest that is hot.
+pairs, and Spark can split a digest that is hot. Originals are extended along their last copy.
 
 Edge cases: null and empty texts have no chunks; documents without an id take no part and have no repeats; rows that
-repeat an id count as one document; a text without a border is one chunk, whatever its length.
+repeat an id count as one document; a text of under WINDOW bytes is one chunk.
 """
 
 from __future__ import annotations
@@ -24,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, small
 from .text import pieces, raw
 
 SHORT = 8
 LEAST = 128
+WINDOW = 64
+REACH = 128
 GEAR = np.random.default_rng(3).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
@@ -38,10 +44,28 @@ def ends(text: bytes) -> np.ndarray:
     for k in (1, 2, 4, 8):  # the sum over 16 bytes, by doubling
         if len(h) > k:
             h[k:] += h[:-k].copy() << np.uint16(k)
-    out = np.flatnonzero(h < 1 << 11) + 1
+    h = h[15:]  # the first ones don't see 16 bytes
+    out = np.flatnonzero(_least(h)) + 16 if len(h) >= WINDOW else np.zeros(0, np.int64)
+    if len(out) and np.diff(out, prepend=0).min() < SHORT:
+        kept = [0]
+        for x in out.tolist():
+            if x - kept[-1] >= SHORT:
+                kept.append(x)
+        out = np.array(kept[1:], dtype=np.int64)
     return out if len(out) and out[-1] == len(text) else np.append(out, len(text))
 
 
+def _least(h: np.ndarray) -> np.ndarray:
+    """True where the hash is the least of a window: where the highest least of all windows around it is itself."""
+    low = h
+    for k in (1 << i for i in range(WINDOW.bit_length() - 1)):
+        low = np.minimum(low[:-k], low[k:])
+    high = np.pad(low, WINDOW - 1)
+    for k in (1 << i for i in range(WINDOW.bit_length() - 1)):
+        high = np.maximum(high[:-k], high[k:])
+    return high == h
+
+
 def chunks(docs: DataFrame, id_col="doc_id", text="text", short: int = SHORT) -> DataFrame:
     """(id, start, end, d1, d2, again): chunks with their digests; again if the document has the chunk before."""
 
@@ -73,18 +97,75 @@ def chunks(docs: DataFrame, id_col="doc_id", text="text", short: int = SHORT) ->
 
 
 def repeats(docs: DataFrame, id_col="doc_id", text="text", least: int = LEAST) -> DataFrame:
-    """(id, start, end, first_id, copy): runs of chunks that stand elsewhere too.
+    """(id, start, end, first_id, copy): runs of bytes that stand elsewhere too.
 
     copy: the run stands before, in a document of a smaller id or earlier in its own; else it is the original of others.
     first_id: the smallest id that holds the run's longest chunk (for an original, its own).
     """
     made = chunks(docs, id_col, text)
-    known = cut(made.groupBy("d1", "d2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n >= 2").select("d1", "d2", "first_id"))
-    found = made.join(known, ["d1", "d2"]).select("id", "start", "end", "first_id", (F.col("again") | (F.col("id") > F.col("first_id"))).alias("copy"))
+    place = F.struct("id", "start")
+    known = made.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("n >= 2")
+    known = cut(known.select("d1", "d2", "first", "last"))
+    copy = F.col("again") | (F.col("id") > F.col("first.id"))
+    size = F.col("end") - F.col("start")
+    found = made.join(known, ["d1", "d2"]).select("id", "start", "end", F.col("first.id").alias("first_id"), copy.alias("copy"), F.when(copy, F.col("first")).otherwise(F.col("last")).alias("other"))
+    runs = _runs(found.distinct()).agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("first_id", F.struct(size, -F.col("start"))).alias("first_id"),
+        F.min_by("other", "start").alias("left"), F.max_by(F.struct(F.col("other.id").alias("id"), (F.col("other.start") + size).alias("end")), "end").alias("right"),
+    )
+    wider = _runs(_extended(docs, cut(runs.drop("run")), id_col, text))
+    return wider.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("first_id", F.struct(size, -F.col("start"))).alias("first_id")).where(F.col("end") - F.col("start") >= least).drop("run")
+
+
+def _runs(spans: DataFrame):
+    """Spans of a document grouped with those less than SHORT bytes before them."""
     by = Window.partitionBy("id", "copy").orderBy("start", "end")
-    marked = found.distinct().withColumn("fresh", (F.col("start") - F.coalesce(F.lag("end").over(by), F.lit(-(1 << 30))) >= SHORT).cast("int"))
-    runs = marked.withColumn("run", F.sum("fresh").over(by)).groupBy("id", "copy", "run")
-    return runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("first_id", F.struct(F.col("end") - F.col("start"), -F.col("start"))).alias("first_id")).where(F.col("end") - F.col("start") >= least).drop("run")
+    before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("fresh", (F.col("start") - F.coalesce(before, F.lit(-(1 << 30))) >= SHORT).cast("int"))
+    return marked.withColumn("run", F.sum("fresh").over(by)).groupBy("id", "copy", "run")
+
+
+def _extended(docs: DataFrame, runs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The runs with the bytes before and after them that also stand around the other place."""
+    ends_at = {"own_left": ("id", "start", True), "left": ("left.id", "left.start", True), "own_right": ("id", "end", False), "right": ("right.id", "right.end", False)}
+    edges = F.array(*(F.struct(F.col(i).alias("id"), F.col(at).alias("at"), F.lit(left).alias("left")) for i, at, left in ends_at.values()))
+    wanted = cut(runs.select(F.explode(edges).alias("e")).select("e.*").groupBy("id").agg(F.collect_set(F.struct("at", "left")).alias("edges")))
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text", 4 << 20):
+            for i, t, own in zip(b.column("id").to_pylist(), raw(b, "text"), b.column("edges").to_pylist(), strict=True):
+                at, left = [e["at"] for e in own], [e["left"] for e in own]
+                bytes_ = [t[max(0, x - REACH) : x] if y else t[x : x + REACH] for x, y in zip(at, left, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(left, pa.bool_()), pa.array(bytes_, pa.binary())], ["id", "at", "left", "bytes"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(small(wanted, 200_000), "id")
+    seen = cut(texts.select("id", "text", "edges").mapInArrow(around, "id long, at int, left boolean, bytes binary").dropDuplicates(["id", "at", "left"]))
+    joined = runs
+    for name, (i, at, left) in ends_at.items():
+        side = seen.where(F.col("left") == left).select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("bytes").alias(f"_{name}"))
+        joined = joined.join(side, (F.col(i) == F.col("_id")) & (F.col(at) == F.col("_at"))).drop("_id", "_at")
+    # A run that is its own other place, as rows that repeat an id have, is left as it is.
+    for name, (i, at, _) in ends_at.items():
+        if name in ("left", "right"):
+            own = (F.col(i) == F.col("id")) & (F.col(at) == F.col("start" if name == "left" else "end"))
+            joined = joined.withColumn(f"_{name}", F.when(own, F.lit(b"")).otherwise(F.col(f"_{name}")))
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own_left, left, own_right, right = (b.column(f"_{c}").to_pylist() for c in ends_at)
+            back = np.array([_common(x[::-1], y[::-1]) for x, y in zip(own_left, left, strict=True)], np.int32)
+            on = np.array([_common(x, y) for x, y in zip(own_right, right, strict=True)], np.int32)
+            start, end = b.column("start").to_numpy() - back, b.column("end").to_numpy() + on
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("copy"), b.column("first_id"), pa.array(start), pa.array(end)], ["id", "copy", "first_id", "start", "end"])
+
+    picked = joined.select("id", "copy", "first_id", "start", "end", *(f"_{c}" for c in ends_at))
+    return picked.mapInArrow(widen, "id long, copy boolean, first_id long, start int, end int")
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    return next((k for k in range(n) if a[k] != b[k]), n)
 
 
 def summary(docs: DataFrame, found: DataFrame, id_col="doc_id", text="text") -> DataFrame:

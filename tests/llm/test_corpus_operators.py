@@ -122,6 +122,22 @@ def test_passages_are_found_and_removed(spark):
     assert substring_dedup.summary(empty(spark), substring_dedup.repeats(empty(spark))).count() == 0
 
 
+def test_passages_are_found_to_their_ends(spark):
+    r = random.Random(9)
+    noise = lambda: "".join(r.choice("bcdfghjklmnp ") for _ in range(300))
+    short = lambda: " ".join("".join(r.choice("aeiou") for _ in range(r.randint(2, 5))) for _ in range(51))
+    passages = [short() for _ in range(40)] + ["ha " * 60, "z" * 200]
+    rows = [(i, f"{noise()}<{p}>{noise()}") for i, p in enumerate(passages)] + [(100 + i, f"{noise()}[{p}]{noise()}") for i, p in enumerate(passages)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = defaultdict(list)
+    for x in substring_dedup.repeats(docs).where("copy").collect():
+        got[x.id].append((x.start, x.end))
+    assert [got[100 + i] for i in range(40)] == [[(301, 301 + len(p))] for p in passages[:40]]
+    for i in (40, 41):  # repetitive ones may lose a chunk of SHORT bytes, as the original is the first of many
+        (start, end), = got[100 + i]
+        assert 301 <= start < 301 + 2 * substring_dedup.SHORT and end == 301 + len(passages[i])
+
+
 # op 5
 
 
