@@ -1,166 +1,431 @@
 """Language-model scoring by the difference of cross entropies.
 
-Two bigram models share one vocabulary: the background model counts every token of all documents, the target model those
-of the documents that a flag marks. Every word and every pair of neighbours counts, whatever its frequency, so the models
-grow with the corpus; they are tables in the shared folder, and nothing of them is collected or broadcast as a whole.
-Pairs are counted in each batch and then over all of them; a word's count is the sum over its pairs. The losses of a pair
-are computed once, and a document's distinct pairs are joined to them. Probabilities are Dirichlet-smoothed: a bigram's by
-the unigram's, the unigram's by the even one. Pairs that a scored text has and the models don't fall back to the unigram,
-words likewise to the even probability. A document's score is the mean over its tokens of the difference of losses,
-background less target: above 0, it reads more like the target.
-
-Losses are summed as whole multiples of 2^-32, so sums don't depend on the order of rows. Words, pairs and texts are told
-apart by 64-bit hashes.
+Two bigram models share one vocabulary: the background model counts every token of all training documents, the target
+model those of the documents that a flag marks. Every word and every pair of neighbours counts, whatever its frequency, so
+the models grow with the corpus and nothing of them is collected or broadcast as a whole. Probabilities are
+Dirichlet-smoothed: a bigram's by the unigram's, the unigram's by the even one. A document's score is the mean over its
+tokens of the difference of losses, background less target: above 0, it reads more like the target.
+
+    loss(b, w) = log(c(b) + MASS) - log(c(b, w) + MASS * p(w)),  p(w) = (c(w) + MASS / size) / (total + MASS)
+
+The first term belongs to b and the second to w, so both can be found where the pairs of one word are together. That gives
+this plan, in which texts never move and no pair table is joined:
+
+1. `totals`: counts of words over the corpus (a table in the shared folder), their number and their sum.
+2. `_dealt`: each task packs the distinct pairs of about GATHER bytes of texts, with the documents that hold them, into
+   one blob for each bucket of words. A bucket has the pairs of about BUCKET tokens, so the number of buckets follows the
+   corpus.
+3. `_answers`: each bucket counts its pairs over all blobs and answers each blob with the sums of losses by document.
+4. `_joined`: the answers to a batch of documents meet with the columns to keep, which were packed along.
+
+Words and pairs that a sample of SAMPLE documents shows to be hot (over 1 of HOT tokens, so fewer than HOT of each) are
+counted in step 1 and broadcast: hot pairs are answered where they stand, other pairs of hot words are dealt by pair
+instead of by word. The sample decides where pairs are counted, never what is counted.
+
+Losses are summed as whole multiples of 2^-24, so sums don't depend on the order of rows. Words are told apart by 64-bit
+hashes, the words before one by 48 bits. The rows of docs must come in the same order if a task is run again, as those of
+a file do; give a stored table (see `flagged`).
 
 Edge cases: null and empty texts have no tokens, null losses and score 0; without target documents both models are the
-background's, and every score is 0; repeated rows count each time; texts are read whole.
+background's, and every score is 0; repeated rows count each time; texts are read whole; words and pairs that only scored
+documents have fall back to the unigram and to the even probability. Columns of keep that have the name of a result give
+way to it.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, small
-from .text import Cache, pieces, raw, words
+from .tables import BROADCAST_ROWS, cut, lean
+from .text import pieces, raw, words
 
 MASS = 32.0
-#: Stands before the first word of a text.
-START = 0
-UNIT = 1 << 32
+UNIT = 1 << 24
+GATHER = 16 << 20
+BUCKET = 1 << 21
+SAMPLE = 2000
+HOT = 2048
+#: Numbers in a batch, and hashes, of what stands before the first word and after the last one.
+START, END = 0, 1
+RESULT = ("n_tokens", "loss_background", "loss_target", "score")
+PACKED = "kind int, bucket int, batch long, blob binary"
+U = np.uint64
+
+
+def flagged(docs: DataFrame, labels: DataFrame, id_col="doc_id", label="quality", value=1) -> DataFrame:
+    """docs with the column _target: true for documents that the labels mark. Stored if the labels are too many to broadcast."""
+    marked = cut(labels.where((F.col(label) == value) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct())
+    few = marked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hit = docs.join(F.broadcast(marked) if few else marked, docs[id_col] == F.col("_id"), "left")
+    hit = hit.select(*(docs[c] for c in docs.columns if c != "_target"), F.col("_id").isNotNull().alias("_target"))
+    return hit if few else cut(hit)
+
+
+# blobs
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers in one compressed blob."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), len(a)))], dtype=np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(a.tobytes() for a in arrays)]))
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    head = np.frombuffer(data, np.int64, 2 * n, 8)
+    at, out = 8 + 16 * n, []
+    for kind, size in head.reshape(-1, 2).tolist():
+        kind = np.dtype(chr(kind))
+        out.append(np.frombuffer(data, kind, size, at))
+        at += size * kind.itemsize
+    return out
+
+
+def narrow(a: np.ndarray) -> np.ndarray:
+    """The same numbers (none below 0) in the smallest unsigned type."""
+    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+
+
+def mix(word: np.ndarray, before: np.ndarray) -> np.ndarray:
+    x = (word ^ (before * U(0x9E3779B97F4A7C15))) * U(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> U(29))) * U(0x94D049BB133111EB)
+
+
+# batches of documents
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about GATHER bytes of text and fewer than 2^16 rows."""
+    held, size, rows = [], 0, 0
+    for b in pieces(batches, column, GATHER):
+        own = pc.sum(pc.binary_length(b.column(column))).as_py() or 0
+        if held and (size + own > GATHER or rows + b.num_rows >= 1 << 16):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size, rows = [], 0, 0
+        held.append(b)
+        size, rows = size + own, rows + b.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+class Tokens:
+    """The words of a batch, numbered in order of appearance."""
+
+    def __init__(self, texts: list[bytes]):
+        ids: dict[bytes, int] = defaultdict(count(2).__next__)
+        found = []
+        for t in texts:
+            own = words(t)
+            found.append(np.fromiter(map(ids.__getitem__, own), np.int64, len(own)))
+        self.size = np.array([len(w) for w in found], dtype=np.int64)
+        self.word = np.concatenate(found) if found else np.zeros(0, np.int64)
+        self.doc = np.repeat(np.arange(len(texts)), self.size)
+        self.hash = np.array([START, END, *map(xxhash.xxh3_64_intdigest, ids)], dtype=np.uint64)
+        #: 48 bits of the hash, for the word before another.
+        self.near = self.hash >> U(16)
+        self.near[:2] = START, END
+
+    def before(self) -> np.ndarray:
+        first = np.cumsum(self.size) - self.size
+        out = np.concatenate(([START], self.word[:-1])) if len(self.word) else self.word
+        out[first[self.size > 0]] = START
+        return out
 
 
-def _key(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+@dataclass
+class Hot:
+    """Hot words (hash) and hot pairs (hash of the word, 48 bits of the word before), sorted by their mixed hash; counts once known."""
+
+    words: np.ndarray
+    pairs: np.ndarray
+    word_n: np.ndarray | None = None
+    pair_n: np.ndarray | None = None
 
+    def of_words(self, hashes: np.ndarray) -> np.ndarray:
+        """Place among the hot words, or -1."""
+        return _places(self.words, hashes)
 
-def flagged(docs: DataFrame, labels: DataFrame, id_col="doc_id", label="quality", value=1, text="text") -> DataFrame:
-    """(text, target): every document, with true for those that the labels mark."""
-    marked = labels.where((F.col(label) == value) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
-    hit = docs.join(small(marked), docs[id_col] == F.col("_id"), "left")
-    return hit.select(F.col(text).alias("text"), F.col("_id").isNotNull().alias("target"))
+    def of_pairs(self, word: np.ndarray, near: np.ndarray) -> np.ndarray:
+        return _places(mix(self.pairs[:, 0], self.pairs[:, 1]), mix(word, near))
 
 
-def _pairs(text: bytes, cache: Cache) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the words, and of the ones before them."""
-    found = words(text)
-    own = np.fromiter(map(cache.__getitem__, found), np.int64, len(found))
-    return np.concatenate(([START], own[:-1])) if len(own) else own, own
+def _places(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.full(len(asked), -1)
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return np.where(known[at] == asked, at, -1)
 
 
-def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return before * np.int64(-7046029254386353131) ^ word
+def hot_ones(docs: DataFrame, text: str) -> Hot:
+    """What a sample shows to be hot: fewer than 2 * HOT words and HOT pairs."""
+    n = docs.count()
+    some = docs.select(F.col(text).alias("_text")).sample(min(1.0, 1.2 * SAMPLE / max(n, 1)), 7)
 
+    @lean
+    def run(batches):
+        for b in gathered(batches, "_text"):
+            t = Tokens(raw(b, "_text"))
+            code, n = np.unique(t.word << 32 | t.before(), return_counts=True)
+            word, near = t.hash[code >> 32], t.near[code & 0xFFFFFFFF]
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(near.view(np.int64)), pa.array(n)], ["word", "near", "n"])
 
-def pair_counts(flagged_docs: DataFrame) -> DataFrame:
-    """(before, word, n, n_target) for all pairs of neighbours."""
+    found = cut(some.mapInArrow(run, "word long, near long, n long").groupBy("word", "near").agg(F.sum("n").alias("n")))
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    pairs = [(r.word, r.near) for r in found.where(F.col("n") * HOT > total).collect()]
+    single = found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * 2 * HOT > total)
+    named = np.array(sorted({r.word for r in single.collect()} | {w for w, _ in pairs}), dtype=np.int64).view(np.uint64)
+    two = np.array(pairs, dtype=np.int64).reshape(-1, 2).view(np.uint64)
+    return Hot(np.sort(named), two[np.argsort(mix(two[:, 0], two[:, 1]))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cache(_key)
-        for b in pieces(batches, "text", 16 << 20):
-            found = [_pairs(t, cache) for t in raw(b, "text")]
-            target = np.repeat(b.column("target").to_numpy(zero_copy_only=False).astype(bool), [len(w) for _, w in found])
-            before, word = (np.concatenate(x) for x in zip(*found, strict=True))
-            _, at, inv, n = np.unique(_mixed(before, word), return_index=True, return_inverse=True, return_counts=True)
-            n_target = np.bincount(inv[target], minlength=len(at)).astype(np.int64)
-            order = np.argsort(before[at])  # equal words stand together, which compresses
-            yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (before[at], word[at], n, n_target)], ["before", "word", "n", "n_target"])
 
-    made = flagged_docs.mapInArrow(run, "before long, word long, n long, n_target long")
-    return made.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+# step 1
 
 
 @dataclass
 class Models:
-    """Both models: counts of words, losses of known pairs, and (background, target) totals."""
+    """Totals of (background, target) models, the table of word counts, and the hot words and pairs with their counts."""
 
     words: DataFrame
-    size: int
     total: tuple[int, int]
     starts: tuple[int, int]
-    known: DataFrame | None = None
-
-    def losses(self, pairs: DataFrame) -> DataFrame:
-        """(key, start, background, target) for pairs with their counts; losses in units."""
-        w = self.words.select("word", F.col("n").alias("w_n"), F.col("n_target").alias("w_n_target"))
-        b = self.words.select(F.col("word").alias("before"), F.col("n").alias("b_n"), F.col("n_target").alias("b_n_target"))
-        both = pairs.join(small(w), "word", "left").join(small(b), "before", "left")
-        start = F.col("before") == START
-
-        def loss(n: str, k: int) -> Column:
-            p = (F.coalesce(f"w_{n}", F.lit(0)) + MASS / self.size) / (self.total[k] + MASS)
-            seen = F.when(start, F.lit(self.starts[k])).otherwise(F.coalesce(f"b_{n}", F.lit(0)))
-            return F.round(-F.log((F.col(n) + MASS * p) / (seen + MASS)) * UNIT).cast("long")
-
-        target = loss("n_target", 1) if self.total[1] else loss("n", 0)
-        return both.select(_hash(), start.cast("int").alias("start"), loss("n", 0).alias("background"), target.alias("target"))
-
-
-def _hash() -> Column:
-    return F.xxhash64("before", "word").alias("key")
-
-
-def fit(flagged_docs: DataFrame) -> Models:
-    pairs = cut(pair_counts(flagged_docs))
-    single = cut(pairs.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
-    both = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_target")]
-    *total, size = single.agg(*both, F.count("*").alias("size")).first()
-    models = Models(single, size + 1, tuple(total), tuple(pairs.where(F.col("before") == START).agg(*both).first()))
-    models.known = models.losses(pairs)
-    return models
-
-
-def _tokens(docs: DataFrame, text: str) -> DataFrame:
-    """(d, key, before, word, n): the distinct pairs of each text, d the hash of the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cache(_key)
-        for b in pieces(batches, "text", 2 << 20):
-            out = []
-            for d, t in zip(b.column("d").to_pylist(), raw(b, "text"), strict=True):
-                before, word = _pairs(t, cache)
-                _, at, n = np.unique(_mixed(before, word), return_index=True, return_counts=True)
-                out.append((np.full(len(at), d, np.int64), before[at], word[at], n))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["d", "before", "word", "n"])
-
-    made = docs.select(F.xxhash64(text).alias("d"), F.col(text).alias("text")).mapInArrow(run, "d long, before long, word long, n long")
-    return made.select("d", _hash(), "before", "word", "n")
-
-
-def _sums(joined: DataFrame) -> DataFrame:
-    """For each text: its rows (each has one start), tokens, summed losses and tokens of unknown pairs."""
-    n = F.col("n")
-    of = {"copies": n * F.col("start"), "tokens": n, "background": n * F.col("background"), "target": n * F.col("target"), "missing": F.when(F.col("target").isNull(), n)}
-    return joined.groupBy("d").agg(*(F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in of.items()))
-
-
-def _summed(docs: DataFrame, models: Models, text: str) -> DataFrame:
-    tokens = _tokens(docs, text)
-    sums = cut(_sums(tokens.select("d", "key", "n").join(models.known, "key", "left")))
-    if not sums.where("missing > 0").limit(1).count():
-        return sums
-    rest = tokens.join(models.known.select("key"), "key", "left_anti")
-    fresh = cut(models.losses(cut(rest.select("before", "word").distinct()).withColumns({"n": F.lit(0), "n_target": F.lit(0)})))
-    more = _sums(rest.select("d", "key", "n").join(fresh, "key")).withColumn("tokens", F.lit(0))
-    return cut(sums.union(more).groupBy("d").agg(*(F.sum(c).alias(c) for c in sums.columns if c != "d")))
-
-
-def score(docs: DataFrame, models: Models, text="text", keep=("doc_id",)) -> DataFrame:
-    """The columns of keep with n_tokens, loss_background, loss_target (nats a token) and score."""
-    new = ["n_tokens", "loss_background", "loss_target", "score"]
-    keep = [c for c in dict.fromkeys(keep) if c not in new]
-    found = _summed(docs, models, text).select(F.col("d").alias("_d"), *(F.col(c).alias(f"_{c}") for c in ("copies", "tokens", "background", "target")))
-    rows = docs.select(*(docs[c] for c in keep), F.xxhash64(docs[text]).alias("_own"))
-    joined = rows.join(small(found), rows["_own"] == found["_d"], "left")
-    mean = lambda c: F.col(c) / F.col("_tokens") / UNIT
-    n_tokens = F.coalesce((F.col("_tokens") / F.col("_copies")).cast("long"), F.lit(0)).alias("n_tokens")
-    return joined.select(
-        *keep, n_tokens, mean("_background").alias("loss_background"), mean("_target").alias("loss_target"),
-        F.coalesce(mean("_background") - mean("_target"), F.lit(0.0)).alias("score"),
+    size: int
+    hot: Hot
+
+    def numbers(self) -> tuple:
+        return self.total, self.starts, self.size, self.hot
+
+
+def totals(docs: DataFrame, text="text", target="_target", train: str | None = None) -> Models:
+    """Counts of all words and of the hot pairs. Documents count where the column train is true (default: all)."""
+    own = docs.select(F.col(text).alias("_text"), F.coalesce(F.col(target), F.lit(False)).alias("_target"), *([F.col(train).alias("_train")] if train else []))
+    own = own.where("_train").drop("_train") if train else own
+    hot = hot_ones(own, "_text")
+    shipped = docs.sparkSession.sparkContext.broadcast(hot)
+
+    @lean
+    def run(batches):
+        known = shipped.value
+        for b in gathered(batches, "_text"):
+            t = Tokens(raw(b, "_text"))
+            flag = b.column("_target").to_numpy(zero_copy_only=False).astype(bool)
+            on = flag[t.doc]
+            n, n_target = (np.bincount(x, minlength=len(t.hash)) for x in (t.word, t.word[on]))
+            n[START], n_target[START] = np.sum(t.size > 0), np.sum(flag & (t.size > 0))
+            out = [(t.hash.view(np.int64), np.full(len(n), -1), n, n_target)]
+            near = np.flatnonzero(known.of_words(t.hash)[t.word] >= 0)
+            place = known.of_pairs(t.hash[t.word[near]], t.near[t.before()[near]])
+            near, place = near[place >= 0], place[place >= 0]
+            if len(place):
+                two = known.pairs.view(np.int64)
+                n, n_target = (np.bincount(x, minlength=len(two)) for x in (place, place[on[near]]))
+                out.append((two[:, 0], two[:, 1], n, n_target))
+            word, near, n, n_target = (np.concatenate(x) for x in zip(*out, strict=True))
+            keep = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (word, near, n, n_target)], ["word", "near", "n", "n_target"])
+
+    made = own.mapInArrow(run, "word long, near long, n long, n_target long")
+    table = cut(made.groupBy("word", "near").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
+    whole = table.where("near = -1")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_target")]
+    *total, size = whole.where(F.col("word") != START).agg(*sums, F.count("*")).first()
+    starts = whole.where(F.col("word") == START).agg(*sums).first()
+    listed = docs.sparkSession.createDataFrame([(int(x),) for x in hot.words.view(np.int64)], "word long")
+    known = {(r.word, r.near): (r.n, r.n_target) for r in table.join(F.broadcast(listed), "word").collect()}
+    hot.word_n = np.array([known.get((w, -1), (0, 0)) for w in hot.words.view(np.int64).tolist()], dtype=np.int64).reshape(-1, 2)
+    hot.pair_n = np.array([known.get((w, b), (0, 0)) for w, b in hot.pairs.view(np.int64).tolist()], dtype=np.int64).reshape(-1, 2)
+    return Models(whole.select("word", "n", "n_target"), tuple(total), tuple(starts), size + 1, hot)
+
+
+def losses(pair_n: np.ndarray, word_n: np.ndarray, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Units of -log(c(b, w) + MASS * p(w)), and of log(c(w) + MASS)."""
+    p = (word_n + MASS / size) / (total + MASS)
+    return np.rint(-np.log(pair_n + MASS * p) * UNIT), np.rint(np.log(word_n + MASS) * UNIT)
+
+
+# steps 2 to 4
+
+
+def _dealt(docs: DataFrame, models: Models, keep: list[str], buckets: int) -> DataFrame:
+    """Blobs of pairs (kind 1) by bucket, and one blob of each batch's kept columns (kind 0)."""
+    numbers = models.numbers()
+    shipped = docs.sparkSession.sparkContext.broadcast(numbers)
+
+    @lean
+    def run(batches):
+        from pyspark import TaskContext
+
+        total, starts, size, hot = shipped.value
+        part = TaskContext.get().partitionId()
+        for k, b in enumerate(gathered(batches, "_text")):
+            t = Tokens(raw(b, "_text"))
+            flag = [b.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("_train", "_target")]
+            batch = part << 32 | k
+            last = np.flatnonzero(t.size > 0)
+            word = np.concatenate([t.word, t.word[np.cumsum(t.size)[last] - 1]])
+            near = np.concatenate([t.before(), np.full(len(last), END)])
+            code = word << 40 | near << 16 | np.concatenate([t.doc, last])
+            code.sort()
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            code, n = code[first], np.diff(np.append(first, len(code)))
+            doc = code & 0xFFFF
+            # distinct pairs: where they begin, how many documents hold each
+            begin = np.flatnonzero(np.diff(code >> 16, prepend=-1))
+            held = np.diff(np.append(begin, len(code)))
+            word, near = code[begin] >> 40, code[begin] >> 16 & 0xFFFFFF
+            own, before = t.hash[word], t.near[near]
+            place = hot.of_words(own)
+            spread = place >= 0
+            pair = np.where(spread, hot.of_pairs(own, before), -1) if len(hot.pairs) else np.full(len(own), -1)
+            sums = np.zeros((2, len(t.size)), dtype=np.int64)
+            here = np.flatnonzero(pair >= 0)
+            for m in range(2):
+                sums[m, last] += int(np.rint(np.log(starts[m] + MASS) * UNIT))
+                if len(here):
+                    a, c = losses(hot.pair_n[pair[here], m], hot.word_n[place[here], m], total[m], size)
+                    value = np.zeros(len(own))
+                    value[here] = a + c
+                    sums[m] += np.bincount(doc, np.repeat(value, held) * n, len(t.size)).astype(np.int64)
+            bucket = (np.where(spread, mix(own, before), own) % U(buckets)).astype(np.int32)
+            bucket[here] = buckets
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            counts = [np.add.reduceat(n * f[doc], begin) if len(begin) else n for f in (flag[0], flag[0] & flag[1])]
+            counts = [np.where(near == END, 0, x) for x in counts]
+            names, blobs = [], []
+            for i in range(buckets):
+                p = order[edges[i] : edges[i + 1]]
+                if not len(p):
+                    continue
+                rows = np.repeat(begin[p], held[p]) + _steps(held[p])
+                new = np.flatnonzero(np.diff(word[p], prepend=-1))
+                group = np.diff(np.append(new, len(p)))
+                low = before[p]
+                names.append(i)
+                blobs.append(pack(
+                    own[p][new], narrow(group), low.astype(np.uint32), (low >> U(32)).astype(np.uint16), narrow(held[p]),
+                    narrow(counts[0][p]), narrow(counts[1][p]), doc[rows].astype(np.uint16), narrow(n[rows]),
+                ))
+            made = [[1] * len(names), names, [batch] * len(names), blobs]
+            head = {c: b.column(f"k{j}") for j, c in enumerate(keep)} | {"_n": pa.array(t.size), "_b": pa.array(sums[0]), "_t": pa.array(sums[1])}
+            sink = pa.BufferOutputStream()
+            table = pa.RecordBatch.from_arrays(list(head.values()), [f"c{j}" for j in range(len(head))])
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_batch(table)
+            made = [x + [y] for x, y in zip(made, (0, batch % buckets, batch, sink.getvalue().to_pybytes()), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(made, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["kind", "bucket", "batch", "blob"])
+
+    return docs.mapInArrow(run, PACKED)
+
+
+def _steps(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the sizes, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """Rows of sorted batches with the same key."""
+    held: list[dict] = []
+    for b in batches:
+        for row in b.to_pylist():
+            if held and held[0][key] != row[key]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _answers(dealt: DataFrame, models: Models) -> DataFrame:
+    """For each blob of pairs the sums of losses by document; blobs of columns go through."""
+    shipped = dealt.sparkSession.sparkContext.broadcast(models.numbers())
+    schema = ["kind", "bucket", "batch", "blob"]
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+
+    @lean
+    def run(batches):
+        total, _, size, hot = shipped.value
+        for rows in _groups(batches, "bucket"):
+            out = [(r["kind"], r["bucket"], r["batch"], r["blob"]) for r in rows if not r["kind"]]
+            asked = [r for r in rows if r["kind"]]
+            bucket, ids = rows[0]["bucket"], [r["batch"] for r in asked]
+            found = [unpack(r["blob"]) for r in asked]
+            del rows, asked
+            if found:
+                word = np.concatenate([np.repeat(x[0], x[1]) for x in found])
+                before = np.concatenate([x[2].astype(np.uint64) | x[3].astype(np.uint64) << U(32) for x in found])
+                n = [np.concatenate([x[c] for x in found]).astype(np.float64) for c in (5, 6)]
+                place = hot.of_words(word)
+                _, at = np.unique(word, return_inverse=True)
+                word_n = [np.where(place >= 0, hot.word_n[place, m] if len(hot.words) else 0, np.bincount(at, n[m])[at]) for m in range(2)]
+                _, at = np.unique(mix(word, before), return_inverse=True)
+                pair_n = [np.bincount(at, n[m])[at] for m in range(2)]
+                del at, word, place, n
+                value = []
+                for m in range(2):
+                    a, c = losses(pair_n[m], word_n[m], total[m], size)
+                    value.append(np.where(before == END, -c, a + c))
+                del pair_n, word_n, before
+                start = 0
+                for batch, x in zip(ids, found, strict=True):
+                    own = slice(start, start + len(x[2]))
+                    start = own.stop
+                    docs, at = np.unique(x[7], return_inverse=True)
+                    sums = [np.bincount(at, np.repeat(v[own], x[4]) * x[8]).astype(np.int64) for v in value]
+                    out.append((2, bucket, batch, pack(docs, *sums)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), types, strict=True)], schema)
+
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, PACKED)
+
+
+def _joined(answers: DataFrame, schema: str, names: list[str]) -> DataFrame:
+    @lean
+    def run(batches):
+        for rows in _groups(batches, "batch"):
+            with pa.ipc.open_stream(rows[0]["blob"]) as f:
+                head = f.read_next_batch()
+            *kept, n, background, target = head.columns
+            n = n.to_numpy()
+            sums = [x.to_numpy().copy() for x in (background, target)]
+            for r in rows[1:]:
+                docs, *more = unpack(r["blob"])
+                for s, x in zip(sums, more, strict=True):
+                    s[docs] += x
+            none = n == 0
+            mean = [s / np.maximum(n, 1) / UNIT for s in sums]
+            out = [*kept, pa.array(n), *(pa.array(x, pa.float64(), mask=none) for x in mean), pa.array((sums[0] - sums[1]) / np.maximum(n, 1) / UNIT)]
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    return answers.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, models: Models, text="text", target="_target", train: str | None = None, keep=("doc_id",)) -> DataFrame:
+    """The columns of keep with n_tokens, loss_background, loss_target (nats a token) and score.
+
+    docs: the documents that `totals` counted (with the same flags), and any others where the column train is false.
+    """
+    keep = [c for c in dict.fromkeys(keep) if c not in RESULT]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_tokens long, loss_background double, loss_target double, score double"])
+    own = docs.select(
+        *(F.col(c).alias(f"k{j}") for j, c in enumerate(keep)), F.col(text).alias("_text"),
+        (F.coalesce(F.col(train), F.lit(False)) if train else F.lit(True)).alias("_train"), F.coalesce(F.col(target), F.lit(False)).alias("_target"),
     )
+    if not models.total[1]:  # no target documents: both models are the background's
+        own = own.withColumn("_target", F.lit(True))
+        hot = models.hot
+        hot = Hot(hot.words, hot.pairs, hot.word_n[:, [0, 0]], hot.pair_n[:, [0, 0]])
+        models = Models(models.words, models.total[:1] * 2, models.starts[:1] * 2, models.size, hot)
+    buckets = max(1, -(-models.total[0] // BUCKET))
+    return _joined(_answers(_dealt(own, models, keep, buckets), models), schema, [*keep, *RESULT])

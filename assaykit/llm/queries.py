@@ -24,8 +24,8 @@ def vocabulary() -> str:
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    models = lm_scoring.fit(lm_scoring.flagged(docs, table(spark, sf_dir, "labels")))
-    return lm_scoring.score(docs, models)
+    marked = lm_scoring.flagged(docs, table(spark, sf_dir, "labels"))
+    return lm_scoring.score(marked, lm_scoring.totals(marked))
 
 
 def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,29 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "s
 _shipped: set[str] = set()
 
 
+def lean(run):
+    """A function over batches that hands its worker's free memory back to the system when a task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def ship(spark: SparkSession) -> None:
     """Hand this package to the Python workers, once for each application, so they need no installed copy."""
     import pathlib
@@ -47,11 +71,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which driver and executors share; a temporary one only where it is unset."""
+    """The folder that spark.checkpoint.dir names, which driver and executors share; a temporary one only where it is unset and all run in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         import tempfile
 
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+
         named = f"file://{tempfile.mkdtemp(prefix='assaykit-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -25,47 +25,54 @@ def test_lm_prefers_the_target(spark):
     text = lambda v: " ".join(r.choice(v) for _ in range(120))
     more = [(100 + i, text(one if i % 2 else two)) for i in range(60)]
     docs = documents(spark, more)
-    marked = labels(spark, [(100 + i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (101, 1, 0)])
-    models = lm_scoring.fit(lm_scoring.flagged(docs, marked))
-    got = {x.doc_id: x for x in lm_scoring.score(docs, models).collect()}
-    assert lm_scoring.score(docs, models).count() == docs.count()
+    marked = lm_scoring.flagged(docs, labels(spark, [(100 + i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (101, 1, 0)]))
+    found = lm_scoring.score(marked, lm_scoring.totals(marked)).collect()
+    got = {x.doc_id: x for x in found}
+    assert len(found) == docs.count()
     assert all((got[100 + i].score > 0) == bool(i % 2) for i in range(60))
     assert got[0].score == 0 and got[0].loss_target is None and got[1].n_tokens == 0
-    flat = lm_scoring.score(docs, lm_scoring.fit(lm_scoring.flagged(docs, labels(spark))))
-    assert flat.where("score <> 0").count() == 0
-    assert lm_scoring.score(empty(spark), lm_scoring.fit(lm_scoring.flagged(empty(spark), marked))).count() == 0
-
-
-def test_lm_equals_brute_force(spark):
-    docs = spark.createDataFrame([(1, "a b a b c"), (2, "b a"), (3, "c c a")], "doc_id long, text string")
-    m = lm_scoring.fit(lm_scoring.flagged(docs, labels(spark, [(1, 1, 0)])))
-    single, pair, start = defaultdict(int), defaultdict(int), 0
-    for t in ("a b a b c", "b a", "c c a"):
-        w = t.split()
-        start += 1
-        for x, y in zip([None, *w], w, strict=False):
-            single[y] += 1
-            pair[x, y] += 1
-    total, size, mass = sum(single.values()), len(single) + 1, lm_scoring.MASS
-    p1 = lambda y: (single[y] + mass / size) / (total + mass)
-    loss = lambda w: np.mean([-np.log((pair[x, y] + mass * p1(y)) / ((single[x] if x else start) + mass)) for x, y in zip([None, *w], w, strict=False)])
-    for x in lm_scoring.score(docs, m, keep=("doc_id", "text")).collect():
-        assert x.loss_background == pytest.approx(loss(x.text.split()))
-
-
-def test_lm_keeps_every_word_and_pair(spark):
-    wide = [(i, " ".join(f"w{i}x{k}" for k in range(100))) for i in range(200)]  # 20,000 words, each seen once
-    docs = spark.createDataFrame([*wide, (200, wide[0][1]), (201, "w0x1 new w0x0")], "doc_id long, text string")
-    seen = docs.where("doc_id < 201")
-    m = lm_scoring.fit(lm_scoring.flagged(seen, labels(spark, [(5, 1, 0)])))
-    assert m.words.count() == 20_000 and m.known.count() == 20_000
-    total, size, mass = 20_100, 20_001, lm_scoring.MASS
-    p1 = lambda n: (n + mass / size) / (total + mass)
-    loss = lambda pair, n, before: -np.log((pair + mass * p1(n)) / (before + mass))
-    got = {x.doc_id: x for x in lm_scoring.score(docs, m).collect()}
-    assert got[5].loss_background == pytest.approx((loss(1, 1, 201) + 99 * loss(1, 1, 1)) / 100)
-    assert got[0].n_tokens == got[200].n_tokens == 100 and got[0].score == got[200].score
-    assert got[201].n_tokens == 3 and got[201].loss_background == pytest.approx((loss(0, 2, 201) + loss(0, 0, 2) + loss(0, 2, 0)) / 3)
+    none = lm_scoring.flagged(docs, labels(spark))
+    assert lm_scoring.score(none, lm_scoring.totals(none), keep=("doc_id", "score", "lang")).where("score <> 0").count() == 0
+    nothing = lm_scoring.flagged(empty(spark), labels(spark, [(1, 1, 0)]))
+    assert lm_scoring.score(nothing, lm_scoring.totals(nothing)).count() == 0
+
+
+def lm_brute(rows):
+    """Losses of (train, target, words) rows under both models, by dictionaries."""
+    out = []
+    size = len({y for train, _, w in rows if train for y in w}) + 1
+    for flagged in (False, True):
+        single, pair, start = defaultdict(int), defaultdict(int), 0
+        for train, target, w in rows:
+            if train and (target or not flagged) and w:
+                start += 1
+                for x, y in zip([None, *w], w, strict=False):
+                    single[y] += 1
+                    pair[x, y] += 1
+        total, mass = sum(single.values()), lm_scoring.MASS
+        p = lambda y: (single[y] + mass / size) / (total + mass)  # noqa: B023, E731
+        out.append([np.mean([-np.log((pair[x, y] + mass * p(y)) / ((single[x] if x else start) + mass)) for x, y in zip([None, *w], w, strict=False)]) if w else None for _, _, w in rows])
+    return list(zip(*out, strict=True))
+
+
+@pytest.mark.parametrize(("hot", "bucket", "gather"), [(lm_scoring.HOT, lm_scoring.BUCKET, lm_scoring.GATHER), (1, 500, 2000), (40, 700, 1 << 24)])
+def test_lm_equals_brute_force(spark, monkeypatch, hot, bucket, gather):
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
+    monkeypatch.setattr(lm_scoring, "BUCKET", bucket)
+    monkeypatch.setattr(lm_scoring, "GATHER", gather)
+    r = random.Random(hot)
+    rows = [(r.random() < 0.9, r.random() < 0.3, [r.choice(["the", "of", f"w{int(r.paretovariate(0.3)) % 3000}"]) for _ in range(r.choice([0, 1, 3, 40, 200]))]) for _ in range(120)]
+    rows += [rows[-1], (True, False, ["the"] * 300), (False, False, ["new", "words", "only", "new"])]
+    docs = spark.createDataFrame([(i, " ".join(w), a, b) for i, (a, b, w) in enumerate(rows)], "doc_id long, text string, _train boolean, _target boolean").repartition(3, "doc_id")
+    models = lm_scoring.totals(docs, train="_train")
+    assert models.words.count() == models.size - 1 + 1 == len({y for a, _, w in rows if a for y in w}) + 1  # and the row of starts
+    got = lm_scoring.score(docs, models, train="_train", keep=("doc_id", "n_tokens")).collect()
+    assert len(got) == len(rows)
+    want = lm_brute(rows)
+    for x in got:
+        assert x.n_tokens == len(rows[x.doc_id][2])
+        assert (x.loss_background, x.loss_target) == (pytest.approx(want[x.doc_id][0], abs=1e-6), pytest.approx(want[x.doc_id][1], abs=1e-6))
+        assert x.score == pytest.approx((x.loss_background or 0) - (x.loss_target or 0))
 
 
 # op 2
