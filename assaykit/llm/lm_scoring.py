@@ -35,31 +35,28 @@ way to it.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import PACKED, columns_in, columns_out, gathered, groups, narrow, pack, packed_rows, steps, unpack
 from .tables import BROADCAST_ROWS, cut, lean
-from .text import pieces, raw, words
+from .text import raw, words
 
 MASS = 32.0
 UNIT = 1 << 24
-GATHER = 16 << 20
-BUCKET = 1 << 21
+GATHER = 8 << 20
+BUCKET = 1 << 20
 SAMPLE = 2000
 HOT = 2048
 #: Numbers in a batch, and hashes, of what stands before the first word and after the last one.
 START, END = 0, 1
 RESULT = ("n_tokens", "loss_background", "loss_target", "score")
-PACKED = "kind int, bucket int, batch long, blob binary"
 U = np.uint64
 
 
@@ -72,54 +69,11 @@ def flagged(docs: DataFrame, labels: DataFrame, id_col="doc_id", label="quality"
     return hit if few else cut(hit)
 
 
-# blobs
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of numbers in one compressed blob."""
-    head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), len(a)))], dtype=np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(a.tobytes() for a in arrays)]))
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    head = np.frombuffer(data, np.int64, 2 * n, 8)
-    at, out = 8 + 16 * n, []
-    for kind, size in head.reshape(-1, 2).tolist():
-        kind = np.dtype(chr(kind))
-        out.append(np.frombuffer(data, kind, size, at))
-        at += size * kind.itemsize
-    return out
-
-
-def narrow(a: np.ndarray) -> np.ndarray:
-    """The same numbers (none below 0) in the smallest unsigned type."""
-    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
-
-
 def mix(word: np.ndarray, before: np.ndarray) -> np.ndarray:
     x = (word ^ (before * U(0x9E3779B97F4A7C15))) * U(0xBF58476D1CE4E5B9)
     return (x ^ (x >> U(29))) * U(0x94D049BB133111EB)
 
 
-# batches of documents
-
-
-def gathered(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about GATHER bytes of text and fewer than 2^16 rows."""
-    held, size, rows = [], 0, 0
-    for b in pieces(batches, column, GATHER):
-        own = pc.sum(pc.binary_length(b.column(column))).as_py() or 0
-        if held and (size + own > GATHER or rows + b.num_rows >= 1 << 16):
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size, rows = [], 0, 0
-        held.append(b)
-        size, rows = size + own, rows + b.num_rows
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 class Tokens:
     """The words of a batch, numbered in order of appearance."""
 
@@ -175,7 +129,7 @@ def hot_ones(docs: DataFrame, text: str) -> Hot:
 
     @lean
     def run(batches):
-        for b in gathered(batches, "_text"):
+        for b in gathered(batches, "_text", GATHER):
             t = Tokens(raw(b, "_text"))
             code, n = np.unique(t.word << 32 | t.before(), return_counts=True)
             word, near = t.hash[code >> 32], t.near[code & 0xFFFFFFFF]
@@ -217,7 +171,7 @@ def totals(docs: DataFrame, text="text", target="_target", train: str | None = N
     @lean
     def run(batches):
         known = shipped.value
-        for b in gathered(batches, "_text"):
+        for b in gathered(batches, "_text", GATHER):
             t = Tokens(raw(b, "_text"))
             flag = b.column("_target").to_numpy(zero_copy_only=False).astype(bool)
             on = flag[t.doc]
@@ -268,7 +222,7 @@ def _dealt(docs: DataFrame, models: Models, keep: list[str], buckets: int) -> Da
 
         total, starts, size, hot = shipped.value
         part = TaskContext.get().partitionId()
-        for k, b in enumerate(gathered(batches, "_text")):
+        for k, b in enumerate(gathered(batches, "_text", GATHER)):
             t = Tokens(raw(b, "_text"))
             flag = [b.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("_train", "_target")]
             batch = part << 32 | k
@@ -303,61 +257,33 @@ def _dealt(docs: DataFrame, models: Models, keep: list[str], buckets: int) -> Da
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             counts = [np.add.reduceat(n * f[doc], begin) if len(begin) else n for f in (flag[0], flag[0] & flag[1])]
             counts = [np.where(near == END, 0, x) for x in counts]
-            names, blobs = [], []
+            rows = []
             for i in range(buckets):
                 p = order[edges[i] : edges[i + 1]]
                 if not len(p):
                     continue
-                rows = np.repeat(begin[p], held[p]) + _steps(held[p])
+                at = np.repeat(begin[p], held[p]) + steps(held[p])
                 new = np.flatnonzero(np.diff(word[p], prepend=-1))
                 group = np.diff(np.append(new, len(p)))
                 low = before[p]
-                names.append(i)
-                blobs.append(pack(
+                rows.append((1, i, batch, pack(
                     own[p][new], narrow(group), low.astype(np.uint32), (low >> U(32)).astype(np.uint16), narrow(held[p]),
-                    narrow(counts[0][p]), narrow(counts[1][p]), doc[rows].astype(np.uint16), narrow(n[rows]),
-                ))
-            made = [[1] * len(names), names, [batch] * len(names), blobs]
-            head = {c: b.column(f"k{j}") for j, c in enumerate(keep)} | {"_n": pa.array(t.size), "_b": pa.array(sums[0]), "_t": pa.array(sums[1])}
-            sink = pa.BufferOutputStream()
-            table = pa.RecordBatch.from_arrays(list(head.values()), [f"c{j}" for j in range(len(head))])
-            with pa.ipc.new_stream(sink, table.schema) as out:
-                out.write_batch(table)
-            made = [x + [y] for x, y in zip(made, (0, batch % buckets, batch, sink.getvalue().to_pybytes()), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(made, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["kind", "bucket", "batch", "blob"])
+                    narrow(counts[0][p]), narrow(counts[1][p]), doc[at].astype(np.uint16), narrow(n[at]),
+                )))
+            head = {f"c{j}": b.column(f"k{j}") for j in range(len(keep))} | {"_n": pa.array(t.size), "_b": pa.array(sums[0]), "_t": pa.array(sums[1])}
+            yield packed_rows([*rows, (0, batch % buckets, batch, columns_in(head))])
 
     return docs.mapInArrow(run, PACKED)
 
 
-def _steps(sizes: np.ndarray) -> np.ndarray:
-    """0, 1, ... for each of the sizes, one after another."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-
-
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
-    """Rows of sorted batches with the same key."""
-    held: list[dict] = []
-    for b in batches:
-        for row in b.to_pylist():
-            if held and held[0][key] != row[key]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
-
-
 def _answers(dealt: DataFrame, models: Models) -> DataFrame:
     """For each blob of pairs the sums of losses by document; blobs of columns go through."""
     shipped = dealt.sparkSession.sparkContext.broadcast(models.numbers())
-    schema = ["kind", "bucket", "batch", "blob"]
-    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
 
     @lean
     def run(batches):
         total, _, size, hot = shipped.value
-        for rows in _groups(batches, "bucket"):
+        for rows in groups(batches, "bucket"):
             out = [(r["kind"], r["bucket"], r["batch"], r["blob"]) for r in rows if not r["kind"]]
             asked = [r for r in rows if r["kind"]]
             bucket, ids = rows[0]["bucket"], [r["batch"] for r in asked]
@@ -385,7 +311,7 @@ def _answers(dealt: DataFrame, models: Models) -> DataFrame:
                     docs, at = np.unique(x[7], return_inverse=True)
                     sums = [np.bincount(at, np.repeat(v[own], x[4]) * x[8]).astype(np.int64) for v in value]
                     out.append((2, bucket, batch, pack(docs, *sums)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), types, strict=True)], schema)
+            yield packed_rows(out)
 
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, PACKED)
 
@@ -393,10 +319,8 @@ def _answers(dealt: DataFrame, models: Models) -> DataFrame:
 def _joined(answers: DataFrame, schema: str, names: list[str]) -> DataFrame:
     @lean
     def run(batches):
-        for rows in _groups(batches, "batch"):
-            with pa.ipc.open_stream(rows[0]["blob"]) as f:
-                head = f.read_next_batch()
-            *kept, n, background, target = head.columns
+        for rows in groups(batches, "batch"):
+            *kept, n, background, target = columns_out(rows[0]["blob"]).columns
             n = n.to_numpy()
             sums = [x.to_numpy().copy() for x in (background, target)]
             for r in rows[1:]:
