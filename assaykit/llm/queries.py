@@ -36,8 +36,7 @@ def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return substring_dedup.summary(docs, substring_dedup.repeats(docs))
+    return substring_dedup.summary(table(spark, sf_dir, "documents"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

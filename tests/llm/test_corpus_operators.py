@@ -119,30 +119,66 @@ def test_passages_are_found_and_removed(spark):
     passage = " ".join(prose(r, 60).split())
     more = [(100 + i, prose(r, 30) + f"\n{i} é{passage} \n" + prose(r, 30)) for i in range(4)]
     docs = documents(spark, more)
-    found = substring_dedup.repeats(docs)
-    got = {x.doc_id: x for x in substring_dedup.summary(docs, found).collect()}
-    assert substring_dedup.summary(docs, found).count() == docs.count()
+    found = substring_dedup.summary(docs).collect()
+    got = {x.doc_id: x for x in found}
+    assert len(found) == docs.count()
     assert [got[100 + i].has_copy for i in range(4)] == [False, True, True, True] and got[100].has_repeat
     assert all(got[100 + i].first_ids == [100] for i in (1, 2, 3)) and not got[8].has_repeat and got[0].n_bytes == 0
     clean = {x.doc_id: x.text for x in substring_dedup.remove_copies(docs).collect()}
-    assert clean[100] == more[0][1] and len(clean[101]) < len(more[1][1]) - 100 and clean[101].startswith(more[1][1][:100])
-    assert substring_dedup.summary(empty(spark), substring_dedup.repeats(empty(spark))).count() == 0
+    assert clean[100] == more[0][1] and len(clean[101]) < len(more[1][1]) - 100 and clean[101].startswith(more[1][1][:100]) and clean[0] is None
+    assert substring_dedup.summary(empty(spark)).count() == 0 and substring_dedup.remove_copies(empty(spark)).count() == 0
 
 
-def test_passages_are_found_to_their_ends(spark):
+def test_passages_are_found_at_any_place(spark):
     r = random.Random(9)
     noise = lambda: "".join(r.choice("bcdfghjklmnp ") for _ in range(300))
-    short = lambda: " ".join("".join(r.choice("aeiou") for _ in range(r.randint(2, 5))) for _ in range(51))
-    passages = [short() for _ in range(40)] + ["ha " * 60, "z" * 200]
+    passage = lambda: " ".join("".join(r.choice("aeiou") for _ in range(r.randint(3, 6))) for _ in range(51))
+    passages = [passage() for _ in range(40)] + ["ha " * 80, "z" * 240]
     rows = [(i, f"{noise()}<{p}>{noise()}") for i, p in enumerate(passages)] + [(100 + i, f"{noise()}[{p}]{noise()}") for i, p in enumerate(passages)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = defaultdict(list)
-    for x in substring_dedup.repeats(docs).where("copy").collect():
-        got[x.id].append((x.start, x.end))
-    assert [got[100 + i] for i in range(40)] == [[(301, 301 + len(p))] for p in passages[:40]]
-    for i in (40, 41):  # repetitive ones may lose a chunk of SHORT bytes, as the original is the first of many
-        (start, end), = got[100 + i]
-        assert 301 <= start < 301 + 2 * substring_dedup.SHORT and end == 301 + len(passages[i])
+    rows += [(200, noise()), (201, "one short line\n" + noise()), (202, "one short line\n" + noise())]
+    got = {x.doc_id: x for x in substring_dedup.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, p in enumerate(passages):
+        copy = got[100 + i]
+        assert copy.n_copies == 1 and copy.first_ids == [i] and got[i].has_repeat and (got[i].has_copy is False or i >= 40)
+        start, end = map(int, copy.copies.split(":"))
+        assert 301 <= start and end <= 301 + len(p) and end - start >= substring_dedup.LEAST
+    assert not any(got[i].has_repeat for i in (200, 201, 202))
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_repeats_equal_brute_force(spark, monkeypatch, buckets):
+    monkeypatch.setattr(substring_dedup, "_buckets", lambda *_: buckets)
+    monkeypatch.setattr(substring_dedup, "GATHER", 3000)
+    r = random.Random(11)
+    shared = [" ".join(prose(r, 40).split()) for _ in range(8)]
+    rows = [(r.randrange(60), " ".join(r.choice([prose(r, 15), prose(r, 15), r.choice(shared)]) for _ in range(r.randrange(5)))) for _ in range(80)]
+    rows += [(None, rows[0][1]), (5, None), rows[3], rows[3]]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n_bytes int").coalesce(1)
+    split = lambda t: list(zip([0, *substring_dedup.ends(t)], substring_dedup.ends(t).tolist(), strict=False)) if t else []
+    places = defaultdict(list)
+    for k in sorted((k for k, (i, _) in enumerate(rows) if i is not None), key=lambda k: (rows[k][0], k)):
+        t = (rows[k][1] or "").encode()
+        for x, y in split(t):
+            places[t[x:y]].append((k, x))
+    want = []
+    for k, (i, t) in enumerate(rows):
+        t, spans = (t or "").encode(), {"repeat": [], "copy": []}
+        firsts = set()
+        for kind, found in spans.items():
+            run = []
+            for x, y in [*split(t), (len(t), len(t))]:
+                held = places.get(t[x:y], [])
+                on = i is not None and y > x and (len(held) > 1 if kind == "repeat" else len(held) > 1 and held[0] != (k, x))
+                if on:
+                    run.append((x, y, rows[held[0][0]][0]))
+                elif run:
+                    if run[-1][1] - run[0][0] >= substring_dedup.LEAST:
+                        found.append(f"{run[0][0]}:{run[-1][1]}")
+                        firsts |= {f for *_, f in run} if kind == "copy" else set()
+                    run = []
+        want.append((i, len(t), len(spans["repeat"]), ",".join(spans["copy"]), sorted(firsts)))
+    got = [(x.doc_id, x.n_bytes, x.n_repeats, x.copies, x.first_ids) for x in substring_dedup.summary(docs).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
 # op 5
