@@ -6,11 +6,13 @@ under a threshold, so that a set follows FAN tokens on average and two sets of s
 that share a path of DEPTH tokens meet in its bucket. A bucket over BUCKET members is split by further tokens; one that
 stays large after SPLITS splits, because its members are alike, is compared block by block. As many runs are made as the
 target recall of a pair at the threshold needs (see runs_for). Inside buckets sketches are compared, and only a spanning
-forest of the likely pairs goes on. The components of these links are then compared set by set, exactly and wholly, in
-blocks: that gives each text's number of links, and the classes are the components of exact links.
+forest of the likely pairs goes on. The components of these links are then compared set by set, exactly and wholly: that
+gives each text's number of links, and the classes are the components of exact links. A component of more than BLOCK
+sets or BYTES bytes is first split by size: sets whose sizes differ by more than the threshold allows never meet, and the
+others meet in pairs of blocks of at most BLOCK sets and about BYTES bytes.
 
 So no pair lists are ever made: each block gives its members one number and one link. A pair is missed only if no chain
-of likely pairs leads from one to the other, so recall is above the target.
+of likely pairs leads from one to the other.
 
 Edge cases: a text of fewer than `width` words is one shingle; a null or empty text has no shingles, no links and its
 own class; classes are named by their smallest id (nulls last); repeated rows give equal rows and count as copies.
@@ -27,9 +29,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
-from .tables import cut, small
+from .tables import cut, lean, small
 from .text import Cache, hashes, pieces, raw, with_columns, word_hashes, words
 
 WIDTH = 5
@@ -40,10 +43,12 @@ DEPTH = 3
 RECALL = 0.998
 BUCKET = 1000
 SPLITS = 3
-BLOCK = 512
+BLOCK = 256
+BYTES = 4 << 20
 #: Sketches differ from the sets' similarity by chance (standard deviation 0.035): pairs are likely from threshold - SLACK on.
 SLACK = 0.2
 U = np.uint64
+DIGEST = "_set_digest"
 _rng = np.random.default_rng(20)
 MULTIPLY = _rng.integers(1, 1 << 32, SKETCH, dtype=np.uint32) | np.uint32(1)
 FLIP = _rng.integers(1, 1 << 32, SKETCH, dtype=np.uint32)
@@ -109,19 +114,21 @@ def runs_for(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
 
 
 def profiles(docs: DataFrame, width: int = WIDTH, id_col="doc_id", text="text") -> DataFrame:
-    """(id, v, sketch) for each row: v is the digest of the set, null without words."""
+    """(id, v, n, sketch) for each row: v is the digest of the set, n its size; null without words."""
 
+    @lean
     def run(batches):
         cache = word_hashes()
         for b in pieces(batches, text):
-            v, s = [], []
+            v, n, s = [], [], []
             for t in raw(b, text):
                 own = shingles(words(t), cache, width)
                 v.append(_digest(own) if len(own) else None)
+                n.append(len(own) or None)
                 s.append(sketch(own).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.binary())], ["id", "v", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.binary())], ["id", "v", "n", "sketch"])
 
-    return docs.select(id_col, text).mapInArrow(run, "id long, v long, sketch binary")
+    return docs.select(id_col, text).mapInArrow(run, "id long, v long, n long, sketch binary")
 
 
 def _digest(own: np.ndarray) -> int:
@@ -131,6 +138,7 @@ def _digest(own: np.ndarray) -> int:
 def _paths(nodes: DataFrame, depth: int, start: int | None) -> DataFrame:
     """(node, v): paths from `start` runs, or further ones from the column node."""
 
+    @lean
     def run(batches):
         for b in batches:
             own = tokens(np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH))
@@ -197,6 +205,7 @@ def candidate_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float
     dealt = dealt.select("node", "lo", "hi", "v", "sketch").repartition("node", "lo", "hi").sortWithinPartitions("node", "lo", "hi", "v")
 
     # Members come in order of v, so links lead to the smallest: the buckets of a large group agree on few roots.
+    @lean
     def run(batches):
         a, b = [], []
         for rows in groups(batches, 3):
@@ -238,36 +247,67 @@ def alike(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return out
 
 
+def cells(chosen: DataFrame, threshold: float) -> DataFrame:
+    """chosen with its cell (k, part), parts (1 for whole components) and the parts of the next lower and higher sizes."""
+    size = F.sum("n") * 8
+    whole = cut(chosen.groupBy("comp").agg(((F.count("*") <= BLOCK) & (size <= BYTES)).alias("whole")))
+    step = F.floor(F.log("n") / -math.log(threshold) + 1e-9).cast("int")
+    rows = cut(chosen.join(whole, "comp").withColumn("k", F.when(F.col("whole"), F.lit(0)).otherwise(step)))
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(size / BYTES)).cast("int")
+    by = cut(rows.where(~F.col("whole")).groupBy("comp", "k").agg(parts.alias("parts")))
+    for name, shift in (("parts", 0), ("lower", 1), ("higher", -1)):
+        side = by.select(F.col("comp").alias("_c"), (F.col("k") + shift).alias("_k"), F.col("parts").alias(name))
+        rows = rows.join(small(side), (F.col("comp") == F.col("_c")) & (F.col("k") == F.col("_k")), "left").drop("_c", "_k")
+    rows = rows.withColumns({"parts": F.when(F.col("whole"), F.lit(1)).otherwise(F.col("parts"))})
+    return rows.withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+
+
+def _meetings(rows: DataFrame) -> DataFrame:
+    """Each row once for each pair of cells that its own cell is part of: (ka, pa, kb, pb), and whether it is in the second one."""
+    own, upto = F.struct(F.col("k"), F.col("part").alias("p")), lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    none = F.expr("cast(array() as array<struct<a:struct<k:int,p:int>,b:struct<k:int,p:int>,second:boolean>>)")
+    pair = lambda a, b, second: F.struct(a.alias("a"), b.alias("b"), second.alias("second"))
+    cell = lambda k, p: F.struct(k.alias("k"), p.alias("p"))
+    same = F.transform(upto("parts"), lambda o: pair(cell(F.col("k"), F.least(o, F.col("part"))), cell(F.col("k"), F.greatest(o, F.col("part"))), o < F.col("part")))
+    higher = F.when(F.col("higher").isNull(), none).otherwise(F.transform(upto("higher"), lambda o: pair(own, cell(F.col("k") + 1, o), F.lit(False))))
+    lower = F.when(F.col("lower").isNull(), none).otherwise(F.transform(upto("lower"), lambda o: pair(cell(F.col("k") - 1, o), own, F.lit(True))))
+    return rows.withColumn("_m", F.explode(F.concat(same, higher, lower))).select("*", "_m.*").drop("_m")
+
+
 def exact_links(docs: DataFrame, chosen: DataFrame, width: int, threshold: float, id_col="doc_id", text="text") -> DataFrame:
-    """(v, links, root, parts) from each block: weighted number of links, and a node that the links lead to.
+    """(v, links, root, split) from each block: weighted number of links, and a node that the links lead to.
 
-    chosen: (v, id, copies, comp, size), one document for each node.
+    chosen: (v, id, copies, n, comp), one document for each node.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text")).join(small(chosen), F.col("_id").eqNullSafe(F.col("id")))
+    dealt_to = cut(cells(chosen, threshold))
+    picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text")).join(small(dealt_to), F.col("_id").eqNullSafe(F.col("id")))
+    keep = ["v", "copies", "comp", "k", "part", "parts", "lower", "higher", "whole"]
 
+    @lean
     def sets(batches):
         cache = word_hashes()
-        for b in pieces(batches, "_text"):
+        for b in pieces(batches, "_text", 2 << 20):
             own = [shingles(words(t), cache, width) for t in raw(b, "_text")]
             v = b.column("v").to_pylist()
             held = pa.array([len(s) > 0 and _digest(s) == x for s, x in zip(own, v, strict=True)])
-            out = with_columns(b, ["v", "copies", "comp", "size"], {"own": pa.array([s.tobytes() for s in own], pa.binary())})
-            yield out.filter(held)
+            yield with_columns(b, keep, {"own": pa.array([s.tobytes() for s in own], pa.binary())}).filter(held)
 
-    whole = picked.mapInArrow(sets, "v long, copies long, comp long, size long, own binary")
-    dealt = _blocked(whole, "comp", "size", BLOCK).select("comp", "lo", "hi", "v", "part", "parts", "copies", "own")
-    dealt = dealt.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "v")
+    whole = picked.mapInArrow(sets, "v long, copies long, comp long, k int, part int, parts int, lower int, higher int, whole boolean, own binary")
+    key = [F.col(c) for c in ("comp", "a", "b")]
+    dealt = _meetings(whole).select(*key, "v", "second", F.col("whole"), "copies", "own").repartition(*key).sortWithinPartitions(*key, "v")
+    dealt = dealt.select("comp", F.col("a.k").alias("ka"), F.col("a.p").alias("pa"), F.col("b.k").alias("kb"), F.col("b.p").alias("pb"), "v", "second", "whole", "copies", "own")
 
+    @lean
     def compare(batches):
-        for found in groups(batches, 3):
-            rows = [r for i, r in enumerate(found) if not i or r[3] != found[i - 1][3]]
+        for found in groups(batches, 5):
+            rows = [r for i, r in enumerate(found) if not i or r[5] != found[i - 1][5]]
             if len(rows) < 2:
                 continue
-            pair = alike([np.frombuffer(r[7], np.uint64) for r in rows], threshold)
-            if rows[0][1] != rows[0][2]:
-                part = np.array([r[4] for r in rows])
-                pair &= part[:, None] != part[None, :]
-            links = pair @ np.array([r[6] for r in rows], dtype=np.float64)
+            pair = alike([np.frombuffer(r[9], np.uint64) for r in rows], threshold)
+            if rows[0][1:3] != rows[0][3:5]:
+                second = np.array([r[6] for r in rows])
+                pair &= second[:, None] != second[None, :]
+            links = pair @ np.array([r[8] for r in rows], dtype=np.float64)
             label = np.arange(len(rows))
             for i in range(len(rows)):
                 hit = np.flatnonzero(pair[i])
@@ -275,23 +315,22 @@ def exact_links(docs: DataFrame, chosen: DataFrame, width: int, threshold: float
                     merged = np.isin(label, np.append(label[hit], label[i]))
                     label[merged] = label[merged].min()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[3] for r in rows], pa.int64()), pa.array(links.astype(np.int64)), pa.array([rows[k][3] for k in label.tolist()], pa.int64()), pa.array([r[5] for r in rows], pa.int32())],
-                ["v", "links", "root", "parts"],
+                [pa.array([r[5] for r in rows], pa.int64()), pa.array(links.astype(np.int64)), pa.array([rows[k][5] for k in label.tolist()], pa.int64()), pa.array([not r[7] for r in rows], pa.bool_())],
+                ["v", "links", "root", "split"],
             )
 
-    return dealt.mapInArrow(compare, "v long, links long, root long, parts int")
+    return dealt.mapInArrow(compare, "v long, links long, root long, split boolean")
 
 
 def classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, id_col="doc_id", text="text") -> DataFrame:
     """(id, class_id, n_links) for each row: the smallest id of its class, and the number of other rows that are similar."""
     rows = cut(profiles(docs, width, id_col, text))
-    reps = cut(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")))
+    reps = cut(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     likely_in = cut(components(candidate_links(reps, threshold, recall)))
-    size = likely_in.groupBy("label").agg(F.count("*").alias("size"))
-    chosen = cut(likely_in.join(size, "label").join(reps.select("v", "id", "copies"), "v").select("v", "id", "copies", F.col("label").alias("comp"), "size"))
+    chosen = cut(likely_in.join(reps.select("v", "id", "copies", "n"), "v").select("v", "id", "copies", "n", F.col("label").alias("comp")))
     blocks = cut(exact_links(docs, chosen, width, threshold, id_col, text))
-    links = blocks.groupBy("v").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("parts").alias("parts"))
-    spread = blocks.where("parts > 1")
+    links = blocks.groupBy("v").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
+    spread = blocks.where("split")
     if spread.limit(1).count():
         named = components(spread.select(F.col("v").alias("a"), F.col("root").alias("b")))
         links = links.join(named.withColumnRenamed("label", "joined"), "v", "left").withColumn("root", F.coalesce("joined", "root"))
@@ -301,14 +340,36 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, r
     found = cut(nodes.join(names, "root").select("v", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")))
     out = rows.select("id", "v").join(found, "v", "left")
     return out.select(
-        "id", F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "id", "v", F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without those whose class has a smaller id; all columns stay as they are. Rows without an id stay."""
+    """The documents without those whose class has a smaller id; all columns stay as they are.
+
+    Rows without an id stay. Of rows that repeat an id and a set of shingles any one stays; an id that stands for several
+    sets loses only those whose class has a smaller id.
+    """
     found = cut(classes(docs, width, threshold))
-    if found.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    gone = cut(found.where("id <> class_id").select(F.col("id").alias("_gone")).distinct())
-    return docs.join(small(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = cut(found.where("id <> class_id").select(F.col("id").alias("_gone"), "v").distinct())
+    same_id = docs["doc_id"].cast("long") == F.col("_gone")
+    if not found.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
+        return docs.join(small(gone.select("_gone")), same_id, "left_anti")
+    own = cut(_with_digest(docs, width))
+    own = own.where("doc_id is null").union(own.where("doc_id is not null").dropDuplicates(["doc_id", DIGEST]))
+    same_id = own["doc_id"].cast("long") == F.col("_gone")
+    return own.join(small(gone), same_id & own[DIGEST].eqNullSafe(F.col("v")), "left_anti").select(*docs.columns)
+
+
+def _with_digest(docs: DataFrame, width: int, text="text") -> DataFrame:
+    """docs with the digest of each text's set in the column DIGEST."""
+
+    @lean
+    def run(batches):
+        cache = word_hashes()
+        for b in pieces(batches, text):
+            own = [shingles(words(t), cache, width) for t in raw(b, text)]
+            yield with_columns(b, names, {DIGEST: pa.array([_digest(s) if len(s) else None for s in own], pa.int64())})
+
+    names = docs.columns
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(DIGEST, T.LongType())]))

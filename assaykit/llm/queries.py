@@ -45,7 +45,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen_path.classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    found = chosen_path.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,6 +219,7 @@ def test_join_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(chosen_path, "BLOCK", block)
     if block == 4:
         monkeypatch.setattr(chosen_path, "BUCKET", 4)
+        monkeypatch.setattr(chosen_path, "BYTES", 3000)
     docs = documents(spark, near_rows(random.Random(5)))
     got = sorted((tuple(x) for x in chosen_path.classes(docs).select("id", "class_id", "n_links").collect()), key=repr)
     assert got == brute_classes([(x.doc_id, x.text) for x in docs.collect()])
@@ -233,6 +234,29 @@ def test_one_of_each_class_stays(spark):
     assert chosen_path.keep_one(empty(spark)).count() == 0
 
 
+def test_an_id_with_two_texts_loses_copies_only(spark):
+    r = random.Random(16)
+    a, b, c = (prose(r, 60) for _ in range(3))
+    docs = documents(spark, [(103, a), (107, a), (107, b), (109, c), (109, c), (110, c + " more")])
+    kept = [(x.doc_id, x.text) for x in chosen_path.keep_one(docs).collect() if (x.doc_id or 0) > 100]
+    assert sorted(kept) == sorted([(103, a), (107, b), (109, c)])
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_measured_recall(spark, similarity):
+    """Pairs of exactly that similarity, one pair to a class, so no chain of others can help: at least 0.99 are found."""
+    r = random.Random(int(100 * similarity))
+    n, rows = 90, []
+    for i in range(300):
+        base = [f"w{r.randrange(10**9)}" for _ in range(n + 4)]  # n shingles
+        other = list(base)
+        cut = next(k for k in range(n) if (n - k) >= similarity * (n + k) and (n - k - 1) < similarity * (n + k + 1))
+        other[n + 4 - cut :] = [f"x{r.randrange(10**9)}" for _ in range(cut)]  # changes `cut` shingles of either
+        rows += [(1000 + 2 * i, " ".join(base)), (1001 + 2 * i, " ".join(other))]
+    got = chosen_path.classes(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links = 1").count()
+    assert got >= 0.99 * len(rows)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {x.v: x.label for x in components(spark.createDataFrame(chain, "a long, b long")).collect()}
