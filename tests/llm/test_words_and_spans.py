@@ -165,6 +165,45 @@ def test_pii_rows(spark):
     assert "secret:9:49" in got[100].spans and "email:55:63" in got[100].base_spans and got[100].n_email == 1
     assert got[101].spans == "" and got[102].spans.startswith("national:4:15") and got[0].spans == ""
     assert pii.redact(more[2][1], [(4, 15, "national")]).startswith("ssn [national], order")
+    assert all(x.n_spans == len([y for y in x.spans.split(",") if y]) for x in got.values())
+    assert pii.find(empty(spark)).count() == 0
+
+
+def test_pii_long_candidates():
+    r = random.Random(12)
+    mixed = lambda n: "".join(r.choice("ABCDEFabcdefghijkXYZ0123456789") for _ in range(n))
+    for span in (mixed(500), f"eyJ{mixed(30)}.eyJ{mixed(150)}.{mixed(43)}", "x" * 80 + mixed(200)):
+        t = f'the api_key = "{span}" of it'
+        assert (t.index(span), t.index(span) + len(span), "secret") in pii.candidates(t)
+        assert f"secret:{t.index(span)}:{t.index(span) + len(span)}" in pii.listed(pii.spans(t, pii.model())[1])
+    assert [t[2] for t in pii.candidates("mail jo.doe at " + "a" * 90 + " dot org now")] == ["spelled"]
+
+
+def test_pii_overlaps_equal_brute_force():
+    r = random.Random(13)
+    for _ in range(500):
+        base = sorted((s, s + r.randint(1, 6)) for s in (r.randrange(60) for _ in range(r.randint(0, 6))))
+        taken, held = pii.Taken(base), list(base)
+        for _ in range(30):
+            s = r.randrange(60)
+            e = s + r.randint(1, 6)
+            free = not any(s < y and x < e for x, y in held)
+            assert taken.free(s, e) == free
+            if free:
+                taken.take(s, e)
+                held.append((s, e))
+
+
+def test_pii_learns_from_the_corpus(spark):
+    r = random.Random(14)
+    number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    rows = [(i, f"{prose(r, 20)} reach us on +1 ({number(3)}) {number(3)}-{number(4)} or jo.x{i}@mail{i % 7}.example.org {prose(r, 9)} {number(16)} end") for i in range(120)]
+    fit, calibrate = pii.sampled(spark.createDataFrame(rows, "doc_id long, text string"))
+    kinds = {(k, y) for *_, k, y in fit}
+    assert {("localphone", 1), ("spelled", 1), ("secret", 0)} <= kinds and len(calibrate) > 20
+    fitted = pii.model(corpus=(fit, calibrate))
+    text = f"{prose(r, 20)} reach us on ({number(3)}) {number(3)}-{number(4)} or jo at mail dot org {prose(r, 9)}"
+    assert {k for *_, k in pii.spans(text, fitted)[1]} == {"localphone", "spelled"}
 
 
 def test_pii_trees_hold_on_fresh_examples():
