@@ -1,11 +1,12 @@
 """Line dedup by winnowing: delete later copies of runs of lines, in DataFrame operations only.
 
 Lines are compared trimmed; blank ones don't count. Each window of `run` lines selects its smallest line hash (the
-rightmost of equal ones) as a fingerprint, so every run of that length has one that both of its copies select. Only
-places whose fingerprint stands at two places or more go on. There matches are extended both ways: all windows around
-the fingerprint are compared as wholes, and a window that also stands earlier is deleted, which for longer runs joins
-up. So a line goes exactly if it lies in a run of `run` or more lines that also stands earlier, in order of id and
-place. No pairs are formed: each window hash keeps its earliest place.
+rightmost of equal ones) as a fingerprint, so every run of that length has one that both of its copies select. Only the
+selected fingerprints are kept, one row for each of their places, and those that stand at two places or more go on. In
+the documents that hold one, matches are extended both ways from it: the windows that selected it, on either side, are
+compared as wholes, and a window that also stands earlier is deleted, which for longer runs joins up. So a line goes
+exactly if it lies in a run of `run` or more lines that also stands earlier, in order of id and place. No pairs are
+formed: each window hash keeps its earliest place.
 
 With `words`, runs of fewer lines count too if they hold more than so many words: such a run is a window and a
 fingerprint of its own. remove_repeats, which the pipeline calls, does so with LONG; clean alone keeps to lines, as the
@@ -37,52 +38,75 @@ def _lines(text: Column, count: bool = False) -> Column:
     return F.transform(F.filter(trimmed, lambda y: y["x"] != ""), lambda y: F.struct(y["line"].alias("line"), F.xxhash64(y["x"]).alias("h"), *n(y)))
 
 
-def windows(docs: DataFrame, run: int = RUN, id_col="doc_id", text="text", words: int | None = None) -> DataFrame:
-    """A row for each window: id, hash of the text, first and last line, fingerprint, whether the window before selected another one, two hashes of the window."""
-    items = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(id_col).alias("id"), F.xxhash64(text).alias("k"), _lines(F.col(text), words is not None).alias("items")
-    )
-    if words is not None:
-        items = cut(items)
-    made = items.where(F.size("items") >= run).select("id", "k", _starts(run, lambda s: _window(F.col("items"), s, run)).alias("win"))
-    fresh = made.select("id", "k", F.posexplode(F.transform("win", lambda x, i: F.struct(
-        x["lo"].alias("lo"), x["hi"].alias("hi"), x["least"]["h"].alias("f"), x["w1"].alias("w1"), x["w2"].alias("w2"),
-        F.coalesce((F.get(F.col("win"), i - 1)["least"]["p"] != x["least"]["p"]).cast("int"), F.lit(1)).alias("fresh"),
-    ))).alias("s", "x"))
-    fresh = fresh.select("id", "k", "s", "x.*")
-    for fewer in range(1, run if words is not None else 1):
-        own = items.where(F.size("items") >= fewer).select("id", "k", F.explode(_long(fewer, words)).alias("y"))
-        fresh = fresh.union(own.select("id", "k", "y.s", "y.x.lo", "y.x.hi", F.col("y.x.w1").alias("f"), "y.x.w1", "y.x.w2", F.lit(1).alias("fresh")))
-    return fresh
+def _items(docs: DataFrame, id_col: str, text: str, count: bool) -> DataFrame:
+    held = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull())
+    return held.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("k"), _lines(F.col(text), count).alias("items"))
+
+
+def fingerprints(docs: DataFrame, run: int = RUN, id_col="doc_id", text="text", words: int | None = None) -> DataFrame:
+    """(id, k, run, at, f): a row for each place that a window selects. k: hash of the text, at: number among the lines that aren't blank."""
+    items = _items(docs, id_col, text, words is not None)
+    selected = F.array_distinct(_starts(run, lambda s: _least(F.col("items"), s, run)))
+    marks = [F.transform(selected, lambda m: F.struct(F.lit(run).alias("run"), (-m["p"]).alias("at"), m["h"].alias("f")))]
+
+    def alone(n: int) -> Column:
+        return F.transform(_long(n, words), lambda s: F.struct(F.lit(n).alias("run"), s.alias("at"), _window(F.col("items"), s, n)["w1"].alias("f")))
+
+    marks += [alone(n) for n in range(1, run if words is not None else 1)]
+    none = F.expr("cast(array() as array<struct<run:int,at:int,f:bigint>>)")
+    return items.select("id", "k", F.explode(F.concat(*(F.coalesce(m, none) for m in marks))).alias("m")).select("id", "k", "m.*")
+
+
+def around(docs: DataFrame, held: DataFrame, run: int = RUN, id_col="doc_id", text="text", words: int | None = None) -> DataFrame:
+    """(id, k, s, lo, hi, w1, w2): the windows that selected the places in held: (id, k, places of run and at)."""
+    total = held.agg(F.sum(F.size("places") + 4)).first()[0] or 0
+    held = held.select(F.col("id").alias("_id"), F.col("k").alias("_k"), "places")
+    items = _items(docs, id_col, text, False)
+    near = items.join(F.broadcast(held) if total <= BROADCAST_LINES else held, (F.col("id") == F.col("_id")) & (F.col("k") == F.col("_k")))
+
+    def both_ways(at: Column) -> Column:
+        """The windows with the place in them that selected it."""
+        starts = F.sequence(F.greatest(F.lit(0), at - (run - 1)), F.least(at, F.size("items") - run))
+        own = F.filter(starts, lambda s: _least(F.col("items"), s, run)["p"] == -at)
+        return F.transform(own, lambda s: F.struct(s.alias("s"), _window(F.col("items"), s, run).alias("x")))
+
+    def single(n: int) -> Column:
+        own = F.filter("places", lambda p: p["run"] == n)
+        return F.transform(own, lambda p: F.struct(p["at"].alias("s"), _window(F.col("items"), p["at"], n).alias("x")))
+
+    found = [F.flatten(F.transform(F.filter("places", lambda p: p["run"] == run), lambda p: both_ways(p["at"])))]
+    found += [single(n) for n in range(1, run if words is not None else 1)]
+    return near.select("id", "k", F.explode(F.concat(*found)).alias("y")).select("id", "k", "y.s", "y.x.lo", "y.x.hi", "y.x.w1", "y.x.w2")
 
 
 def _long(run: int, words: int) -> Column:
-    """Windows of run lines with more than so many words, and where they start."""
+    """Where windows of run lines with more than so many words start."""
     items = F.col("items")
-    held = F.filter(_starts(run, lambda s: s), lambda s: sum(F.get(items, s + k)["n"] for k in range(run)) > words)
-    return F.transform(held, lambda s: F.struct(s.alias("s"), _window(items, s, run).alias("x")))
+    return F.filter(_starts(run, lambda s: s), lambda s: sum(F.get(items, s + k)["n"] for k in range(run)) > words)
 
 
 def _starts(run: int, made) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.size("items") - run), made)
+    return F.when(F.size("items") >= run, F.transform(F.sequence(F.lit(0), F.size("items") - run), made))
+
+
+def _least(items: Column, s: Column, run: int) -> Column:
+    """The smallest hash of the window at s, and less its place."""
+    own = [F.struct(F.get(items, s + j)["h"].alias("h"), (-(s + j)).alias("p")) for j in range(run)]
+    return F.least(*own) if run > 1 else own[0]
 
 
 def _window(items: Column, s: Column, run: int) -> Column:
-    own = F.slice(items, s + 1, run)
-    hs = F.transform(own, lambda x: x["h"])
-    least = F.array_min(F.transform(own, lambda x: F.struct(x["h"].alias("h"), (-x["line"]).alias("p"))))
-    return F.struct(
-        F.get(items, s)["line"].alias("lo"), F.get(items, s + (run - 1))["line"].alias("hi"), least.alias("least"),
-        F.xxhash64(hs).alias("w1"), F.xxhash64(F.lit(run), hs).alias("w2"),
-    )
+    hs = [F.get(items, s + j)["h"] for j in range(run)]
+    return F.struct(F.get(items, s)["line"].alias("lo"), F.get(items, s + (run - 1))["line"].alias("hi"), F.xxhash64(*hs).alias("w1"), F.xxhash64(F.lit(run), *hs).alias("w2"))
 
 
 def repeated(docs: DataFrame, run: int = RUN, id_col="doc_id", text="text", words: int | None = None) -> DataFrame:
     """(id, k, gone): for each document with later copies of runs, the sorted numbers of the lines to delete."""
-    all_windows = cut(windows(docs, run, id_col, text, words))
+    marks = cut(fingerprints(docs, run, id_col, text, words))
     # Tables are cut before a join, so that both of its sides are plain shuffles, which Spark can split where a key is hot.
-    common = cut(all_windows.groupBy("f").agg(F.sum("fresh").alias("places")).where("places >= 2").select("f"))
-    near = cut(all_windows.join(common, "f").select("id", "k", "s", "lo", "hi", "w1", "w2"))
+    common = cut(marks.groupBy("f").agg(F.count("*").alias("places")).where("places >= 2").select("f"))
+    held = cut(cut(marks.join(common, "f")).groupBy("id", "k").agg(F.collect_set(F.struct("run", "at")).alias("places")))
+    near = cut(around(docs, held, run, id_col, text, words))
     first = cut(
         near.groupBy("w1", "w2").agg(F.min(F.struct("id", "k", "s")).alias("first"), F.count("*").alias("n")).where("n >= 2").select("w1", "w2", "first")
     )
