@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .tables import lean
 from .text import Cache, pieces, strings, with_columns
 
 #: White space as the tokenizer's regular expressions have it; str.split() also takes \x1c-\x1f.
@@ -57,6 +58,10 @@ class Bpe:
         self.blob = "".join(shown.get(i, "") for i in range(size))
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in pre if p["type"] == "Split"))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
+        #: A special token can only stand in a chunk that holds its first letter; those with white space aren't cut by chunks().
+        self.first = regex.compile("[" + "".join(sorted({regex.escape(t[0]) for t in self.added if t})) + "]") if self.added else None
+        if any(SPACE.search(t) or not t for t in self.added):
+            raise ValueError("special tokens with white space aren't supported")
         self.letters = byte_letters()
         merges = [tuple(put(x) for x in (m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
         self.rank = {}
@@ -77,10 +82,10 @@ class Bpe:
         known = set(tokens)
         self.shorter = {t: next((t[:k] for k in range(len(t) - 1, 0, -1) if t[:k] in known), None) for t in tokens}
         self.ends = [Cache(lambda t, k=k: self._spine(t, k), len(self.ids)) for k in (0, 1)]
-        self.pairs = Cache(self._pair, 1 << 18)
+        self.pairs = Cache(self._pair, 1 << 17)
         #: Decimal ids and decoded text of words, and of texts without white space.
-        self.words = Cache(self._word)
-        self.pieces = Cache(self._piece)
+        self.words = Cache(self._word, 1 << 16)
+        self.pieces = Cache(self._piece, 1 << 16)
 
     def _spine(self, token: str, side: int) -> list[tuple[str, int]]:
         """Tokens at one end of token, with the rank of the merge that ends each."""
@@ -131,7 +136,7 @@ class Bpe:
 
     def _piece(self, chunk: str) -> tuple[str, str]:
         found: list[tuple[str, str]] = []
-        for part in self.specials.split(chunk) if self.specials and "<" in chunk else [chunk]:
+        for part in self.specials.split(chunk) if self.first and self.first.search(chunk) else [chunk]:
             if part in self.added:
                 found.append((str(self.added[part]), part))
                 continue
@@ -203,9 +208,10 @@ def encode(docs: DataFrame, vocabulary: str, fields=("n_tokens", "token_ids"), t
     keep = [c for c in (docs.columns if keep is None else keep) if c not in fields and (keep is not None or c != text)]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(f, FIELDS[f][0]) for f in fields])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tables(spec.value)
-        for b in pieces(batches, text):
+        for b in pieces(batches, text, 2 << 20):
             found = [bpe.both(x) for x in strings(b, text)]
             new = {
                 "n_tokens": lambda: [x.count(" ") + 1 if x else 0 for x, _ in found],

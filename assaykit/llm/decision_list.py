@@ -174,12 +174,14 @@ def learn(rows: list[dict], poor: list[bool], bins: int = 24, longest: int = 3,
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", label="quality", text="text", sample: int = SAMPLE) -> list[Rule]:
-    """Rules learned from at most `sample` labelled rows that pass the base rules; label 0 is poor."""
+    """Rules learned from at most `sample` labelled rows that pass the base rules; label 0 is poor. Of an id that repeats the highest label and the smallest text count."""
     picked = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label).alias("_y"))
     picked = picked.orderBy(F.xxhash64(id_col), id_col, "_y").limit(sample)
-    rows = docs.select(id_col, text).join(F.broadcast(picked), id_col)
-    stats = cut(statistics(rows, text, [id_col, "_y"])).where(~base_failed())
-    got = stats.select(id_col, "_y", *(F.expr(e).alias(n) for n, e in FEATURES.items())).limit(4 * sample).collect()
+    picked = picked.groupBy(F.col(id_col).alias("_id")).agg(F.max("_y").alias("_y"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(picked), "_id")
+    rows = rows.groupBy("_id", "_y").agg(F.min("_text").alias("_text"))  # one row for each id
+    stats = cut(statistics(rows, "_text", ["_id", "_y"])).where(~base_failed())
+    got = stats.select("_id", "_y", *(F.expr(e).alias(n) for n, e in FEATURES.items())).collect()
     got.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[1:]))
     return learn([r.asDict() for r in got], [r["_y"] == 0 for r in got])
 

@@ -11,9 +11,10 @@ items counts for each; repeated rows give equal rows. An empty benchmark leaves
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, lean
 from .text import pieces, raw, with_columns, words
 
 WIDTH = 10
@@ -31,6 +32,7 @@ BITS = 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
 RESULT = "n_words long, n_hit long, items array<long>"
 FIELDS = ("n_words", "n_hit", "items")
+ONE_WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH, item="item_id", text="text") -> DataFrame:
@@ -107,6 +109,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text="text",
     shipped = docs.sparkSession.sparkContext.broadcast([(r.item_id, bytes(r.window)) for r in known.collect()])
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), RESULT])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WindowSet(shipped.value)
         for b in pieces(batches, text):
@@ -125,16 +128,36 @@ def _joined(docs: DataFrame, windows: DataFrame, width: int, text: str, keep: li
     """The same for a benchmark too large to broadcast. Rows are numbered, so repeated rows and null ids stay apart."""
     lengths = sorted(r[0] for r in windows.select(F.expr("size(split(cast(window as string), ' '))")).distinct().collect())
     row = cut(docs.withColumn("_row", F.monotonically_increasing_id()).select("_row", *dict.fromkeys([*keep, text])))
+    per = _hits(row, windows, lengths, text)
 
+    @lean
+    def counted(batches):
+        for b in pieces(batches, text):
+            yield with_columns(b, ["_row", *keep], {"n_words": pa.array([len(words(t)) for t in raw(b, text)], pa.int64())})
+
+    schema = ", ".join(["_row long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_words long"])
+    out = row.mapInArrow(counted, schema).join(per, "_row", "left")
+    none = F.expr("cast(array() as array<long>)")
+    return out.select(*keep, "n_words", F.coalesce(F.size("hit"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.array_compact("items"), none).alias("items"))
+
+
+def _hits(row: DataFrame, windows: DataFrame, lengths: list[int], text: str) -> DataFrame:
+    """(_row, hit, items): sorted numbers of the hit words and sorted items of each row that has any, by a shuffled join of window digests."""
+
+    @lean
     def run(batches):
-        for b in pieces(batches, text, 1 << 20):
+        for b in pieces(batches, text, 1 << 18):
+            rows, starts, sizes, digests = [], [], [], []
             for r, t in zip(b.column("_row").to_pylist(), raw(b, text), strict=True):
                 w = words(t)
-                at = [(s, n) for n in lengths for s in range(len(w) - n + 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r] * len(at), pa.int64()), pa.array([s for s, _ in at], pa.int32()), pa.array([n for _, n in at], pa.int32()), pa.array([xxhash.xxh3_128_digest(b" ".join(w[s : s + n])) for s, n in at], pa.binary())],
-                    ["_row", "s", "n", "h"],
-                )
+                for n in lengths:
+                    own = range(max(0, len(w) - n + 1))
+                    rows.append(np.full(len(own), r, np.int64))
+                    starts += own
+                    sizes.append(np.full(len(own), n, np.int32))
+                    digests += [xxhash.xxh3_128_digest(b" ".join(w[s : s + n])) for s in own]
+            if digests:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(starts, pa.int32()), pa.array(np.concatenate(sizes)), pa.array(digests, pa.binary())], ["_row", "s", "n", "h"])
 
     @F.pandas_udf("binary")
     def digest(x):
@@ -142,16 +165,9 @@ def _joined(docs: DataFrame, windows: DataFrame, width: int, text: str, keep: li
 
     places = row.select("_row", text).mapInArrow(run, "_row long, s int, n int, h binary")
     found = places.join(windows.select("item_id", digest("window").alias("h")), "h")
+    # A row's words and items are sets over all its hits, so map-side combination bounds what is shuffled.
     hits = found.select("_row", "item_id", F.explode(F.sequence("s", F.expr("s + n - 1"))).alias("word"))
-    per = hits.groupBy("_row").agg(F.count_distinct("word").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
-
-    def count(batches):
-        for b in pieces(batches, text):
-            yield with_columns(b, ["_row", *keep], {"n_words": pa.array([len(words(t)) for t in raw(b, text)], pa.int64())})
-
-    schema = ", ".join(["_row long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_words long"])
-    out = row.mapInArrow(count, schema).join(per, "_row", "left")
-    return out.select(*keep, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.expr("cast(array() as array<long>)")).alias("items"))
+    return hits.groupBy("_row").agg(F.array_sort(F.collect_set("word")).alias("hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
 def report(scanned: DataFrame, id_col="doc_id") -> DataFrame:
@@ -170,36 +186,46 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH)
     return kept.select(*docs.columns)
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text="text") -> DataFrame:
-    """The documents with each hit word replaced by one space; texts without hits stay as they are. For benchmarks that can be broadcast."""
+def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text="text", max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """The documents with each hit word replaced by one space; texts without hits stay as they are."""
     known = cut(item_windows(benchmark, width))
-    if known.limit(MAX_WINDOWS + 1).count() > MAX_WINDOWS:
-        raise ValueError(f"remove_spans takes up to {MAX_WINDOWS} benchmark windows; use remove_documents")
+    if known.limit(max_windows + 1).count() > max_windows:
+        lengths = sorted(r[0] for r in known.select(F.expr("size(split(cast(window as string), ' '))")).distinct().collect())
+        row = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+        marked = row.join(_hits(row, known, lengths, text).select("_row", "hit"), "_row", "left").select(*docs.columns, F.col("hit").alias("_hit"))
+
+        @lean
+        def cut_out(batches):
+            for b in pieces(batches, text):
+                out = [own if own is None or not hit else _without(t, set(hit)) for own, t, hit in zip(b.column(text).to_pylist(), raw(b, text), b.column("_hit").to_pylist(), strict=True)]
+                yield b.set_column(b.schema.get_field_index(text), text, pa.array(out, pa.string())).select(docs_columns)
+
+        docs_columns = docs.columns
+        return marked.mapInArrow(cut_out, docs.schema)
     shipped = docs.sparkSession.sparkContext.broadcast([(r.item_id, bytes(r.window)) for r in known.collect()])
 
+    @lean
     def run(batches):
-        import re
-
-        one = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
         known = WindowSet(shipped.value)
         for b in pieces(batches, text):
             out = []
             for own, t in zip(b.column(text).to_pylist(), raw(b, text), strict=True):
                 w = words(t)
                 if own is not None and known.scan(w)[0]:
-                    hit = np.zeros(len(w), dtype=bool)
-                    for n in known.bits:
-                        for s in range(len(w) - n + 1):
-                            if b" ".join(w[s : s + n]) in known.items:
-                                hit[s : s + n] = True
-                    k = iter(hit.tolist())
-                    own = one.sub(lambda m: b" " if next(k) else m[0], t).decode()  # noqa: B023
+                    hit = {k for n in known.bits for s in range(len(w) - n + 1) if b" ".join(w[s : s + n]) in known.items for k in range(s, s + n)}
+                    own = _without(t, hit)
                 out.append(own)
             yield b.set_column(b.schema.get_field_index(text), text, pa.array(out, pa.string()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def _without(t: bytes, hit: set[int]) -> str:
+    """The text with the words of these numbers replaced by a space each."""
+    number = count()
+    return ONE_WORD.sub(lambda m: b" " if next(number) in hit else m[0], t).decode()
+
+
 def _aside(docs: DataFrame) -> DataFrame:
     """docs with a second column for the scan, so that no column of the input is lost to a clash of names."""
     return docs.withColumn("_text", F.col("text"))

@@ -4,7 +4,9 @@ A block is a line or a paragraph (lines between blank lines). A block meets a te
 template's distinct words stand in it. The join is exact. Words are ordered from rare to frequent over the whole corpus;
 a block that meets a template must hold one of the template's first |T| - needed + 1 words (prefix filter), must have
 enough words of the template vocabulary (length filter), and from the first common word on both sides must have enough
-words left (positional filter). Only then the words are counted.
+words left (positional filter). Only then the words are counted. Templates are (label, text) pairs or a table of them, of
+whole license texts too: each paragraph of LEAST distinct words is a template of its own, so a license is found in each
+block that holds one of its paragraphs. A table of templates is collected, up to MAX_TEMPLATES rows and MAX_BYTES bytes.
 
 Edge cases: null and empty texts have no words, no labels and score 0; texts are scanned whole; repeated rows give equal
 rows.
@@ -13,6 +15,7 @@ rows.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -20,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
+from .tables import lean
 from .text import pieces, raw, with_columns, words
 
 #: Phrases whose words stand consecutively, and their labels.
@@ -39,15 +44,30 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "all rights reserved no part of this publication may be reproduced"),
 ]
+ALL = [*TEMPLATES, *TEXTS]
 THRESHOLD = 0.8
+LEAST = 6
+MAX_TEMPLATES = 20_000
+MAX_BYTES = 32 << 20
 FIELDS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def template_sets(templates=TEMPLATES) -> list[tuple[str, frozenset[bytes]]]:
-    return [(label, frozenset(words(t.encode()))) for label, t in templates]
+def listed(templates) -> list[tuple[str, str]]:
+    """(label, paragraph) pairs of a list or a DataFrame (label, text) of templates, each pair once."""
+    if isinstance(templates, DataFrame):
+        rows, size = templates.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        if rows > MAX_TEMPLATES or size > MAX_BYTES:
+            raise ValueError(f"at most {MAX_TEMPLATES} templates of {MAX_BYTES} bytes in all")
+        templates = sorted((r.label, r.text) for r in templates.select("label", "text").where("label is not null and text is not null").collect())
+    found = ((label, p) for label, t in templates for p in re.split(r"\n\s*\n", t))
+    return list(dict.fromkeys((label, p) for label, p in found if len(set(words(p.encode()))) >= LEAST))
 
 
-def word_order(docs: DataFrame, templates=TEMPLATES, text="text") -> list[bytes]:
+def template_sets(templates=ALL) -> list[tuple[str, frozenset[bytes]]]:
+    return [(label, frozenset(words(t.encode()))) for label, t in listed(templates)]
+
+
+def word_order(docs: DataFrame, templates=ALL, text="text") -> list[bytes]:
     """The templates' words from rare to frequent, by the number of documents that hold each. Only they are collected."""
     vocabulary = frozenset().union(*(t for _, t in template_sets(templates)))
 
@@ -66,7 +86,7 @@ def word_order(docs: DataFrame, templates=TEMPLATES, text="text") -> list[bytes]
 class Index:
     """Templates indexed by the words of their prefixes."""
 
-    def __init__(self, order: list[bytes], templates=TEMPLATES, threshold: float = THRESHOLD):
+    def __init__(self, order: list[bytes], templates=ALL, threshold: float = THRESHOLD):
         self.place = {w: i for i, w in enumerate(order)}
         self.by_word: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.sets = []
@@ -126,13 +146,15 @@ def places(found: list[bytes], phrases: list[tuple[list[bytes], str]]) -> list[t
     return out
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES, text="text", keep=("doc_id",)) -> DataFrame:
+def scan(docs: DataFrame, templates=ALL, threshold: float = THRESHOLD, phrases=PHRASES, text="text", keep=("doc_id",)) -> DataFrame:
     """The columns of keep with counts, labels and score: the largest share of a template's words found in one block, 1 where a base phrase stands."""
+    templates = listed(templates)
     order = word_order(docs, templates, text)
     keep = [c for c in keep if c not in [f.split()[0] for f in FIELDS.split(", ")]]
-    listed = [(words(p.encode()), label) for p, label in phrases]
+    wanted = [(words(p.encode()), label) for p, label in phrases]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), FIELDS])
 
+    @lean
     def run(batches):
         index = Index(order, templates, threshold)
         for b in pieces(batches, text):
@@ -140,7 +162,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phr
             for t in raw(b, text):
                 w = words(t)
                 own = set(w)
-                at = [x for p, label in listed if own.issuperset(p) for x in places(w, [(p, label)])]
+                at = [x for p, label in wanted if own.issuperset(p) for x in places(w, [(p, label)])]
                 base = {label for _, label in at}
                 met: dict[int, float] = {}
                 if not own.isdisjoint(index.prefix):

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import lean
 from .text import Cache, pieces, raw, with_columns
 
 SLOTS = 1 << 16
@@ -147,6 +148,7 @@ def spread(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 def _features(docs: DataFrame, text: str, meta: str | None, keep: list[str]) -> DataFrame:
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "slots array<int>"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Cache(_marks)
         for b in pieces(batches, text):
@@ -158,12 +160,14 @@ def _features(docs: DataFrame, text: str, meta: str | None, keep: list[str]) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", label="quality", text="text", meta: str | None = "n_chars", sample: int = SAMPLE) -> Machine:
-    """A machine fitted on at most `sample` labelled rows that are not held out."""
+    """A machine fitted on at most `sample` labelled rows that are not held out: of an id that repeats the highest label and the smallest text."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col, F.col(label).alias("_y"))
     picked = usable.orderBy(F.xxhash64(id_col), id_col, "_y").limit(sample)
     meta = meta if meta in docs.columns else None
-    rows = docs.select(*dict.fromkeys([id_col, text, *([meta] if meta else [])])).join(F.broadcast(picked), id_col)
-    got = _features(rows, text, meta, ["_y"]).limit(4 * sample).collect()
+    own = [F.col(text).alias("_text"), (F.col(meta).cast("double") if meta else F.lit(None).cast("double")).alias("_meta")]
+    rows = docs.select(F.col(id_col).alias("_id"), *own).join(F.broadcast(picked.groupBy(F.col(id_col).alias("_id")).agg(F.max("_y").alias("_y"))), "_id")
+    rows = rows.groupBy("_id", "_y").agg(F.min(F.struct("_text", "_meta")).alias("x")).select("_id", "_y", "x.*")  # one row for each id
+    got = _features(rows, "_text", "_meta", ["_y"]).collect()
     got.sort(key=lambda r: (r._y, r.slots))
     return Machine().fit([list(r.slots) for r in got], np.array([float(r._y) for r in got]))
 
@@ -175,9 +179,10 @@ def score(docs: DataFrame, machine: Machine, text="text", meta: str | None = "n_
     shipped = docs.sparkSession.sparkContext.broadcast(machine)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"{into} double"])
 
+    @lean
     def run(batches):
         cache = Cache(_marks)
-        for b in pieces(batches, text, 4 << 20):
+        for b in pieces(batches, text, 2 << 20):
             metas = b.column(meta).to_pylist() if meta else [None] * b.num_rows
             found = [slots(t, m, cache) for t, m in zip(raw(b, text), metas, strict=True)]
             yield with_columns(b, keep, {into: pa.array(shipped.value.score(found), pa.float64())})
@@ -188,5 +193,8 @@ def score(docs: DataFrame, machine: Machine, text="text", meta: str | None = "n_
 def keep_good(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
     """The documents whose score reaches `at`; all columns stay as they are."""
     machine = fit(docs, labels)
-    scored = score(docs.withColumn("_text", F.col("text")), machine, "_text", keep=docs.columns, into="_score")
-    return scored.where(F.col("_score") >= at).drop("_score")
+    named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # so that no name can clash
+    where = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own = named.withColumn("_text", F.col(where["text"])).withColumn("_meta", F.col(where["n_chars"]) if "n_chars" in where else F.lit(None).cast("double"))
+    scored = score(own, machine, "_text", "_meta", keep=named.columns, into="_score")
+    return scored.where(F.col("_score") >= at).drop("_score").toDF(*docs.columns)
