@@ -56,10 +56,11 @@ class Bpe:
         size = max(shown) + 1
         self.offsets = [0, *accumulate(len(shown.get(i, "")) for i in range(size))]
         self.blob = "".join(shown.get(i, "") for i in range(size))
+        self.decimal = [str(i) for i in range(size)]
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in pre if p["type"] == "Split"))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         #: A special token can only stand in a chunk that holds its first letter; those with white space aren't cut by chunks().
-        self.first = regex.compile("[" + "".join(sorted({regex.escape(t[0]) for t in self.added if t})) + "]") if self.added else None
+        self.firsts = tuple(sorted({t[0] for t in self.added if t}))
         if any(SPACE.search(t) or not t for t in self.added):
             raise ValueError("special tokens with white space aren't supported")
         self.letters = byte_letters()
@@ -82,10 +83,10 @@ class Bpe:
         known = set(tokens)
         self.shorter = {t: next((t[:k] for k in range(len(t) - 1, 0, -1) if t[:k] in known), None) for t in tokens}
         self.ends = [Cache(lambda t, k=k: self._spine(t, k), len(self.ids)) for k in (0, 1)]
-        self.pairs = Cache(self._pair, 1 << 17)
+        self.pairs = Cache(self._pair, 1 << 18)
         #: Decimal ids and decoded text of words, and of texts without white space.
-        self.words = Cache(self._word, 1 << 16)
-        self.pieces = Cache(self._piece, 1 << 16)
+        self.words = Cache(self._word, 1 << 18)
+        self.pieces = Cache(self._piece, 1 << 17)
 
     def _spine(self, token: str, side: int) -> list[tuple[str, int]]:
         """Tokens at one end of token, with the rank of the merge that ends each."""
@@ -107,6 +108,8 @@ class Bpe:
 
     def tokens(self, piece: str) -> list[str]:
         """Tokens of one piece in byte letters with its end mark; no tokens where a letter isn't in the vocabulary."""
+        if piece in self.parts:
+            return [piece]
         greedy = [t for _, t in self.find.iter_long(piece)]
         if sum(map(len, greedy)) == len(piece) and all(map(self.pairs.__getitem__, zip(greedy, greedy[1:], strict=False))):
             return greedy  # the longest matches fit as they are
@@ -136,8 +139,11 @@ class Bpe:
 
     def _piece(self, chunk: str) -> tuple[str, str]:
         found: list[tuple[str, str]] = []
-        for part in self.specials.split(chunk) if self.first and self.first.search(chunk) else [chunk]:
-            if part in self.added:
+        special = False
+        for letter in self.firsts:
+            special = special or letter in chunk
+        for part in self.specials.split(chunk) if special else (chunk,):
+            if special and part in self.added:
                 found.append((str(self.added[part]), part))
                 continue
             if not part.isascii():
@@ -151,8 +157,9 @@ class Bpe:
 
     def _word(self, word: str) -> tuple[str, str]:
         letters = "".join(map(self.letters.__getitem__, word.encode()))
-        ids = [*map(self.ids.__getitem__, self.tokens(letters + END if self.suffixed else letters))]
-        return " ".join(map(str, ids)), self.decode(ids)
+        found = self.tokens(letters + END if self.suffixed else letters)
+        ids = [self.ids[t] for t in found]
+        return " ".join([self.decimal[i] for i in ids]), self.decode(ids)
 
     def chunks(self, text: str) -> list[str]:
         if ODD.search(text):
