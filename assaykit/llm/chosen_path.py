@@ -195,11 +195,11 @@ def candidate_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float
     for step in range(SPLITS + 1):
         sizes = cut(members.groupBy("node").agg(F.count("*").alias("size")).where("size >= 2"))
         last = step == SPLITS or not sizes.where(F.col("size") > BUCKET).limit(1).count()
-        now = members.join(sizes if last else sizes.where(F.col("size") <= BUCKET), "node").select("node", "v", "size")
+        now = members.join(small(sizes if last else sizes.where(F.col("size") <= BUCKET)), "node").select("node", "v", "size")
         ready = now if ready is None else ready.union(now)
         if last:
             break
-        large = members.join(sizes.where(F.col("size") > BUCKET).select("node"), "node").join(reps.select("v", "sketch"), "v")
+        large = members.join(small(sizes.where(F.col("size") > BUCKET).select("node")), "node").join(reps.select("v", "sketch"), "v")
         members = cut(_paths(large.select("node", "v", "sketch"), 1, None))
     dealt = _blocked(cut(ready).join(reps.select("v", "sketch"), "v"), "node", "size", BUCKET)
     dealt = dealt.select("node", "lo", "hi", "v", "sketch").repartition("node", "lo", "hi").sortWithinPartitions("node", "lo", "hi", "v")
