@@ -103,14 +103,21 @@ def draw(seed: int, index: Column) -> Column:
     return x.bitwiseXOR(F.shiftright(x, 15)).cast("double") / 4294967296.0
 
 
+#: Scores of 16 bytes each that are broadcast at most.
+SCORES = 1_000_000
+
+
 def resampled_sums(scores: DataFrame, n: int, resamples: int, seed: int) -> DataFrame:
     """(r, total): sums of tenths of n draws with replacement. scores: pos from 0, tenths.
 
-    Draws are made where they are needed, joined with the scores on their place, and summed before they are shuffled.
+    Draws are made where they are needed, joined with the scores on their place, and summed before they are shuffled: n *
+    resamples draws in all (10^10 for a million cases: minutes on a thousand cores). Scores are broadcast up to SCORES of them.
     """
     draws = scores.sparkSession.range(resamples * n)
+    scores = scores.select("pos", "tenths")
+    scores = F.broadcast(scores) if n <= SCORES else scores
     at = F.floor(draw(seed, F.col("id") + 1) * F.lit(float(n))).cast("long")
-    hits = draws.select(F.expr(f"id div {n}").alias("r"), at.alias("pos")).join(scores.select("pos", "tenths"), "pos")
+    hits = draws.select(F.expr(f"id div {n}").alias("r"), at.alias("pos")).join(scores, "pos")
     return hits.groupBy("r").agg(F.sum("tenths").alias("total"))
 
 

@@ -2,25 +2,60 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..sources.scratch import ship
+
+#: Passages are looked for in blocks of so many bytes, each broadcast as one automaton.
+BLOCK = 32 << 20
+
+
+def passages_in(texts: DataFrame, passages: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(doc_id, item_id) where text c of a document contains text c of a passage, both in canary form.
+
+    Each text is read once for each block of passages, and an automaton finds all of the block's passages in it, whatever
+    their number or length. Empty passages are found nowhere. Column types are those of the inputs.
+    """
+    spark = texts.sparkSession
+    ship(spark)
+    items = passages.select("item_id", "c").where("c <> ''")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("c")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block))
+    schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, item_id {passages.schema['item_id'].dataType.simpleString()}"
+    out = None
+    for k in range(blocks):
+        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("c"), F.lit(blocks)) == k)
+        held = spark.sparkContext.broadcast([(r.c, r.item_id) for r in own.collect()])
+        found = texts.select("doc_id", "c").mapInArrow(_search(held, to_arrow_type(passages.schema["item_id"].dataType)), schema)
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _search(held, kind: pa.DataType):
+    def run(batches):
+        import ahocorasick
+        named = defaultdict(list)
+        for text, item in held.value:
+            named[text].append(item)
+        find = ahocorasick.Automaton()
+        for text in named:
+            find.add_word(text, text)
+        if named:
+            find.make_automaton()
+        for b in batches:
+            docs, items = [], []
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("c").to_pylist(), strict=True):
+                for text in {x for _, x in find.iter(t)} if named and t else ():
+                    docs += [i] * len(named[text])
+                    items += named[text]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, b.schema.field("doc_id").type), pa.array(items, kind)], ["doc_id", "item_id"])
 
-#: So many passages are broadcast and looked for in each text; more are found by a join on their beginnings.
-FEW = 2_000
-START = 24
-
-
-def passages_in(texts: DataFrame, passages: DataFrame) -> DataFrame:
-    """(doc_id, item_id) where text c of a document contains text c of a passage, both in canary form."""
-    items = passages.select("item_id", F.col("c").alias("p"))
-    if items.limit(FEW + 1).count() <= FEW:
-        return texts.join(F.broadcast(items), F.contains("c", "p")).select("doc_id", "item_id")
-    keyed = items.withColumn("start", F.substring("p", 1, START))
-    starts = F.transform(F.sequence(F.lit(1), F.char_length("c")), lambda i: F.substring(F.col("c"), i, F.lit(START)))
-    places = texts.select("doc_id", F.explode(F.array_distinct(starts)).alias("start"))
-    near = places.join(keyed.select("item_id", "start"), "start").select("doc_id", "item_id").distinct()
-    whole = near.join(texts, "doc_id").join(items, "item_id")
-    return whole.where(F.contains("c", "p")).select("doc_id", "item_id")
+    return run
 
 
 def scan_run(results: DataFrame, token: str) -> DataFrame:

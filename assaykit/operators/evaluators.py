@@ -91,7 +91,7 @@ def _gold_structs(lex: Lexicon) -> Column:
 
 def _nearest(tokens: Column) -> Column:
     """The sentence that holds the largest share of the tokens as parts of its folded text, if that is half of them."""
-    top = clinical.best(F.col("_sentences"), lambda s: F.size(F.filter(tokens, lambda t: F.contains(s["folded"], t))) / F.size(tokens))
+    top = clinical.best(F.col("_sentences"), lambda s: F.coalesce(F.try_divide(F.size(F.filter(tokens, lambda t: F.contains(s["folded"], t))), F.size(tokens)), F.lit(0.0)))
     return let(top, lambda x: F.when(x["worth"] >= 0.5, x["item"]["text"]))
 
 
@@ -221,7 +221,7 @@ def synthesis_words(x: Column) -> Column:
 def copy_ratio(findings: Column, html: Column) -> tuple[Column, Column]:
     """Share of the report's words that stand in the findings, and its distinct words that don't."""
     given, said = F.array_distinct(synthesis_words(findings)), synthesis_words(html)
-    return F.size(F.filter(said, lambda t: F.array_contains(given, t))) / F.size(said), F.array_except(F.array_distinct(said), given)
+    return F.try_divide(F.size(F.filter(said, lambda t: F.array_contains(given, t))), F.size(said)), F.array_except(F.array_distinct(said), given)
 
 
 def _synthesis() -> Column:
@@ -281,7 +281,7 @@ def _quality(rows: DataFrame, lex: Lexicon) -> DataFrame:
     given, said = synthesis_words(c("findings")), synthesis_words(c("html"))
     source = F.concat_ws(" ", F.coalesce("reference", F.lit("")), F.array_join(F.transform("gold", lambda g: g["finding"]), " "), F.array_join("urgent", " "))
     rows = rows.withColumns({"_given": F.array_distinct(given), "_words": said, "_known_words": F.array_distinct(synthesis_words(source)), "_whole": clinical.has_conclusion(c("html"), lex), "_echo": clinical.conclusion_repeats_findings(c("html"), lex)})
-    rows = rows.withColumns({"_added": F.array_except(F.array_distinct("_words"), "_given"), "_copied": F.size(F.filter("_words", lambda t: F.array_contains("_given", t))) / F.size("_words")})
+    rows = rows.withColumns({"_added": F.array_except(F.array_distinct("_words"), "_given"), "_copied": F.try_divide(F.size(F.filter("_words", lambda t: F.array_contains("_given", t))), F.size("_words"))})
     rows = rows.withColumn("synthesis", _synthesis())
     rows = _stored_sections(rows, lex)
     return rows.withColumns({

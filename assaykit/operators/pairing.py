@@ -36,16 +36,17 @@ def latest_predictions(expected: DataFrame, predictions: DataFrame) -> DataFrame
 
 
 def validation(expected: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Counts of everything that makes a submission invalid, and whether it is valid. Each count is one row."""
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    parts = [
-        one(expected, "expected"), one(predictions, "received"), one(missing_ids(expected, predictions), "missing"), one(extra_rows(expected, predictions), "extra"),
-        one(duplicate_ids(predictions), "duplicates"), one(empty_outputs(predictions), "empty_outputs"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)  # one row each
-    return out.withColumn("valid", F.expr("missing + extra + duplicates + empty_outputs = 0"))
+    """Counts of everything that makes a submission invalid, and whether it is valid: one aggregation by id, then one of its counts."""
+    blank = F.trim(F.regexp_replace(F.coalesce("model_output", F.lit("")), r"\s+", " ")) == ""
+    sides = predictions.select("instance_id", F.lit(0).alias("e"), F.lit(1).alias("p"), blank.cast("int").alias("b"))
+    sides = sides.union(expected.select("case_id", F.lit(1), F.lit(0), F.lit(0)))
+    by_id = sides.groupBy("instance_id").agg(*(F.sum(c).alias(c) for c in "epb"))
+    total = lambda x, name: F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(name)
+    sums = by_id.agg(
+        total("e", "expected"), total("p", "received"), total(F.when(F.col("p") == 0, F.col("e")), "missing"), total(F.when(F.col("e") == 0, F.col("p")), "extra"),
+        F.count_if(F.col("p") > 1).alias("duplicates"), total("b", "empty_outputs"),
+    )
+    return sums.withColumn("valid", F.expr("missing + extra + duplicates + empty_outputs = 0"))
 
 
 # ---- Comparison of two runs
@@ -57,7 +58,12 @@ def align(a: DataFrame, b: DataFrame, columns: list[str], key: str = "case_id")
     return side(a, "a").join(side(b, "b"), key)
 
 
-def compare(a: DataFrame, b: DataFrame) -> DataFrame:
+def compare(a: DataFrame, b: DataFrame, key: str | None = None) -> DataFrame:
+    """Differences of two runs by case. key: the column that says what a run is comparable with; other keys are an error."""
+    if key is not None:
+        keys = [{r[0] for r in df.select(key).distinct().limit(3).collect()} for df in (a, b)]
+        if len(keys[0] | keys[1]) > 1:
+            raise ValueError(f"runs are not comparable: {sorted(map(str, keys[0]))} and {sorted(map(str, keys[1]))}")
     return align(a, b, ["overall", "verdict"]).withColumn("delta", to_fixed(F.col("a_overall") - F.col("b_overall"), 1))
 
 
@@ -193,15 +199,3 @@ def pass_power_k(per_case: DataFrame, k: int) -> DataFrame:
 
 def flaky_cases(per_case: DataFrame, k: int) -> DataFrame:
     return per_case.where((F.col("runs") == k) & (F.col("safe_runs") > 0) & (F.col("safe_runs") < k))
-
-
-# ---- Positions without one task for all rows
-
-
-def with_position(df: DataFrame, *order: str) -> DataFrame:
-    """df with pos, 0 to n - 1 in the given total order: rows are range-partitioned, numbered inside, and shifted by the sizes before."""
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    own = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = own.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
-    return own.join(F.broadcast(before), "_part").withColumn("pos", (F.col("_in") - 1 + F.col("_before")).cast("long")).drop("_part", "_in", "_before")

@@ -5,32 +5,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rules by name; what they look at and what they match.
-RULES = [
-    ("raw-data-extension", "path", r"(?i)\.(?:csv|tsv|xlsx?|parquet|arrow|feather|sqlite3?|db|duckdb|dcm|dicom|nii(?:\.gz)?|mha)$"),
-    ("private-path", "path", r"(?i)(?:^|/)(?:data/(?:raw|private|gated|hidden|official|source|corpus)|private-data|corpus|cases/(?:private|hidden|gated|official))(?:/|$)"),
-    ("private-name", "path", r"(?i)(?:clean[_-]?\d+k|train-00000-of-|test-00000-of-|merged.*\.csv)"),
-    ("secret-pattern", "content", r"\b(?:sk_live|sk-lf|ghp|gho)_[A-Za-z0-9_-]{12,}\b"),
-    ("calendar-date", "content", r"\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{1,2}[/-]\d{1,2})\b"),
-    ("answer-key", "content", r'"(?:goldFindings|criticalFindings|referenceReport|guidelineExpectations|retrievalGold)"\s*:'),
-    ("claim", "content", r"(?i)\b(?:clinically reviewed|clinically validated|clinical validation|externally validated|independently validated)\b"),
-]
-
-
-def issues(files: DataFrame, rules=RULES) -> DataFrame:
-    """(path, rule) for each rule that a file breaks. Paths are compared with forward slashes."""
+# Which paths and contents break which rule, and what makes a public artifact one that claims something.
+RAW = r"(?i)\.(?:csv|tsv|xlsx?|parquet|arrow|feather|sqlite3?|db|duckdb|dcm|dicom|nii(?:\.gz)?|mha)$"
+PRIVATE = r"(?i)(?:^|/)(?:data/(?:raw|private|gated|hidden|official|source|corpus)|private-data|corpus|cases/(?:private|hidden|gated|official))(?:/|$)"
+NAME = r"(?i)(?:clean[_-]?\d+k|train-00000-of-|test-00000-of-|merged.*\.csv)"
+SECRET = r"\b(?:sk_live|sk-lf|ghp|gho|supabase_service_role)_[A-Za-z0-9_-]{12,}\b"
+DATE = r"\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{1,2}[/-]\d{1,2})\b"
+DERIVED = r"(?i)(?:Merged CSV fixture|MERGED-PTBR-|public-merged-csv|merged-csv|CSV mesclado)"
+ANSWERS = r'"(?:goldFindings|criticalFindings|referenceReport|guidelineExpectations|retrievalGold)"\s*:'
+CLAIM_FILE = r"(?i)^(?:site/data\.js|leaderboard/(?:.*/)?[^/]+\.md|DATA_ACCESS_POLICY\.md)$"
+CASE_FILE = (r"^(?:cases/|leaderboard/(?:artifacts|frozen)/|runs/)", r"(?i)\.(?:json|jsonl|csv|tsv)$")
+DATED_FILE = r"^(cases|leaderboard|site)/"
+CLAIM = r"(?:clinically reviewed|clinically validated|clinical validation|radiologist[- ]adjudicated|independent (?:third[- ]party )?(?:validation|adjudication|review)|third[- ]party (?:validation|adjudication|review)|externally validated|independently validated|clinicamente (?:validad|revisad)\w*|valida[çc][ãa]o cl[íi]nica|adjudicad\w* por radiologista|validad\w* (?:de forma )?independente|valida[çc][ãa]o (?:independente|de terceiros)|revis[ãa]o (?:independente|de terceiros)|validad\w* externamente)"
+DENIAL = r"\b(?:not|never|no|without|tracked as future work|future work|must not|cannot|is not|are not|were not|was not|internal data[- ]quality|not an? independent|not a? third[- ]party|n[ãa]o|nem|sem|processo interno de qualidade|qualidade interna|trabalho futuro)\b"
+CLAUSE = r",|\b(?:and|but|yet|while|whereas|however|though|although|mas|porem|porém|contudo|entretanto|todavia)\b"
+
+
+def asserts_validation(content: Column) -> Column:
+    """A sentence claims validation, and nothing before the claim in its clause takes it back."""
+
+    def claims(sentence: Column) -> Column:
+        before = F.regexp_extract(sentence, f"(?isu)^(.*?)\\b{CLAIM}\\b", 1)
+        clause = F.element_at(F.split(before, f"(?iu){CLAUSE}"), -1)
+        return sentence.rlike(f"(?iu)\\b{CLAIM}\\b") & ~clause.rlike(f"(?iu){DENIAL}")
+
+    return F.exists(F.split(F.coalesce(content, F.lit("")), r"(?<=[.;])\s+|\n+"), claims)
+
+
+def issues(files: DataFrame, mode: str = "public", substantiated: bool = False) -> DataFrame:
+    """(path, rule, severity) for each rule that a file breaks. Paths are compared with forward slashes.
+
+    mode: private repositories may track private paths (a warning) and aren't asked for what only publication forbids.
+    substantiated: a signed adjudication record backs the published suites, see `backed`.
+    """
+    if mode not in ("private", "public"):
+        raise ValueError(f"mode must be private or public, not {mode}")
+    public = F.lit(mode == "public")
     path = F.regexp_replace(F.replace("path", F.lit("\\"), F.lit("/")), r"^\./", "")
     named = files.select(path.alias("path"), F.coalesce("content", F.lit("")).alias("content"))
-    found = F.array_compact(F.array(*(F.when(F.col(on).rlike(p), F.lit(name)) for name, on, p in rules)))
-    return named.select("path", F.explode(found).alias("rule"))
+    p, c = F.col("path"), F.col("content")
+    claim_file = p.rlike(CLAIM_FILE)
+    rules = [
+        ("raw-data-extension", "error", p.rlike(RAW)),
+        ("private-path-public-release" if mode == "public" else "private-path-tracked", "error" if mode == "public" else "warn", p.rlike(PRIVATE)),
+        ("private-corpus-name", "error", p.rlike(NAME)),
+        ("secret-pattern", "error", c.rlike(SECRET)),
+        ("public-derived-marker", "error", public & p.rlike(CASE_FILE[0]) & p.rlike(CASE_FILE[1]) & c.rlike(DERIVED)),
+        ("public-answer-key", "error", public & (p.rlike("^cases/public/") | claim_file) & c.rlike(ANSWERS)),
+        ("calendar-date-public-artifact", "error", public & p.rlike(DATED_FILE) & c.rlike(DATE)),
+        ("unsubstantiated-clinical-validation-claim", "error", public & F.lit(not substantiated) & claim_file & asserts_validation(c)),
+    ]
+    found = F.array_compact(F.array(*(F.when(broken, F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"))) for name, severity, broken in rules)))
+    return named.select("path", F.explode(found).alias("x")).select("path", "x.*")
+
+
+def published_suites(files: DataFrame) -> DataFrame:
+    """Distinct suite hashes that files which claim something publish."""
+    path = F.regexp_replace(F.replace("path", F.lit("\\"), F.lit("/")), r"^\./", "")
+    hashes = F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r'(?i)"suiteHash"\s*:\s*"([0-9a-f]{16,})"'), 1)
+    return files.where(path.rlike(CLAIM_FILE)).select(F.explode(hashes).alias("suite_hash")).distinct()
 
 
-def asserts_validation(sentence: Column, claim: str = RULES[-1][2]) -> Column:
-    """A claim in the sentence that no word of denial before it, in the same clause, takes back."""
-    before = F.regexp_extract(sentence, f"(?is)^(.*?)(?:{claim[4:]})", 1)
-    clause = F.element_at(F.split(before, r"(?i),|\b(?:and|but|yet|while|whereas|however|though|although)\b"), -1)
-    denied = clause.rlike(r"(?i)\b(?:not|never|no|without|future work|cannot|internal data[- ]quality)\b")
-    return sentence.rlike(claim) & ~denied
+def backed(files: DataFrame, records: DataFrame) -> bool:
+    """A valid adjudication record (see adjudication.validated) speaks of a published suite, or of any if none is published."""
+    good = records.where("valid")
+    suites = published_suites(files)
+    if not suites.limit(1).count():
+        return good.limit(1).count() > 0
+    return good.join(suites, "suite_hash", "left_semi").limit(1).count() > 0
 
 
 def chain_hash(hashes: DataFrame, column: str, keys=()) -> DataFrame:

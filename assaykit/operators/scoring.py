@@ -203,6 +203,6 @@ def combine(scored: DataFrame, judged: bool = False, policy: Policy = POLICIES["
     return out.withColumn("confidence", confidence).drop("_likert", "_o0", "_o1", "_o2", "_o3", "_o4", "_cap", "_g1", "_g2", "_g3", "_g4", "_weak")
 
 
-def critical_safe() -> Column:
-    """No critical failure in checks, dimension or judgement."""
-    return (F.col("crit_CRIT") == 0) & (F.col("critical_failed") == 0)
+def critical_safe(judge_critical: Column | int = 0) -> Column:
+    """No critical failure in checks, dimension or judgement. judge_critical: the number that the judge named."""
+    return (F.col("crit_CRIT") == 0) & (F.col("critical_failed") == 0) & (F.coalesce(F.lit(judge_critical), F.lit(0)) == 0)

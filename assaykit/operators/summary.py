@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import to_fixed
+from ..sources.scratch import stored, with_position
 from .scoring import DIMS
 
 TOLERANCE = 0.11
 DIFFICULTIES = ("easy", "medium", "hard")
+from ..sources.scratch import stored, with_position
 
 
 def tenths(x: Column) -> Column:
@@ -103,9 +105,13 @@ def comparable_key(*parts: Column) -> Column:
 
 
 def pareto_frontier(entries: DataFrame, cost: str, score: str, tie: str) -> DataFrame:
-    """Entries that score above every cheaper one. The running maximum needs one order over all entries (a row for each run)."""
-    before = Window.orderBy(F.col(cost).asc(), F.col(tie).asc()).rowsBetween(Window.unboundedPreceding, -1)
-    return entries.withColumn("_best", F.max(score).over(before)).where(F.col("_best").isNull() | (F.col(score) > F.col("_best"))).drop("_best")
+    """Entries that score above every cheaper one: a running maximum inside each range of costs, above the best of the ranges before."""
+    parts = stored(entries.repartitionByRange(F.col(cost).asc(), F.col(tie).asc()).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy(F.col(cost).asc(), F.col(tie).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    tops = parts.groupBy("_part").agg(F.max(score).alias("_top"))  # a row for each part
+    before = tops.withColumn("_floor", F.max("_top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", "_floor")
+    rated = parts.withColumn("_best", F.max(score).over(inside)).join(F.broadcast(before), "_part").withColumn("_best", F.greatest("_best", "_floor"))
+    return rated.where(F.col("_best").isNull() | (F.col(score) > F.col("_best"))).select(*entries.columns)
 
 
 def board_group(system_type: Column, entity_type: Column, track: Column, entity_name: Column) -> Column:
@@ -118,5 +124,5 @@ def board_group(system_type: Column, entity_type: Column, track: Column, entity_
 def board_order(entries: DataFrame, tie: str = "run") -> DataFrame:
     """position over all groups: production first, then models, then calibration; inside by score, criteria, all-pass."""
     place = F.when(F.col("board_group") == "production", 0).when(F.col("board_group") == "model", 1).otherwise(2)
-    by = Window.orderBy(place, F.desc("average_overall"), F.desc("criterion_pass_rate"), F.desc("all_pass_rate"), F.col(tie))
-    return entries.withColumn("position", F.row_number().over(by))
+    placed = with_position(entries.withColumn("_place", place), F.col("_place").asc(), F.desc("average_overall"), F.desc("criterion_pass_rate"), F.desc("all_pass_rate"), F.col(tie).asc(), name="position")
+    return placed.withColumn("position", (F.col("position") + 1).cast("int")).select(*entries.columns, "position")

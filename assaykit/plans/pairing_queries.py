@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rounding import to_fixed
 from ..operators import agreement, pairing, retrieval, scoring
 from ..sources import adapters
+from ..sources.scratch import with_position
 from . import oracle
 from .oracle import BASE, WITH_RESULTS, fx, q
 from .registry import Registry
@@ -17,7 +18,7 @@ add = registry.add
 
 # ---- Submissions
 PREDICTIONS = """WITH predictions AS (SELECT CAST(conv_id AS VARCHAR) AS instance_id, turn AS pos, CASE WHEN turn % 5 = 4 THEN ' ' ELSE text END AS model_output FROM conversations),
-expected AS (SELECT CAST(doc_id AS VARCHAR) AS case_id FROM documents WHERE doc_id <= (SELECT max(conv_id) + 10 FROM conversations) AND doc_id % 13 <> 0)
+expected AS (SELECT CAST(doc_id AS VARCHAR) AS case_id FROM documents)
 """
 
 
@@ -255,7 +256,7 @@ def spearman_rho(spark, sf_dir):
 DRAW = """draws AS (SELECT i // n AS r, i AS i, n, xor(t3, t3 >> 15)::DOUBLE / 4294967296.0::DOUBLE AS u FROM (SELECT *, ((xor(t2, t2 >> 15)) * 1935289751) & 4294967295 AS t3 FROM (
   SELECT *, (xor(t1, t1 >> 16) * 569420461) & 4294967295 AS t2 FROM (SELECT i, n, ({seed} + ((i + 1) & 4294967295) * (-1640531527)) & 4294967295 AS t1 FROM (SELECT n, unnest(range(0, n * {r})) AS i FROM size)))))"""
 SUMS = "sums AS (SELECT r, CAST(sum(tenths) AS BIGINT) AS total FROM draws JOIN numbered ON numbered.pos = CAST(floor(u * n) AS BIGINT) GROUP BY 1), ordered AS (SELECT *, row_number() OVER (ORDER BY total) - 1 AS k FROM sums)"
-RESAMPLES = 400
+RESAMPLES = 10_000
 
 
 def _mean(x: str) -> str:
@@ -266,7 +267,7 @@ def _mean(x: str) -> str:
        WITH_RESULTS, "numbered AS (SELECT row_number() OVER (ORDER BY case_id) - 1 AS pos, CAST(round(overall * 10) AS BIGINT) AS tenths FROM results WHERE run = 0), size AS (SELECT count(*) AS n FROM numbered)", DRAW.format(seed=42, r=RESAMPLES), SUMS))
 def bootstrap_ci(spark, sf_dir):
     rows = adapters.stored_results(spark, sf_dir).where("run = 0").select("case_id", F.round(F.col("overall") * 10).cast("long").alias("tenths"))
-    return agreement.bootstrap_interval(pairing.with_position(rows, "case_id"), RESAMPLES)
+    return agreement.bootstrap_interval(with_position(rows, "case_id"), RESAMPLES)
 
 
 @add(q(f"SELECT {_mean('obs')} AS mean_diff, {_mean('lo')} AS lower, {_mean('hi')} AS upper, {fx(f'(extreme + 1)::DOUBLE / {RESAMPLES + 1}.0::DOUBLE', 6)} AS p_value, n FROM (SELECT (SELECT n FROM size) AS n, max(obs) AS obs, max(total) FILTER (WHERE k = {int(0.025 * RESAMPLES)}) AS lo, max(total) FILTER (WHERE k = {int(0.975 * RESAMPLES) - 1}) AS hi, count(*) FILTER (WHERE abs(total - obs) >= abs(obs)) AS extreme FROM ordered, (SELECT CAST(sum(tenths) AS BIGINT) AS obs FROM numbered))",
@@ -274,7 +275,7 @@ def bootstrap_ci(spark, sf_dir):
 def paired_bootstrap(spark, sf_dir):
     a, b = _runs(spark, sf_dir)
     rows = pairing.align(a, b, ["overall"]).select("case_id", F.round((F.col("a_overall") - F.col("b_overall")) * 10).cast("long").alias("tenths"))
-    return agreement.paired_bootstrap(pairing.with_position(rows, "case_id"), RESAMPLES)
+    return agreement.paired_bootstrap(with_position(rows, "case_id"), RESAMPLES)
 
 
 ERF = "(1.0::DOUBLE - ((((1.061405429::DOUBLE * t - 1.453152027::DOUBLE) * t + 1.421413741::DOUBLE) * t - 0.284496736::DOUBLE) * t + 0.254829592::DOUBLE) * t * exp(-(x * x)))"

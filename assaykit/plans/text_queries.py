@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import clinical, text
+from ..functions.lexicon import ENGLISH
 from ..operators import contamination, release, robustness
 from ..sources import adapters
+from ..sources.scratch import stored
 
 from .oracle import WITH_RESULTS, fx, q
 from .registry import Registry
+from .report_queries import CUE_AFTER, CUE_BEFORE
 
 registry = Registry()
 add = registry.add
@@ -62,11 +66,6 @@ def measurements(spark, sf_dir):
     return rows.select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("f", F.lit(UNITS), 0))).cast("long").alias("n"), F.regexp_count("f", F.lit(text.MEASURE)).cast("long").alias("n_metric"))
 
 
-@add(f"SELECT doc_id, CASE {' '.join(f'WHEN regexp_matches(f, {quoted(p)}) THEN {quoted(n)}' for n, p in text.BANDS)} ELSE 'incidental' END AS band FROM (SELECT doc_id, {FOLD.format('text')} AS f FROM documents)")
-def severity_bands(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", text.severity_band(text.fold(F.col("text"))).alias("band"))
-
-
 @add(f"SELECT doc_id, pt, en, en >= 4 AND en >= pt * 2 AS other_than_pt FROM (SELECT doc_id, CAST(len(regexp_extract_all(f, {quoted(text.PT_WORDS)})) + len(regexp_extract_all(f, {quoted(text.PT_SHAPES)})) AS INTEGER) AS pt, CAST(len(regexp_extract_all(f, {quoted(text.EN_WORDS)})) + len(regexp_extract_all(f, {quoted(text.EN_SHAPES)})) AS INTEGER) AS en FROM (SELECT doc_id, regexp_replace({FOLD.format('text')}, '[^a-z0-9 ]', ' ', 'g') AS f FROM documents))")
 def language_signal(spark, sf_dir):
     pt, en = text.language_signals(F.col("f"))
@@ -76,23 +75,36 @@ def language_signal(spark, sf_dir):
 
 STOP = ", ".join(map(quoted, text.STOPWORDS))
 TOKENS = f"list_distinct(list_filter(string_split(regexp_replace({FOLD.format('text')}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: length(t) > 2 AND t NOT IN ({STOP})))"
+SHARE = 0.8
 
 
 @add(f"""WITH b AS (SELECT item_id, {TOKENS} AS t FROM benchmark), d AS (SELECT doc_id, unnest({TOKENS}) AS t FROM documents), x AS (SELECT item_id, len(t) AS n, unnest(t) AS t FROM b)
-SELECT doc_id, item_id, count(*) AS shared, round(count(*)::DOUBLE / any_value(n), 6) AS coverage FROM d JOIN x USING (t) GROUP BY 1, 2 HAVING count(*)::DOUBLE / any_value(n) >= 0.8""")
+SELECT doc_id, item_id, count(*) AS shared, round(count(*)::DOUBLE / any_value(n), 6) AS coverage FROM d JOIN x USING (t) GROUP BY 1, 2 HAVING count(*)::DOUBLE / any_value(n) >= {SHARE}""")
 def token_coverage(spark, sf_dir):
-    """Items of which a document has 80 % of the tokens: joined on tokens, so only pairs that share some are looked at."""
+    """Items of which a document has 80 % of the tokens.
+
+    A document that covers an item holds one of the item's n - ceil(0.8 n) + 1 rarest tokens, so only these are joined
+    (prefix filter, by document counts of the items' tokens); the pairs that are left are compared whole.
+    """
     own = lambda name, key: adapters.table(spark, sf_dir, name).select(key, text.tokens(text.fold(F.col("text"))).alias("t"))
-    items = own("benchmark", "item_id").select("item_id", F.size("t").alias("n"), F.explode("t").alias("t"))
-    pairs = own("documents", "doc_id").select("doc_id", F.explode("t").alias("t")).join(items, "t").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
-    return pairs.where(F.col("shared") / F.col("n") >= 0.8).select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("coverage"))
+    items, docs = stored(own("benchmark", "item_id")), stored(own("documents", "doc_id"))
+    each = docs.select("doc_id", F.explode("t").alias("t"))
+    of_items = items.select("item_id", F.size("t").alias("n"), F.explode("t").alias("t"))
+    frequency = each.join(of_items.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("df"))
+    ranked = of_items.join(frequency, "t", "left").withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "t")))
+    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.round(F.col("n") * SHARE, 9)) + 1).where("df > 0").select("item_id", "t")
+    pairs = each.join(prefix, "t").select("doc_id", "item_id").distinct()
+    whole = pairs.join(items.withColumnRenamed("t", "own"), "item_id").join(docs, "doc_id")
+    shared = F.size(F.array_intersect("own", "t"))
+    rows = whole.select("doc_id", "item_id", shared.cast("long").alias("shared"), F.size("own").alias("n"))
+    return rows.where(F.col("shared") / F.col("n") >= SHARE).select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("coverage"))
 
 
 @add("""WITH b AS (SELECT item_id, lower(regexp_replace(text, '\\s', '', 'g')) AS c FROM benchmark WHERE length(text) > 0), d AS (SELECT doc_id, lower(regexp_replace(text, '\\s', '', 'g')) AS c FROM documents)
 SELECT doc_id, count(*) AS hits, min(item_id) AS first_item FROM d JOIN b ON contains(d.c, b.c) GROUP BY 1""")
 def contamination_scan(spark, sf_dir):
     """Benchmark passages inside documents, blind to white space."""
-    canary = lambda name, key: adapters.table(spark, sf_dir, name).select(key, text.canary_form(F.col("text")).alias("c")).where("length(c) > 0")
+    canary = lambda name, key: adapters.table(spark, sf_dir, name).select(key, text.canary_form_any(F.col("text")).alias("c")).where("length(c) > 0")
     found = contamination.passages_in(canary("documents", "doc_id"), canary("benchmark", "item_id"))
     return found.groupBy("doc_id").agg(F.count("*").alias("hits"), F.min("item_id").alias("first_item"))
 
@@ -111,18 +123,38 @@ def case_hash(spark, sf_dir):
     return _hashed(spark, sf_dir).select("doc_id", "case_hash")
 
 
-@add(HASHED + """SELECT lang, sha256('["' || string_agg(case_hash, '","' ORDER BY case_hash) || '"]') AS hash, count(*) AS n FROM h GROUP BY 1""")
+@add(HASHED + """SELECT lang, suite, sha256('["' || string_agg(case_hash, '","' ORDER BY case_hash) || '"]') AS hash, count(*) AS n FROM (SELECT *, doc_id // 1000 AS suite FROM h) GROUP BY 1, 2""")
 def suite_hash(spark, sf_dir):
-    """A hash of each language's documents: the list of one suite's hashes is gathered, 64 bytes for each case."""
-    return release.chain_hash(_hashed(spark, sf_dir), "case_hash", ("lang",))
+    """A hash of each suite: a language's documents of a thousand ids, whose hashes are gathered, 64 bytes for each case."""
+    return release.chain_hash(_hashed(spark, sf_dir).withColumn("suite", F.expr("doc_id div 1000")), "case_hash", ("lang", "suite"))
 
 
-FILES = "f AS (SELECT regexp_replace(replace(url, chr(92), '/'), '^\\./', '') AS path, coalesce(html, '') AS content FROM pages)"
+#: Pages as files of a repository: a tenth each are case files, site data and boards, with what some of them say.
+SPOTS = [
+    "concat('cases/public/', page_id, '.json')", "'site/data.js'", "concat('leaderboard/board', page_id, '.md')", "concat('data/raw/x', page_id, '.csv')", "concat('./src/', page_id, '.md')", "concat('runs/merged_', page_id, '.json')",
+    "concat('cases/clean_10k/', page_id, '.jsonl')", "concat('docs/', page_id, '.md')", "'DATA_ACCESS_POLICY.md'", "concat('site/', page_id, '.html')",
+]
+SAYS = [
+    "All cases were clinically validated.", "This was not clinically validated.", "We never overclaim, and the cases were externally validated", "\"goldFindings\" : []", "key ghp_abcdefghijklmnop", "on 12/03/2024 it ran", "public-merged-csv", "plain text", "no claim",
+    "No doubt; independent review was made", "token supabase_service_role_abcdefghijkl",
+]
+PATH = "CASE page_id % 10 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(SPOTS)) + " END"
+SAID = "CASE page_id % 11 " + " ".join(f"WHEN {i} THEN {quoted(x)}" for i, x in enumerate(SAYS)) + " END"
+PUBLIC_CLAIM = "regexp_matches(path, '(?i)^(?:site/data\\.js|leaderboard/(?:.*/)?[^/]+\\.md|DATA_ACCESS_POLICY\\.md)$')"
+RULE_SQL = [
+    ("raw-data-extension", "error", "regexp_matches(path, '(?i)\\.(?:csv|tsv|xlsx?|parquet|db)$')"), ("private-path-public-release", "error", "regexp_matches(path, '(?i)(?:^|/)(?:data/(?:raw|private|gated|hidden|official|source|corpus)|private-data|corpus|cases/(?:private|hidden|gated|official))(?:/|$)')"),
+    ("private-corpus-name", "error", "regexp_matches(path, '(?i)clean[_-]?[0-9]+k|merged.*\\.csv')"), ("secret-pattern", "error", "regexp_matches(content, '\\b(?:sk_live|sk-lf|ghp|gho|supabase_service_role)_[A-Za-z0-9_-]{12,}\\b')"),
+    ("public-derived-marker", "error", "regexp_matches(path, '^(?:cases/|runs/).*\\.(?:json|jsonl)$') AND regexp_matches(content, '(?i)public-merged-csv|merged-csv')"),
+    ("public-answer-key", "error", f"(starts_with(path, 'cases/public/') OR {PUBLIC_CLAIM}) AND contains(content, 'goldFindings\" :')"),
+    ("calendar-date-public-artifact", "error", "regexp_matches(path, '^(cases|leaderboard|site)/') AND regexp_matches(content, '\\b(?:[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2})\\b')"),
+    ("unsubstantiated-clinical-validation-claim", "error", f"{PUBLIC_CLAIM} AND regexp_matches(content, '(?i)(?:cases were clinically validated|cases were externally validated|independent review was made)')"),
+]
 
 
-@add(f"WITH {FILES} " + " UNION ALL ".join(f"SELECT path, {quoted(n)} AS rule FROM f WHERE regexp_matches({on}, {quoted(p.replace(chr(92) + 'd', '[0-9]'))})" for n, on, p in release.RULES))
+@add(f"WITH f AS (SELECT regexp_replace({PATH}, '^\\./', '') AS path, {SAID} AS content FROM pages) " + " UNION ALL ".join(f"SELECT path, '{n}' AS rule, '{v}' AS severity FROM f WHERE {w}" for n, v, w in RULE_SQL))
 def release_scan(spark, sf_dir):
-    return release.issues(adapters.table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("html").alias("content")))
+    """The rules for publication over files made from the pages."""
+    return release.issues(adapters.table(spark, sf_dir, "pages").selectExpr(f"{PATH} as path", f"{SAID} as content"))
 
 
 @add("""SELECT doc_id FROM documents WHERE regexp_matches(text, '\\b[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}\\b') OR regexp_matches(text, '\\b[0-9]{3}\\.?[0-9]{3}\\.?[0-9]{3}-?[0-9]{2}\\b')
@@ -149,32 +181,12 @@ def robustness_by_kind(spark, sf_dir):
     return robustness.by_kind(adapters.results(spark, sf_dir))
 
 
-# Checks on plain texts: id, severity, when the check is made, what it asks. Each is one expression; all run in one pass.
-CHECKS = [
-    ("Q01", "minor", "length(text) > 0", "regexp_like(text, '^[A-Z]')", "regexp_matches(text, '^[A-Z]')"),
-    ("Q05", "major", "true", "not regexp_like(text, '<[a-z/][^>]*>')", "NOT regexp_matches(text, '<[a-z/][^>]*>')"),
-    ("Q07", "critical", "true", "not regexp_like(text, '(?i)lorem|todo|xxx|[{][{]')", "NOT regexp_matches(text, '(?i)lorem|todo|xxx|[{][{]')"),
-    ("Q10", "major", "length(text) > 200", "not regexp_like(text, '[#*$%]{3,}')", "NOT regexp_matches(text, '[#*$%]{3,}')"),
-    ("Q11", "critical", "true", "length(trim(text)) > 10", "length(trim(text)) > 10"),
-    ("Q12", "major", "true", "size(split(trim(text), '[ \\n]+')) >= 15", "len(regexp_split_to_array(trim(text), '[ \\n]+')) >= 15"),
-    ("C04", "critical", "true", "not regexp_like(text, '(?m)^#{1,6} |\\\\*\\\\*')", "NOT regexp_matches(text, '(?m)^#{1,6} |\\*\\*')"),
-    ("R03", "minor", "regexp_like(text, '[0-9]')", "not regexp_like(text, '[0-9]{20,}')", "NOT regexp_matches(text, '[0-9]{20,}')"),
-]
-
-
-@add(" UNION ALL ".join(f"SELECT '{i}' AS id, '{s}' AS severity, count(*) AS emitted, count(*) FILTER (WHERE {sql}) AS passed FROM documents WHERE {when.replace('regexp_like', 'regexp_matches')}" for i, s, when, _, sql in CHECKS))
-def check_catalogue_counts(spark, sf_dir):
-    made = F.array_compact(F.array(*(F.when(F.expr(when), F.struct(F.lit(i).alias("id"), F.lit(s).alias("severity"), F.expr(test).alias("ok"))) for i, s, when, test, _ in CHECKS)))
-    rows = _docs(spark, sf_dir).select(F.explode(made).alias("c"))
-    return rows.groupBy("c.id", "c.severity").agg(F.count("*").alias("emitted"), F.count_if("c.ok").alias("passed"))
-
-
-@add()
+@add(f"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace({FOLD.format('text')}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))) AS s FROM documents)
+SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE regexp_matches(s, {quoted(CUE_BEFORE)}) OR regexp_matches(s, {quoted(CUE_AFTER)}) OR regexp_matches(s, '\\bno (?:signs?|findings?) of\\b')) AS denied FROM s GROUP BY 1""")
 def negation_scope(spark, sf_dir):
-    """Sentences of documents with a cue, and whether their last word is denied."""
-    sentences = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split(text.fold(F.col("text")), r"(?<=[.!?]) ")).alias("pos", "s"))
-    last = F.element_at(F.split(F.regexp_replace("s", "[^a-z0-9 ]", " "), " +"), -1)
-    return sentences.where(F.col("s").rlike(r"\b(?:no|not|without|absent|sem)\b")).select("doc_id", "pos", text.negated("s", last).alias("negated"))
+    """Sentences of documents, and how many of them hold a cue of denial."""
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(F.split(text.fold(F.col("text")), r"(?<=[.!?]) ")).alias("s"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(clinical.has_cue(F.col("s"), ENGLISH)).alias("denied"))
 
 
 @add()

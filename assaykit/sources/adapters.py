@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring
 from ..operators.scoring import DIMS
-from .scratch import stored
+from .scratch import ship, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -77,6 +78,5 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases that predictions should answer: documents with small ids."""
-    top = table(spark, sf_dir, "conversations").agg((F.max("conv_id") + 10).alias("top"))
-    return table(spark, sf_dir, "documents").crossJoin(F.broadcast(top)).where((F.col("doc_id") <= F.col("top")) & (F.col("doc_id") % 13 != 0)).select(F.col("doc_id").cast("string").alias("case_id"))
+    """Cases that predictions should answer: all documents."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("case_id"))

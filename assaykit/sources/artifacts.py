@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import stored
+
 CASE = "id string, label string, synthetic boolean, exam string, findings string, locale string, tags array<string>, goldFindings array<struct<finding:string,location:string,laterality:string,severity:string,measurements:array<string>,negated:boolean>>, referenceReport string, criticalFindings array<string>, guidelineExpectations array<struct<guidelineId:string,expectedClassification:string,recommendationRequired:boolean,expectedRecommendation:string>>, retrievalGold array<struct<documentId:string,relevance:int>>, patientContext struct<sex:string,age:int,indication:string>, difficulty string"
 CHECK = "struct<dim:string,id:string,name:string,severity:string,passed:boolean,evidence:string>"
 RUN = f"manifest struct<runName:string,suiteId:string,locale:string,track:string,comparableKey:string,suiteHash:string,judgeModel:string,scoreMode:string,validation:struct<valid:boolean,expectedIds:array<string>>>, summary struct<averageOverall:double,passRate:double,strictPassRate:double>, results array<struct<case:struct<id:string,difficulty:string>,checks:array<{CHECK}>,combinedOverall:double,verdict:string,costUsd:double,latencyMs:double>>"
@@ -90,7 +92,11 @@ def predictions_of(runs: DataFrame, text: str = "rawHtml") -> DataFrame:
 
 
 def append_new(df: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key the stored JSON lines don't have yet; returns how many."""
+    """Append the rows whose key the stored JSON lines don't have yet, each key once; returns how many.
+
+    The new rows are stored first and then written by one commit, so a job that fails or is tried again leaves no half of
+    them; of rows that share a key the smallest by their JSON text stays.
+    """
     spark = df.sparkSession
     try:
         have = spark.read.schema(df.schema).json(path).select(key)
@@ -98,10 +104,12 @@ def append_new(df: DataFrame, path: str, key: str) -> int:
     except Exception as e:  # noqa: BLE001  no output yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    df = df.cache()
-    n = df.count()
-    df.write.mode("append").json(path)
-    df.unpersist()
+    names = df.columns
+    rows = F.struct(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("j"), *names)
+    new = stored(df.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*names), rows["j"]).alias("r")).select("r.*"))
+    n = new.count()
+    if n:
+        new.write.mode("append").json(path)
     return n
 
 

@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from assaykit.functions import text
+from assaykit.functions import clinical, text
+from assaykit.functions.lexicon import ENGLISH, PORTUGUESE
 from assaykit.functions.rounding import to_fixed
-from assaykit.operators import agreement, pairing, release, retrieval, robustness, scoring, summary
+from assaykit.operators import agreement, contamination, evaluators, extraction, pairing, release, retrieval, robustness, scoring, summary
 from assaykit.sources import artifacts
+from assaykit.sources.scratch import with_position
 from assaykit.streaming import submissions
 
 SF = "/root/testdata/sf0.001"
@@ -102,7 +104,7 @@ def sequential(seed):
 def test_bootstrap_follows_the_stream(spark):
     scores, draws = [10, 250, 700, 655, 431, 90, 1000], sequential(42)
     means = sorted(sum(scores[math.floor(next(draws) * 7)] for _ in range(7)) for _ in range(200))
-    df = pairing.with_position(spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "case_id int, tenths long").repartition(3), "case_id")
+    df = with_position(spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "case_id int, tenths long").repartition(3), "case_id")
     for parts in (1, 5):
         r = agreement.bootstrap_interval(df.repartition(parts), 200).first()
         assert (r.lower, r.upper) == (pytest.approx(means[5] / 70, abs=1e-6), pytest.approx(means[194] / 70, abs=1e-6))
@@ -139,19 +141,14 @@ def test_submissions(spark):
 
 def test_text_functions(spark):
     assert one(spark, text.fold(F.lit(" Pneumotórax\n À  DIREITA ")).alias("x")).x == "pneumotorax a direita"
-    assert text.mention_negated("no effusion but acute hemorrhage present", "hemorrhage") is False
-    assert text.mention_negated("no hemorrhage or mass effect", "mass effect") is True
-    assert text.mention_negated("splenic laceration, without active extravasation", "laceration") is False
-    assert text.mention_negated("pneumothorax not seen", "pneumothorax") is True
-    assert text.mention_negated("sem pneumotorax", "missing mention") is True
+    assert one(spark, text.fold(F.lit("\u1ea4 \u00a0\u0391\u0301 x")).alias("x")).x == "a \u03b1 x"
     m = one(spark, text.measurements(F.lit("18x12x15 mm and 5 mm, 5 mm"), True).alias("m")).m
     assert m == ["18x12x15 mm", "5 mm"]
     assert one(spark, text.measurement_present(F.lit("nodule of 0,5 cm"), F.lit("0.5 cm")).alias("x")).x
     assert not one(spark, text.measurement_present(F.lit("nodule of 10.5 cm"), F.lit("0.5 cm")).alias("x")).x
     toks = [F.array(*map(F.lit, t.split())) for t in ("fracture left rib", "fractures rib", "fraction")]
-    r = one(spark, text.coverage(toks[0], toks[1]).alias("c"), text.similarity(toks[2], toks[0]).alias("s"))
+    r = one(spark, clinical.coverage(toks[0], toks[1]).alias("c"), clinical.similarity(toks[2], toks[0]).alias("s"))
     assert r.c == pytest.approx(2 / 3) and r.s == 0
-    assert text.greedy_pairs([["liver", "cyst"], ["liver", "mass"]], [["liver", "mass"], ["liver", "cyst"]]) == [(0, 1, 1.0), (1, 0, 1.0)]
     assert one(spark, text.sanitize(F.lit("<script>x</script><b>a</b><i>")).alias("x")).x == "<b>a</b>&lt;i&gt;"
     assert one(spark, text.normalize_generated(F.lit("```html\na\r\n\r\n\r\nb```")).alias("x")).x == "<br>a<br><br>b"
 
@@ -163,13 +160,60 @@ def test_perturbations(spark):
 
 
 def test_release_rules(spark):
-    files = spark.createDataFrame([("data\\raw\\x.csv", "on 12/05/2024"), ("a.md", "ok")], "path string, content string")
-    assert {r.rule for r in release.issues(files).collect()} == {"raw-data-extension", "private-path", "calendar-date"}
-    claims = [("It was clinically validated.", True), ("It was not clinically validated.", False), ("We do not overclaim, and it was clinically validated.", True)]
+    files = [
+        ("data\\raw\\x.csv", "on 12/05/2024"), ("a.md", "ok"), ("site/data.js", 'It was clinically validated. "suiteHash": "0123456789abcdef"'), ("src/x.md", "This was clinically validated."),
+        ("leaderboard/b.md", "This was not clinically validated."), ("cases/public/1.json", '"goldFindings": [], seen 2024-01-02'), ("x.py", "supabase_service_role_abcdefghijklm"),
+    ]
+    df = spark.createDataFrame(files, "path string, content string")
+    found = lambda **k: {(r.path, r.rule) for r in release.issues(df, **k).collect()}
+    always = {("data/raw/x.csv", "raw-data-extension"), ("x.py", "secret-pattern")}
+    public = {("data/raw/x.csv", "private-path-public-release"), ("cases/public/1.json", "public-answer-key"), ("cases/public/1.json", "calendar-date-public-artifact")}
+    claim = {("site/data.js", "unsubstantiated-clinical-validation-claim")}
+    assert found() == always | public | claim and found(substantiated=True) == always | public
+    assert found(mode="private") == always | {("data/raw/x.csv", "private-path-tracked")}
+    assert [r.suite_hash for r in release.published_suites(df).collect()] == ["0123456789abcdef"]
+    claims = [("It was clinically validated.", True), ("It was not clinically validated.", False), ("No harm was seen, and all of it was clinically validated.", True), ("não é uma validação independente", False)]
     for s, want in claims:
         assert one(spark, release.asserts_validation(F.lit(s)).alias("x")).x is want, s
 
 
+def test_positions_hold_when_partitions_are_coalesced(spark):
+    """The optimizer may read an exchange in other parts each time; positions must not depend on it."""
+    keys = {"spark.sql.adaptive.coalescePartitions.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.shuffle.partitions": "64"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        rows = spark.range(30_000).selectExpr("id", "(id * 7919) % 30000 AS k", "repeat(cast(id as string), 20) AS wide").repartition(17)
+        got = with_position(rows, "k")
+        assert got.count() == 30_000 and got.where("pos <> k").count() == 0
+        assert with_position(rows.where("id < 0"), "k").count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 30])
+def test_passages_of_any_length_are_found(spark, block):
+    texts = spark.createDataFrame([(1, "abcdefghijklmnopqrstuvwxyz0123456789"), (2, "xyzshort"), (3, ""), (4, None)], "doc_id long, c string")
+    items = [(10, "short"), (11, "ghijklmnopqrstuvwxyz01234567"), (12, "z"), (13, "absent"), (14, "z"), (15, ""), (16, None)]
+    got = contamination.passages_in(texts, spark.createDataFrame(items, "item_id long, c string"), block)
+    assert sorted(map(tuple, got.collect())) == [(1, 11), (1, 12), (1, 14), (2, 10), (2, 12), (2, 14)]
+
+
+def test_frontier_and_board_equal_one_window(spark):
+    rows = [(i, float((i * 37) % 50), float((i * 61) % 97), ("production", "model", "calibration")[i % 3]) for i in range(200)]
+    df = spark.createDataFrame(rows, "run int, cost double, average_overall double, board_group string").withColumns({"criterion_pass_rate": F.lit(1.0), "all_pass_rate": F.lit(0.5)}).repartition(9)
+    best, want = -1.0, set()
+    for i, _, score, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        if score > best:
+            best = score
+            want.add(i)
+    assert {r.run for r in summary.pareto_frontier(df, "cost", "average_overall", "run").collect()} == want
+    order = sorted(rows, key=lambda r: (("production", "model", "calibration").index(r[3]), -r[2], r[0]))
+    assert [r.run for r in summary.board_order(df).orderBy("position").collect()] == [r[0] for r in order]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     good, bad = tmp_path / "p.jsonl", tmp_path / "bad.jsonl"
     good.write_text('{"instance_id": "a", "model_output": "x", "metadata": {"retrieval": {"docIds": ["d1"]}}}\n\n{"instance_id": "b", "model_output": "y", "score": 1}\n')
@@ -202,7 +246,7 @@ def test_stream_of_predictions(spark, tmp_path):
     assert [(r.instance_id, r.pos) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", 2)]
 
 
-LIGHT = ["criterion_stats", "all_pass_rate", "dim_scores", "severity_cap", "submission_validation", "latest_prediction", "strata_excess", "audit_totals", "failure_taxonomy", "retrieval_metrics", "text_fold", "sanitize_html", "language_signal", "token_coverage", "contamination_scan", "case_hash", "suite_hash", "release_scan", "phi_scan", "telemetry_clean", "check_catalogue_counts"]
+LIGHT = ["criterion_stats", "all_pass_rate", "dim_scores", "severity_cap", "submission_validation", "latest_prediction", "strata_excess", "audit_totals", "failure_taxonomy", "retrieval_metrics", "text_fold", "sanitize_html", "language_signal", "token_coverage", "contamination_scan", "case_hash", "suite_hash", "release_scan", "phi_scan", "telemetry_clean", "negation_scope", "report_classifications", "report_recommendations", "report_critical_mentions", "report_findings", "mention_denial", "copy_ratio", "section_tokens", "recall_precision_f1", "finding_score", "weighted_check_score", "catalogue_core"]
 
 
 @pytest.mark.parametrize("name", LIGHT)
@@ -242,5 +286,68 @@ def test_structural_checks(spark):
     assert failed[1] == set() and failed[2] == {"C01", "C05", "Q07", "R02"}
     assert {"C04", "Q01", "Q08", "Q11", "R01", "R06"} <= failed[3]
     assert not {r.id for r in got if r.case_id == 1} & {"TM1", "TM2", "Q09", "R03", "R05"}
-    m = spark.range(1).select(*catalogue.exam_meta(F.lit("MRI of the lumbar spine with contrast"))).first()
-    assert tuple(m) == ("MRI", "spine", True)
+    m = spark.range(1).select(*(v.alias(k) for k, v in catalogue.exam_meta(F.lit("MRI of the lumbar spine with contrast"), F.lit("normal")).items())).first()
+    assert tuple(m) == ("MRI", "spine", True, False)
+    pt = spark.createDataFrame([(1, "<center><b>TOMOGRAFIA DO CRÂNIO</b></center><br><br><b>Análise:</b><br>Presença de hematoma subdural à direita.<br><br><b>Conclusão:</b><br>Hematoma subdural.", "hematoma subdural à esquerda", "TC de crânio")], "case_id int, html string, findings string, exam string")
+    failed = {r.id for r in catalogue.structural_checks(pt, catalogue.PORTUGUESE).collect() if not r.passed}
+    assert {"TO0", "R02", "Q12"} <= failed and not failed & {"R01", "Q08", "Q11", "C07", "T-LANG", "R06"}
+
+
+GOLD = "array<struct<finding:string,severity:string,location:string,laterality:string,measurements:array<string>,negated:boolean>>"
+
+
+def report(analysis: str, conclusion: str) -> str:
+    return f"<center><b>CT OF THE HEAD</b></center><br><br><b>Findings</b><br>{analysis}<br><br><b>Impression</b><br>{conclusion}"
+
+
+def test_denials_hold_in_their_clause(spark):
+    asked = [
+        ("Without fluid but with an acute bleed in the spleen", "acute bleed", False), ("No bleed or swelling", "swelling", True), ("Torn ligament, without fluid", "torn ligament", False), ("Bleed not seen", "bleed", True),
+        ("Nothing but air", "bleed", False), ("no air", "bleed", True), (None, "x", None),
+    ]
+    df = spark.createDataFrame([(i, s, m) for i, (s, m, _) in enumerate(asked)], "i int, s string, m string")
+    got = [r.x for r in df.orderBy("i").select(clinical.mention_denied(F.col("s"), F.col("m"), ENGLISH).alias("x")).collect()]
+    assert got == [w for _, _, w in asked]
+    pt = one(spark, clinical.mention_denied(F.lit("Sem líquido, mas com fratura"), F.lit("fratura"), PORTUGUESE).alias("a"), clinical.mention_denied(F.lit("Não há fratura"), F.lit("fratura"), PORTUGUESE).alias("b"))
+    assert (pt.a, pt.b) == (False, True)
+
+
+def test_evaluators(spark):
+    found = [("Acute subdural hematoma", "critical", None, "left", ["12 mm"], False), ("Mild sinus thickening", "minor", None, None, [], False), ("pneumothorax", "major", None, None, [], True)]
+    good = report("Acute subdural hematoma along the left convexity of 12 mm.<br>Mild thickening of the sinus.<br>No pneumothorax.", "Acute left subdural hematoma with sinus thickening.")
+    denied = report("No subdural hematoma.<br>Mild sinus thickening.<br>No pneumothorax.", "No acute subdural hematoma is seen here.")
+    invented = report("Acute subdural hematoma on the left, 12 mm.<br>Mild sinus thickening. No pneumothorax.<br>Large hepatic metastasis.", "Acute left subdural hematoma and hepatic metastasis.")
+    rows = [(k, h, "CT of the head", "acute subdural hematoma left 12 mm, mild sinus thickening", found, ["Acute subdural hematoma"], "CT", "en-US") for k, h in enumerate((good, denied, invented))]
+    rows.append((3, report("Breast nodule, BI-RADS 9.", "Nodule of the breast."), "US of the breast", "nodule in the breast", [], [], "US", "en-US"))
+    rows += [(4, None, None, None, None, None, None, None), (5, "", "", "", [], [], "CT", "pt-BR")]
+    cases = spark.createDataFrame(rows, f"case_id int, html string, exam string, findings string, gold {GOLD}, urgent array<string>, modality string, locale string")
+    got = {r.case_id: r for r in evaluators.evaluate(cases).collect()}
+    assert len(got) == len(rows)
+    kinds = lambda k: [m.match for m in got[k].matches]
+    failed = lambda k: {c.id for c in [*got[k].quality_checks, *got[k].critical_checks] if not c.passed}
+    assert kinds(0) == ["exact", "exact", "exact"] and not failed(0) & {"QG01", "QG02", "QG05", "CG01", "CG03"} and (got[0].recall, got[0].precision) == (1, 1)
+    assert kinds(1)[0] == "missed" and {"QG01", "QG02", "CG01"} <= failed(1) and got[1].recall == 0 and got[1].critical_score == 30
+    assert "QG03" in failed(2) and any("metastasis" in h.text and h.confidence == "high" for h in got[2].invented) and got[2].quality_score < got[0].quality_score
+    assert {c.id: c.passed for c in got[3].guide_checks} == {"GE-birads-presence": True, "GE-birads-valid-range": False} and got[3].guide_mode == "expected-guidelines"
+    assert got[5].retrieval_score == -1 and got[5].quality_score == 100 and got[4].quality_mode == "structural-fallback"
+
+
+def test_retrieval_evaluator(spark):
+    rows = [(1, {"a": 2, "b": 1, "c": 1}, ["x", "a", "a", "b"], "axial T1 images"), (2, {"a": 1}, [], "none"), (3, None, [], "axial images")]
+    cases = spark.createDataFrame(rows, "case_id int, relevance map<string,int>, retrieved array<string>, html string").withColumn("exam", F.lit("MRI T1"))
+    got = {r.case_id: r for r in evaluators.retrieval(cases).collect()}
+    p, r, m = 2 / 3, 2 / 3, 0.5
+    gain = (3 / math.log2(3) + 1 / 2) / (3 + 1 / math.log2(3) + 1 / 2)
+    assert got[1].retrieval_score == math.floor(r * 40 + p * 20 + gain * 25 + m * 15 + 0.5) and [c.passed for c in got[1].retrieval_checks] == [True, True, gain >= 0.5, True]
+    assert (got[2].retrieval_mode, got[2].retrieval_score) == ("retrieval-gold-present-no-pipeline", -1)
+    assert [c.evidence for c in got[3].retrieval_checks] == ["axial acquisition"] and got[3].retrieval_score == 0
+
+
+def test_classification_values(spark):
+    html = "BI-RADS 4a, ACR TI-RADS: TR5, LR-TNC, Bosniak 3, Lung-RADS 4x; PI-RADS 2. BI-RADS 4A"
+    df = spark.createDataFrame([(1, html)], "case_id int, html string")
+    got = {(r.system, r.normal) for r in extraction.extract(df, "classifications").collect()}
+    assert got == {("birads", "4A"), ("tirads", "5"), ("lirads", "TNC"), ("bosniak", "III"), ("lungrads", "4X"), ("pirads", "2")}
+    values = {"BI-RADS 4a": "4A", "TI-RADS TR5": "5", "Bosniak 2F": "IIF", "LR-5": "5", "Lung-RADS 4X": "4X"}
+    r = one(spark, *(extraction.normal_value(F.lit(k)).alias(f"x{i}") for i, k in enumerate(values)))
+    assert list(r) == list(values.values())
