@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .tables import lean
+from .tables import keeper, lean
 from .text import Cache, pieces, strings, with_columns
 
 #: White space as the tokenizer's regular expressions have it; str.split() also takes \x1c-\x1f.
@@ -183,7 +183,7 @@ class Bpe:
         return " ".join([blob[o[i] : o[i + 1]] for i in ids])
 
 
-_made: dict[bytes, Bpe] = {}
+_made: dict[bytes, Bpe] = keeper("bpe")
 
 
 def tables(spec: bytes) -> Bpe:
@@ -215,7 +215,6 @@ def encode(docs: DataFrame, vocabulary: str, fields=("n_tokens", "token_ids"), t
     keep = [c for c in (docs.columns if keep is None else keep) if c not in fields and (keep is not None or c != text)]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(f, FIELDS[f][0]) for f in fields])
 
-    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tables(spec.value)
         for b in pieces(batches, text, 2 << 20):
@@ -228,7 +227,7 @@ def encode(docs: DataFrame, vocabulary: str, fields=("n_tokens", "token_ids"), t
             }
             yield with_columns(b, keep, {f: pa.array(new[f](), FIELDS[f][1]) for f in fields})
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(lean(run, "bpe"), schema)
 
 
 def decode(tokens: DataFrame, vocabulary: str, ids="token_ids", into="decoded") -> DataFrame:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import functools
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+from ..sources.scratch import shared_dir, stored
+
+__all__ = ["BROADCAST_ROWS", "cut", "keeper", "lean", "shared_dir", "ship", "small", "table"]
+
 #: A side is broadcast up to so many rows of a few machine words each (tens of MB); beyond it a shuffled join runs.
 BROADCAST_ROWS = 1_000_000
 
@@ -15,14 +19,26 @@ BROADCAST_ROWS = 1_000_000
 #: Rows go to Python workers in batches of at most so many rows and about so many bytes, where the session has Spark's defaults.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
 
-_shipped: set[str] = set()
+#: What a worker keeps from one task to the next, by the operator that made it.
+_kept: dict[str, dict] = {}
+
 
+def keeper(name: str) -> dict:
+    """A dict that outlives the tasks of one operator in a worker, and is emptied when another one's task begins there."""
+    return _kept.setdefault(name, {})
 
-def lean(run):
-    """A function over batches that hands its worker's free memory back to the system when a task ends."""
+
+def lean(run, keep: str | None = None):
+    """A function over batches that hands its worker's free memory back to the system when a task ends.
+
+    Workers serve one task after another: what other operators kept there goes first.
+    """
 
     @functools.wraps(run)
     def wrapped(batches):
+        for name, held in _kept.items():
+            if name != keep:
+                held.clear()
         try:
             yield from run(batches)
         finally:
@@ -42,26 +58,11 @@ def lean(run):
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand this package to the Python workers, once for each application, so they need no installed copy."""
-    import pathlib
-    import tempfile
-    import zipfile
-
+    """This package for the Python workers, and smaller batches for them."""
     for key, (default, ours) in BATCHES.items():
         if spark.conf.get(key) == default:
             spark.conf.set(key, ours)
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    _shipped.add(app)
-    root = pathlib.Path(__file__).resolve().parents[1]
-    if not root.is_dir():  # itself in an archive that Spark has shipped
-        return
-    to = pathlib.Path(tempfile.mkdtemp(prefix="assaykit-")) / "assaykit-src.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(to))
+    scratch.ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,27 +71,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which driver and executors share; a temporary one only where it is unset and all run in one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        import tempfile
-
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-
-        named = f"file://{tempfile.mkdtemp(prefix='assaykit-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: the plan above it starts from files that outlive any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    ship(df.sparkSession)
+    return stored(df)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
