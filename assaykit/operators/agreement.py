@@ -94,8 +94,13 @@ def judge_to_hundred(v: Column) -> Column:
 
 def draw(seed: int, index: Column) -> Column:
     """Number `index` (from 1) of a 32-bit mixing generator with additive state, between 0 and 1: each draw on its own, in any task."""
+    return draw_seeded(F.lit(seed), index)
+
+
+def draw_seeded(seed: Column, index: Column) -> Column:
+    """The same with a seed from a column."""
     wrap = lambda x: x.bitwiseAND(F.lit(MASK))
-    x = wrap(F.lit(seed) + wrap(index) * F.lit(-1640531527))
+    x = wrap(seed + wrap(index) * F.lit(-1640531527))
     x = x.bitwiseXOR(F.shiftright(x, 16))
     x = wrap(x * F.lit(0x21F0AAAD))
     x = x.bitwiseXOR(F.shiftright(x, 15))

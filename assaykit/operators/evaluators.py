@@ -66,9 +66,9 @@ def weighted_share(checks: Column, weights: dict[str, float]) -> Column:
     return F.when(F.size(checks) == 0, 100).otherwise(half_up(passed / total * 100))
 
 
-def by_locale(cases: DataFrame, step) -> DataFrame:
+def by_locale(cases: DataFrame, step, locales=LOCALES) -> DataFrame:
     """step(rows, lexicon) over the rows of each locale."""
-    parts = [step(cases.where(F.col("locale") == lex.key), lex) for lex in LOCALES]
+    parts = [step(cases.where(F.col("locale") == lex.key), lex) for lex in locales]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -595,9 +595,9 @@ def retrieval(cases: DataFrame) -> DataFrame:
     return rows.withColumns({"retrieval_mode": mode, "retrieval_score": score}).select(*cases.columns, "retrieval_mode", "retrieval_score", "retrieval_checks")
 
 
-def evaluate(cases: DataFrame) -> DataFrame:
-    """cases with the results of all four evaluators."""
+def evaluate(cases: DataFrame, locales=LOCALES) -> DataFrame:
+    """cases of these locales with the results of all four evaluators."""
     new = [*QUALITY, *CRITICAL]
     full = with_defaults(cases)
-    both = by_locale(full, lambda rows, lex: _critical(_quality(rows, lex).select(*dict.fromkeys([*full.columns, *QUALITY])), lex).select(*dict.fromkeys([*full.columns, *new])))
+    both = by_locale(full, lambda rows, lex: _critical(_quality(rows, lex).select(*dict.fromkeys([*full.columns, *QUALITY])), lex).select(*dict.fromkeys([*full.columns, *new])), locales)
     return retrieval(guidelines(both)).select(*dict.fromkeys([*cases.columns, *new, "guide_mode", "guide_score", "guide_checks", "retrieval_mode", "retrieval_score", "retrieval_checks"]))

@@ -8,6 +8,7 @@ from ..functions import clinical
 from ..functions.lexicon import ENGLISH
 from ..operators import catalogue, evaluators, extraction
 from ..sources import adapters, reports
+from ..sources.scratch import stored
 
 from .registry import Registry
 
@@ -164,20 +165,20 @@ def weighted_check_score(spark, sf_dir):
 def greedy_match(spark, sf_dir):
     """Gold findings matched with a report's own, in order of gold."""
     rows = evaluators.quality(reports.cases(spark, sf_dir))
-    return rows.select("case_id", F.posexplode("matches").alias("n", "m")).select("case_id", "n", "m.finding", "m.severity", "m.match", F.round("m.score", 6).alias("score"))
+    return stored(rows.select("case_id", "matches")).select("case_id", F.posexplode("matches").alias("n", "m")).select("case_id", "n", "m.finding", "m.severity", "m.match", F.round("m.score", 6).alias("score"))
 
 
 @add()
 def evaluate_reports(spark, sf_dir):
     """All four evaluators over the reports, with their structural checks as the fallback."""
-    rows = evaluators.evaluate(catalogue.with_checks(reports.cases(spark, sf_dir)))
+    rows = evaluators.evaluate(stored(catalogue.with_checks(reports.cases(spark, sf_dir))), (ENGLISH,))
     return rows.select("case_id", "quality_mode", "quality_score", "critical_mode", "critical_score", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), "guide_mode", "guide_score", "retrieval_mode", "retrieval_score")
 
 
 @add()
 def guideline_checks(spark, sf_dir):
-    rows = evaluators.guidelines(catalogue.with_checks(reports.cases(spark, sf_dir)))
-    return rows.select("case_id", F.inline("guide_checks")).groupBy("id", "severity").agg(F.count("*").alias("emitted"), F.count_if("passed").alias("passed"))
+    rows = evaluators.guidelines(stored(catalogue.with_checks(reports.cases(spark, sf_dir))))
+    return stored(rows.select("case_id", "guide_checks")).select("case_id", F.inline("guide_checks")).groupBy("id", "severity").agg(F.count("*").alias("emitted"), F.count_if("passed").alias("passed"))
 
 
 # ---- The catalogue

@@ -8,7 +8,7 @@ import __spark_entry__
 from assaykit.functions import clinical, text
 from assaykit.functions.lexicon import ENGLISH, PORTUGUESE
 from assaykit.functions.rounding import to_fixed
-from assaykit.operators import agreement, contamination, evaluators, extraction, pairing, release, retrieval, robustness, scoring, summary
+from assaykit.operators import adjudication, agreement, board, calibration, contamination, evaluators, extraction, pairing, release, retrieval, robustness, scoring, submission, summary
 from assaykit.sources import artifacts
 from assaykit.sources.scratch import with_position
 from assaykit.streaming import submissions
@@ -154,9 +154,79 @@ def test_text_functions(spark):
 
 
 def test_perturbations(spark):
-    r = one(spark, robustness.flip_laterality(F.lit("Left and right, esquerda")).alias("a"), robustness.insert_negation(F.lit("One. Two.")).alias("b"), robustness.insert_negation(F.lit("mass")).alias("c"), robustness.drop_negation(F.lit("no fracture, without edema")).alias("d"))
-    assert (r.a, r.b, r.c, r.d) == ("right and left, direita", "One. no evidence of Two.", "no evidence of mass", "fracture, edema")
-    assert robustness.scramble_measurements("5 mm, 10,5 cm", sequential(1)).count(",") >= 3 and robustness.seed("é") != robustness.seed("e")
+    r = one(spark, robustness.flip_laterality(F.lit("Left and right")).alias("a"), robustness.flip_laterality(F.lit("à esquerda, lado direito"), "pt-BR").alias("e"), robustness.insert_negation(F.lit("One. Two.")).alias("b"), robustness.insert_negation(F.lit("mass")).alias("c"), robustness.drop_negation(F.lit("no fracture, without edema")).alias("d"))
+    assert (r.a, r.b, r.c, r.d, r.e) == ("right and left", "One. no evidence of Two.", "no evidence of mass", "fracture, edema", "à direita, lado esquerdo")
+    labels = F.array(F.lit("Subdural hematoma"))
+    text_ = F.lit("Chest clear.<br>Large subdural hematoma on the left.<br><br><b>Impression</b><br>Hematoma. Cyst of 5 mm and 10,5 cm")
+    r = one(spark, robustness.deny_target(text_, labels).alias("a"), robustness.drop_critical(text_, labels).alias("b"), robustness.corrupt_terms(text_).alias("c"), robustness.break_structure(text_).alias("d"), robustness.invent_critical(text_, F.lit(0.5)).alias("e"))
+    assert "<br>no evidence of Large subdural hematoma" in r.a and "hematoma" not in r.b.lower() and "Chest clear." in r.b and r.c.endswith("blister of 5 mm and 10,5 cm")
+    assert "<" not in r.d and "  " not in r.d and "left.New hepatic metastasis identified in segment VII measuring 32 mm. <br><br><b>Impression" in r.e
+    draws = sequential(robustness.seed("7::measurement_scramble"))
+    numbers = [(5.0, next(draws)), (10.5, next(draws))]
+    want = [f"{n * (0.3 if d < 0.5 else 4.0) + 7:.1f}".replace(".", ",") for n, d in numbers]
+    gold = [("Subdural hematoma", "critical", None, "left", [], False), ("pneumothorax", "minor", None, None, [], True)]
+    cases = spark.createDataFrame([(7, "Subdural hematoma on the left. No pneumothorax. Cyst of 5 mm and 10,5 cm", gold, ["Subdural hematoma"], "en-US"), (8, "plain", [], [], "pt-BR"), (9, None, None, None, "en-US")], f"case_id int, findings string, gold {GOLD}, urgent array<string>, locale string")
+    got = {(x.case_id, x.kind): x.text for x in robustness.matrix(cases).collect()}
+    assert len(got) == 24 and f"Cyst of {want[0]} mm and {want[1]} cm" in got[7, "measurement_scramble"]
+    some = {(x.case_id, x.kind) for x in robustness.matrix(cases, applicable_only=True).collect()}
+    assert {k for i, k in some if i == 7} == {k for k, _, _ in robustness.KINDS} - {"structure_break", "terminology_corrupt"} | {"terminology_corrupt"} and {k for i, k in some if i == 8} == {"critical_invent"}
+    assert robustness.seed("é") != robustness.seed("e")
+
+
+def test_a_submission_from_predictions_to_results(spark):
+    found = [("Acute subdural hematoma", "critical", None, "left", [], False)]
+    rows = [(k, "CT of the head", "acute subdural hematoma on the left", found if k < 3 else [], "en-US") for k in range(4)]
+    cases = spark.createDataFrame(rows, f"case_id int, exam string, findings string, gold {GOLD}, locale string")
+    good, bad = report("Acute subdural hematoma on the left.", "Acute left subdural hematoma of the convexity."), report("No subdural hematoma.", "Normal head without subdural hematoma.")
+    given = spark.createDataFrame([("0", 1, bad), ("0", 2, good), ("1", 1, bad), ("3", 1, good), ("9", 1, good)], "instance_id string, pos int, model_output string")
+    got = {r.case_id: r for r in submission.evaluate_submission(cases, given).collect()}
+    assert set(got) == {0, 1, 3} and got[1].verdict == "FAIL" and got[0].overall > got[1].overall and got[1].crit_CRIT > 0 and got[0].crit_CRIT == 0
+    failed = submission.results(cases.withColumns({"html": F.lit(good), "failed": F.col("case_id") == 0})).collect()
+    zero = next(r for r in failed if r.case_id == 0)
+    assert zero.overall < 60 and zero.verdict == "FAIL" and zero.criteria_total == 5 and zero.criteria_passed == 0
+    r = one(spark, submission.trusted_latency(F.lit(-1.0), F.lit(7.0)).alias("a"), submission.trusted_latency(F.lit(float("nan")), F.lit(7.0)).alias("b"), submission.trusted_latency(F.lit(0.0), F.lit(7.0)).alias("c"))
+    assert (r.a, r.b, r.c) == (7, 7, 0)
+
+
+def test_adjudication_records(spark):
+    reviewed = {f: True for f in adjudication.REVIEWED}
+    label = lambda who, ok=True, notes="fine": (who, ok, {d: "PASS" for d in scoring.DIMS}, notes, "2025-01-02T03:04:05Z")
+    whole = ("1.0", "s", "h", "2025-01-02T03:04:05Z", ["a", "b"], ["x", "y"], [("a", reviewed, [label("x"), label("y")]), ("b", reviewed, [label("x"), label("y")])])
+    worse = ("1.0", "s", "h", "yesterday", ["a", "c"], ["x"], [("a", {**reviewed, "polarityReviewed": False}, [label("x"), label("z", False, "mail a.b@c.de")])])
+    got = adjudication.validated(spark.createDataFrame([whole, worse, (None,) * 7], adjudication.SCHEMA)).collect()
+    assert got[0].valid and got[0].errors == [] and (got[0].clinical_agreement, got[0].dimension_agreement, got[0].reviewer_count) == (100.0, 100.0, 2)
+    assert not got[1].valid and set(got[1].errors) == {
+        "lockedAt must be an ISO timestamp", "at least two adjudicators are required", "cases length must match caseIds length", "a: polarityReviewed must be true", "a: unknown reviewerId z",
+        "a/z: reviewer notes contain PHI/PII-like text", "missing adjudication case: c", "clinical acceptability agreement 0.0% is below 80%",
+    }
+    assert not got[2].valid and "caseIds must not be empty" in got[2].errors
+    other = adjudication.validated(spark.createDataFrame([whole], adjudication.SCHEMA), suite_hash="k").first()
+    assert other.errors == ["suiteHash mismatch: expected k, got h"]
+
+
+def test_board(spark):
+    shown = [("Model X (@org/model)", "Model X"), ("@org/model now", "private configuration now"), ("see https://a.b/c", "see private target"), ("via openrouter /api/run", "via private product reporting flow")]
+    for raw, want in shown:
+        assert one(spark, board.public_label(F.lit(raw)).alias("x")).x == want
+    row = dict(run="r", benchmark_version="2", suite_id="s", locale="en-US", track="model", comparison_class=None, scaffold_id="my-pipeline", judge_model="secret", score_mode=None, model_label="M", entity_name=None, system_type=None, entity_type=None)
+    got = board.public_entries(spark.createDataFrame([row], ", ".join(f"{k} string" for k in row))).first()
+    assert got.public_key == "2::s::en-US::model::model::product-agent::judged-frozen-conservative-min" and (got.entity_name, got.entity_type, got.system_type, got.judge_model) == ("M", "model", "raw-model", "hidden")
+    v = spark.createDataFrame([(False, ["a", "b"], ["a"], ["b"], [], [], [], ["missing cases: b", "odd"])], "valid boolean, expected_ids array<string>, received_ids array<string>, missing_ids array<string>, duplicate_ids array<string>, extra_ids array<string>, empty_outputs array<string>, errors array<string>")
+    got = board.public_validation(v).first()
+    assert got.errors == ["missing cases: 1", "invalid submission details withheld"] and (got.expected_count, got.missing_count) == (2, 1)
+    runs = spark.createDataFrame([("r1", "s", "h", "public", "local", "en-US", "2", 5), ("r2", "s", "k", "public", "local", "pt-BR", "2", 5), ("r3", "t", "h", "public", "local", "en-US", "2", 5)], "run string, suite_id string, suite_hash string, visibility string, evaluation_mode string, locale string, benchmark_version string, case_count int")
+    errors = sorted(map(tuple, board.run_mismatches(runs, runs.where("run = 'r1'")).collect()))
+    assert errors == [("r2", "locale mismatch: expected en-US, got pt-BR"), ("r2", "suiteHash mismatch: expected h, got k"), ("r3", "unknown suite t")]
+
+
+def test_calibration(spark):
+    rows = [(f"r{j}{k}", f"judge{j}", c, float(60 + c * 3 + j), "PASS" if c > 4 else "FAIL", float(50 + c * 4), float(c % 6)) for j in range(2) for k in range(2) for c in range(10)]
+    got = calibration.calibrate(spark.createDataFrame(rows, "run string, judge string, case_id int, overall double, verdict string, det_overall double, judge_overall double")).first()
+    assert got.judges == ["judge0", "judge1"] and got.case_count == 10 and got.test_retest_alpha == 1 and got.cross_judge_kappa == 1 and got.n == 40 and 0.9 < got.cross_judge_alpha < 1
+    one_run = calibration.calibrate(spark.createDataFrame(rows[:10], "run string, judge string, case_id int, overall double, verdict string, det_overall double, judge_overall double")).first()
+    assert one_run.test_retest_alpha is None and one_run.cross_judge_kappa is None and one_run.verdict in ("calibrated", "weak", "uncalibrated")
+    pairs = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 7.0), (None, 1.0)], "x double, y double")
+    assert calibration.pearson(pairs).first().r == pytest.approx(0.993399, abs=1e-6)
 
 
 def test_release_rules(spark):
