@@ -51,11 +51,10 @@ def public_entries(runs: DataFrame) -> DataFrame:
     product = raw.rlike(PRODUCT_LABEL) | F.coalesce(c("entity_name").rlike(PRODUCT_LABEL), F.lit(False))
     system = F.coalesce("system_type", F.when(c("track") == "model", "raw-model").when(c("track") == "mini-agent", "mini-agent").when(product, "product-agent").otherwise("custom-agent"))
     own = F.when(product, "Reporting agent").otherwise(public_label(raw))
-    rows = runs.withColumns({"system_type": system, "entity_name": public_label(F.coalesce("entity_name", own)), "public_system_label": own, "_class": public_label(F.coalesce("comparison_class", system))})
+    rows = runs.withColumns({"system_type": system, "entity_name": public_label(F.coalesce("entity_name", own)), "public_system_label": own, "_class": public_label(F.coalesce("comparison_class", system)), "_key_class": public_label(F.coalesce("comparison_class", "system_type", "track"))})
     mode = F.when(c("judge_model").isNotNull(), F.concat(F.lit("judged-frozen-"), F.coalesce("score_mode", F.lit("conservative-min")))).otherwise("deterministic")
-    key_class = public_label(F.coalesce(runs["comparison_class"], runs["system_type"], runs["track"]))
     key = F.concat_ws("::", "benchmark_version", "suite_id", "locale", "track", c("_key_class"), F.coalesce(public_scaffold(c("scaffold_id")), F.lit("none")), mode)
-    rows = rows.withColumns({"entity_type": F.coalesce("entity_type", entity_type(c("system_type"))), "_key_class": key_class})
+    rows = rows.withColumn("entity_type", F.coalesce("entity_type", entity_type(c("system_type"))))
     rows = rows.withColumns({"public_key": key, "judge_model": F.when(c("judge_model").isNotNull(), "hidden"), "comparison_class": c("_class")})
     return rows.drop("_class", "_key_class")
 
