@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CUTS = (1, 3, 5, 10)
+#: Queries that are broadcast at once: some MB of vectors.
+BLOCK = 4096
 
 
 def distinct_ranks(retrieved: DataFrame) -> DataFrame:
@@ -29,7 +31,22 @@ def ideal(qrels: DataFrame) -> DataFrame:
     return best.groupBy("query").agg(F.count_if(F.col("rel") >= 1).alias("relevant"), *(F.sum(F.when(F.col("k") <= c, gain(F.col("rel"), F.col("k"))).otherwise(0.0)).alias(f"idcg_{c}") for c in CUTS))
 
 
+def ideal_of_counts(counts: DataFrame) -> DataFrame:
+    """ideal() where relevance is 0 or 1: counts (query, relevant) say how many documents are relevant."""
+    steps = [0.0]
+    import math
+
+    for k in range(1, max(CUTS) + 1):
+        steps.append(steps[-1] + 1.0 / math.log2(k + 1))
+    table = F.array(*map(F.lit, steps))
+    return counts.select("query", "relevant", *(F.get(table, F.least(F.col("relevant"), F.lit(c)).cast("int")).alias(f"idcg_{c}") for c in CUTS))
+
+
 def metrics(ranked_rel: DataFrame, qrels: DataFrame) -> DataFrame:
+    return rated(ranked_rel, ideal(qrels))
+
+
+def rated(ranked_rel: DataFrame, ideals: DataFrame) -> DataFrame:
     """precision, recall and ndcg at the cuts that the list reaches, mrr, and the composite score.
 
     Recall without relevant documents is 1, ndcg without ideal gain 0; the composite takes the cut 5 (or the list's length).
@@ -40,7 +57,7 @@ def metrics(ranked_rel: DataFrame, qrels: DataFrame) -> DataFrame:
         *(F.count_if(hit & (F.col("rank") <= c)).alias(f"found_{c}") for c in CUTS),
         *(F.sum(F.when(F.col("rank") <= c, gain(F.col("rel"), F.col("rank"))).otherwise(0.0)).alias(f"dcg_{c}") for c in CUTS),
     )
-    both = seen.join(ideal(qrels), "query", "left").fillna(0)
+    both = seen.join(ideals, "query", "left").fillna(0)
     p = lambda c: F.col(f"found_{c}") / F.least(F.lit(c), F.col("n"))
     r = lambda c: F.when(F.col("relevant") == 0, 1.0).otherwise(F.col(f"found_{c}") / F.col("relevant"))
     g = lambda c: F.when(F.col(f"idcg_{c}") == 0, 0.0).otherwise(F.col(f"dcg_{c}") / F.col(f"idcg_{c}"))
@@ -52,9 +69,16 @@ def metrics(ranked_rel: DataFrame, qrels: DataFrame) -> DataFrame:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query, doc, pos): the k most similar other vectors of each query by cosine.
 
-    A stated query set against all rows: queries are broadcast (the caller checks their size). Each task keeps its own best
-    k before they are shuffled, so the shuffle holds k rows for each query and task.
+    A stated query set against all rows, in blocks: up to BLOCK queries are broadcast at once, so the rows are read once for
+    each block. Each task keeps its own best k before they are shuffled: k rows for each query and task.
     """
+    blocks = max(1, -(-queries.count() // BLOCK))
+    if blocks > 1:
+        parts = [nearest(queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), vectors, k) for b in range(blocks)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.union(p)
+        return out
     dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     q = queries.select(F.col("id").alias("query"), F.col("v").alias("qv"), norm(F.col("v")).alias("qn"))

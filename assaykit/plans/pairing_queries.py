@@ -323,6 +323,9 @@ def retrieval_metrics(spark, sf_dir):
     vectors = adapters.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
     queries = vectors.where("id % 50 = 0")
     found = retrieval.distinct_ranks(retrieval.nearest(queries, vectors.select("id", "v"), 10))
-    pairs = queries.select(F.col("id").alias("query"), "label").join(vectors.select(F.col("id").alias("doc"), "label"), "label").where("query <> doc")
-    qrels = pairs.select("query", "doc", F.lit(1).alias("rel"))
-    return retrieval.metrics(retrieval.judged(found, qrels), qrels)
+    # The same label is relevant: counts by label stand for the pairs, and only what was found is looked up.
+    sizes = vectors.groupBy("label").agg((F.count("*") - 1).alias("relevant"))
+    counts = queries.select(F.col("id").alias("query"), "label").join(sizes, "label").select("query", "relevant")
+    of = lambda key, name: vectors.select(F.col("id").alias(key), F.col("label").alias(name))
+    judged = found.join(of("query", "a"), "query").join(of("doc", "b"), "doc").select("query", "doc", "rank", (F.col("a") == F.col("b")).cast("int").alias("rel"))
+    return retrieval.rated(judged, retrieval.ideal_of_counts(counts))

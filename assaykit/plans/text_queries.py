@@ -187,11 +187,3 @@ def negation_scope(spark, sf_dir):
     """Sentences of documents, and how many of them hold a cue of denial."""
     rows = _docs(spark, sf_dir).select("doc_id", F.explode(F.split(text.fold(F.col("text")), r"(?<=[.!?]) ")).alias("s"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(clinical.has_cue(F.col("s"), ENGLISH)).alias("denied"))
-
-
-@add()
-def perturb_text(spark, sf_dir):
-    """Each text-only perturbation of each document: its digest, and whether it changed the text."""
-    kinds = ("laterality_flip", "negation_drop", "negation_insert", "terminology_corrupt", "structure_break")
-    made = F.array(*(F.struct(F.lit(k).alias("kind"), robustness.perturb(k, F.col("text")).alias("t")) for k in kinds))
-    return _docs(spark, sf_dir).select("doc_id", "text", F.inline(made)).select("doc_id", "kind", F.sha2("t", 256).alias("perturbed_sha256"), (F.col("t") != F.col("text")).alias("changed"))
