@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.text import canary_plain
 from ..sources.scratch import ship
 
 #: Passages are looked for in blocks of so many bytes, each broadcast as one automaton.
@@ -60,6 +61,6 @@ def _search(held, kind: pa.DataType):
 
 def scan_run(results: DataFrame, token: str) -> DataFrame:
     """Canary hits, cases that a judge flagged otherwise, and the verdict. results: canary (text in canary form), judge_flag."""
-    hit = F.contains("canary", F.lit(token.lower())) if token else F.lit(False)
+    hit = F.contains("canary", F.lit(canary_plain(token))) if token else F.lit(False)
     sums = results.agg(F.count_if(hit).alias("canary_hits"), F.count_if(~hit & F.col("judge_flag")).alias("judge_flagged"))
     return sums.withColumn("verdict", F.when(F.col("canary_hits") > 0, "contaminated").when(F.col("judge_flagged") > 0, "suspicious").otherwise("clean"))
