@@ -28,10 +28,11 @@ def keeper(name: str) -> dict:
     return _kept.setdefault(name, {})
 
 
-def lean(run, keep: str | None = None):
+def lean(run, keep: str | None = None, hold: bool = False):
     """A function over batches that hands its worker's free memory back to the system when a task ends.
 
-    Workers serve one task after another: what other operators kept there goes first.
+    Workers serve one task after another: what other operators than `keep` kept there goes first, and without `hold` all
+    of it when the task ends.
     """
 
     @functools.wraps(run)
@@ -47,6 +48,8 @@ def lean(run, keep: str | None = None):
 
             import pyarrow as pa
 
+            for held in () if hold else _kept.values():
+                held.clear()
             gc.collect()
             pa.default_memory_pool().release_unused()
             try:

@@ -40,14 +40,14 @@ class Cache(dict):
 
 def word_hashes() -> Cache:
     """64-bit hashes of words."""
-    return Cache(xxhash.xxh3_64_intdigest)
+    return Cache(xxhash.xxh3_64_intdigest, 1 << 16)
 
 
 def hashes(found: list[bytes], cache: Cache) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, found), dtype=np.uint64, count=len(found))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about limit bytes of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
