@@ -43,7 +43,7 @@ def byte_letters() -> list[str]:
 class Bpe:
     """Tables of one vocabulary file with word ends, byte letters and a split pattern."""
 
-    def __init__(self, spec: bytes, decoded: bool = True):
+    def __init__(self, spec: bytes, decoded: bool = True, entries: int = 1 << 18):
         self.decoded = decoded
         d = json.loads(spec)
         model, pre = d["model"], d["pre_tokenizer"]["pretokenizers"]
@@ -86,8 +86,8 @@ class Bpe:
         self.ends = [Cache(lambda t, k=k: self._spine(t, k), len(self.ids)) for k in (0, 1)]
         self.pairs = Cache(self._pair, 1 << 18)
         #: Decimal ids and decoded text of words, and of texts without white space.
-        self.words = Cache(self._word, 1 << 18)
-        self.pieces = Cache(self._piece, 1 << 17)
+        self.words = Cache(self._word, entries)
+        self.pieces = Cache(self._piece, entries // 2)
 
     def _spine(self, token: str, side: int) -> list[tuple[str, int]]:
         """Tokens at one end of token, with the rank of the merge that ends each."""
@@ -187,12 +187,12 @@ class Bpe:
 _made: dict[bytes, Bpe] = keeper("bpe")
 
 
-def tables(spec: bytes, decoded: bool = True) -> Bpe:
+def tables(spec: bytes, decoded: bool = True, entries: int = 1 << 18) -> Bpe:
     """The tables of a vocabulary, made once in each process. Without decoded texts their caches are half as large."""
-    key = hashlib.sha256(spec).digest(), decoded
+    key = hashlib.sha256(spec).digest(), decoded, entries
     if key not in _made:
         _made.clear()
-        _made[key] = Bpe(spec, decoded)
+        _made[key] = Bpe(spec, decoded, entries)
     return _made[key]
 
 
@@ -209,8 +209,8 @@ def encode(docs: DataFrame, vocabulary: str, fields=("n_tokens", "token_ids"), t
 
     vocabulary: path of the vocabulary file, read on the driver; its few MB go to the executors. fields: n_tokens,
     token_ids, ids_text (decimal ids joined by a space), decoded (the ids decoded again). A column of the input that
-    has the name of a field is replaced. hold: workers keep the tables and caches from one task to the next, which saves a
-    tenth of the time and costs some hundred MB in each.
+    has the name of a field is replaced. hold: workers keep the tables and large caches from one task to the next, which
+    saves a third of the time and costs some hundred MB in each.
     """
     with open(vocabulary, "rb") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -218,7 +218,7 @@ def encode(docs: DataFrame, vocabulary: str, fields=("n_tokens", "token_ids"), t
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(f, FIELDS[f][0]) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tables(spec.value, "decoded" in fields)
+        bpe = tables(spec.value, "decoded" in fields, 1 << 18 if hold else 1 << 16)
         for b in pieces(batches, text):
             found = [bpe.both(x) for x in strings(b, text)]
             new = {

@@ -150,7 +150,7 @@ def _features(docs: DataFrame, text: str, meta: str | None, keep: list[str]) ->
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cache(_marks)
+        cache = Cache(_marks, 1 << 16)
         for b in pieces(batches, text):
             metas = b.column(meta).to_pylist() if meta else [None] * b.num_rows
             out = [slots(t, m, cache) for t, m in zip(raw(b, text), metas, strict=True)]
@@ -181,7 +181,7 @@ def score(docs: DataFrame, machine: Machine, text="text", meta: str | None = "n_
 
     @lean
     def run(batches):
-        cache = Cache(_marks)
+        cache = Cache(_marks, 1 << 16)
         for b in pieces(batches, text):
             metas = b.column(meta).to_pylist() if meta else [None] * b.num_rows
             found = [slots(t, m, cache) for t, m in zip(raw(b, text), metas, strict=True)]
