@@ -293,3 +293,109 @@ def overall(per_kind: DataFrame) -> DataFrame:
     sums = per_kind.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("caught"), F.lit(0)).alias("caught"))
     rated = sums.withColumn("rate", F.when(F.col("n") > 0, to_fixed(F.try_divide(F.col("caught").cast("double"), F.col("n")) * 100.0, 2)).otherwise(0.0))
     return rated.withColumn("verdict", verdict(F.col("rate")))
+
+
+# ---- Graduated controls: reports made worse step by step
+
+# The levels, and what stands where nothing is known.
+LEVELS = {"l1": "measure-perturbation", "l2": "laterality-perturbation", "l3": "noncritical-omission", "l4": "critical-omission", "l5": "null-baseline"}
+NULL_REPORT = "Relatorio preliminar sem padrao. Nao ha alteracoes agudas. Sem lesao suspeita, hemorragia, fratura, obstrucao ou embolia. Recomenda-se controle de rotina sem evidencia fornecida."
+NO_GOLD = "Sem achados relevantes extraídos do gold público."
+NO_FINDING = "Sem achado principal descrito."
+FIRST_MEASURE = r"(?isu)^(.*?)(\d+(?:[,.]\d+)?)(\s*(?:cm|mm|ml|centimetros?|centímetros?|milimetros?|milímetros?))(.*)$"
+SIDES = (("direita", "esquerda"), ("esquerda", "direita"), ("direito", "esquerdo"), ("esquerdo", "direito"), ("right", "left"), ("left", "right"))
+GOLD = "array<struct<finding:string,severity:string>>"
+
+
+def change_first_measure(x: Column) -> Column:
+    """The first measurement one larger, from 10 on five larger; one decimal, with the sign it had."""
+    part = lambda k: F.regexp_extract(x, FIRST_MEASURE, k)
+
+    def put(raw: Column) -> Column:
+        value = F.replace(raw, F.lit(","), F.lit(".")).cast("double")
+        text = F.format_string("%.1f", to_fixed(F.when(value >= 10, value + 5).otherwise(value + 1), 1))
+        shown = F.when(F.contains(raw, F.lit(",")), F.replace(text, F.lit("."), F.lit(","))).otherwise(text)
+        return F.when(raw == "", x).otherwise(F.concat(part(1), shown, part(3), part(4)))
+
+    return let(part(2), put)
+
+
+def change_first_side(x: Column) -> Column:
+    """The first of the words for sides, in a fixed order, that the text has: its first place changes."""
+    made = F
+    for a, b in SIDES:
+        made = made.when(x.rlike(rf"(?i)\b{a}\b"), F.regexp_replace(x, rf"(?is)^(.*?)\b{a}\b", f"$1{b}"))
+    return made.otherwise(x)
+
+
+def without_finding(x: Column, finding: Column, times: int = 4) -> Column:
+    """Without the segments that share most words of four letters with a finding: two words (or all it has) at least, `times` segments at most."""
+    words = lambda t: F.filter(F.split(fold(t), "[^a-z0-9]+"), lambda w: F.char_length(w) >= 4)
+
+    def cut(parts: Column, target: Column) -> Column:
+        top = clinical.best(F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda s: F.size(F.filter(words(s["p"]), lambda w: F.array_contains(target, w))))
+        keep = lambda t: F.when(t["worth"] >= F.least(F.lit(2), F.size(target)), F.filter(parts, lambda p, i: i != t["item"]["i"])).otherwise(parts)
+        return let(top, lambda t: F.coalesce(keep(t), parts))
+
+    def of(target: Column) -> Column:
+        marked = F.regexp_replace(x, r"(?i)(<br\s*/?>|[.。])", "\u0001$1\u0001")
+        left = F.aggregate(F.sequence(F.lit(1), F.lit(times)), F.split(marked, "\u0001"), lambda parts, _: cut(parts, target))
+        return F.when(F.size(target) == 0, x).otherwise(F.regexp_replace(F.array_join(left, ""), r"(?i)(?:<br\s*/?>\s*){3,}", "<br><br>"))
+
+    return let(F.array_distinct(words(finding)), of)
+
+
+def _first_where(items: Column, test) -> Column:
+    return F.array_position(F.transform(items, test), True).cast("int")
+
+
+def _omitted(gold: Column, level: str) -> Column:
+    """Place (from 1) of the finding that the level leaves out, 0 for none."""
+    if level == "l3":
+        return _first_where(gold, lambda g: ~g["severity"].eqNullSafe(F.lit("critical")))
+    rank = lambda g: F.when(g["severity"] == "critical", 3).when(g["severity"] == "major", 2).when(g["severity"] == "minor", 1).otherwise(0)
+    ranks = F.transform(gold, rank)
+    return let(ranks, lambda r: F.when(F.size(r) > 0, F.array_position(r, F.array_max(r)).cast("int")).otherwise(0))
+
+
+def control(level: str, exam: Column, gold: Column, reference: Column) -> Column:
+    """The report of one level of control for a case."""
+    if level == "l5":
+        return F.lit(NULL_REPORT)
+    own = F.transform(F.coalesce(gold, F.expr(f"cast(array() as {GOLD})")), lambda g: F.struct(g["finding"].alias("finding"), g["severity"].alias("severity")))
+    report = change_first_measure(reference)
+    report = report if level == "l1" else let(report, change_first_side)
+    if level in ("l3", "l4"):
+        gone = let(_omitted(own, level), lambda at: F.when(at > 0, F.get(own, at - 1)["finding"]))
+        report = let(report, lambda r: let(gone, lambda g: F.when(g.isNull(), r).otherwise(without_finding(r, g))))
+    stand_in = F.array(F.struct(F.lit(NO_GOLD).alias("finding"), F.lit("minor").alias("severity"))).cast(GOLD)
+    listed = F.when(F.size(own) > 0, own.cast(GOLD)).otherwise(stand_in)
+
+    def changed_once(items: Column, change) -> Column:
+        texts = F.transform(items, lambda f: let(f, lambda t: F.struct(t.alias("old"), change(t).alias("new"))))
+        return let(texts, lambda ts: let(_first_where(ts, lambda t: t["old"] != t["new"]), lambda at: F.transform(ts, lambda t, i: F.when(i == at - 1, t["new"]).otherwise(t["old"]))))
+
+    def rendered(items: Column) -> Column:
+        if level in ("l3", "l4"):
+            kept = let(_omitted(items, level), lambda at: F.filter(items, lambda g, i: i != at - 1))
+            found = F.transform(kept, lambda g: g["finding"])
+        else:
+            found = changed_once(F.transform(items, lambda g: g["finding"]), change_first_measure)
+            found = changed_once(found, change_first_side) if level == "l2" else found
+        return let(F.filter(F.transform(found, lambda f: F.trim(F.coalesce(f, F.lit("")))), lambda f: f != ""), page)
+
+    def page(found: Column) -> Column:
+        escape = lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        head = F.coalesce(F.nullif(F.trim(F.get(F.split(F.coalesce(exam, F.lit("Exame")), r"\."), F.lit(0))), F.lit("")), F.lit("Exame"))
+        body = F.when(F.size(found) > 0, F.array_join(found, ". ")).otherwise(NO_FINDING)
+        end = F.when(F.size(found) > 0, F.array_join(found, "; ")).otherwise(NO_FINDING)
+        return F.concat(F.lit("<center><b>"), escape(head), F.lit("</b></center><br><br><b>Achados</b><br>"), escape(body), F.lit("<br><br><b>Conclusao</b><br>"), escape(end))
+
+    return F.when(F.coalesce(reference, F.lit("")) != "", report).otherwise(let(listed, rendered))
+
+
+def controls(cases: DataFrame) -> DataFrame:
+    """(case_id, level, model, text): predictions of all levels for all cases."""
+    full = with_defaults(cases)
+    made = F.array(*(F.struct(F.lit(k).alias("level"), F.lit(f"graduated-control-{k}-{name}").alias("model"), control(k, F.col("exam"), F.col("gold"), F.col("reference")).alias("text")) for k, name in LEVELS.items()))
+    return full.select("case_id", F.inline(made))
