@@ -177,6 +177,13 @@ def taxonomy() -> Column:
     return out.when(term, pair("TERMINOLOGY", "forbidden_term")).when(F.col("id").startswith("G") & (F.col("dim") == "GUIDE"), pair("COVERAGE", "missing_anatomy"))
 
 
+def detection_counts(evidence: Column) -> Column:
+    """(exact, partial, missed, total) that the evidence of a detection rate states, or null."""
+    pattern = r"(?i)exact=(\d+)\s+partial=(\d+)\s+missed=(\d+)\s+total=(\d+)"
+    part = lambda k: F.regexp_extract(evidence, pattern, k).cast("int")
+    return F.when(evidence.rlike(pattern), F.struct(part(1).alias("exact"), part(2).alias("partial"), part(3).alias("missed"), part(4).alias("total")))
+
+
 # ---- Reliability over k runs
 
 

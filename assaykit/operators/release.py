@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import canonical_json
+
 # Which paths and contents break which rule, and what makes a public artifact one that claims something.
 RAW = r"(?i)\.(?:csv|tsv|xlsx?|parquet|arrow|feather|sqlite3?|db|duckdb|dcm|dicom|nii(?:\.gz)?|mha)$"
 PRIVATE = r"(?i)(?:^|/)(?:data/(?:raw|private|gated|hidden|official|source|corpus)|private-data|corpus|cases/(?:private|hidden|gated|official))(?:/|$)"
@@ -81,6 +83,25 @@ def chain_hash(hashes: DataFrame, column: str, keys=()) -> DataFrame:
     return hashes.groupBy(*keys).agg(F.sha2(listed, 256).alias("hash"), F.count("*").alias("n"))
 
 
+# What of a run's configuration its hash binds, by the names in the hashed text, with what stands for a missing value.
+RUN_FIELDS = {
+    "benchmarkVersion": "benchmark_version", "suiteId": "suite_id", "locale": "locale", "track": "track", "provider": "provider", "modelLabel": "model_label", "scaffoldId": "scaffold_id", "judgeProvider": "judge_provider",
+    "judgeModel": "judge_model", "judgeTemperature": "judge_temperature", "judgeMaxTokens": "judge_max_tokens", "policyId": "policy_id", "submissionMode": "submission_mode", "scoreMode": "score_mode",
+}
+
+
+def run_hash(suite_hash: Column, scoring_hash: Column) -> Column:
+    """sha256 over the suite's hash, the canonical configuration and the hash of the scoring code; columns are named as in RUN_FIELDS."""
+    fields = {k: F.coalesce(F.col(c), F.lit("conservative-min")) if k == "scoreMode" else F.col(c) for k, c in RUN_FIELDS.items()}
+    return F.sha2(F.concat_ws("|", suite_hash, canonical_json(*fields.items()), scoring_hash), 256)
+
+
+def board_hash(runs: DataFrame) -> DataFrame:
+    """One hash over a board's runs: the sorted hashes of name, suite, label and average (one row for each run of a board)."""
+    line = canonical_json(("runName", F.col("run")), ("suiteHash", F.col("suite_hash")), ("modelLabel", F.col("model_label")), ("average", F.col("average_overall")))
+    return chain_hash(runs.select(F.sha2(line, 256).alias("run_hash")), "run_hash")
+
+
 def telemetry(events: DataFrame, allowed: tuple[str, ...], salt: str) -> DataFrame:
     """Allowed events with cleaned labels and salted hashes of who sent them."""
     clean = lambda c, n: F.nullif(F.substring(F.regexp_replace(c, r"[^A-Za-z0-9_ .:/?#=&%+@-]", ""), 1, n), F.lit(""))

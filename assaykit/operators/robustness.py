@@ -362,7 +362,7 @@ def control(level: str, exam: Column, gold: Column, reference: Column) -> Column
     """The report of one level of control for a case."""
     if level == "l5":
         return F.lit(NULL_REPORT)
-    own = F.transform(F.coalesce(gold, F.expr(f"cast(array() as {GOLD})")), lambda g: F.struct(g["finding"].alias("finding"), g["severity"].alias("severity")))
+    own = F.transform(gold, lambda g: F.struct(g["finding"].alias("finding"), g["severity"].alias("severity")))
     report = change_first_measure(reference)
     report = report if level == "l1" else let(report, change_first_side)
     if level in ("l3", "l4"):

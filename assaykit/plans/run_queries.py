@@ -59,6 +59,18 @@ def perturbation_run(spark, sf_dir):
     return per_kind.withColumn("verdict", robustness.verdict(F.col("rate")))
 
 
+@add(f"SELECT p_partkey AS case_id, 'l5' AS level, '{robustness.NULL_REPORT}' AS text FROM part")
+def null_controls(spark, sf_dir):
+    """The level of the graduated controls that says nothing."""
+    return robustness.controls(reports.cases(spark, sf_dir)).where("level = 'l5'").select("case_id", "level", "text")
+
+
+@add()
+def graduated_controls(spark, sf_dir):
+    """All levels for all cases: distinct texts of each."""
+    return robustness.controls(reports.cases(spark, sf_dir)).groupBy("level", "model").agg(F.count("*").alias("n"), F.count_distinct(F.sha2("text", 256)).alias("texts"))
+
+
 # ---- Judges
 
 JUDGED = """j AS (SELECT l_suppkey % 4 AS run, 'judge' || (l_suppkey % 2) AS judge, l_partkey AS case_id, count(*) AS n, floor(avg(l_quantity) * 10 + 0.5) / 10.0 AS overall, floor(avg(l_tax) * 10000 + 0.5) / 10.0 AS det_overall,

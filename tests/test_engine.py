@@ -204,6 +204,34 @@ def test_adjudication_records(spark):
     assert other.errors == ["suiteHash mismatch: expected k, got h"]
 
 
+def test_graduated_controls(spark):
+    ref = "<b>Findings</b><br>Left subdural hematoma of 12 mm.<br>Renal cyst of 2,5 cm.<br><br><b>Impression</b><br>Subdural hematoma. Cyst."
+    gold = [("Left subdural hematoma of 12 mm", "critical", None, "left", [], False), ("Renal cyst of 2,5 cm", "minor", None, None, [], False)]
+    cases = spark.createDataFrame([(1, "CT <head>. x", gold, ref), (2, "CT <head>. x", gold, None), (3, None, [], None)], f"case_id int, exam string, gold {GOLD}, reference string")
+    got = {(x.case_id, x.level): x.text for x in robustness.controls(cases).collect()}
+    assert len(got) == 15 and got[1, "l1"] == ref.replace("12 mm", "17.0 mm") and got[1, "l2"] == got[1, "l1"].replace("Left", "right")
+    assert "cyst of" not in got[1, "l3"] and "hematoma of" in got[1, "l3"] and "hematoma" not in got[1, "l4"] and "Renal cyst of 2,5 cm" in got[1, "l4"]
+    assert got[2, "l4"].endswith("<b>Conclusao</b><br>Renal cyst of 2,5 cm") and got[2, "l1"].startswith("<center><b>CT &lt;head&gt;</b></center>") and got[2, "l1"].count("17.0 mm") == 2
+    assert got[3, "l3"].count("Sem achado principal descrito.") == 2 and got[3, "l5"] == got[1, "l5"]
+
+
+def test_prompts_and_hashes(spark):
+    from hashlib import sha256
+
+    from assaykit.operators import prompts
+
+    gold = [("mass", "major", None, None, [], k == 0) for k in range(20)]
+    row = evaluators.with_defaults(spark.createDataFrame([(1, "CT", "a mass", gold, "r" * 5000)], f"case_id int, exam string, findings string, gold {GOLD}, reference string"))
+    said = row.select(prompts.judge_prompt(F.lit("<b>x</b>"), F.lit("tok")).alias("p"), prompts.system_prompt(F.lit("US"), F.lit(False)).alias("s")).first()
+    assert said.p.count("- major: mass") == 11 and "- NEGATED major: mass" in said.p and "r" * 3000 in said.p and "r" * 3001 not in said.p
+    assert said.p.count("===REPORT-BOUNDARY-tok===") == 3 and "EXAM: CT" in said.p and "Do not include a Technique section" in said.s and "Non-contrast exam" in said.s
+    assert row.select(pairing.detection_counts(F.lit("exact=1 partial=0 missed=2 total=3")).alias("x")).first().x.asDict() == {"exact": 1, "partial": 0, "missed": 2, "total": 3}
+    run = {c: "v" for c in release.RUN_FIELDS.values()} | {"score_mode": None, "judge_temperature": None}
+    df = spark.createDataFrame([run], ", ".join(f"{c} string" for c in run))
+    canon = json.dumps({k: {"scoreMode": "conservative-min", "judgeTemperature": None}.get(k, "v") for k in release.RUN_FIELDS}, sort_keys=True, separators=(",", ":"))
+    assert df.select(release.run_hash(F.lit("s"), F.lit("c")).alias("h")).first().h == sha256(f"s|{canon}|c".encode()).hexdigest()
+
+
 def test_board(spark):
     shown = [("Model X (@org/model)", "Model X"), ("@org/model now", "private configuration now"), ("see https://a.b/c", "see private target"), ("via openrouter /api/run", "via private product reporting flow")]
     for raw, want in shown:
