@@ -21,6 +21,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .tables import cut, lean
 from .text import pieces, raw, with_columns, words
@@ -30,13 +32,20 @@ WIDTH = 10
 MAX_WINDOWS = 500_000
 BITS = 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
-RESULT = "n_words long, n_hit long, items array<long>"
 FIELDS = ("n_words", "n_hit", "items")
 ONE_WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
+def _kind(benchmark: DataFrame, item="item_id") -> T.DataType:
+    """Integer ids are longs, others keep their type."""
+    own = benchmark.schema[item].dataType
+    return T.LongType() if isinstance(own, T.IntegralType) else own
+
+
 def item_windows(benchmark: DataFrame, width: int = WIDTH, item="item_id", text="text") -> DataFrame:
     """(item_id, window) rows: the words of each window joined by spaces."""
+    kind = _kind(benchmark, item)
+    arrow = to_arrow_type(kind)
 
     def run(batches):
         for b in pieces(batches, text):
@@ -46,9 +55,9 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH, item="item_id", text=
                 found = {b" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else ()
                 ids += [i] * len(found)
                 out += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["item_id", "window"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array(out, pa.binary())], ["item_id", "window"])
 
-    return benchmark.select(F.col(item).cast("long").alias(item), text).mapInArrow(run, "item_id long, window binary")
+    return benchmark.select(F.col(item).cast(kind).alias(item), text).mapInArrow(run, f"item_id {kind.simpleString()}, window binary")
 
 
 class WindowSet:
@@ -104,10 +113,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text="text",
     keep = [c for c in keep if c not in FIELDS]
     windows = item_windows(benchmark, width)
     known = cut(windows)
+    kind = _kind(benchmark)
+    arrow, result = pa.list_(to_arrow_type(kind)), f"n_words long, n_hit long, items array<{kind.simpleString()}>"
     if known.limit(max_windows + 1).count() > max_windows:
         return _joined(docs, known, width, text, keep)
     shipped = docs.sparkSession.sparkContext.broadcast([(r.item_id, bytes(r.window)) for r in known.collect()])
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), RESULT])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), result])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +129,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text="text",
             yield with_columns(b, keep, {
                 "n_words": pa.array(map(len, found), pa.int64()),
                 "n_hit": pa.array([n for n, _ in got], pa.int64()),
-                "items": pa.array([sorted(i for i in x if i is not None) for _, x in got], pa.list_(pa.int64())),
+                "items": pa.array([sorted(i for i in x if i is not None) for _, x in got], arrow),
             })
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
@@ -137,7 +148,7 @@ def _joined(docs: DataFrame, windows: DataFrame, width: int, text: str, keep: li
 
     schema = ", ".join(["_row long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_words long"])
     out = row.mapInArrow(counted, schema).join(per, "_row", "left")
-    none = F.expr("cast(array() as array<long>)")
+    none = F.expr(f"cast(array() as array<{windows.schema['item_id'].dataType.simpleString()}>)")
     return out.select(*keep, "n_words", F.coalesce(F.size("hit"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.array_compact("items"), none).alias("items"))
 
 

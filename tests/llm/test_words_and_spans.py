@@ -92,6 +92,8 @@ def test_decontam_equals_brute_force(spark, most):
     assert decontam.remove_spans(docs, bench, max_windows=most).columns == docs.columns
     left = decontam.remove_documents(docs, bench)
     assert left.columns == docs.columns and left.count() == docs.count() - 4
+    named = decontam.scan(docs, bench.withColumn("item_id", F.concat(F.lit("item "), F.col("item_id").cast("string"))), max_windows=most)
+    assert {(x.doc_id, tuple(x["items"])) for x in named.collect() if x.n_hit} == {(x.doc_id, tuple(sorted(f"item {i}" for i in x["items"]))) for x in got if x.n_hit}
     none = decontam.report(decontam.scan(docs, bench.limit(0)))
     assert none.where("contaminated or n_hit > 0").count() == 0
     assert none.first().items_sha256 == hashlib.sha256(b"").hexdigest()
