@@ -195,7 +195,8 @@ def candidate_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float
     for step in range(SPLITS + 1):
         sizes = cut(members.groupBy("node").agg(F.count("*").alias("size")).where("size >= 2"))
         last = step == SPLITS or not sizes.where(F.col("size") > BUCKET).limit(1).count()
-        now = members.join(small(sizes if last else sizes.where(F.col("size") <= BUCKET)), "node").select("node", "v", "size")
+        # Always shuffled: the sizes grow with the corpus, and a broadcast of a million of them costs each executor 500 MB.
+        now = members.join((sizes if last else sizes.where(F.col("size") <= BUCKET)).hint("merge"), "node").select("node", "v", "size")
         ready = now if ready is None else ready.union(now)
         if last:
             break
