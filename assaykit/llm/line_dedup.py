@@ -9,8 +9,8 @@ exactly if it lies in a run of `run` or more lines that also stands earlier, in
 formed: each window hash keeps its earliest place.
 
 With `words`, runs of fewer lines count too if they hold more than so many words: such a run is a window and a
-fingerprint of its own. remove_repeats, which the pipeline calls, does so with LONG; clean alone keeps to lines, as the
-SQL of op10_line_dedup does. Short common lines are left alone by both.
+fingerprint of its own. The pipeline and the query op10_line_dedup do so with LONG, so passages of over 50 words go on
+however many lines they stand. Short common lines are left alone.
 
 Edge cases: null and empty texts have no lines; documents without an id are left as they are; rows that repeat an id
 and a text count as one document; of texts under one id the order is that of their hash. The first copy always stays.

@@ -71,7 +71,7 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.clean(table(spark, sf_dir, "documents").select("doc_id", "text"), words=line_dedup.LONG)
     gone = F.coalesce("_gone", F.expr("cast(array() as array<int>)"))
     return out.select(
         "doc_id", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"),
@@ -119,10 +119,12 @@ FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)""",
 WITH l AS (
   SELECT doc_id, i - 1 AS line, x, trim(x, E' \t\r\x0b\x0c') AS t
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-n AS (SELECT doc_id, line, t, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS s FROM l WHERE t <> ''),
-w AS (SELECT a.doc_id, a.s, a.line AS lo, c.line AS hi, a.t || chr(10) || b.t || chr(10) || c.t AS g
-      FROM n a JOIN n b ON b.doc_id = a.doc_id AND b.s = a.s + 1 JOIN n c ON c.doc_id = a.doc_id AND c.s = a.s + 2),
-later AS (SELECT doc_id, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS r FROM w) WHERE r > 1),
+n AS (SELECT doc_id, line, t, len(regexp_extract_all(t, '[^\x20\x09\x0D\x0B\x0C]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS s FROM l WHERE t <> ''),
+w AS (SELECT a.doc_id, a.s, a.line AS lo, c.line AS hi, 3 AS k, a.t || chr(10) || b.t || chr(10) || c.t AS g
+      FROM n a JOIN n b ON b.doc_id = a.doc_id AND b.s = a.s + 1 JOIN n c ON c.doc_id = a.doc_id AND c.s = a.s + 2
+      UNION ALL SELECT a.doc_id, a.s, a.line, b.line, 2, a.t || chr(10) || b.t FROM n a JOIN n b ON b.doc_id = a.doc_id AND b.s = a.s + 1 WHERE a.words + b.words > 50
+      UNION ALL SELECT doc_id, s, line, line, 1, t FROM n WHERE words > 50),
+later AS (SELECT doc_id, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY k, g ORDER BY doc_id, s) AS r FROM w) WHERE r > 1),
 gone AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(range(lo, hi + 1)) AS line FROM later)),
 cut AS (SELECT doc_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS removed FROM gone GROUP BY 1),
 kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY line) AS text FROM l ANTI JOIN gone USING (doc_id, line) GROUP BY 1)
