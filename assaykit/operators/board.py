@@ -10,10 +10,11 @@ HIDDEN = (
     (r"(?i)\s*\(@[a-z0-9_.-]+/[^)]+\)", ""), (r"(?i)@[a-z0-9_.-]+/[a-z0-9_.-]+", "private configuration"), (r"(?i)\b(openrouter|openai-compatible|supabase|vercel)\b", "private"),
     (r"(?i)/api/[a-z0-9_./-]+", "product reporting flow"), (r"(?i)https?://\S+", "private target"),
 )
-PRODUCT_SCAFFOLD = "(?i)laudos|pipeline|endpoint|route|api"
-PRODUCT_LABEL = "(?i)laudos"
+PRODUCT_SCAFFOLD = "(?i)pipeline|endpoint|route|api"
 DEFAULT_TRACK = {"openrouter": "mini-agent", "openai-compatible": "mini-agent", "command": "agent"}
-MINI_SCAFFOLD = "mini-laibench-agent-v1"
+#: Defaults of a deployment: what product agents are called, and the scaffold of the mini-agent track.
+PRODUCTS = "(?i)product agent|reporting agent"
+MINI_SCAFFOLD = "mini-agent-v1"
 
 
 def public_label(x: Column) -> Column:
@@ -26,17 +27,17 @@ def default_track(provider: Column) -> Column:
     return F.coalesce(*(F.when(provider == p, t) for p, t in DEFAULT_TRACK.items()), F.lit("model"))
 
 
-def scaffold(track: Column, own: Column) -> Column:
+def scaffold(track: Column, own: Column, default: str = MINI_SCAFFOLD) -> Column:
     """A run's scaffold: its own, or the default one on the mini-agent track."""
-    return F.coalesce(own, F.when(track == "mini-agent", MINI_SCAFFOLD))
+    return F.coalesce(own, F.when(track == "mini-agent", default))
 
 
-def public_scaffold(x: Column) -> Column:
-    return F.when(x.rlike(PRODUCT_SCAFFOLD), "product-agent").otherwise(public_label(F.nullif(x, F.lit(""))))
+def public_scaffold(x: Column, products: str = PRODUCTS) -> Column:
+    return F.when(x.rlike(PRODUCT_SCAFFOLD) | x.rlike(products), "product-agent").otherwise(public_label(F.nullif(x, F.lit(""))))
 
 
-def system_type(track: Column, provider: Column, label: Column) -> Column:
-    product = label.rlike(PRODUCT_LABEL) & (provider == "command")
+def system_type(track: Column, provider: Column, label: Column, products: str = PRODUCTS) -> Column:
+    product = label.rlike(products) & (provider == "command")
     return F.when(track == "model", "raw-model").when(track == "mini-agent", "mini-agent").when(product, "product-agent").otherwise("custom-agent")
 
 
@@ -44,16 +45,16 @@ def entity_type(system: Column) -> Column:
     return F.when(system == "raw-model", "model").when(system == "product-agent", "company").otherwise("agent")
 
 
-def public_entries(runs: DataFrame) -> DataFrame:
-    """runs (manifest columns) with public_key, public_system_label, entity_name, entity_type, system_type and comparison_class as the board shows them."""
+def public_entries(runs: DataFrame, products: str = PRODUCTS) -> DataFrame:
+    """runs (manifest columns; products: a pattern of the labels of product agents) with public_key, public_system_label, entity_name, entity_type, system_type and comparison_class as the board shows them."""
     c = F.col
     raw = F.coalesce("model_label", F.lit("unknown"))
-    product = raw.rlike(PRODUCT_LABEL) | F.coalesce(c("entity_name").rlike(PRODUCT_LABEL), F.lit(False))
+    product = raw.rlike(products) | F.coalesce(c("entity_name").rlike(products), F.lit(False))
     system = F.coalesce("system_type", F.when(c("track") == "model", "raw-model").when(c("track") == "mini-agent", "mini-agent").when(product, "product-agent").otherwise("custom-agent"))
     own = F.when(product, "Reporting agent").otherwise(public_label(raw))
     rows = runs.withColumns({"system_type": system, "entity_name": public_label(F.coalesce("entity_name", own)), "public_system_label": own, "_class": public_label(F.coalesce("comparison_class", system)), "_key_class": public_label(F.coalesce("comparison_class", "system_type", "track"))})
     mode = F.when(c("judge_model").isNotNull(), F.concat(F.lit("judged-frozen-"), F.coalesce("score_mode", F.lit("conservative-min")))).otherwise("deterministic")
-    key = F.concat_ws("::", "benchmark_version", "suite_id", "locale", "track", c("_key_class"), F.coalesce(public_scaffold(c("scaffold_id")), F.lit("none")), mode)
+    key = F.concat_ws("::", "benchmark_version", "suite_id", "locale", "track", c("_key_class"), F.coalesce(public_scaffold(c("scaffold_id"), products), F.lit("none")), mode)
     rows = rows.withColumn("entity_type", F.coalesce("entity_type", entity_type(c("system_type"))))
     rows = rows.withColumns({"public_key": key, "judge_model": F.when(c("judge_model").isNotNull(), "hidden"), "comparison_class": c("_class")})
     return rows.drop("_class", "_key_class")

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 MOST_GOLD, MOST_URGENT, MOST_GUIDELINES, MOST_REFERENCE = 12, 8, 8, 3000
 RULES = {
     "en-US": (
-        "You are laudAI, a senior radiologist writing in English.", "Output only HTML. Allowed tags: <center>, <b>, <br>.", "Start with <center><b>FULL EXAM TITLE</b></center>.",
+        "You are a senior radiologist writing in English.", "Output only HTML. Allowed tags: <center>, <b>, <br>.", "Start with <center><b>FULL EXAM TITLE</b></center>.",
         "Use <br><br> only between sections. Use single <br> within sections.", None, None, "Never hallucinate findings.",
         "Impression must contain diagnoses or concise impressions only, not measurements or generic normal restatements.", "Forbidden openers: There is, There are, The patient has, This is a.", "Use modality-appropriate vocabulary.",
     ),
     "pt-BR": (
-        "You are laudAI, a senior radiologist writing in Brazilian Portuguese.", "Output only HTML. Allowed tags: <center>, <b>, <br>.", "Start with <center><b>FULL EXAM TITLE</b></center>.",
+        "You are a senior radiologist writing in Brazilian Portuguese.", "Output only HTML. Allowed tags: <center>, <b>, <br>.", "Start with <center><b>FULL EXAM TITLE</b></center>.",
         "Use <br><br> only between sections. Use single <br> within sections.", None, None, "Never hallucinate findings.",
         "Conclusion must contain only diagnoses and key impressions, not measurements or boilerplate normal statements.",
         "Forbidden openers: Presença de, Observa-se, Nota-se, Identifica-se, Evidencia-se, Visualiza-se, Detecta-se.", "Use PT-BR radiology terminology: atenuação (CT), sinal (MRI), ecogenicidade (US), pérvia, linfonodomegalia, endovenoso.",
