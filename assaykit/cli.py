@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import canary_form_any
 from .operators import adjudication, agreement, board, calibration, contamination, pairing, release, robustness, submission, summary
-from .sources import artifacts
+from .sources import artifacts, scratch
 from .sources.scratch import with_position
 
 
@@ -197,8 +197,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     else:
         out.show(1000, truncate=False)
     if a.name in ("validate-submission", "adjudication"):
-        return int(out.where(~F.col("valid")).limit(1).count() > 0)
-    return int(a.name == "release-guard" and out.where("severity = 'error'").limit(1).count() > 0)
+        code = int(out.where(~F.col("valid")).limit(1).count() > 0)
+    else:
+        code = int(a.name == "release-guard" and out.where("severity = 'error'").limit(1).count() > 0)
+    scratch.clean(spark)
+    return code
 
 
 if __name__ == "__main__":

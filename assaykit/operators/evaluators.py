@@ -400,7 +400,7 @@ def rates(tp: Column, fn: Column, fp: Column) -> tuple[Column, Column, Column]:
     return recall, precision, F.when(recall + precision > 0, 2 * recall * precision / (recall + precision)).otherwise(0.0)
 
 
-def _critical(rows: DataFrame, lex: Lexicon) -> DataFrame:
+def _critical(rows: DataFrame, lex: Lexicon, detect=None) -> DataFrame:
     c = F.col
     sentence = lambda s: F.struct(s.alias("text"), fold(s).alias("folded"), clinical.tokens(s).alias("tokens"))
     source = strip_tags(F.concat_ws("\n", "findings", F.coalesce("reference", F.lit("")), F.array_join(F.transform("gold", lambda g: g["finding"]), "\n")))
@@ -410,7 +410,7 @@ def _critical(rows: DataFrame, lex: Lexicon) -> DataFrame:
         "_sentences": F.transform(clinical.sentences(c("html"), least=4), sentence), "_labels": F.filter(F.when(F.size("urgent") > 0, c("urgent")).otherwise(of_gold), lambda x: scored_label(x, lex)),
         "_source_clauses": F.transform(F.filter(F.transform(F.split(F.regexp_replace(source, r"(?i)<br\s*/?>", "\n"), r"[.\n;]"), clinical.trim), lambda s: s != ""), lambda s: F.struct(s.alias("text"), clinical.tokens(s).alias("tokens"))),
     })
-    rows = rows.withColumn("_detected", _detected(lex))
+    rows = rows.withColumn("_detected", (detect or _detected)(lex))
     # A mention that shares a word for a lesion or a process with a label isn't held against the report.
     modifiers = F.split(F.lit(" ".join(lexicon.MODIFIERS)), " ")
     needle = lambda x: let(clinical.tokens(x), lambda t: let(F.array_except(t, modifiers), lambda own: F.struct(x.alias("label"), F.when(F.size(own) > 0, own).otherwise(t).alias("words"))))
@@ -446,10 +446,12 @@ def _critical(rows: DataFrame, lex: Lexicon) -> DataFrame:
     })
 
 
-def critical(cases: DataFrame) -> DataFrame:
-    """cases with critical_mode, true_positives, false_negatives, false_positives, recall, precision, f1, critical_score and critical_checks."""
+def critical(cases: DataFrame, detect=None) -> DataFrame:
+    """detect: another detector, lexicon -> column of (used: places in _mentions, out: array of label and hit) over _labels, _mentions and _sentences.
+
+    Result: cases with critical_mode, true_positives, false_negatives, false_positives, recall, precision, f1, critical_score and critical_checks."""
     full = with_defaults(cases)
-    return by_locale(full, lambda rows, lex: _critical(rows, lex).select(*dict.fromkeys([*full.columns, *CRITICAL]))).select(*dict.fromkeys([*cases.columns, *CRITICAL]))
+    return by_locale(full, lambda rows, lex: _critical(rows, lex, detect).select(*dict.fromkeys([*full.columns, *CRITICAL]))).select(*dict.fromkeys([*cases.columns, *CRITICAL]))
 
 
 # ---- Guidelines
@@ -473,8 +475,8 @@ def _mentions(g: lexicon.Guideline, plain: Column) -> tuple[Column, Column]:
     return plain.rlike(g.mention), plain.rlike(g.recommendation)
 
 
-def guidelines(cases: DataFrame) -> DataFrame:
-    """cases with guide_mode, guide_score and guide_checks.
+def guidelines(cases: DataFrame, registry: tuple[lexicon.Guideline, ...] = lexicon.GUIDELINES) -> DataFrame:
+    """cases with guide_mode, guide_score and guide_checks. registry: the guidelines that are known; further ones can be added.
 
     A guideline is expected explicitly, or because the reference report names it, or, without a reference report, because
     the source calls for it. Without any expectation the guidelines that a report names itself are checked, else the
@@ -485,8 +487,8 @@ def guidelines(cases: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_found": extraction.classifications(c("html")), "_ref_found": extraction.classifications(F.coalesce("reference", F.lit("")))})
     has_ref = c("reference").isNotNull() & (c("reference") != "")
     expected, observed, any_expected, any_observed = [], [], [], []
-    known = [g.id for g in lexicon.GUIDELINES]
-    for g in lexicon.GUIDELINES:
+    known = [g.id for g in registry]
+    for g in registry:
         explicit = F.get(F.filter("expectations", _is(g.id)), F.lit(0))
         in_ref, ref_next = _mentions(g, c("_ref"))
         ref_class = F.get(F.filter("_ref_found", _of(g.id)), F.lit(0))["raw"]

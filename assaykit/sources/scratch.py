@@ -52,6 +52,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has stored in the shared folder. For its end: results that aren't written yet read from there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_position(df: DataFrame, *order, name: str = "pos") -> DataFrame:
     """df with its position, 0 to n - 1, in the given total order, without one task for all rows.
 

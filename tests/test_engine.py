@@ -430,6 +430,17 @@ def test_evaluators(spark):
     assert got[5].retrieval_score == -1 and got[5].quality_score == 100 and got[4].quality_mode == "structural-fallback"
 
 
+def test_further_guidelines_and_detectors(spark):
+    from assaykit.functions import lexicon
+
+    more = lexicon.Guideline("orads", "O-RADS (Ovarian Imaging)", ("US",), (r"ovar",), "(?i)o-?rads", "O-RADS not mentioned")
+    cases = spark.createDataFrame([(1, "O-RADS 3", "US of the ovary", "cyst of the ovary", "US", ["rupture"])], "case_id int, html string, exam string, findings string, modality string, urgent array<string>")
+    got = evaluators.guidelines(cases, (*lexicon.GUIDELINES, more)).first()
+    assert [(c.id, c.passed) for c in got.guide_checks] == [("GE-orads-presence", True)]
+    sure = lambda _: F.struct(F.expr("cast(array() as array<int>)").alias("used"), F.transform("_labels", lambda x: F.struct(x.alias("label"), F.lit(True).alias("hit"))).alias("out"))
+    assert evaluators.critical(cases, sure).first().recall == 1 and evaluators.critical(cases).first().recall == 0
+
+
 def test_retrieval_evaluator(spark):
     rows = [(1, {"a": 2, "b": 1, "c": 1}, ["x", "a", "a", "b"], "axial T1 images"), (2, {"a": 1}, [], "none"), (3, None, [], "axial images")]
     cases = spark.createDataFrame(rows, "case_id int, relevance map<string,int>, retrieved array<string>, html string").withColumn("exam", F.lit("MRI T1"))
