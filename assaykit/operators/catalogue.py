@@ -342,4 +342,5 @@ def with_checks(reports: DataFrame, pack: Pack = ENGLISH) -> DataFrame:
 
 def structural_checks(reports: DataFrame, pack: Pack = ENGLISH, keys=("case_id",)) -> DataFrame:
     """(keys, dim, id, name, severity, passed, evidence): one row for each check that applies."""
-    return with_checks(reports, pack).select(*keys, F.inline("structural"))
+    # The outer form, as the optimizer would else put a filter on the array's size, and all its expressions, below them.
+    return with_checks(reports, pack).select(*keys, F.inline_outer("structural")).where(F.col("id").isNotNull())

@@ -134,9 +134,14 @@ def extract(reports: DataFrame, kind: str, keys=("case_id",), html="html", local
         return classifications(F.col(html)) if kind == "classifications" else made[kind](F.col(html), lex)
 
     if locale is None:
-        return reports.select(*keys, F.posexplode(column(ENGLISH)).alias("n", "x")).select(*keys, "n", "x.*")
-    parts = [reports.where(F.col(locale) == lex.key).select(*keys, F.posexplode(column(lex)).alias("n", "x")) for lex in LOCALES]
+        return _rows(reports, column(ENGLISH), keys)
+    parts = [_rows(reports.where(F.col(locale) == lex.key), column(lex), keys) for lex in LOCALES]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.select(*keys, "n", "x.*")
+    return out
+
+
+def _rows(reports: DataFrame, items: Column, keys) -> DataFrame:
+    """A row for each item. The outer form, as the optimizer would else compute the items once more to filter by their number."""
+    return reports.select(*keys, F.posexplode_outer(items).alias("n", "x")).where(F.col("n").isNotNull()).select(*keys, "n", "x.*")
