@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import PACKED, columns_in, columns_out, gathered, groups, narrow, pack, packed_rows, steps, unpack
-from .tables import BROADCAST_ROWS, cut, lean
+from .tables import aside, cut, fits, lean
 from .text import raw, words
 
 MASS = 32.0
@@ -62,10 +62,11 @@ U = np.uint64
 
 def flagged(docs: DataFrame, labels: DataFrame, id_col="doc_id", label="quality", value=1) -> DataFrame:
     """docs with the column _target: true for documents that the labels mark. Stored if the labels are too many to broadcast."""
-    marked = cut(labels.where((F.col(label) == value) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct())
-    few = marked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hit = docs.join(F.broadcast(marked) if few else marked, docs[id_col] == F.col("_id"), "left")
-    hit = hit.select(*(docs[c] for c in docs.columns if c != "_target"), F.col("_id").isNotNull().alias("_target"))
+    named, where = aside(docs)
+    marked = cut(labels.where((F.col(label) == value) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("label_id")).distinct())
+    few = fits(marked)
+    hit = named.join(F.broadcast(marked) if few else marked, F.col(where[id_col]) == F.col("label_id"), "left")
+    hit = hit.select(*(F.col(k).alias(c) for c, k in where.items() if c != "_target"), F.col("label_id").isNotNull().alias("_target"))
     return hit if few else cut(hit)
 
 

@@ -6,14 +6,15 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources import scratch
 from ..sources.scratch import shared_dir, stored
 
-__all__ = ["BROADCAST_ROWS", "cut", "keeper", "lean", "shared_dir", "ship", "small", "table"]
+__all__ = ["BROADCAST_BYTES", "aside", "cut", "fits", "keeper", "lean", "shared_dir", "ship", "small", "table"]
 
-#: A side is broadcast up to so many rows of a few machine words each (tens of MB); beyond it a shuffled join runs.
-BROADCAST_ROWS = 1_000_000
+#: A side is broadcast up to so many bytes; beyond it a shuffled join runs.
+BROADCAST_BYTES = 32 << 20
 
 
 #: Rows go to Python workers in batches of at most so many rows and about so many bytes, where the session has Spark's defaults.
@@ -80,9 +81,23 @@ def cut(df: DataFrame) -> DataFrame:
     return stored(df)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows, else df as it is (Spark then shuffles both sides).
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of df take at most `limit` bytes: 64 a row, 8 a column, and what its texts, binaries, arrays and structs hold.
 
-    df should be cheap to count: a base table or the result of cut().
+    df should be cheap to read: a base table or the result of cut().
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    of = lambda *kinds: [F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, kinds)]
+    held = [F.octet_length(c) for c in of(T.StringType, T.BinaryType)] + [F.octet_length(F.to_json(F.struct(c))) for c in of(T.ArrayType, T.MapType, T.StructType)]
+    size = sum((F.coalesce(x, F.lit(0)) for x in held), F.lit(64 + 8 * len(df.columns))).cast("long")
+    return (df.agg(F.sum(size)).first()[0] or 0) <= limit
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it fits, else df as it is (Spark then shuffles both sides)."""
+    return F.broadcast(df) if fits(df, limit) else df
+
+
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named c0, c1, ... by position, so that no name of an operator clashes with one of theirs, and the new names by the old."""
+    where = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*where.values()), where
