@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .tables import keeper, lean
+from .tables import in_python, keeper, lean
 from .text import Cache, pieces, strings, with_columns
 
 #: White space as the tokenizer's regular expressions have it; str.split() also takes \x1c-\x1f.
@@ -229,7 +229,7 @@ def encode(docs: DataFrame, vocabulary: str, fields=("n_tokens", "token_ids"), t
             }
             yield with_columns(b, keep, {f: pa.array(new[f](), FIELDS[f][1]) for f in fields})
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(lean(run, "bpe" if hold else None, hold), schema)
+    return docs.select(*dict.fromkeys([*keep, text])).transform(in_python, lean(run, "bpe" if hold else None, hold), schema)
 
 
 def decode(tokens: DataFrame, vocabulary: str, ids="token_ids", into="decoded") -> DataFrame:
@@ -245,4 +245,4 @@ def decode(tokens: DataFrame, vocabulary: str, ids="token_ids", into="decoded")
             out = [bpe.decode(x or ()) for x in b.column(ids).to_pylist()]
             yield with_columns(b, keep, {into: pa.array(out, pa.string())})
 
-    return tokens.select(*keep).mapInArrow(run, schema)
+    return tokens.select(*keep).transform(in_python, run, schema)

@@ -15,8 +15,8 @@ So no pair lists are ever made: each block gives its members one number and one
 of likely pairs leads from one to the other.
 
 Edge cases: a text of fewer than `width` words is one shingle; a null or empty text has no shingles, no links and its
-own class; classes are named by their smallest id (nulls last); repeated rows give equal rows and count as copies.
-Nodes are told apart by a 64-bit digest of their sets.
+own class; classes are named by their smallest id (nulls last), of any type that orders; repeated rows give equal rows and
+count as copies. Nodes are told apart by a 64-bit digest of their sets.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .tables import cut, lean, small
+from .tables import aside, cut, id_type, in_python, lean, small
 from .text import Cache, hashes, pieces, raw, with_columns, word_hashes, words
 
 WIDTH = 5
@@ -115,6 +115,7 @@ def runs_for(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
 
 def profiles(docs: DataFrame, width: int = WIDTH, id_col="doc_id", text="text") -> DataFrame:
     """(id, v, n, sketch) for each row: v is the digest of the set, n its size; null without words."""
+    kind = id_type(docs, id_col)
 
     @lean
     def run(batches):
@@ -126,9 +127,9 @@ def profiles(docs: DataFrame, width: int = WIDTH, id_col="doc_id", text="text")
                 v.append(_digest(own) if len(own) else None)
                 n.append(len(own) or None)
                 s.append(sketch(own).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.binary())], ["id", "v", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.binary())], ["id", "v", "n", "sketch"])
 
-    return docs.select(id_col, text).mapInArrow(run, "id long, v long, n long, sketch binary")
+    return docs.select(F.col(id_col).cast(kind).alias(id_col), text).transform(in_python, run, f"id {kind.simpleString()}, v long, n long, sketch binary")
 
 
 def _digest(own: np.ndarray) -> int:
@@ -150,7 +151,7 @@ def _paths(nodes: DataFrame, depth: int, start: int | None) -> DataFrame:
             v = np.repeat(b.column("v").to_numpy(zero_copy_only=False), size)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(v)], ["node", "v"])
 
-    return nodes.mapInArrow(run, "node long, v long")
+    return nodes.transform(in_python, run, "node long, v long")
 
 
 def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
@@ -219,7 +220,7 @@ def candidate_links(reps: DataFrame, threshold: float = THRESHOLD, recall: float
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return dealt.transform(in_python, run, "a long, b long").where("a <> b").distinct()
 
 
 def alike(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -281,7 +282,7 @@ def exact_links(docs: DataFrame, chosen: DataFrame, width: int, threshold: float
     chosen: (v, id, copies, n, comp), one document for each node.
     """
     dealt_to = cut(cells(chosen, threshold))
-    picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text")).join(small(dealt_to), F.col("_id").eqNullSafe(F.col("id")))
+    picked = docs.select(F.col(id_col).cast(id_type(docs, id_col)).alias("_id"), F.col(text).alias("_text")).join(small(dealt_to), F.col("_id").eqNullSafe(F.col("id")))
     keep = ["v", "copies", "comp", "k", "part", "parts", "lower", "higher", "whole"]
 
     @lean
@@ -293,7 +294,7 @@ def exact_links(docs: DataFrame, chosen: DataFrame, width: int, threshold: float
             held = pa.array([len(s) > 0 and _digest(s) == x for s, x in zip(own, v, strict=True)])
             yield with_columns(b, keep, {"own": pa.array([s.tobytes() for s in own], pa.binary())}).filter(held)
 
-    whole = picked.mapInArrow(sets, "v long, copies long, comp long, k int, part int, parts int, lower int, higher int, whole boolean, own binary")
+    whole = picked.transform(in_python, sets, "v long, copies long, comp long, k int, part int, parts int, lower int, higher int, whole boolean, own binary")
     key = [F.col(c) for c in ("comp", "a", "b")]
     dealt = _meetings(whole).select(*key, "v", "second", F.col("whole"), "copies", "own").repartition(*key).sortWithinPartitions(*key, "v")
     dealt = dealt.select("comp", F.col("a.k").alias("ka"), F.col("a.p").alias("pa"), F.col("b.k").alias("kb"), F.col("b.p").alias("pb"), "v", "second", "whole", "copies", "own")
@@ -320,7 +321,7 @@ def exact_links(docs: DataFrame, chosen: DataFrame, width: int, threshold: float
                 ["v", "links", "root", "split"],
             )
 
-    return dealt.mapInArrow(compare, "v long, links long, root long, split boolean")
+    return dealt.transform(in_python, compare, "v long, links long, root long, split boolean")
 
 
 def classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, id_col="doc_id", text="text") -> DataFrame:
@@ -346,20 +347,24 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, r
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without those whose class has a smaller id; all columns stay as they are.
+    """The documents without those whose class has a smaller id; all columns stay as they are, whatever their names.
 
-    Rows without an id stay. Of rows that repeat an id and a set of shingles any one stays; an id that stands for several
-    sets loses only those whose class has a smaller id.
+    Rows without an id and texts without words stay. Of rows that repeat an id and a set of shingles the one with the
+    smallest hash of its columns stays; an id that stands for several sets loses only those whose class has a smaller id.
     """
-    found = cut(classes(docs, width, threshold))
-    gone = cut(found.where("id <> class_id").select(F.col("id").alias("_gone"), "v").distinct())
-    same_id = docs["doc_id"].cast("long") == F.col("_gone")
+    named, where = aside(docs)
+    doc_id, text = where["doc_id"], where["text"]
+    found = cut(classes(named, width, threshold, id_col=doc_id, text=text))
+    gone = cut(found.where("id <> class_id").select(F.col("id").alias("gone_id"), "v").distinct())
+    same_id = F.col(doc_id).cast(id_type(named, doc_id)) == F.col("gone_id")
     if not found.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
-        return docs.join(small(gone.select("_gone")), same_id, "left_anti")
-    own = cut(_with_digest(docs, width))
-    own = own.where("doc_id is null").union(own.where("doc_id is not null").dropDuplicates(["doc_id", DIGEST]))
-    same_id = own["doc_id"].cast("long") == F.col("_gone")
-    return own.join(small(gone), same_id & own[DIGEST].eqNullSafe(F.col("v")), "left_anti").select(*docs.columns)
+        return named.join(small(gone.select("gone_id")), same_id, "left_anti").toDF(*docs.columns)
+    own = cut(_with_digest(named, width, text))
+    single = F.col(doc_id).isNull() | F.col(DIGEST).isNull()
+    hashed = F.xxhash64(*(F.col(f.name) for f in named.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType)))
+    first = own.where(~single).groupBy(doc_id, DIGEST).agg(F.min_by(F.struct(*named.columns), hashed).alias("first"))
+    own = own.where(single).select(*named.columns, DIGEST).union(first.select(*(F.col("first")[c].alias(c) for c in named.columns), DIGEST))
+    return own.join(small(gone), same_id & (F.col(DIGEST) == F.col("v")), "left_anti").select(*named.columns).toDF(*docs.columns)
 
 
 def _with_digest(docs: DataFrame, width: int, text="text") -> DataFrame:
@@ -373,4 +378,4 @@ def _with_digest(docs: DataFrame, width: int, text="text") -> DataFrame:
             yield with_columns(b, names, {DIGEST: pa.array([_digest(s) if len(s) else None for s in own], pa.int64())})
 
     names = docs.columns
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(DIGEST, T.LongType())]))
+    return docs.transform(in_python, run, T.StructType([*docs.schema.fields, T.StructField(DIGEST, T.LongType())]))

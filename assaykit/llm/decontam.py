@@ -6,7 +6,8 @@ documents' window hashes are joined with the set's, both sides shuffled. In the
 the places to look at and the words themselves decide; the joined form decides by a 128-bit hash of the words.
 
 Edge cases: null and empty texts have no words and no hits; items without words are left out; the same passage in several
-items counts for each; repeated rows give equal rows. An empty benchmark leaves every document clean.
+items counts for each; repeated rows give equal rows. An empty benchmark leaves every document clean. Columns of any name
+stay as they are in `remove_documents` and `remove_spans`; in `scan` those of `keep` named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -24,27 +25,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .tables import cut, lean
+from .tables import aside, cut, fits, id_type, in_python, lean
 from .text import pieces, raw, with_columns, words
 
 WIDTH = 10
-#: Windows of about 100 bytes each: the broadcast set stays under about 200 MB.
+#: The set is broadcast up to so many windows and bytes of them: it stays under about 200 MB.
 MAX_WINDOWS = 500_000
+MAX_BYTES = 100 << 20
 BITS = 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
 FIELDS = ("n_words", "n_hit", "items")
 ONE_WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
-def _kind(benchmark: DataFrame, item="item_id") -> T.DataType:
-    """Integer ids are longs, others keep their type."""
-    own = benchmark.schema[item].dataType
-    return T.LongType() if isinstance(own, T.IntegralType) else own
-
-
 def item_windows(benchmark: DataFrame, width: int = WIDTH, item="item_id", text="text") -> DataFrame:
     """(item_id, window) rows: the words of each window joined by spaces."""
-    kind = _kind(benchmark, item)
+    kind = id_type(benchmark, item)
     arrow = to_arrow_type(kind)
 
     def run(batches):
@@ -57,7 +53,7 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH, item="item_id", text=
                 out += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array(out, pa.binary())], ["item_id", "window"])
 
-    return benchmark.select(F.col(item).cast(kind).alias(item), text).mapInArrow(run, f"item_id {kind.simpleString()}, window binary")
+    return benchmark.select(F.col(item).cast(kind).alias(item), text).transform(in_python, run, f"item_id {kind.simpleString()}, window binary")
 
 
 class WindowSet:
@@ -110,15 +106,16 @@ def rolled(ids: np.ndarray, n: int) -> np.ndarray:
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text="text", keep=("doc_id",), max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The columns of keep with n_words, n_hit (words inside a benchmark window) and items (sorted ids of items found)."""
-    keep = [c for c in keep if c not in FIELDS]
+    keep = [c for c in dict.fromkeys(keep) if c not in FIELDS]
+    docs, where = aside(docs.select(*dict.fromkeys([*keep, text])))
+    own, text = [where[c] for c in keep], where[text]
     windows = item_windows(benchmark, width)
     known = cut(windows)
-    kind = _kind(benchmark)
+    kind = id_type(benchmark, "item_id")
     arrow, result = pa.list_(to_arrow_type(kind)), f"n_words long, n_hit long, items array<{kind.simpleString()}>"
-    if known.limit(max_windows + 1).count() > max_windows:
-        return _joined(docs, known, width, text, keep)
+    if known.limit(max_windows + 1).count() > max_windows or not fits(known, MAX_BYTES):
+        return _joined(docs, known, width, text, own).toDF(*keep, *FIELDS)
     shipped = docs.sparkSession.sparkContext.broadcast([(r.item_id, bytes(r.window)) for r in known.collect()])
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), result])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,13 +123,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text="text",
         for b in pieces(batches, text):
             found = [words(t) for t in raw(b, text)]
             got = [known.scan(w) for w in found]
-            yield with_columns(b, keep, {
+            yield with_columns(b, own, {
                 "n_words": pa.array(map(len, found), pa.int64()),
                 "n_hit": pa.array([n for n, _ in got], pa.int64()),
                 "items": pa.array([sorted(i for i in x if i is not None) for _, x in got], arrow),
             })
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own), result])
+    return docs.transform(in_python, run, schema).toDF(*keep, *FIELDS)
 
 
 def _joined(docs: DataFrame, windows: DataFrame, width: int, text: str, keep: list[str]) -> DataFrame:
@@ -147,7 +145,7 @@ def _joined(docs: DataFrame, windows: DataFrame, width: int, text: str, keep: li
             yield with_columns(b, ["_row", *keep], {"n_words": pa.array([len(words(t)) for t in raw(b, text)], pa.int64())})
 
     schema = ", ".join(["_row long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_words long"])
-    out = row.mapInArrow(counted, schema).join(per, "_row", "left")
+    out = row.transform(in_python, counted, schema).join(per, "_row", "left")
     none = F.expr(f"cast(array() as array<{windows.schema['item_id'].dataType.simpleString()}>)")
     return out.select(*keep, "n_words", F.coalesce(F.size("hit"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.array_compact("items"), none).alias("items"))
 
@@ -174,7 +172,7 @@ def _hits(row: DataFrame, windows: DataFrame, lengths: list[int], text: str) ->
     def digest(x):
         return x.map(xxhash.xxh3_128_digest)
 
-    places = row.select("_row", text).mapInArrow(run, "_row long, s int, n int, h binary")
+    places = row.select("_row", text).transform(in_python, run, "_row long, s int, n int, h binary")
     found = places.join(windows.select("item_id", digest("window").alias("h")), "h")
     # A row's words and items are sets over all its hits, so map-side combination bounds what is shuffled.
     hits = found.select("_row", "item_id", F.explode(F.sequence("s", F.expr("s + n - 1"))).alias("word"))
@@ -191,16 +189,19 @@ def report(scanned: DataFrame, id_col="doc_id") -> DataFrame:
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents without those that hold a benchmark window; all columns stay as they are."""
-    flags = _aside(docs)
-    kept = scan(flags, benchmark, width, "_text", flags.columns).where(F.col("n_hit") == 0)
-    return kept.select(*docs.columns)
+    """The documents without those that hold a benchmark window; all columns stay as they are, whatever their names."""
+    named, where = aside(docs)
+    kept = scan(named, benchmark, width, where["text"], named.columns).where(F.col("n_hit") == 0)
+    return kept.select(*named.columns).toDF(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text="text", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The documents with each hit word replaced by one space; texts without hits stay as they are."""
+    columns = docs.columns
+    docs, where = aside(docs)
+    text = where[text]
     known = cut(item_windows(benchmark, width))
-    if known.limit(max_windows + 1).count() > max_windows:
+    if known.limit(max_windows + 1).count() > max_windows or not fits(known, MAX_BYTES):
         lengths = sorted(r[0] for r in known.select(F.expr("size(split(cast(window as string), ' '))")).distinct().collect())
         row = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
         marked = row.join(_hits(row, known, lengths, text).select("_row", "hit"), "_row", "left").select(*docs.columns, F.col("hit").alias("_hit"))
@@ -212,7 +213,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text
                 yield b.set_column(b.schema.get_field_index(text), text, pa.array(out, pa.string())).select(docs_columns)
 
         docs_columns = docs.columns
-        return marked.mapInArrow(cut_out, docs.schema)
+        return marked.transform(in_python, cut_out, docs.schema).toDF(*columns)
     shipped = docs.sparkSession.sparkContext.broadcast([(r.item_id, bytes(r.window)) for r in known.collect()])
 
     @lean
@@ -228,7 +229,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text
                 out.append(own)
             yield b.set_column(b.schema.get_field_index(text), text, pa.array(out, pa.string()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_python, run, docs.schema).toDF(*columns)
 
 
 def _without(t: bytes, hit: set[int]) -> str:
@@ -236,7 +237,3 @@ def _without(t: bytes, hit: set[int]) -> str:
     number = count()
     return ONE_WORD.sub(lambda m: b" " if next(number) in hit else m[0], t).decode()
 
-
-def _aside(docs: DataFrame) -> DataFrame:
-    """docs with a second column for the scan, so that no column of the input is lost to a clash of names."""
-    return docs.withColumn("_text", F.col("text"))

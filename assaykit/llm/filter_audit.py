@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, lean, ship, small
+from .tables import cut, in_python, lean, small
 
 FILTERS = "ABCDE"
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -126,7 +126,6 @@ def walked(cells: dict[int, tuple], names: str = FILTERS) -> list[tuple]:
 
 def audit(cells: DataFrame, names: str = FILTERS) -> DataFrame:
     """(part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley) from the cells of each part."""
-    ship(cells.sparkSession)
     parts = cells.groupBy("part").agg(F.collect_list(F.struct("mask", *COUNTS)).alias("cells"))  # at most 2^k cells each
 
     @lean
@@ -141,4 +140,4 @@ def audit(cells: DataFrame, names: str = FILTERS) -> DataFrame:
             arrays = [pa.array(part, pa.string()), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])]
             yield pa.RecordBatch.from_arrays(arrays, ["part", "filter_order", "step", *FIELDS])
 
-    return parts.mapInArrow(run, "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in FIELDS))
+    return parts.transform(in_python, run, "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in FIELDS))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .license_texts import TEXTS
-from .tables import lean
+from .tables import in_python, lean
 from .text import pieces, raw, with_columns, words
 
 #: Phrases whose words stand consecutively, and their labels.
@@ -78,7 +78,7 @@ def word_order(docs: DataFrame, templates=ALL, text="text") -> list[bytes]:
                 n.update(vocabulary.intersection(words(t)))
         yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.binary()), pa.array(n.values(), pa.int64())], ["word", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(text).transform(in_python, run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     n = {bytes(r.word): r.n for r in rows}
     return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
 
@@ -176,4 +176,4 @@ def scan(docs: DataFrame, templates=ALL, threshold: float = THRESHOLD, phrases=P
             names = [f.split()[0] for f in FIELDS.split(", ")]
             yield with_columns(b, keep, {n: pa.array([r[i] for r in rows], kinds[i]) for i, n in enumerate(names)})
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).transform(in_python, run, schema)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import aside, cut
 
 RUN = 3
 #: Runs of fewer lines than RUN go from more than so many words on.
@@ -116,23 +116,27 @@ def repeated(docs: DataFrame, run: int = RUN, id_col="doc_id", text="text", word
 
 
 def clean(docs: DataFrame, run: int = RUN, id_col="doc_id", text="text", into="text", gone="_gone", words: int | None = None) -> DataFrame:
-    """docs with `gone` (numbers of the deleted lines, or null) and the text without them in `into`."""
+    """docs with `gone` (numbers of the deleted lines, or null) and the text without them in `into`; other columns stay, whatever their names."""
     found = cut(repeated(docs, run, id_col, text, words))
     total = found.agg(F.sum(F.size("gone") + 4)).first()[0] or 0
     side = (F.broadcast(found) if total <= BROADCAST_LINES else found).select(F.col("id").alias("_id"), F.col("k").alias("_k"), F.col("gone").alias("_g"))
-    joined = docs.join(side, (docs[id_col] == F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_k")), "left")
-    lines = F.split(docs[text], "\n", -1)
+    named, where = aside(docs)
+    own = F.col(where[text])
+    joined = named.join(side, (F.col(where[id_col]) == F.col("_id")) & (F.xxhash64(own) == F.col("_k")), "left")
+    lines = F.split(own, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_g"))
-    cleaned = F.when(F.col("_g").isNull(), docs[text]).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    return joined.withColumn(into, cleaned).withColumn(gone, F.col("_g")).drop("_id", "_k", "_g")
+    cleaned = F.when(F.col("_g").isNull(), own).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    out = {c: F.col(k) for c, k in where.items()} | {into: cleaned, gone: F.col("_g")}
+    return joined.select(*(x.alias(c) for c, x in out.items()))
 
 
 def remove_repeats(docs: DataFrame, run: int = RUN, words: int | None = LONG) -> DataFrame:
     """The documents with later copies of runs deleted from their texts and n_chars counted anew. A document of which nothing is left goes."""
-    out = clean(docs.select(*docs.columns), run, gone="_gone_lines", words=words)
-    left = F.col("_gone_lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    out = out.where(left)
-    if "n_chars" in docs.columns:
-        fresh = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_gone_lines").isNull(), F.col("n_chars")).otherwise(fresh))
-    return out.select(*docs.columns)
+    named, where = aside(docs)
+    text = where["text"]
+    out = clean(named, run, where["doc_id"], text, text, "_gone", words)
+    out = out.where(F.col("_gone").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in where:
+        n = where["n_chars"]
+        out = out.withColumn(n, F.when(F.col("_gone").isNull(), F.col(n)).otherwise(F.char_length(text).cast(named.schema[n].dataType)))
+    return out.select(*named.columns).toDF(*docs.columns)

@@ -44,8 +44,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import PACKED, columns_in, columns_out, gathered, groups, narrow, pack, packed_rows, steps, unpack
-from .tables import aside, cut, fits, lean
+from .blobs import PACKED, columns_in, columns_out, gathered, groups, home, narrow, pack, packed_rows, steps, unpack
+from .tables import aside, cut, fits, in_python, lean
 from .text import raw, words
 
 MASS = 32.0
@@ -136,7 +136,7 @@ def hot_ones(docs: DataFrame, text: str) -> Hot:
             word, near = t.hash[code >> 32], t.near[code & 0xFFFFFFFF]
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(near.view(np.int64)), pa.array(n)], ["word", "near", "n"])
 
-    found = cut(some.mapInArrow(run, "word long, near long, n long").groupBy("word", "near").agg(F.sum("n").alias("n")))
+    found = cut(some.transform(in_python, run, "word long, near long, n long").groupBy("word", "near").agg(F.sum("n").alias("n")))
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     pairs = [(r.word, r.near) for r in found.where(F.col("n") * HOT > total).collect()]
     single = found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * 2 * HOT > total)
@@ -190,7 +190,7 @@ def totals(docs: DataFrame, text="text", target="_target", train: str | None = N
             keep = n > 0
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (word, near, n, n_target)], ["word", "near", "n", "n_target"])
 
-    made = own.mapInArrow(run, "word long, near long, n long, n_target long")
+    made = own.transform(in_python, run, "word long, near long, n long, n_target long")
     table = cut(made.groupBy("word", "near").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
     whole = table.where("near = -1")
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_target")]
@@ -272,9 +272,9 @@ def _dealt(docs: DataFrame, models: Models, keep: list[str], buckets: int) -> Da
                     narrow(counts[0][p]), narrow(counts[1][p]), doc[at].astype(np.uint16), narrow(n[at]),
                 )))
             head = {f"c{j}": b.column(f"k{j}") for j in range(len(keep))} | {"_n": pa.array(t.size), "_b": pa.array(sums[0]), "_t": pa.array(sums[1])}
-            yield packed_rows([*rows, (0, batch % buckets, batch, columns_in(head))])
+            yield packed_rows([*rows, (0, home(batch, buckets), batch, columns_in(head))])
 
-    return docs.mapInArrow(run, PACKED)
+    return docs.transform(in_python, run, PACKED)
 
 
 def _answers(dealt: DataFrame, models: Models) -> DataFrame:
@@ -314,7 +314,7 @@ def _answers(dealt: DataFrame, models: Models) -> DataFrame:
                     out.append((2, bucket, batch, pack(docs, *sums)))
             yield packed_rows(out)
 
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, PACKED)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").transform(in_python, run, PACKED)
 
 
 def _joined(answers: DataFrame, schema: str, names: list[str]) -> DataFrame:
@@ -333,7 +333,7 @@ def _joined(answers: DataFrame, schema: str, names: list[str]) -> DataFrame:
             out = [*kept, pa.array(n), *(pa.array(x, pa.float64(), mask=none) for x in mean), pa.array((sums[0] - sums[1]) / np.maximum(n, 1) / UNIT)]
             yield pa.RecordBatch.from_arrays(out, names)
 
-    return answers.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(run, schema)
+    return answers.repartition("batch").sortWithinPartitions("batch", "kind").transform(in_python, run, schema)
 
 
 def score(docs: DataFrame, models: Models, text="text", target="_target", train: str | None = None, keep=("doc_id",)) -> DataFrame:

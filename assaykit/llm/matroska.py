@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import lean, ship
+from .tables import in_python, lean
 from .text import pieces, raw, with_columns
 
 # Fixed values of the format: element identifiers.
@@ -414,7 +414,6 @@ def _typed(docs: DataFrame, keep: list[str], more: str) -> str:
 
 def store(docs: DataFrame, text="text", keep=("doc_id",)) -> DataFrame:
     """The columns of keep with n_bytes (of the text in UTF-8) and media, the file that holds it."""
-    ship(docs.sparkSession)
     keep = [c for c in keep if c not in ("n_bytes", "media")]
 
     @lean
@@ -423,12 +422,11 @@ def store(docs: DataFrame, text="text", keep=("doc_id",)) -> DataFrame:
             texts = raw(b, text)
             yield with_columns(b, keep, {"n_bytes": pa.array(map(len, texts), pa.int64()), "media": pa.array([written(padded(t)) for t in texts], pa.binary())})
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, _typed(docs, keep, "n_bytes long, media binary"))
+    return docs.select(*dict.fromkeys([*keep, text])).transform(in_python, run, _typed(docs, keep, "n_bytes long, media binary"))
 
 
 def exploded(files: DataFrame, keep, names, types, ddl: str, rows, media="media") -> DataFrame:
     """A table of the rows that each file gives, with the columns of keep."""
-    ship(files.sparkSession)
     keep = [c for c in keep if c not in names]
 
     @lean
@@ -443,7 +441,7 @@ def exploded(files: DataFrame, keep, names, types, ddl: str, rows, media="media"
             own = b.select(keep).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [*keep, *names])
 
-    return files.select(*dict.fromkeys([*keep, media])).mapInArrow(run, _typed(files, keep, ddl))
+    return files.select(*dict.fromkeys([*keep, media])).transform(in_python, run, _typed(files, keep, ddl))
 
 
 def packets(files: DataFrame, keep=("doc_id",), media="media") -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import lean
+from .tables import in_python, lean
 from .text import Cache, pieces, raw, with_columns
 
 SLOTS = 1 << 16
@@ -156,7 +156,7 @@ def _features(docs: DataFrame, text: str, meta: str | None, keep: list[str]) ->
             out = [slots(t, m, cache) for t, m in zip(raw(b, text), metas, strict=True)]
             yield with_columns(b, keep, {"slots": pa.array(out, pa.list_(pa.int32()))})
 
-    return docs.select(*dict.fromkeys([*keep, text, *([meta] if meta else [])])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text, *([meta] if meta else [])])).transform(in_python, run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", label="quality", text="text", meta: str | None = "n_chars", sample: int = SAMPLE) -> Machine:
@@ -187,7 +187,7 @@ def score(docs: DataFrame, machine: Machine, text="text", meta: str | None = "n_
             found = [slots(t, m, cache) for t, m in zip(raw(b, text), metas, strict=True)]
             yield with_columns(b, keep, {into: pa.array(shipped.value.score(found), pa.float64())})
 
-    return docs.select(*dict.fromkeys([*keep, text, *([meta] if meta else [])])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text, *([meta] if meta else [])])).transform(in_python, run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:

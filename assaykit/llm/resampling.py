@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, lean, ship
+from .tables import cut, in_python, lean
 from .text import WORD_BYTES, pieces, with_columns
 
 RUN = 3
@@ -118,7 +118,6 @@ def features(texts: pa.Array, run: int = RUN, block: int | None = None) -> Itera
 
 def counts(docs: DataFrame, text="text", run: int = RUN, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, n): how many features of all texts fall into each bucket that has any."""
-    ship(docs.sparkSession)
 
     @lean
     def tally(batches):
@@ -129,7 +128,7 @@ def counts(docs: DataFrame, text="text", run: int = RUN, buckets: int = BUCKETS)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held])], ["bucket", "n"])
 
-    return docs.select(text).mapInArrow(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return docs.select(text).transform(in_python, tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -147,7 +146,6 @@ def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataF
 def weigh(docs: DataFrame, gain: DataFrame, text="text", keep=("doc_id",), run: int = RUN, buckets: int = BUCKETS) -> DataFrame:
     """The columns of keep with n_words, n_features and weight of each whole text."""
     spark, results = docs.sparkSession, ("n_words", "n_features", "weight")
-    ship(spark)
     keep = [c for c in keep if c not in results]
     by = np.zeros(buckets)
     for row in gain.select("bucket", "gain").collect():  # a row for each bucket
@@ -168,7 +166,7 @@ def weigh(docs: DataFrame, gain: DataFrame, text="text", keep=("doc_id",), run:
             yield with_columns(b, keep, {c: pa.array(x.astype(np.int64)) for c, x in zip(results, (words, found, weight), strict=True)})
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} long" for c in results)])
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(total, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).transform(in_python, total, schema)
 
 
 def scored(weighed: DataFrame, seed: int = SEED, id_col="doc_id") -> DataFrame:

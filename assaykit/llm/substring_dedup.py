@@ -15,8 +15,8 @@ digests; a bucket finds for each digest the batch that has it first, and answers
 own chunk lengths, packed along. Within a batch equal chunks are asked for once, so a chunk that a third of all texts
 hold costs one digest for each batch. A bucket has about BUCKET digests, so their number follows the corpus.
 
-Edge cases: null and empty texts have no chunks; documents without an id take no part and have no repeats; rows that
-repeat an id are documents of their own, the order of which is their place in the table; a text of under WINDOW bytes is
+Edge cases: null and empty texts have no chunks; documents without an id take no part and have no repeats; ids are of any type that orders;
+rows that repeat an id are documents of their own, the order of which is their place in the table; a text of under WINDOW bytes is
 one chunk. The rows of docs must come in the same order if a task is run again, as those of a file do.
 """
 
@@ -27,9 +27,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .blobs import PACKED, columns_in, columns_out, gathered, groups, narrow, pack, packed_rows, unpack
-from .tables import lean
+from .blobs import PACKED, columns_in, columns_out, gathered, groups, home, narrow, pack, packed_rows, unpack
+from .tables import id_type, in_python, lean
 from .text import raw
 
 SHORT = 8
@@ -82,7 +84,7 @@ def _digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _asked(docs: DataFrame, id_col: str, text: str, buckets: int, keep: list[str], texts: bool) -> DataFrame:
     """Blobs of digests (kind 1) by bucket, and one blob of each batch's columns and chunk lengths (kind 0)."""
-    own = docs.select(*(F.col(c).alias(f"k{j}") for j, c in enumerate(keep)), F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text"))
+    own = docs.select(*(F.col(c).alias(f"k{j}") for j, c in enumerate(keep)), F.col(id_col).cast(id_type(docs, id_col)).alias("_id"), F.col(text).alias("_text"))
 
     @lean
     def run(batches):
@@ -92,10 +94,10 @@ def _asked(docs: DataFrame, id_col: str, text: str, buckets: int, keep: list[str
         for k, b in enumerate(gathered(batches, "_text", GATHER)):
             batch = part << 32 | k
             found = raw(b, "_text")
-            ids = b.column("_id").fill_null(0).to_numpy(zero_copy_only=False)
-            there = b.column("_id").is_valid().to_numpy(zero_copy_only=False) & np.array([len(t) > 0 for t in found])
-            order = np.argsort(ids, kind="stable")
-            order = order[there[order]]
+            there = np.flatnonzero(b.column("_id").is_valid().to_numpy(zero_copy_only=False) & np.array([len(t) > 0 for t in found]))
+            ids = b.column("_id").take(pa.array(there))  # of any type that orders
+            by = np.argsort(_ranks(ids), kind="stable")
+            order, ids = there[by], ids.take(pa.array(by))
             digests, lengths, counts = _digests([found[i] for i in order.tolist()])
             u, first, inv = np.unique(digests, return_index=True, return_inverse=True)
             by = np.argsort(first)
@@ -111,17 +113,35 @@ def _asked(docs: DataFrame, id_col: str, text: str, buckets: int, keep: list[str
                 p = sorted_by[edges[i] : edges[i + 1]]
                 if len(p):
                     own, n = np.unique(holder[p], return_counts=True)
-                    rows.append((1, i, batch, pack(u[p], ids[order[own]], narrow(n))))
+                    rows.append((1, i, batch, _with_ids(ids.take(pa.array(own)), u[p], narrow(n))))
             head = {f"c{j}": b.column(f"k{j}") for j in range(len(keep))}
             head |= {"_n": pa.array([len(t) for t in found], pa.int64())} | ({"_text": pa.array(found, pa.binary())} if texts else {})
-            numbers = pack(order, ids[order], narrow(counts), narrow(lengths), np.diff(inv, prepend=0).astype(np.int32), narrow(bucket))
-            blob = columns_in(head)
-            yield packed_rows([*rows, (0, batch % buckets, batch, len(numbers).to_bytes(8, "little") + numbers + blob)])
+            numbers = _with_ids(ids, order, narrow(counts), narrow(lengths), np.diff(inv, prepend=0).astype(np.int32), narrow(bucket))
+            yield packed_rows([*rows, (0, home(batch, buckets), batch, len(numbers).to_bytes(8, "little") + numbers + columns_in(head))])
 
-    return own.mapInArrow(run, PACKED)
+    return own.transform(in_python, run, PACKED)
 
 
-def _answered(asked: DataFrame) -> DataFrame:
+def _ranks(ids: pa.Array) -> np.ndarray:
+    """Ranks of ids by their order, equal ones alike."""
+    if pa.types.is_integer(ids.type):
+        return ids.to_numpy()
+    return np.unique(np.array(ids.to_pylist(), dtype=object), return_inverse=True)[1] if len(ids) else np.zeros(0, np.int64)
+
+
+def _with_ids(ids: pa.Array, *arrays: np.ndarray) -> bytes:
+    """Ids of any type and arrays of numbers in one blob."""
+    numbers = pack(*arrays)
+    own = pack(ids.to_numpy()) if pa.types.is_integer(ids.type) else columns_in({"id": ids})
+    return len(numbers).to_bytes(8, "little") + numbers + own
+
+
+def _ids_out(blob: bytes, whole: bool) -> tuple[pa.Array, list[np.ndarray]]:
+    n = 8 + int.from_bytes(blob[:8], "little")
+    return pa.array(unpack(blob[n:])[0]) if whole else columns_out(blob[n:]).column(0), unpack(blob[8:n])
+
+
+def _answered(asked: DataFrame, whole: bool) -> DataFrame:
     """For each digest asked for: 0 if no other batch has it, 1 if others do and this one is first, 2 and the id of the first if not."""
 
     @lean
@@ -129,12 +149,15 @@ def _answered(asked: DataFrame) -> DataFrame:
         for rows in groups(batches, "bucket"):
             out = [tuple(r.values()) for r in rows if not r["kind"]]
             rows = [r for r in rows if r["kind"]]
-            found = [unpack(r["blob"]) for r in rows]
+            found = [_ids_out(r["blob"], whole) for r in rows]
             if found:
+                ids = pa.concat_arrays([x for x, _ in found])  # of the holders
+                found = [x for _, x in found]
                 digest = np.concatenate([x[0] for x in found])
-                holder = np.concatenate([np.repeat(x[1], x[2]) for x in found])
+                holder = np.repeat(np.arange(len(ids)), np.concatenate([x[1] for x in found]))
+                rank = _ranks(ids)[holder]
                 batch = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
-                order = np.lexsort((batch, holder, digest))
+                order = np.lexsort((batch, rank, digest))
                 new = np.flatnonzero(np.diff(digest[order], prepend=digest[order[:1]] + np.uint64(1)) != 0)
                 size = np.diff(np.append(new, len(order)))
                 code = np.zeros(len(order), np.uint8)
@@ -144,10 +167,10 @@ def _answered(asked: DataFrame) -> DataFrame:
                 first[order] = np.repeat(holder[order[new]], size)
                 for k, r in enumerate(rows):
                     own = batch == k
-                    out.append((2, r["bucket"], r["batch"], pack(code[own], first[own][code[own] == 2])))
+                    out.append((2, r["bucket"], r["batch"], _with_ids(ids.take(pa.array(first[own][code[own] == 2])), code[own])))
             yield packed_rows(out)
 
-    return asked.repartition("bucket").sortWithinPartitions("bucket", "batch").mapInArrow(run, PACKED)
+    return asked.repartition("bucket").sortWithinPartitions("bucket", "batch").transform(in_python, run, PACKED)
 
 
 def _spans(on: np.ndarray, lengths: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
@@ -160,19 +183,24 @@ def _spans(on: np.ndarray, lengths: np.ndarray, least: int) -> list[tuple[int, i
 class Answers:
     """The chunks of one batch with what the buckets answered."""
 
-    def __init__(self, rows: list[dict]):
+    def __init__(self, rows: list[dict], whole: bool):
         blob = rows[0]["blob"]
-        n = int.from_bytes(blob[:8], "little")
-        self.columns = columns_out(blob[8 + n :])
-        self.order, self.ids, counts, lengths, steps_, bucket = unpack(blob[8 : 8 + n])
+        n = 8 + int.from_bytes(blob[:8], "little")
+        self.columns = columns_out(blob[n:])
+        ids, (self.order, counts, lengths, steps_, bucket) = _ids_out(blob[8:n], whole)
         inv = np.cumsum(steps_.astype(np.int64))
         code, first = np.zeros(len(bucket), np.uint8), np.zeros(len(bucket), np.int64)
+        known, passed = [ids], len(ids)
         for r in rows[1:]:
             own = np.flatnonzero(bucket == r["bucket"])
-            code[own], ids = unpack(r["blob"])
-            first[own[code[own] == 2]] = ids
+            more, (code[own],) = _ids_out(r["blob"], whole)
+            first[own[code[own] == 2]] = passed + np.arange(len(more))
+            known.append(more)
+            passed += len(more)
+        #: Ids of the batch's documents and of those where its chunks stand first; `first` has places in it.
+        self.known = pa.concat_arrays(known)
         counts = counts.astype(np.int64)
-        holder = np.repeat(self.ids, counts)
+        holder = np.repeat(np.arange(len(ids)), counts)
         place = np.full(len(code), len(inv))
         np.minimum.at(place, inv, np.arange(len(inv)))
         self.copy = (code[inv] == 2) | (place[inv] != np.arange(len(inv)))
@@ -189,7 +217,8 @@ class Answers:
                 continue
             copies = _spans(self.copy[own], self.lengths[own], least)
             first = self.first[own]
-            yield row, _spans(self.repeated[own], self.lengths[own], least), copies, sorted({int(f) for _, _, x, y in copies for f in np.unique(first[x:y])})
+            places = np.unique(np.concatenate([first[x:y] for *_, x, y in copies])) if copies else np.zeros(0, np.int64)
+            yield row, _spans(self.repeated[own], self.lengths[own], least), copies, sorted(set(self.known.take(pa.array(places)).to_pylist()))
 
 
 def _buckets(docs: DataFrame, text: str) -> int:
@@ -198,39 +227,46 @@ def _buckets(docs: DataFrame, text: str) -> int:
 
 
 def _by_batch(docs: DataFrame, id_col: str, text: str, keep: list[str], texts: bool) -> DataFrame:
-    answered = _answered(_asked(docs, id_col, text, _buckets(docs, text), keep, texts))
+    answered = _answered(_asked(docs, id_col, text, _buckets(docs, text), keep, texts), _whole(docs, id_col))
     return answered.repartition("batch").sortWithinPartitions("batch", "kind")
 
 
-RESULT = {"n_bytes": pa.int64(), "n_repeats": pa.int64(), "n_copies": pa.int64(), "copied_bytes": pa.int64(), "copies": pa.string(), "first_ids": pa.list_(pa.int64()), "has_repeat": pa.bool_(), "has_copy": pa.bool_()}
+def _whole(docs: DataFrame, id_col: str) -> bool:
+    return isinstance(id_type(docs, id_col), T.LongType)
+
+
+RESULT = {"n_bytes": pa.int64(), "n_repeats": pa.int64(), "n_copies": pa.int64(), "copied_bytes": pa.int64(), "copies": pa.string(), "first_ids": None, "has_repeat": pa.bool_(), "has_copy": pa.bool_()}
 
 
 def summary(docs: DataFrame, id_col="doc_id", text="text", least: int = LEAST) -> DataFrame:
     """One row for each document: bytes, repeats, copies and copied bytes, the copies as ``start:end`` bytes, ids where their chunks stand first."""
+    whole, wide = _whole(docs, id_col), id_type(docs, id_col)
+    kinds = RESULT | {"first_ids": pa.list_(to_arrow_type(wide))}
 
     @lean
     def run(batches):
         for rows in groups(batches, "batch"):
-            got = Answers(rows)
+            got = Answers(rows, whole)
             ids, n_bytes = got.columns.columns
             out = [[0, 0, 0, "", [], False, False] for _ in range(len(ids))]
             for row, repeats, copies, first in got.documents(least):
                 out[row] = [len(repeats), len(copies), sum(y - x for x, y, *_ in copies), ",".join(f"{x}:{y}" for x, y, *_ in copies), first, bool(repeats), bool(copies)]
-            more = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), list(RESULT.values())[1:], strict=True)]
+            more = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), list(kinds.values())[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([ids, n_bytes, *more], ["doc_id", *RESULT])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, n_repeats long, n_copies long, copied_bytes long, copies string, first_ids array<long>, has_repeat boolean, has_copy boolean"
-    return _by_batch(docs, id_col, text, [id_col], False).mapInArrow(run, schema)
+    schema = f"doc_id {kind}, n_bytes long, n_repeats long, n_copies long, copied_bytes long, copies string, first_ids array<{wide.simpleString()}>, has_repeat boolean, has_copy boolean"
+    return _by_batch(docs, id_col, text, [id_col], False).transform(in_python, run, schema)
 
 
 def remove_copies(docs: DataFrame, id_col="doc_id", text="text", least: int = LEAST) -> DataFrame:
     """The documents with copied runs cut out of their texts, all other columns as they are. A character that a border splits stays whole."""
+    whole = _whole(docs, id_col)
 
     @lean
     def run(batches):
         for rows in groups(batches, "batch"):
-            got = Answers(rows)
+            got = Answers(rows, whole)
             *columns, _, found = got.columns.columns
             texts = found.to_pylist()
             for row, _, copies, _ in got.documents(least):
@@ -241,7 +277,7 @@ def remove_copies(docs: DataFrame, id_col="doc_id", text="text", least: int = LE
             yield pa.RecordBatch.from_arrays(columns, docs_columns)
 
     docs_columns = docs.columns
-    return _by_batch(docs, id_col, text, docs_columns, True).mapInArrow(run, docs.schema)
+    return _by_batch(docs, id_col, text, docs_columns, True).transform(in_python, run, docs.schema)
 
 
 def _without(t: bytes, spans: list[tuple]) -> bytes:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..sources import scratch
 from ..sources.scratch import shared_dir, stored
 
-__all__ = ["BROADCAST_BYTES", "aside", "cut", "fits", "keeper", "lean", "shared_dir", "ship", "small", "table"]
+__all__ = ["BROADCAST_BYTES", "aside", "cut", "fits", "id_type", "in_python", "keeper", "lean", "shared_dir", "ship", "small", "table"]
 
 #: A side is broadcast up to so many bytes; beyond it a shuffled join runs.
 BROADCAST_BYTES = 32 << 20
@@ -69,6 +69,12 @@ def ship(spark: SparkSession) -> None:
     scratch.ship(spark)
 
 
+def in_python(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) for `df.transform`: the workers get this package before Spark notes what the function needs, whoever made df."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; any path that Spark's readers understand."""
     ship(spark)
@@ -97,6 +103,12 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if fits(df, limit) else df
 
 
+def id_type(df: DataFrame, column: str) -> T.DataType:
+    """Integer ids are longs, others keep their type."""
+    own = df.schema[column].dataType
+    return T.LongType() if isinstance(own, T.IntegralType) else own
+
+
 def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs with its columns named c0, c1, ... by position, so that no name of an operator clashes with one of theirs, and the new names by the old."""
     where = {c: f"c{i}" for i, c in enumerate(docs.columns)}
