@@ -66,9 +66,16 @@ def weighted_share(checks: Column, weights: dict[str, float]) -> Column:
     return F.when(F.size(checks) == 0, 100).otherwise(half_up(passed / total * 100))
 
 
+def served(keys) -> Column:
+    """The row's locale, en-US where it is null. One that isn't among the keys is an error: no row is lost."""
+    key = F.coalesce(F.col("locale"), F.lit("en-US"))
+    return F.when(key.isin(*keys), key).otherwise(F.raise_error(F.concat(F.lit("no words for the locale "), key)))
+
+
 def by_locale(cases: DataFrame, step, locales=LOCALES) -> DataFrame:
     """step(rows, lexicon) over the rows of each locale."""
-    parts = [step(cases.where(F.col("locale") == lex.key), lex) for lex in locales]
+    keys = [lex.key for lex in locales]
+    parts = [step(cases.where(served(keys) == lex.key), lex) for lex in locales]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

@@ -13,7 +13,7 @@ from ..functions.lexicon import LOCALES
 from ..functions.rounding import to_fixed
 from ..functions.text import fold
 from .agreement import draw_seeded
-from .evaluators import with_defaults
+from .evaluators import served, with_defaults
 
 # Kinds, dimensions that should notice, severity.
 KINDS = [
@@ -259,7 +259,7 @@ def matrix(cases: DataFrame, only: tuple[str, ...] | None = None, applicable_onl
     id_text = F.col("case_id").cast("string")
     parts = []
     for lex in LOCALES:
-        rows = full.where(F.col("locale") == lex.key).withColumns({"_affirmed": F.transform(F.filter("gold", lambda g: ~F.coalesce(g["negated"], F.lit(False))), lambda g: g["finding"])})
+        rows = full.where(served([x.key for x in LOCALES]) == lex.key).withColumns({"_affirmed": F.transform(F.filter("gold", lambda g: ~F.coalesce(g["negated"], F.lit(False))), lambda g: g["finding"])})
         rows = rows.withColumns({f"_seed_{k}": _seeds(F.concat(id_text, F.lit(f"::{k}"))) for k in names if k in ("measurement_scramble", "critical_invent")})
         made = []
         for k in names:
