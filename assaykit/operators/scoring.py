@@ -78,7 +78,7 @@ def capped(score: Column, crit: Column, major: Column) -> Column:
     return F.when(crit > 0, F.least(score, by_crit)).when(major >= 3, F.least(score, F.lit(70.0))).otherwise(score)
 
 
-def _weighted(score: dict[str, Column], weights: dict[str, float]) -> Column:
+def weighted(score: dict[str, Column], weights: dict[str, float]) -> Column:
     """Mean of the scored dimensions, weights renormalised; summed in the fixed order, so both engines agree to the bit."""
     total = F.lit(0.0)
     for d in DIMS:
@@ -105,7 +105,7 @@ def score_dimensions(counts: DataFrame) -> DataFrame:
         verdicts[f"verdict_{d}"] = (
             F.when(s.isNull(), "UNSCORED").when(F.col(f"crit_{d}") > 0, "FAIL").when(F.col(f"pass_{d}") == F.col(f"total_{d}"), "PASS").when(s >= 80, "PARTIAL").otherwise("FAIL")
         )
-    return out.withColumns(verdicts | {"det_raw": _weighted({d: F.col(f"score_{d}") for d in DIMS}, WEIGHTS)}).withColumn("det_overall", to_fixed(F.col("det_raw"), 1)).drop("det_raw")
+    return out.withColumns(verdicts | {"det_raw": weighted({d: F.col(f"score_{d}") for d in DIMS}, WEIGHTS)}).withColumn("det_overall", to_fixed(F.col("det_raw"), 1)).drop("det_raw")
 
 
 def overlay_scores(scored: DataFrame, evaluator: DataFrame, keys=KEYS) -> DataFrame:
@@ -126,7 +126,7 @@ def overlay_scores(scored: DataFrame, evaluator: DataFrame, keys=KEYS) -> DataFr
         for k in ("pass", "total", "crit"):
             new[f"{k}_{d}"] = F.when(e.isNull(), F.col(f"{k}_{d}")).otherwise(e[k])
     out = out.withColumns(new).drop(*(f"eval_{d}" for d in DIMS))
-    return out.withColumn("det_overall", to_fixed(_weighted({d: F.col(f"score_{d}") for d in DIMS}, WEIGHTS), 1))
+    return out.withColumn("det_overall", to_fixed(weighted({d: F.col(f"score_{d}") for d in DIMS}, WEIGHTS), 1))
 
 
 def dim_rows(scored: DataFrame, keys=KEYS) -> DataFrame:
@@ -151,10 +151,10 @@ def severity_cap(critical: Column, major: Column) -> Column:
 JUDGE = (*(f"judge_{d}" for d in DIMS), "judge_overall", "judge_critical", "judge_missing", "judge_hallucinated")
 
 
-def combine(scored: DataFrame, judged: bool = False, policy: Policy = POLICIES["research"], judge_primary: bool = False) -> DataFrame:
+def combine(scored: DataFrame, judged: bool = False, policy: Policy = POLICIES["research"], judge_primary: bool | Column = False) -> DataFrame:
     """combined_ for each dimension, overall, verdict, confidence, phase and gates.
 
-    judged: the rows have the columns JUDGE and `has_judge`. Gates apply in a fixed order to the overall before rounding:
+    judged: the rows have the columns JUDGE and `has_judge`. judge_primary: for all rows, or by row. Gates apply in a fixed order to the overall before rounding:
     the cap of failed checks, a failed dimension, no clinical dimension, a weak clinical dimension.
     """
     none = F.lit(None).cast("double")
@@ -168,14 +168,16 @@ def combine(scored: DataFrame, judged: bool = False, policy: Policy = POLICIES["
     for d in DIMS:
         s, j = F.col(f"score_{d}"), F.when(F.isnan(judge[d]), none).otherwise(judge[d])
         hundred = to_fixed(F.greatest(F.lit(0.0), F.least(F.lit(100.0), j * F.when(F.col("_likert"), 20.0).otherwise(1.0))), 1)
-        both = hundred if judge_primary and d not in CLINICAL else F.least(s, hundred)
+        both = F.least(s, hundred)
+        if d not in CLINICAL and judge_primary is not False:
+            both = hundred if judge_primary is True else F.when(judge_primary, hundred).otherwise(both)
         new[f"combined_{d}"] = F.when(s.isNull(), none).when(j.isNull(), s).otherwise(both)
     out = out.withColumns(new)
     combined = {d: F.col(f"combined_{d}") for d in DIMS}
     weights = {d: policy.share(d) for d in DIMS}
     below = F.lit(round(policy.pass_at - 0.1, 1))
     n_crit = F.col("critical_failed") + judge_critical
-    out = out.withColumns({"_o0": _weighted(combined, weights), "_cap": severity_cap(n_crit, F.col("major_failed"))})
+    out = out.withColumns({"_o0": weighted(combined, weights), "_cap": severity_cap(n_crit, F.col("major_failed"))})
     g1 = F.col("_cap").isNotNull() & (F.col("_o0") > F.col("_cap"))
     out = out.withColumns({"_g1": g1, "_o1": F.when(g1, F.col("_cap")).otherwise(F.col("_o0"))})
     failed_dim = F.array_contains(F.array(*(F.col(f"verdict_{d}") for d in DIMS)), "FAIL")

@@ -15,7 +15,6 @@ from .scoring import DIMS
 
 TOLERANCE = 0.11
 DIFFICULTIES = ("easy", "medium", "hard")
-from ..sources.scratch import stored, with_position
 
 
 def tenths(x: Column) -> Column:
@@ -99,6 +98,11 @@ def rank_entries(entries: DataFrame, group: str = "comparable_key", tie: str = "
     return entries.withColumn("position", F.row_number().over(by)).withColumn("rank", F.when(F.col("eligible"), F.col("position")))
 
 
+def in_groups(ranked: DataFrame, group: str = "comparable_key") -> DataFrame:
+    """Ranked entries, groups in the order of the root locale (upper and lower case side by side, accents after plain letters), then by position."""
+    return ranked.orderBy(F.collate(F.col(group), "UNICODE"), group, "position")
+
+
 def comparable_key(*parts: Column) -> Column:
     """Parts joined by '::'; nulls become 'none'."""
     return F.concat_ws("::", *(F.coalesce(p.cast("string"), F.lit("none")) for p in parts))

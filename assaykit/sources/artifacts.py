@@ -14,7 +14,17 @@ from .scratch import stored
 
 CASE = "id string, label string, synthetic boolean, exam string, findings string, locale string, tags array<string>, goldFindings array<struct<finding:string,location:string,laterality:string,severity:string,measurements:array<string>,negated:boolean>>, referenceReport string, criticalFindings array<string>, guidelineExpectations array<struct<guidelineId:string,expectedClassification:string,recommendationRequired:boolean,expectedRecommendation:string>>, retrievalGold array<struct<documentId:string,relevance:int>>, patientContext struct<sex:string,age:int,indication:string>, difficulty string"
 CHECK = "struct<dim:string,id:string,name:string,severity:string,passed:boolean,evidence:string>"
-RUN = f"manifest struct<runName:string,suiteId:string,locale:string,track:string,comparableKey:string,suiteHash:string,judgeModel:string,scoreMode:string,validation:struct<valid:boolean,expectedIds:array<string>>>, summary struct<averageOverall:double,passRate:double,strictPassRate:double>, results array<struct<case:struct<id:string,difficulty:string>,checks:array<{CHECK}>,combinedOverall:double,verdict:string,costUsd:double,latencyMs:double>>"
+DIMS = ("CRIT", "QUAL", "TERM", "GUIDE", "RAG")
+_by_dim = lambda kind: "struct<" + ",".join(f"{d}:{kind}" for d in DIMS) + ">"
+MANIFEST = ("struct<benchmarkVersion:string,createdAt:string,runName:string,suiteId:string,suiteLabel:string,suiteVisibility:string,suiteHash:string,locale:string,track:string,provider:string,modelLabel:string,entityName:string,"
+            "entityType:string,systemType:string,comparisonClass:string,scaffoldId:string,judgeProvider:string,judgeModel:string,judgeTemperature:double,judgeMaxTokens:int,scoreMode:string,policyId:string,evaluationMode:string,"
+            "submissionMode:string,comparableKey:string,canaryToken:string,notes:string,validation:struct<valid:boolean,expectedIds:array<string>>>")
+SUMMARY = f"struct<accuracyRate:double,allPassRate:double,allPassCount:double,criterionPassRate:double,criteriaPassed:double,criteriaTotal:double,averageOverall:double,passRate:double,strictPassRate:double,averageLatencyMs:double,totalCostUsd:double,verdictCounts:struct<PASS:long,PARTIAL:long,FAIL:long>,averagePerDim:{_by_dim('double')}>"
+DIM = "struct<score:double,pass:int,total:int,critFails:int,verdict:string,appliedWeight:double>"
+JUDGED = f"struct<verdict:string,scores:{_by_dim('double')},overall:double,critical_failures:array<map<string,string>>,missing:array<string>,hallucinated:array<string>>"
+RESULT = (f"struct<case:struct<id:string,label:string,difficulty:string>,rawHtml:string,checks:array<{CHECK}>,detDims:{_by_dim(DIM)},detOverall:double,judge:{JUDGED},combined:{_by_dim('double')},combinedOverall:double,allPass:boolean,"
+          "criteriaPassed:long,criteriaTotal:long,verdict:string,costUsd:double,latencyMs:double>")
+RUN = f"manifest {MANIFEST}, summary {SUMMARY}, results array<{RESULT}>"
 PREDICTION_KEYS = ("instance_id", "model_output", "metadata", "model_name_or_path")
 
 
@@ -38,6 +48,13 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return read_json(spark, path, CASE)
 
 
+def read_case_objects(spark: SparkSession, path: str) -> DataFrame:
+    """(path, case): each case of a file's array (or the file's only one) as a variant, with whatever keys it has."""
+    rows = read_text(spark, path).select("path", F.parse_json("value").alias("v"))
+    listed = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
+    return rows.select("path", F.explode(listed).alias("case"))
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """instance_id, model_output, metadata (JSON text), unknown keys, and the raw line. All malformed lines are named in one error."""
     lines = spark.read.text(path).where(F.trim("value") != "").withColumn("parsed", F.try_parse_json(F.trim("value")))
@@ -62,6 +79,18 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, schema=RUN, multiLine=True).where("manifest is not null and summary is not null")
 
 
+def read_suite_runs(spark: SparkSession, path: str, require_results: bool = True, observation=None) -> DataFrame:
+    """Run artifacts whose every number follows from their checks: a run that doesn't stops the read with all its mismatches named.
+
+    The artifacts are scanned once: verification is part of the plan that the reader's own steps go on with. `observation` (an
+    Observation) gets the numbers of runs, cases and mismatches of that same pass.
+    """
+    from ..operators import integrity
+
+    rows = spark.read.json(path, schema=RUN, multiLine=True, mode="FAILFAST").withColumn("source", F.col("_metadata.file_path"))
+    return integrity.verified(rows, require_results, observation)
+
+
 def run_checks(runs: DataFrame) -> DataFrame:
     """The fact table of runs: one row for each check."""
     cases = runs.select(F.col("manifest.runName").alias("run"), F.explode("results").alias("r"))
