@@ -93,7 +93,9 @@ RUN_FIELDS = {
 def run_hash(suite_hash: Column, scoring_hash: Column) -> Column:
     """sha256 over the suite's hash, the canonical configuration and the hash of the scoring code; columns are named as in RUN_FIELDS."""
     fields = {k: F.coalesce(F.col(c), F.lit("conservative-min")) if k == "scoreMode" else F.col(c) for k, c in RUN_FIELDS.items()}
-    return F.sha2(F.concat_ws("|", suite_hash, canonical_json(*fields.items()), scoring_hash), 256)
+    # Whole numbers have no fraction in the hashed text.
+    texts = [F.concat(F.lit(f'"{k}":'), F.regexp_replace(F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1), r"^(-?\d+)\.0$", "$1")) for k, x in sorted(fields.items())]
+    return F.sha2(F.concat_ws("|", suite_hash, F.concat(F.lit("{"), F.concat_ws(",", *texts), F.lit("}")), scoring_hash), 256)
 
 
 def board_hash(runs: DataFrame) -> DataFrame:
