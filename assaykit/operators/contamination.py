@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import canary_plain
+from ..functions.text import canary_form_any, canary_plain
 from ..sources.scratch import ship
 
 #: Passages are looked for in blocks of so many bytes, each broadcast as one automaton.
@@ -64,3 +64,18 @@ def scan_run(results: DataFrame, token: str) -> DataFrame:
     hit = F.contains("canary", F.lit(canary_plain(token))) if token else F.lit(False)
     sums = results.agg(F.count_if(hit).alias("canary_hits"), F.count_if(~hit & F.col("judge_flag")).alias("judge_flagged"))
     return sums.withColumn("verdict", F.when(F.col("canary_hits") > 0, "contaminated").when(F.col("judge_flagged") > 0, "suspicious").otherwise("clean"))
+
+
+def scan_runs(results: DataFrame, token: str | None = None) -> DataFrame:
+    """(run, canary_hits, judge_flagged, suspicious, verdict) of each run. results: run, case_id, html, token (the run's own, or null), judge_failures (array of maps).
+
+    `token` takes the place of the runs' own. Outputs and tokens are compared in canary form, so blanks, case, invisible
+    characters and look-alike code points don't hide one; a case counts as flagged only where no token was found.
+    """
+    given = F.lit(token) if token else F.col("token")
+    rows = results.select("run", "case_id", canary_form_any("html").alias("text"), canary_form_any(given).alias("token"), "judge_failures")
+    hit = F.coalesce((F.col("token") != "") & F.contains("text", "token"), F.lit(False))
+    flagged = ~hit & F.exists("judge_failures", lambda f: F.lower(f["issue"]).contains("contamination"))
+    rows = rows.select("run", "case_id", hit.alias("hit"), F.coalesce(flagged, F.lit(False)).alias("flagged"))
+    sums = rows.groupBy("run").agg(F.count_if("hit").alias("canary_hits"), F.count_if("flagged").alias("judge_flagged"), F.array_sort(F.collect_list(F.when(F.col("hit") | F.col("flagged"), F.col("case_id")))).alias("suspicious"))
+    return sums.withColumn("verdict", F.when(F.col("canary_hits") > 0, "contaminated").when(F.col("judge_flagged") > 0, "suspicious").otherwise("clean"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pairing_queries, report_queries, run_queries, scoring_queries, text_queries
+from . import artifact_queries, pairing_queries, report_queries, run_queries, scoring_queries, text_queries
 
-MODULES = (scoring_queries, pairing_queries, text_queries, report_queries, run_queries)
+MODULES = (scoring_queries, pairing_queries, text_queries, report_queries, run_queries, artifact_queries)
 
 
 def queries() -> dict:

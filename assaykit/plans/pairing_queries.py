@@ -103,7 +103,7 @@ def _adjudication_sql(audit: bool) -> str:
       {whole} WHEN id = 'QG01' AND regexp_matches(evidence, 'missed=\\d+') THEN 'review_needed' ELSE 'system_error' END"""
 
 
-def _issues_cte(audit: bool = False) -> str:
+def issues_cte(audit: bool = False) -> str:
     return f"""signed AS (SELECT *, id || ':' || name || ':' || evidence AS signature, CASE severity WHEN 'critical' THEN 4.0::DOUBLE WHEN 'major' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM checks WHERE NOT passed),
 issues AS (SELECT *, {_stratum_sql()} AS stratum, {_adjudication_sql(audit)} AS adjudication FROM signed)"""
 
@@ -126,7 +126,7 @@ BY_CASE = "by_case AS (SELECT case_id, stratum, " + ", ".join(
 ) + " FROM issues WHERE run < 2 AND case_id IN (SELECT case_id FROM checks WHERE run < 2 GROUP BY 1 HAVING count(DISTINCT run) = 2) GROUP BY 1, 2)"
 
 
-@add(q("SELECT run, stratum, adjudication, count(*) AS n FROM issues GROUP BY 1, 2, 3", BASE, _issues_cte()))
+@add(q("SELECT run, stratum, adjudication, count(*) AS n FROM issues GROUP BY 1, 2, 3", BASE, issues_cte()))
 def strata_failures(spark, sf_dir):
     return _issues(spark, sf_dir).groupBy("run", "stratum", "adjudication").agg(F.count("*").alias("n"))
 
@@ -141,25 +141,25 @@ def _strata_sql() -> str:
     return "SELECT stratum, " + ", ".join(cols) + ", count(*) FILTER (WHERE a_n > 0 AND b_n > 0) AS shared FROM by_case GROUP BY 1"
 
 
-@add(q(_strata_sql(), BASE, _issues_cte(), BY_CASE))
+@add(q(_strata_sql(), BASE, issues_cte(), BY_CASE))
 def strata_excess(spark, sf_dir):
     return pairing.strata_comparison(pairing.strata_by_case(_sides(spark, sf_dir)))
 
 
-@add(q("SELECT stratum, case_id, CASE WHEN a_n = 0 THEN 'b_only' WHEN b_n = 0 THEN 'a_only' ELSE 'shared' END AS kind FROM by_case", BASE, _issues_cte(), BY_CASE))
+@add(q("SELECT stratum, case_id, CASE WHEN a_n = 0 THEN 'b_only' WHEN b_n = 0 THEN 'a_only' ELSE 'shared' END AS kind FROM by_case", BASE, issues_cte(), BY_CASE))
 def strata_case_sets(spark, sf_dir):
     kind = F.when(F.col("a_n") == 0, "b_only").when(F.col("b_n") == 0, "a_only").otherwise("shared")
     return pairing.strata_by_case(_sides(spark, sf_dir)).select("stratum", "case_id", kind.alias("kind"))
 
 
-@add(q("SELECT stratum, sum(b_sw) - sum(a_sw) AS gap FROM by_case GROUP BY 1 ORDER BY gap DESC, stratum LIMIT 5", BASE, _issues_cte(), BY_CASE))
+@add(q("SELECT stratum, sum(b_sw) - sum(a_sw) AS gap FROM by_case GROUP BY 1 ORDER BY gap DESC, stratum LIMIT 5", BASE, issues_cte(), BY_CASE))
 def top_strata(spark, sf_dir):
     rows = pairing.strata_comparison(pairing.strata_by_case(_sides(spark, sf_dir)))
     return rows.select("stratum", (F.col("b_system_weighted") - F.col("a_system_weighted")).alias("gap")).orderBy(F.desc("gap"), "stratum").limit(5)
 
 
 @add(q("""SELECT run, stratum, count(*) AS failed_checks, count(*) FILTER (WHERE adjudication = 'system_error') AS system_errors, count(*) FILTER (WHERE adjudication = 'evaluator_limitation') AS evaluator_limitations,
-  count(*) FILTER (WHERE adjudication = 'review_needed') AS review_needed, coalesce(sum(weight) FILTER (WHERE adjudication = 'system_error'), 0.0::DOUBLE) AS system_weight, sum(weight) AS raw_weight FROM issues GROUP BY 1, 2""", BASE, _issues_cte(True)))
+  count(*) FILTER (WHERE adjudication = 'review_needed') AS review_needed, coalesce(sum(weight) FILTER (WHERE adjudication = 'system_error'), 0.0::DOUBLE) AS system_weight, sum(weight) AS raw_weight FROM issues GROUP BY 1, 2""", BASE, issues_cte(True)))
 def audit_totals(spark, sf_dir):
     return pairing.audit_totals(_issues(spark, sf_dir, True))
 
