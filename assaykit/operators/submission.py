@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.models import judge_columns
 from ..sources.scratch import stored
 from . import catalogue, evaluators, pairing, scoring
 from .evaluators import CHECK, check
@@ -52,7 +53,7 @@ def checked(cases: DataFrame) -> DataFrame:
     # Each step is stored: the next one names its columns many times, and its filters must not be rewritten into their expressions.
     parts = []
     for key, pack in catalogue.PACKS.items():
-        structural = stored(catalogue.with_checks(rows.where(F.col("locale") == key), pack))
+        structural = stored(catalogue.with_checks(rows.where(evaluators.served(catalogue.PACKS) == key), pack))
         parts.append(stored(evaluators.evaluate(evaluators.with_defaults(structural), (pack.words,))))
     out = parts[0].unionByName(parts[1]).withColumn("_rich", has_rich_gold())
     own, merged = merged_checks()
@@ -74,14 +75,18 @@ def evaluate_submission(cases: DataFrame, predictions: DataFrame, policy: str =
     return results(own.join(last, own["case_id"].cast("string") == F.col("_id")).drop("_id"), policy)
 
 
-def results(reports: DataFrame, policy: str = "research") -> DataFrame:
-    """Results of cases with their reports, see evaluate_submission."""
+def results(reports: DataFrame, policy: str = "research", judgements: DataFrame | None = None, judge_primary: bool = False) -> DataFrame:
+    """Results of cases with their reports, see evaluate_submission. judgements (optional): case_id and judge (see models.judged)."""
     rows = stored(checked(reports))
     flat = rows.select(F.lit("run").alias("run"), "case_id", F.inline("all_checks"))
     counts = scoring.case_counts(flat, scoring.KEYS)
     scored = scoring.score_dimensions(counts)
     mine = rows.where("_rich").select(F.lit("run").alias("run"), "case_id", F.inline(F.array(*(_given(d, p) for d, p in EVALUATED.items())))).where("score >= 0")
-    return scoring.combine(scoring.overlay_scores(scored, mine), policy=scoring.POLICIES[policy])
+    scored = scoring.overlay_scores(scored, mine)
+    if judgements is None:
+        return scoring.combine(scored, policy=scoring.POLICIES[policy])
+    told = judgements.select("case_id", "judge").join(scored, "case_id", "right")
+    return scoring.combine(told.withColumns(judge_columns(F.col("judge"))).drop("judge"), True, scoring.POLICIES[policy], judge_primary)
 
 
 def _given(dim: str, name: str) -> Column:
