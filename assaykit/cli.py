@@ -11,9 +11,8 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import canary_form_any
-from .operators import adjudication, agreement, board, calibration, contamination, pairing, release, robustness, submission, summary
-from .sources import artifacts, scratch
+from .operators import adjudication, agreement, board, calibration, contamination, pairing, provenance, release, reporting, robustness, submission, summary
+from .sources import artifacts, scratch, tracked
 from .sources.scratch import with_position
 
 
@@ -32,9 +31,20 @@ def predictions_of(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("pos", F.monotonically_increasing_id())
 
 
+def _runs(spark: SparkSession, path: str, a) -> DataFrame:
+    """Run artifacts that follow from their checks; with --unverified as they are."""
+    return artifacts.read_runs(spark, path) if a.unverified else artifacts.read_suite_runs(spark, path)
+
+
 def _results(runs: DataFrame) -> DataFrame:
-    return runs.select(F.col("manifest.runName").alias("run"), F.concat_ws(":", F.lit("judge"), F.coalesce("manifest.judgeModel", F.lit("none"))).alias("judge"), F.col("manifest.comparableKey").alias("comparable_key"), F.explode("results").alias("r")).select(
-        "run", "judge", "comparable_key", F.col("r.case.id").alias("case_id"), F.col("r.combinedOverall").alias("overall"), F.col("r.verdict").alias("verdict"), F.col("r.checks").alias("checks"))
+    """One row for each case of the runs."""
+    m, judge = F.col("manifest"), F.concat_ws(":", F.coalesce("manifest.judgeProvider", F.lit("judge")), F.coalesce("manifest.judgeModel", F.lit("none")))
+    rows = runs.select(m["runName"].alias("run"), judge.alias("judge"), m["comparableKey"].alias("comparable_key"), m["canaryToken"].alias("token"), F.explode("results").alias("r"))
+    return rows.select(
+        "run", "judge", "comparable_key", "token", F.col("r.case.id").alias("case_id"), F.col("r.combinedOverall").alias("overall"), F.col("r.verdict").alias("verdict"), F.col("r.checks").alias("checks"),
+        F.col("r.detOverall").alias("det_overall"), F.col("r.judge.overall").alias("judge_overall"), F.col("r.rawHtml").alias("html"),
+        F.coalesce("r.judge.critical_failures", F.array().cast("array<map<string,string>>")).alias("judge_failures"), F.coalesce("r.detDims.CRIT.critFails", F.lit(0)).alias("crit_CRIT"),
+    )
 
 
 def suites(spark, a) -> DataFrame:
@@ -81,32 +91,36 @@ def eval_submission(spark, a) -> DataFrame:
 
 
 def leaderboard(spark, a) -> DataFrame:
-    runs = artifacts.read_runs(spark, a.runs).select("manifest.*", "summary.*")
-    rows = runs.select(F.col("runName").alias("run"), F.col("comparableKey").alias("comparable_key"), F.col("validation.valid").alias("eligible"), F.col("averageOverall").alias("average_overall"), F.col("passRate").alias("pass_rate"), F.col("strictPassRate").alias("accuracy_rate"))
-    zero = {c: F.lit(0.0) for c, _ in summary.ORDER if c not in rows.columns}
-    return summary.rank_entries(rows.withColumns(zero)).orderBy("comparable_key", "position")
+    """Groups of comparable runs in order; runs that aren't valid have no rank. Of the optional rates a missing one is 0."""
+    s, zero = F.col("summary"), F.lit(0.0)
+    rows = _runs(spark, a.runs, a).select(
+        F.col("manifest.runName").alias("run"), F.col("manifest.comparableKey").alias("comparable_key"), F.coalesce("manifest.validation.valid", F.lit(False)).alias("eligible"),
+        F.coalesce(s["allPassRate"], zero).alias("all_pass_rate"), F.coalesce(s["criterionPassRate"], zero).alias("criterion_pass_rate"), s["averageOverall"].alias("average_overall"),
+        F.coalesce(s["accuracyRate"], s["strictPassRate"], zero).alias("strict_pass_rate"), s["passRate"].alias("pass_rate"), F.coalesce(s["totalCostUsd"], zero).alias("total_cost_usd"), F.coalesce(s["averageLatencyMs"], zero).alias("average_latency_ms"),
+    )
+    return summary.in_groups(summary.rank_entries(rows))
 
 
 def compare(spark, a) -> DataFrame:
-    one, two = (_results(artifacts.read_runs(spark, p)) for p in (a.a, a.b))
+    one, two = (_results(_runs(spark, p, a)) for p in (a.a, a.b))
     return pairing.compare(one, two, "comparable_key").orderBy(F.abs("delta").desc(), "case_id")
 
 
 def discriminate(spark, a) -> DataFrame:
     """Paired difference of two runs with its interval and p value."""
-    one, two = (_results(artifacts.read_runs(spark, p)) for p in (a.a, a.b))
+    one, two = (_results(_runs(spark, p, a)) for p in (a.a, a.b))
     rows = pairing.align(one, two, ["overall"]).select("case_id", F.round((F.col("a_overall") - F.col("b_overall")) * 10).cast("long").alias("tenths"))
     return agreement.paired_bootstrap(with_position(rows, "case_id"), a.resamples)
 
 
 def calibrate(spark, a) -> DataFrame:
-    rows = _results(artifacts.read_runs(spark, a.runs)).withColumns({"det_overall": F.lit(None).cast("double"), "judge_overall": F.lit(None).cast("double")})
-    return calibration.calibrate(rows)
+    """Agreement of the runs' judges with themselves, with each other, and with the checks."""
+    return calibration.calibrate(_results(_runs(spark, a.runs, a)))
 
 
 def contamination_(spark, a) -> DataFrame:
-    rows = artifacts.read_text(spark, a.runs).select(canary_form_any("value").alias("canary"), F.lit(False).alias("judge_flag"))
-    return contamination.scan_run(rows, a.token)
+    """Outputs that hold their run's canary token (or the one given), and cases that a judge suspects."""
+    return contamination.scan_runs(_results(_runs(spark, a.runs, a)), a.token).orderBy("run")
 
 
 def perturb_matrix(spark, a) -> DataFrame:
@@ -123,31 +137,43 @@ def perturb_run(spark, a) -> DataFrame:
 
 
 def bootstrap(spark, a) -> DataFrame:
-    rows = _results(artifacts.read_runs(spark, a.run)).select("case_id", F.round(F.col("overall") * 10).cast("long").alias("tenths"))
+    rows = _results(_runs(spark, a.run, a)).select("case_id", F.round(F.col("overall") * 10).cast("long").alias("tenths"))
     return agreement.bootstrap_interval(with_position(rows, "case_id"), a.resamples)
 
 
-def provenance(spark, a) -> DataFrame:
-    """sha256 of each file, and one over the sorted list of paths and hashes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(a.path).select("path", F.sha2("content", 256).alias("sha256"))
-    line = F.to_json(F.struct("path", "sha256"))
-    whole = files.agg(F.sha2(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(line)), ","), F.lit("]")), 256).alias("sha256")).select(F.lit("*").alias("path"), "sha256")
-    return files.union(whole)
+def provenance_(spark, a) -> DataFrame:
+    """(kind, name, hash, n): the hash of each tracked file and the root over all; with --cases, --scoring and --runs the hashes of suites, scoring code and runs."""
+    files = tracked.tracked_files(spark, a.path)
+    own = scratch.stored(provenance.leaves(files))
+    rows = own.select(F.lit("file").alias("kind"), "name", "hash", F.lit(1).cast("long").alias("n")).union(provenance.root(own).select(F.lit("root"), F.lit("*"), "hash", "n"))
+    suites, scoring = None, ""
+    if a.cases:
+        cases = artifacts.read_case_objects(spark, a.cases)
+        suites = scratch.stored(provenance.suite_hashes(cases.select(F.regexp_extract("path", r"([^/]+?)(?:\.json)?$", 1).alias("suiteId"), F.coalesce(F.variant_get("case", "$.locale", "string"), F.lit("")).alias("locale"), "case")))
+        rows = rows.union(suites.select(F.lit("suite"), F.concat_ws(" ", "suiteId", "locale"), "suiteHash", "caseCount"))
+    if a.scoring:
+        code = scratch.stored(provenance.scoring_hash(files, a.scoring))
+        scoring = code.first().scoringHash
+        rows = rows.union(code.select(F.lit("scoring"), F.lit("*"), "scoringHash", F.size("scoringFiles").cast("long")))
+    if a.runs:
+        rows = rows.union(provenance.run_hashes(_runs(spark, a.runs, a), scoring, suites).select(F.lit("run"), "runName", "runHash", F.lit(1).cast("long")))
+    return rows
 
 
 def report(spark, a) -> DataFrame:
-    """Markdown lines of the runs' failed checks by stratum."""
-    rows = _results(artifacts.read_runs(spark, a.runs))
-    flat = rows.select("run", "case_id", F.inline("checks")).withColumns({"report": F.lit("")})
-    issues = pairing.failed_issues(flat).withColumn("stratum", pairing.stratum())
-    counts = issues.groupBy("run", "stratum").agg(F.count("*").alias("failed"), F.count_distinct("case_id").alias("cases")).orderBy("run", F.desc("failed"), "stratum")
-    head = spark.createDataFrame([("| run | stratum | failed | cases |",), ("| --- | --- | --- | --- |",)], "value string")
-    return head.union(artifacts.markdown_table(counts, ["run", "stratum", "failed", "cases"]))
+    """Markdown lines: the failed checks by run and stratum, or with --kind whole the report of the first run by name."""
+    runs = scratch.stored(_runs(spark, a.runs, a))
+    if a.kind == "strata":
+        return reporting.strata_lines(reporting.strata(_results(runs)))
+    given = artifacts.read_json(spark, a.provenance, "scoringHash string, suites array<struct<suiteId:string,suiteHash:string>>") if a.provenance else None
+    return reporting.consolidated_lines(runs, _results(runs), scratch.stored(_results(_runs(spark, a.baseline, a))) if a.baseline else None, given, a.resamples)
 
 
 def reliability(spark, a) -> DataFrame:
-    rows = _results(artifacts.read_runs(spark, a.runs)).withColumn("safe", ~F.exists("checks", lambda c: ~c["passed"] & (c["severity"] == "critical")))
-    return pairing.pass_power_k(pairing.case_reliability(rows), a.k)
+    """Shares of cases that are safe in all of k runs; with --markdown as lines."""
+    rows = _results(_runs(spark, a.runs, a)).withColumn("safe", (F.col("crit_CRIT") == 0) & (F.size("judge_failures") == 0) & ~F.exists("checks", lambda c: ~c["passed"] & (c["severity"] == "critical")))
+    per_case = scratch.stored(pairing.case_reliability(rows))
+    return reporting.reliability_lines(per_case, a.k) if a.markdown else pairing.pass_power_k(per_case, a.k)
 
 
 def adjudication_(spark, a) -> DataFrame:
@@ -155,16 +181,21 @@ def adjudication_(spark, a) -> DataFrame:
 
 
 def release_guard(spark, a) -> DataFrame:
-    return release.issues(artifacts.read_release_files(spark, a.path), a.mode)
+    """Rules that tracked files break; --records: signed adjudication records that may back a claim."""
+    files = scratch.stored(tracked.tracked_files(spark, a.path))
+    backed = bool(a.records) and release.backed(files, adjudication.validated(artifacts.read_json(spark, a.records, adjudication.SCHEMA)))
+    return release.issues(files, a.mode, backed)
 
 
+#: Runs are verified as they are read, unless this is given.
+UNVERIFIED = "--unverified!"
 #: command: (function, arguments)
 COMMANDS = {
     "suites": (suites, ["path"]), "single": (single, ["cases", "case", "report"]), "suite": (suite, ["cases", "command", "--limit:float"]), "matrix": (matrix, ["cases", "commands+", "--limit:float"]),
-    "validate-submission": (validate_submission, ["cases", "predictions"]), "eval-submission": (eval_submission, ["cases", "predictions", "--policy=research", "--partial!"]), "leaderboard": (leaderboard, ["runs"]),
-    "compare": (compare, ["a", "b"]), "discriminate": (discriminate, ["a", "b", "--resamples:int=10000"]), "calibrate": (calibrate, ["runs"]), "contamination": (contamination_, ["runs", "token"]),
-    "perturb-matrix": (perturb_matrix, ["cases", "--kinds+", "--applicable!"]), "perturb-run": (perturb_run, ["cases", "--kinds+", "--applicable!"]), "bootstrap": (bootstrap, ["run", "--resamples:int=10000"]),
-    "provenance": (provenance, ["path"]), "report": (report, ["runs"]), "reliability": (reliability, ["runs", "k:int"]), "adjudication": (adjudication_, ["file", "--suite-id=", "--suite-hash="]), "release-guard": (release_guard, ["path", "--mode=private"]),
+    "validate-submission": (validate_submission, ["cases", "predictions"]), "eval-submission": (eval_submission, ["cases", "predictions", "--policy=research", "--partial!"]), "leaderboard": (leaderboard, ["runs", UNVERIFIED]),
+    "compare": (compare, ["a", "b", UNVERIFIED]), "discriminate": (discriminate, ["a", "b", "--resamples:int=10000", UNVERIFIED]), "calibrate": (calibrate, ["runs", UNVERIFIED]), "contamination": (contamination_, ["runs", "--token=", UNVERIFIED]),
+    "perturb-matrix": (perturb_matrix, ["cases", "--kinds+", "--applicable!"]), "perturb-run": (perturb_run, ["cases", "--kinds+", "--applicable!"]), "bootstrap": (bootstrap, ["run", "--resamples:int=10000", UNVERIFIED]),
+    "provenance": (provenance_, ["path", "--cases=", "--scoring+", "--runs=", UNVERIFIED]), "report": (report, ["runs", "--kind=strata", "--baseline=", "--provenance=", "--resamples:int=10000", UNVERIFIED]), "reliability": (reliability, ["runs", "k:int", "--markdown!", UNVERIFIED]), "adjudication": (adjudication_, ["file", "--suite-id=", "--suite-hash="]), "release-guard": (release_guard, ["path", "--mode=private", "--records="]),
 }
 
 
