@@ -330,3 +330,16 @@ def test_report_tables(spark):
     board = spark.createDataFrame([("en-US", "s", "h", 5, "model", None, 2, "m2"), ("en-US", "s", "h", 5, "agent", "judge-primary", 1, "m1")], "locale string, suite_id string, suite_hash string, cases long, track string, score_mode string, position int, label string")
     site = reporting.site_data(board).first()
     assert [e.label for e in site.entries] == ["m1", "m2"] and site.scoring == "judge-primary" and site.track == "agent"
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_passages_equal_brute_force(spark, most):
+    from assaykit.operators import contamination
+
+    r = random.Random(most)
+    word = lambda: "".join(r.choice("abé漢1") for _ in range(r.randint(1, 6)))
+    texts = [(k % 40 if k % 41 else None, "".join(word() for _ in range(r.randint(0, 40)))) for k in range(60)] + [(7, None), (8, ""), (9, "a" * 500), (9, "a" * 500)]
+    items = [(k, (t or "x")[i : i + r.choice([1, 2, 7, 8, 9, 15, 16, 17, 30, 200])]) for k, (_, t) in enumerate(texts) for i in (0, 3)] + [(900, "a" * 300), (901, "a" * 501), (902, None), (903, "a" * 300), (904, "never there at all")]
+    got = contamination.passages_in(spark.createDataFrame(texts, "doc_id long, c string").repartition(3), spark.createDataFrame(items, "item_id int, c string"), most)
+    want = sorted(((d, i) for d, t in texts if t for i, c in items if c and c in t), key=repr)
+    assert sorted(map(tuple, got.collect()), key=repr) == want and got.schema["item_id"].dataType.simpleString() == "int"
