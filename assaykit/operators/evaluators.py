@@ -82,6 +82,36 @@ def by_locale(cases: DataFrame, step, locales=LOCALES) -> DataFrame:
     return out
 
 
+class _Steps:
+    """Stands in for a DataFrame and notes the columns that are added to it, step by step."""
+
+    def __init__(self):
+        self.steps: list[dict[str, Column]] = []
+
+    def withColumns(self, new: dict[str, Column]) -> _Steps:  # noqa: N802
+        self.steps.append(dict(new))
+        return self
+
+    def withColumn(self, name: str, x: Column) -> _Steps:  # noqa: N802
+        return self.withColumns({name: x})
+
+
+_built: dict[tuple, list[dict[str, Column]]] = {}
+
+
+def _added(rows: DataFrame, build, *settings) -> DataFrame:
+    """rows with the columns of build(rows, *settings), whose expressions are made once for each JVM and settings: making them takes
+    seconds, adding them to a plan doesn't."""
+    key = (id(rows.sparkSession._jvm), build, *settings)
+    if key not in _built:
+        steps = _Steps()
+        build(steps, *settings)
+        _built[key] = steps.steps
+    for step in _built[key]:
+        rows = rows.withColumns(step)
+    return rows
+
+
 # ---- Quality
 
 
@@ -345,7 +375,7 @@ def quality(cases: DataFrame) -> DataFrame:
     """cases with matches, invented, synthesis, quality_mode, quality_score and quality_checks."""
     names = [*cases.columns, *QUALITY]
     full = with_defaults(cases)
-    return by_locale(full, lambda rows, lex: _quality(rows, lex).select(*dict.fromkeys([*full.columns, *names]))).select(*dict.fromkeys(names))
+    return by_locale(full, lambda rows, lex: _added(rows, _quality, lex).select(*dict.fromkeys([*full.columns, *names]))).select(*dict.fromkeys(names))
 
 
 # ---- Urgent findings
@@ -458,7 +488,7 @@ def critical(cases: DataFrame, detect=None) -> DataFrame:
 
     Result: cases with critical_mode, true_positives, false_negatives, false_positives, recall, precision, f1, critical_score and critical_checks."""
     full = with_defaults(cases)
-    return by_locale(full, lambda rows, lex: _critical(rows, lex, detect).select(*dict.fromkeys([*full.columns, *CRITICAL]))).select(*dict.fromkeys([*cases.columns, *CRITICAL]))
+    return by_locale(full, lambda rows, lex: _added(rows, _critical, lex, detect).select(*dict.fromkeys([*full.columns, *CRITICAL]))).select(*dict.fromkeys([*cases.columns, *CRITICAL]))
 
 
 # ---- Guidelines
@@ -573,12 +603,11 @@ def _gain(grades: Column) -> Column:
     return F.aggregate(F.transform(grades, lambda r, i: (F.pow(F.lit(2.0), r) - 1) / F.log2(i + 2.0)), F.lit(0.0), lambda a, x: a + x)
 
 
-def retrieval(cases: DataFrame) -> DataFrame:
-    """cases with retrieval_mode, retrieval_score (-1: not scored) and retrieval_checks."""
+def _retrieval(rows: DataFrame) -> DataFrame:
     c = F.col
     own = F.filter("structural", lambda s: (s["dim"] == "RAG") & (s["id"] != "R05"))
     odd = unsupported_acquisition(c("html"), F.concat_ws(" ", "exam", "findings", F.coalesce("reference", F.lit(""))))
-    rows = with_defaults(cases).withColumns({"_own": own, "_odd": odd, "_docs": F.array_distinct("retrieved"), "_graded": F.coalesce(F.size(F.map_keys("relevance")), F.lit(0)) > 0})
+    rows = rows.withColumns({"_own": own, "_odd": odd, "_docs": F.array_distinct("retrieved"), "_graded": F.coalesce(F.size(F.map_keys("relevance")), F.lit(0)) > 0})
     rows = rows.withColumns({"_grades": F.transform("_docs", lambda d: F.coalesce(c("relevance")[d], F.lit(0))), "_ideal": F.reverse(F.array_sort(F.map_values("relevance"))), "_k": F.least(F.lit(5), F.size("_docs"))})
     top = F.slice("_grades", F.lit(1), F.greatest(c("_k"), F.lit(1)))
     found = F.size(F.filter(top, lambda r: r >= 1))
@@ -601,12 +630,17 @@ def retrieval(cases: DataFrame) -> DataFrame:
     rows = rows.withColumn("retrieval_checks", F.when(piped, graded).when(c("_graded"), c("_own")).otherwise(fallback))
     mode = F.when(piped, "retrieval-evaluation").when(c("_graded"), "retrieval-gold-present-no-pipeline").when(F.size("retrieval_checks") > 0, "structural-fallback").otherwise("unscored")
     score = F.when(piped, F.least(F.lit(100), half_up(c("_r") * 40 + c("_p") * 20 + c("_n") * 25 + c("_m") * 15))).when(F.size("retrieval_checks") > 0, weighted_share(c("retrieval_checks"), RETRIEVAL_WEIGHTS)).otherwise(-1)
-    return rows.withColumns({"retrieval_mode": mode, "retrieval_score": score}).select(*cases.columns, "retrieval_mode", "retrieval_score", "retrieval_checks")
+    return rows.withColumns({"retrieval_mode": mode, "retrieval_score": score})
+
+
+def retrieval(cases: DataFrame) -> DataFrame:
+    """cases with retrieval_mode, retrieval_score (-1: not scored) and retrieval_checks."""
+    return _added(with_defaults(cases), _retrieval).select(*cases.columns, "retrieval_mode", "retrieval_score", "retrieval_checks")
 
 
 def evaluate(cases: DataFrame, locales=LOCALES) -> DataFrame:
     """cases of these locales with the results of all four evaluators."""
     new = [*QUALITY, *CRITICAL]
     full = with_defaults(cases)
-    both = by_locale(full, lambda rows, lex: _critical(_quality(rows, lex).select(*dict.fromkeys([*full.columns, *QUALITY])), lex).select(*dict.fromkeys([*full.columns, *new])), locales)
+    both = by_locale(full, lambda rows, lex: _added(_added(rows, _quality, lex).select(*dict.fromkeys([*full.columns, *QUALITY])), _critical, lex, None).select(*dict.fromkeys([*full.columns, *new])), locales)
     return retrieval(guidelines(both)).select(*dict.fromkeys([*cases.columns, *new, "guide_mode", "guide_score", "guide_checks", "retrieval_mode", "retrieval_score", "retrieval_checks"]))
