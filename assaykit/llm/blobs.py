@@ -8,7 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .tables import in_python, lean
 from .text import pieces
 
 #: Rows that pass through a deal: kind 0 holds a batch's own columns, others what is asked and answered.
@@ -59,19 +62,53 @@ def steps(sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
-def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
-    """Rows of sorted batches with the same key."""
+def groups(batches: Iterator[pa.RecordBatch], *keys: str, limit: int | None = None) -> Iterator[list[dict]]:
+    """Rows of sorted batches with the same keys; with a limit in lots of at most so many bytes of blobs (one row at least)."""
     held: list[dict] = []
+    size = 0
     for b in batches:
         for row in b.to_pylist():
-            if held and held[0][key] != row[key]:
+            own = len(row["blob"]) if limit else 0
+            if held and (any(held[0][k] != row[k] for k in keys) or limit and size + own > limit):
                 yield held
-                held = []
+                held, size = [], 0
             held.append(row)
+            size += own
     if held:
         yield held
 
 
+#: A batch deals to so many lanes at most. Buckets beyond these are told apart in a second step, where a lane's blobs of the
+#: batches of TOGETHER neighbouring partitions are merged, so neither step makes a blob for each batch and bucket.
+LANES, TOGETHER = 256, 16
+#: Bytes of blobs that are merged at once.
+MERGED = 32 << 20
+
+
+def lanes_for(buckets: int) -> int:
+    return min(buckets, LANES)
+
+
+def by_lane(dealt: DataFrame, merge, buckets: int) -> DataFrame:
+    """dealt as it is, or beyond LANES buckets what merge(rows of a lane and some batches) gives: rows of buckets.
+
+    The column batch then names the batches that were merged; rows of kind 0 go through.
+    """
+    if buckets <= LANES:
+        return dealt
+    shift = 32 + TOGETHER.bit_length() - 1
+
+    @lean
+    def run(batches):
+        for rows in groups(batches, "bucket", "set", limit=MERGED):
+            kept = [(0, home(r["batch"], buckets), r["set"], r["blob"]) for r in rows if not r["kind"]]
+            asked = [r for r in rows if r["kind"]]
+            yield packed_rows([*kept, *(merge(asked) if asked else [])])
+
+    named = dealt.withColumn("set", F.shiftright("batch", shift))
+    return named.repartition("bucket", "set").sortWithinPartitions("bucket", "set", "batch").transform(in_python, run, PACKED)
+
+
 def columns_in(named: dict[str, pa.Array]) -> bytes:
     """Columns of a batch in one blob."""
     table = pa.RecordBatch.from_arrays(list(named.values()), list(named))

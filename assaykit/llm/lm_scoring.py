@@ -13,13 +13,13 @@ this plan, in which texts never move and no pair table is joined:
 
 1. `totals`: counts of words over the corpus (a table in the shared folder), their number and their sum.
 2. `_dealt`: each task packs the distinct pairs of about GATHER bytes of texts, with the documents that hold them, into
-   one blob for each bucket of words. A bucket has the pairs of about BUCKET tokens, so the number of buckets follows the
-   corpus.
+   one blob for each lane of words. A bucket has the pairs of about BUCKET tokens, so the number of buckets follows the corpus;
+   a lane is a bucket while these are few, else the lanes' blobs of many batches are merged and dealt on to buckets.
 3. `_answers`: each bucket counts its pairs over all blobs and answers each blob with the sums of losses by document.
 4. `_joined`: the answers to a batch of documents meet with the columns to keep, which were packed along.
 
-Words and pairs that a sample of SAMPLE documents shows to be hot (over 1 of HOT tokens, so fewer than HOT of each) are
-counted in step 1 and broadcast: hot pairs are answered where they stand, other pairs of hot words are dealt by pair
+Words and pairs that a sample of SAMPLE documents or more shows to be hot (over 1 of HOT tokens, or of as many as there are buckets,
+so fewer of each than that) are counted in step 1 and broadcast: hot pairs are answered where they stand, other pairs of hot words are dealt by pair
 instead of by word. The sample decides where pairs are counted, never what is counted.
 
 Losses are summed as whole multiples of 2^-24, so sums don't depend on the order of rows. Words are told apart by 64-bit
@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import PACKED, columns_in, columns_out, gathered, groups, home, narrow, pack, packed_rows, steps, unpack
+from .blobs import PACKED, by_lane, columns_in, columns_out, gathered, groups, home, lanes_for, narrow, pack, packed_rows, steps, unpack
 from .tables import aside, cut, fits, in_python, lean
 from .text import raw, words
 
@@ -53,7 +53,9 @@ UNIT = 1 << 24
 GATHER = 8 << 20
 BUCKET = 1 << 20
 SAMPLE = 2000
-HOT = 2048
+HOT, MOST_HOT = 2048, 1 << 20
+#: Bytes of text for each word, about.
+BYTES = 6
 #: Numbers in a batch, and hashes, of what stands before the first word and after the last one.
 START, END = 0, 1
 RESULT = ("n_tokens", "loss_background", "loss_target", "score")
@@ -124,9 +126,12 @@ def _places(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
 
 
 def hot_ones(docs: DataFrame, text: str) -> Hot:
-    """What a sample shows to be hot: fewer than 2 * HOT words and HOT pairs."""
-    n = docs.count()
-    some = docs.select(F.col(text).alias("_text")).sample(min(1.0, 1.2 * SAMPLE / max(n, 1)), 7)
+    """What a sample shows to be hot: fewer than 2 * limit words and limit pairs, where the limit is the number of buckets (HOT at
+    least, MOST_HOT at most), so that a word under it fills half a bucket, and the sample has some 16 of a word at the limit."""
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    limit = min(max(HOT, size // (BYTES * BUCKET)), MOST_HOT)
+    share = max(1.2 * SAMPLE / max(n, 1), 32 * limit * BYTES / max(size, 1) if limit > HOT else 0)
+    some = docs.select(F.col(text).alias("_text")).sample(min(1.0, share), 7)
 
     @lean
     def run(batches):
@@ -138,8 +143,8 @@ def hot_ones(docs: DataFrame, text: str) -> Hot:
 
     found = cut(some.transform(in_python, run, "word long, near long, n long").groupBy("word", "near").agg(F.sum("n").alias("n")))
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    pairs = [(r.word, r.near) for r in found.where(F.col("n") * HOT > total).collect()]
-    single = found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * 2 * HOT > total)
+    pairs = [(r.word, r.near) for r in found.where(F.col("n") * limit > total).collect()]
+    single = found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * 2 * limit > total)
     named = np.array(sorted({r.word for r in single.collect()} | {w for w, _ in pairs}), dtype=np.int64).view(np.uint64)
     two = np.array(pairs, dtype=np.int64).reshape(-1, 2).view(np.uint64)
     return Hot(np.sort(named), two[np.argsort(mix(two[:, 0], two[:, 1]))])
@@ -212,9 +217,25 @@ def losses(pair_n: np.ndarray, word_n: np.ndarray, total: int, size: int) -> tup
 # steps 2 to 4
 
 
+def distinct(word: np.ndarray, near: np.ndarray, doc: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    """Sorted distinct triples and how often each stands; documents are numbered below 2^16."""
+    if words < 1 << 23:  # in one number
+        code = word << 40 | near << 16 | doc
+        code.sort()
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        code, n = code[first], np.diff(np.append(first, len(code)))
+        return code >> 40, code >> 16 & 0xFFFFFF, code & 0xFFFF, n
+    order = np.lexsort((doc, near, word))
+    word, near, doc = word[order], near[order], doc[order]
+    new = np.ones(len(word), dtype=bool)
+    new[1:] = (np.diff(word) != 0) | (np.diff(near) != 0) | (np.diff(doc) != 0)
+    first = np.flatnonzero(new)
+    return word[first], near[first], doc[first], np.diff(np.append(first, len(word)))
+
+
 def _dealt(docs: DataFrame, models: Models, keep: list[str], buckets: int) -> DataFrame:
     """Blobs of pairs (kind 1) by bucket, and one blob of each batch's kept columns (kind 0)."""
-    numbers = models.numbers()
+    numbers, lanes = models.numbers(), lanes_for(buckets)
     shipped = docs.sparkSession.sparkContext.broadcast(numbers)
 
     @lean
@@ -230,15 +251,11 @@ def _dealt(docs: DataFrame, models: Models, keep: list[str], buckets: int) -> Da
             last = np.flatnonzero(t.size > 0)
             word = np.concatenate([t.word, t.word[np.cumsum(t.size)[last] - 1]])
             near = np.concatenate([t.before(), np.full(len(last), END)])
-            code = word << 40 | near << 16 | np.concatenate([t.doc, last])
-            code.sort()
-            first = np.flatnonzero(np.diff(code, prepend=-1))
-            code, n = code[first], np.diff(np.append(first, len(code)))
-            doc = code & 0xFFFF
+            word, near, doc, n = distinct(word, near, np.concatenate([t.doc, last]), len(t.hash))
             # distinct pairs: where they begin, how many documents hold each
-            begin = np.flatnonzero(np.diff(code >> 16, prepend=-1))
-            held = np.diff(np.append(begin, len(code)))
-            word, near = code[begin] >> 40, code[begin] >> 16 & 0xFFFFFF
+            begin = np.flatnonzero((np.diff(word, prepend=-1) != 0) | (np.diff(near, prepend=-1) != 0))
+            held = np.diff(np.append(begin, len(word)))
+            word, near = word[begin], near[begin]
             own, before = t.hash[word], t.near[near]
             place = hot.of_words(own)
             spread = place >= 0
@@ -252,14 +269,15 @@ def _dealt(docs: DataFrame, models: Models, keep: list[str], buckets: int) -> Da
                     value = np.zeros(len(own))
                     value[here] = a + c
                     sums[m] += np.bincount(doc, np.repeat(value, held) * n, len(t.size)).astype(np.int64)
-            bucket = (np.where(spread, mix(own, before), own) % U(buckets)).astype(np.int32)
-            bucket[here] = buckets
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            bucket = (np.where(spread, mix(own, before), own) % U(buckets)).astype(np.int64)
+            lane = bucket % lanes
+            lane[here] = lanes
+            order = np.argsort(lane, kind="stable")
+            edges = np.searchsorted(lane[order], np.arange(lanes + 1))
             counts = [np.add.reduceat(n * f[doc], begin) if len(begin) else n for f in (flag[0], flag[0] & flag[1])]
             counts = [np.where(near == END, 0, x) for x in counts]
             rows = []
-            for i in range(buckets):
+            for i in range(lanes):
                 p = order[edges[i] : edges[i + 1]]
                 if not len(p):
                     continue
@@ -269,12 +287,31 @@ def _dealt(docs: DataFrame, models: Models, keep: list[str], buckets: int) -> Da
                 low = before[p]
                 rows.append((1, i, batch, pack(
                     own[p][new], narrow(group), low.astype(np.uint32), (low >> U(32)).astype(np.uint16), narrow(held[p]),
-                    narrow(counts[0][p]), narrow(counts[1][p]), doc[at].astype(np.uint16), narrow(n[at]),
+                    narrow(counts[0][p]), narrow(counts[1][p]), doc[at].astype(np.uint16), narrow(n[at]), *([narrow(bucket[p])] if buckets > lanes else []),
                 )))
             head = {f"c{j}": b.column(f"k{j}") for j in range(len(keep))} | {"_n": pa.array(t.size), "_b": pa.array(sums[0]), "_t": pa.array(sums[1])}
-            yield packed_rows([*rows, (0, home(batch, buckets), batch, columns_in(head))])
-
-    return docs.transform(in_python, run, PACKED)
+            yield packed_rows([*rows, (0, home(batch, lanes), batch, batch.to_bytes(8, "little") + columns_in(head))])
+
+    return by_lane(docs.transform(in_python, run, PACKED), _merged, buckets)
+
+
+def _merged(rows: list[dict]) -> list[tuple]:
+    """The blobs of one lane and some batches as one blob for each bucket; documents are numbered by batch (48 bits) and place in it."""
+    found = [unpack(r["blob"]) for r in rows]
+    word, low, high, held, n, n_target, bucket = (np.concatenate(x) for x in zip(*((np.repeat(x[0], x[1]), x[2], x[3], x[4].astype(np.int64), x[5].astype(np.int64), x[6].astype(np.int64), x[9]) for x in found), strict=True))
+    doc = np.concatenate([x[7].astype(np.int64) | r["batch"] << 16 for x, r in zip(found, rows, strict=True)])
+    times = np.concatenate([x[8] for x in found])
+    begin = np.cumsum(held) - held
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.append(np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1)), len(order))
+    out = []
+    for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        p = order[first:end]
+        at = np.repeat(begin[p], held[p]) + steps(held[p])
+        new = np.flatnonzero(np.append(True, np.diff(word[p]) != 0))
+        group = np.diff(np.append(new, len(p)))
+        out.append((1, int(bucket[p[0]]), rows[0]["set"], pack(word[p][new], narrow(group), low[p], high[p], narrow(held[p]), narrow(n[p]), narrow(n_target[p]), doc[at], times[at])))
+    return out
 
 
 def _answers(dealt: DataFrame, models: Models) -> DataFrame:
@@ -321,17 +358,27 @@ def _joined(answers: DataFrame, schema: str, names: list[str]) -> DataFrame:
     @lean
     def run(batches):
         for rows in groups(batches, "batch"):
-            *kept, n, background, target = columns_out(rows[0]["blob"]).columns
-            n = n.to_numpy()
-            sums = [x.to_numpy().copy() for x in (background, target)]
-            for r in rows[1:]:
+            held: dict[int, list] = {}
+            for r in rows:
+                if not r["kind"]:
+                    *kept, n, background, target = columns_out(r["blob"][8:]).columns
+                    held[int.from_bytes(r["blob"][:8], "little")] = [kept, n, background.to_numpy().copy(), target.to_numpy().copy()]
+                    continue
                 docs, *more = unpack(r["blob"])
-                for s, x in zip(sums, more, strict=True):
-                    s[docs] += x
-            none = n == 0
-            mean = [s / np.maximum(n, 1) / UNIT for s in sums]
-            out = [*kept, pa.array(n), *(pa.array(x, pa.float64(), mask=none) for x in mean), pa.array((sums[0] - sums[1]) / np.maximum(n, 1) / UNIT)]
-            yield pa.RecordBatch.from_arrays(out, names)
+                if docs.dtype != np.int64:  # of one batch
+                    for s, x in zip(held[r["batch"]][2:], more, strict=True):
+                        s[docs] += x
+                    continue
+                cuts = np.append(np.flatnonzero(np.diff(docs >> 16, prepend=-1)), len(docs))
+                for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    own = docs[first:end]
+                    for s, x in zip(held[int(own[0]) >> 16][2:], more, strict=True):
+                        s[own & 0xFFFF] += x[first:end]
+            for kept, n, *sums in held.values():
+                none, many = n.to_numpy() == 0, np.maximum(n.to_numpy(), 1)
+                mean = [s / many / UNIT for s in sums]
+                out = [*kept, n, *(pa.array(x, pa.float64(), mask=none) for x in mean), pa.array((sums[0] - sums[1]) / many / UNIT)]
+                yield pa.RecordBatch.from_arrays(out, names)
 
     return answers.repartition("batch").sortWithinPartitions("batch", "kind").transform(in_python, run, schema)
 

@@ -10,8 +10,9 @@ chance agreement of one chunk is none. LEAST is well under the bytes of a passag
 first and last chunk that stand in it can't be told. Replayed with 2,800 random passages of 51 words between other texts
 (sf0.1): 0.2 % have fewer than LEAST bytes in whole chunks.
 
-Texts move nowhere. A task packs the distinct digests of about GATHER bytes of texts into one blob for each bucket of
-digests; a bucket finds for each digest the batch that has it first, and answers each blob; the answers meet the batch's
+Texts move nowhere, but for `remove_copies`, whose batches carry theirs along. A task packs the distinct digests of about GATHER
+bytes of texts into one blob for each lane, which is a bucket of digests while these are few; else the lanes' blobs of many
+batches are merged and dealt on to buckets (blobs.by_lane). A bucket finds for each digest the batch that has it first, and answers each blob; the answers meet the batch's
 own chunk lengths, packed along. Within a batch equal chunks are asked for once, so a chunk that a third of all texts
 hold costs one digest for each batch. A bucket has about BUCKET digests, so their number follows the corpus.
 
@@ -22,6 +23,8 @@ one chunk. The rows of docs must come in the same order if a task is run again,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .blobs import PACKED, columns_in, columns_out, gathered, groups, home, narrow, pack, packed_rows, unpack
+from .blobs import PACKED, by_lane, columns_in, columns_out, gathered, groups, home, lanes_for, narrow, pack, packed_rows, unpack
 from .tables import id_type, in_python, lean
 from .text import raw
 
@@ -84,6 +87,7 @@ def _digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _asked(docs: DataFrame, id_col: str, text: str, buckets: int, keep: list[str], texts: bool) -> DataFrame:
     """Blobs of digests (kind 1) by bucket, and one blob of each batch's columns and chunk lengths (kind 0)."""
+    lanes = lanes_for(buckets)
     own = docs.select(*(F.col(c).alias(f"k{j}") for j, c in enumerate(keep)), F.col(id_col).cast(id_type(docs, id_col)).alias("_id"), F.col(text).alias("_text"))
 
     @lean
@@ -105,11 +109,11 @@ def _asked(docs: DataFrame, id_col: str, text: str, buckets: int, keep: list[str
             rank[by] = np.arange(len(by))
             u, first, inv = u[by], first[by], rank[inv]  # numbered in order of appearance
             holder = np.repeat(np.arange(len(order)), counts)[first]
-            bucket = (u % np.uint64(buckets)).astype(np.int32)
-            sorted_by = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[sorted_by], np.arange(buckets + 1))
+            bucket = (u % np.uint64(buckets)).astype(np.int64)
+            sorted_by = np.argsort(bucket % lanes, kind="stable")
+            edges = np.searchsorted((bucket % lanes)[sorted_by], np.arange(lanes + 1))
             rows = []
-            for i in range(buckets):
+            for i in range(lanes):
                 p = sorted_by[edges[i] : edges[i + 1]]
                 if len(p):
                     own, n = np.unique(holder[p], return_counts=True)
@@ -117,9 +121,31 @@ def _asked(docs: DataFrame, id_col: str, text: str, buckets: int, keep: list[str
             head = {f"c{j}": b.column(f"k{j}") for j in range(len(keep))}
             head |= {"_n": pa.array([len(t) for t in found], pa.int64())} | ({"_text": pa.array(found, pa.binary())} if texts else {})
             numbers = _with_ids(ids, order, narrow(counts), narrow(lengths), np.diff(inv, prepend=0).astype(np.int32), narrow(bucket))
-            yield packed_rows([*rows, (0, home(batch, buckets), batch, len(numbers).to_bytes(8, "little") + numbers + columns_in(head))])
+            blob = len(numbers).to_bytes(8, "little") + numbers + columns_in(head)
+            yield packed_rows([*rows, (0, home(batch, lanes), batch, batch.to_bytes(8, "little") + blob)])
 
-    return own.transform(in_python, run, PACKED)
+    whole = _whole(docs, id_col)
+    return by_lane(own.transform(in_python, run, PACKED), lambda rows: _merged(rows, buckets, whole), buckets)
+
+
+def _merged(rows: list[dict], buckets: int, whole: bool) -> list[tuple]:
+    """The blobs of one lane and some batches as one blob for each bucket. Two further arrays name the batches, and how many digests and ids of each follow."""
+    found = [_ids_out(r["blob"], whole) for r in rows]
+    ids = pa.concat_arrays([x for x, _ in found])
+    digest = np.concatenate([x[0] for _, x in found])
+    holder = np.repeat(np.arange(len(ids)), np.concatenate([x[1] for _, x in found]))
+    batch = np.repeat(np.array([r["batch"] for r in rows]), [len(x[0]) for _, x in found])
+    bucket = (digest % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+    out = []
+    for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        p = order[first:end]
+        new = np.flatnonzero(np.diff(holder[p], prepend=-1))
+        parts = np.append(np.flatnonzero(np.diff(batch[p], prepend=-1)), len(p))
+        blob = _with_ids(ids.take(pa.array(holder[p][new])), digest[p], narrow(np.diff(np.append(new, len(p)))), batch[p][parts[:-1]], narrow(np.diff(parts)))
+        out.append((1, int(bucket[p[0]]), rows[0]["set"], blob))
+    return out
 
 
 def _ranks(ids: pa.Array) -> np.ndarray:
@@ -156,7 +182,8 @@ def _answered(asked: DataFrame, whole: bool) -> DataFrame:
                 digest = np.concatenate([x[0] for x in found])
                 holder = np.repeat(np.arange(len(ids)), np.concatenate([x[1] for x in found]))
                 rank = _ranks(ids)[holder]
-                batch = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+                row = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+                batch = np.concatenate([np.repeat(x[2], x[3]) if len(x) > 2 else np.full(len(x[0]), r["batch"]) for x, r in zip(found, rows, strict=True)])
                 order = np.lexsort((batch, rank, digest))
                 new = np.flatnonzero(np.diff(digest[order], prepend=digest[order[:1]] + np.uint64(1)) != 0)
                 size = np.diff(np.append(new, len(order)))
@@ -165,9 +192,9 @@ def _answered(asked: DataFrame, whole: bool) -> DataFrame:
                 code[order[new]] = np.minimum(code[order[new]], 1)
                 first = np.empty(len(order), np.int64)
                 first[order] = np.repeat(holder[order[new]], size)
-                for k, r in enumerate(rows):
-                    own = batch == k
-                    out.append((2, r["bucket"], r["batch"], _with_ids(ids.take(pa.array(first[own][code[own] == 2])), code[own])))
+                for k, (r, x) in enumerate(zip(rows, found, strict=True)):
+                    own = row == k
+                    out.append((2, r["bucket"], r["batch"], _with_ids(ids.take(pa.array(first[own][code[own] == 2])), code[own], *x[2:])))
             yield packed_rows(out)
 
     return asked.repartition("bucket").sortWithinPartitions("bucket", "batch").transform(in_python, run, PACKED)
@@ -183,17 +210,17 @@ def _spans(on: np.ndarray, lengths: np.ndarray, least: int) -> list[tuple[int, i
 class Answers:
     """The chunks of one batch with what the buckets answered."""
 
-    def __init__(self, rows: list[dict], whole: bool):
-        blob = rows[0]["blob"]
+    def __init__(self, blob: bytes, found: list[tuple[int, pa.Array, np.ndarray]], whole: bool):
+        """found: for each bucket that answered its number, the ids where chunks stand first, and a code for each digest."""
         n = 8 + int.from_bytes(blob[:8], "little")
         self.columns = columns_out(blob[n:])
         ids, (self.order, counts, lengths, steps_, bucket) = _ids_out(blob[8:n], whole)
         inv = np.cumsum(steps_.astype(np.int64))
         code, first = np.zeros(len(bucket), np.uint8), np.zeros(len(bucket), np.int64)
         known, passed = [ids], len(ids)
-        for r in rows[1:]:
-            own = np.flatnonzero(bucket == r["bucket"])
-            more, (code[own],) = _ids_out(r["blob"], whole)
+        for k, more, own_code in found:
+            own = np.flatnonzero(bucket == k)
+            code[own] = own_code
             first[own[code[own] == 2]] = passed + np.arange(len(more))
             known.append(more)
             passed += len(more)
@@ -221,6 +248,24 @@ class Answers:
             yield row, _spans(self.repeated[own], self.lengths[own], least), copies, sorted(set(self.known.take(pa.array(places)).to_pylist()))
 
 
+def answers(rows: list[dict], whole: bool) -> Iterator[Answers]:
+    """The batches of these rows, each with what the buckets answered it."""
+    held: dict[int, tuple[bytes, list]] = {}
+    for r in rows:
+        if not r["kind"]:
+            held[int.from_bytes(r["blob"][:8], "little")] = (r["blob"][8:], [])
+            continue
+        ids, (code, *parts) = _ids_out(r["blob"], whole)
+        at = used = 0
+        for batch, n in zip(*(x.tolist() for x in parts), strict=True) if parts else [(r["batch"], len(code))]:
+            own = code[at : at + n]
+            later = int((own == 2).sum())
+            held[batch][1].append((r["bucket"], ids.slice(used, later), own))
+            at, used = at + n, used + later
+    for blob, found in held.values():
+        yield Answers(blob, found, whole)
+
+
 def _buckets(docs: DataFrame, text: str) -> int:
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     return max(1, -(-size // (32 * BUCKET)))
@@ -245,8 +290,7 @@ def summary(docs: DataFrame, id_col="doc_id", text="text", least: int = LEAST) -
 
     @lean
     def run(batches):
-        for rows in groups(batches, "batch"):
-            got = Answers(rows, whole)
+        for got in (x for rows in groups(batches, "batch") for x in answers(rows, whole)):
             ids, n_bytes = got.columns.columns
             out = [[0, 0, 0, "", [], False, False] for _ in range(len(ids))]
             for row, repeats, copies, first in got.documents(least):
@@ -265,8 +309,7 @@ def remove_copies(docs: DataFrame, id_col="doc_id", text="text", least: int = LE
 
     @lean
     def run(batches):
-        for rows in groups(batches, "batch"):
-            got = Answers(rows, whole)
+        for got in (x for rows in groups(batches, "batch") for x in answers(rows, whole)):
             *columns, _, found = got.columns.columns
             texts = found.to_pylist()
             for row, _, copies, _ in got.documents(least):

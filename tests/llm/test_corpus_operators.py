@@ -1,11 +1,11 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assaykit.llm import chosen_path, line_dedup, lm_scoring, quality_fm, substring_dedup
+from assaykit.llm import blobs, chosen_path, line_dedup, lm_scoring, quality_fm, substring_dedup
 from assaykit.llm.components import components
 from assaykit.llm.text import word_hashes, words
 
@@ -19,6 +19,46 @@ def labels(spark, rows=()):
 # op 1
 
 
+def test_blobs_of_a_batch_are_bounded(spark, monkeypatch):
+    """However many buckets there are, a batch deals to LANES lanes, and merging makes a blob for each bucket and set of partitions."""
+    monkeypatch.setattr(blobs, "LANES", 8)
+    monkeypatch.setattr(blobs, "TOGETHER", 4)
+    monkeypatch.setattr(lm_scoring, "GATHER", 3000)
+    r = random.Random(2)
+    docs = spark.createDataFrame([(k, " ".join(f"w{int(r.paretovariate(0.4)) % 9000}" for _ in range(120)), True, k % 3 == 0) for k in range(160)], "k0 long, _text string, _train boolean, _target boolean").repartition(8, "k0")
+    models = lm_scoring.totals(docs, text="_text", target="_target")
+    dealt = []
+    monkeypatch.setattr(lm_scoring, "by_lane", lambda df, merge, buckets: dealt.append(blobs.by_lane(df, merge, buckets)) or df)
+    first = lm_scoring._dealt(docs, models, [], 300).where("kind = 1").groupBy("batch").count().collect()
+    assert len(first) > 20 and max(x["count"] for x in first) <= 8
+    second = dealt[0].where("kind = 1")
+    assert second.groupBy("batch").count().agg(F.max("count")).first()[0] <= 300 and second.groupBy("bucket", "batch").count().where("count > 1").count() == 0 and second.select("batch").distinct().count() == 2
+
+
+def test_a_word_just_under_the_limit_fills_half_a_bucket(spark, monkeypatch):
+    """The limit follows the number of buckets: a bucket holds about BUCKET tokens, whatever the words' shares."""
+    monkeypatch.setattr(lm_scoring, "HOT", 4)
+    monkeypatch.setattr(lm_scoring, "BUCKET", 1500)
+    r = random.Random(3)
+    warm = [f"warm{i}" for i in range(12)]  # each about 1 of 50 tokens: far over a bucket without the limit
+    docs = spark.createDataFrame([(k, " ".join(r.choice(warm) if r.random() < 0.24 else f"w{r.randrange(20000)}" for _ in range(500)), True, k % 2 == 0) for k in range(200)], "k0 long, _text string, _train boolean, _target boolean").repartition(4, "k0")
+    models = lm_scoring.totals(docs, text="_text", target="_target")
+    assert len(models.hot.words) >= 12
+    rows = lm_scoring._dealt(docs, models, [], -(-models.total[0] // 1500)).where("kind = 1").collect()
+    tokens = defaultdict(int)
+    for x in rows:
+        tokens[x.bucket] += int(blobs.unpack(bytes(x.blob))[5].sum())
+    assert max(tokens.values()) <= 2 * 1500 and len(tokens) > 50
+
+
+@pytest.mark.parametrize("words", [100, 1 << 23])
+def test_distinct_triples(words):
+    r = random.Random(5)
+    three = [(r.randrange(2, 30), r.randrange(30), r.randrange(5)) for _ in range(400)]
+    found = lm_scoring.distinct(*(np.array(x) for x in zip(*three, strict=True)), words)
+    assert list(zip(*(x.tolist() for x in found), strict=True)) == [(*k, n) for k, n in sorted(Counter(three).items())]
+
+
 def test_lm_prefers_the_target(spark):
     r = random.Random(1)
     one, two = "ba ce di fo gu ha".split(), "pe qi ro su ta ve".split()
@@ -55,8 +95,11 @@ def lm_brute(rows):
     return list(zip(*out, strict=True))
 
 
-@pytest.mark.parametrize(("hot", "bucket", "gather"), [(lm_scoring.HOT, lm_scoring.BUCKET, lm_scoring.GATHER), (1, 500, 2000), (40, 700, 1 << 24)])
-def test_lm_equals_brute_force(spark, monkeypatch, hot, bucket, gather):
+@pytest.mark.parametrize(("hot", "bucket", "gather", "lanes", "merged"), [(lm_scoring.HOT, lm_scoring.BUCKET, lm_scoring.GATHER, 256, 1 << 25), (1, 500, 2000, 256, 1 << 25), (40, 700, 1 << 24, 256, 1 << 25), (1, 500, 2000, 3, 1 << 25), (40, 100, 2000, 7, 5000)])
+def test_lm_equals_brute_force(spark, monkeypatch, hot, bucket, gather, lanes, merged):
+    monkeypatch.setattr(blobs, "LANES", lanes)  # beyond so many buckets they are dealt to in two steps
+    monkeypatch.setattr(blobs, "TOGETHER", 2)
+    monkeypatch.setattr(blobs, "MERGED", merged)
     monkeypatch.setattr(lm_scoring, "HOT", hot)
     monkeypatch.setattr(lm_scoring, "BUCKET", bucket)
     monkeypatch.setattr(lm_scoring, "GATHER", gather)
@@ -145,8 +188,11 @@ def test_passages_are_found_at_any_place(spark):
     assert not any(got[i].has_repeat for i in (200, 201, 202))
 
 
-@pytest.mark.parametrize("buckets", [1, 7])
-def test_repeats_equal_brute_force(spark, monkeypatch, buckets):
+@pytest.mark.parametrize(("buckets", "lanes", "merged"), [(1, 256, 1 << 25), (7, 256, 1 << 25), (7, 2, 1 << 25), (40, 5, 3000)])
+def test_repeats_equal_brute_force(spark, monkeypatch, buckets, lanes, merged):
+    monkeypatch.setattr(blobs, "LANES", lanes)
+    monkeypatch.setattr(blobs, "TOGETHER", 2)
+    monkeypatch.setattr(blobs, "MERGED", merged)
     monkeypatch.setattr(substring_dedup, "_buckets", lambda *_: buckets)
     monkeypatch.setattr(substring_dedup, "GATHER", 3000)
     r = random.Random(11)
