@@ -40,7 +40,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(table(spark, sf_dir, "documents"))
+    found = pii.find(table(spark, sf_dir, "documents"), plain=table(spark, sf_dir, "pages"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_spans", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
