@@ -343,3 +343,98 @@ def test_passages_equal_brute_force(spark, most):
     got = contamination.passages_in(spark.createDataFrame(texts, "doc_id long, c string").repartition(3), spark.createDataFrame(items, "item_id int, c string"), most)
     want = sorted(((d, i) for d, t in texts if t for i, c in items if c and c in t), key=repr)
     assert sorted(map(tuple, got.collect()), key=repr) == want and got.schema["item_id"].dataType.simpleString() == "int"
+
+
+# ---- The greedy step and its scores against loops
+
+
+def brute_greedy(rated):
+    used, out = [], []
+    for x in rated:
+        free = [(i, c) for i, c in enumerate(x["candidates"]) if i not in used]
+        same = max((c["alike"], -i) for i, c in free) if free else (0, 0)
+        agreeing = [(c["total"], -i) for i, c in free if c["agrees"]]
+        reach, at = max(agreeing) if agreeing else (0, 0)
+        at, reach = (-at, reach) if reach > 0 else (None, 0.0)
+        if x["literal"]:
+            kind, taken = ("exact", -same[1] if same[0] > 0 else None) if x["agrees"] else ("missed", None)
+        else:
+            kind = "exact" if reach >= 0.7 else "partial" if reach >= 0.4 or x["ratio"] >= 0.55 and x["loose"] else "missed"
+            taken = at if reach >= 0.4 else None
+        used += [taken] if taken is not None else []
+        partial = reach if reach >= 0.4 else max(0.55, min(0.78, x["ratio"] * 0.9))
+        out.append((x["finding"], x["severity"], kind, {"exact": 1.0, "missed": 0.0}.get(kind, partial)))
+    return used, out
+
+
+def brute_score(matches, invented):
+    weight = {"critical": 4.0, "major": 2.5, "minor": 1.0, "incidental": 0.5}
+    if not matches:
+        return 100.0
+    missed = [m for m in matches if m[2] == "missed"]
+    share = (len(matches) - len(missed)) / len(matches)
+    if any(m[1] == "critical" for m in missed):
+        floor = 0
+    elif missed and all(m[1] in ("minor", "incidental") for m in missed):
+        floor = 84
+    elif "high" in invented:
+        floor = 72 if share >= 0.8 else 0
+    else:
+        floor = 88 if not missed else 84 if share >= 0.9 else 80 if share >= 0.8 else 0
+    total = sum(weight.get(m[1], 0) for m in matches)
+    base = sum(weight.get(m[1], 0) * m[3] for m in matches) / total * 100 if total else 100.0
+    return max(floor, max(0.0, min(100.0, base - sum(5 if h == "high" else 1 for h in invented))))
+
+
+def test_greedy_matching_equals_loops(spark):
+    r = random.Random(17)
+    rows = []
+    for k in range(400):
+        n = r.randint(0, 5)
+        rated = [{
+            "finding": f"g{i}", "severity": r.choice(["critical", "major", "minor", "incidental"]), "literal": r.random() < 0.3, "agrees": r.random() < 0.7, "ratio": r.choice([0.0, 0.5, 0.55, 0.8, 1.0]), "loose": r.random() < 0.5,
+            "candidates": [{"alike": a, "total": min(1.0, a + r.choice([0, 0.1, 0.2])), "agrees": r.random() < 0.7} for a in (r.choice([0.0, 0.3, 0.4, 0.6, 0.7, 0.9]) for _ in range(n))],
+        } for i in range(r.randint(0, 6))]
+        rows.append((k, rated, [(f"h{i}", r.choice(["high", "medium"])) for i in range(r.randint(0, 3))]))
+    kind = "array<struct<finding:string,severity:string,literal:boolean,agrees:boolean,ratio:double,loose:boolean,candidates:array<struct<alike:double,total:double,agrees:boolean>>>>"
+    table = spark.createDataFrame(rows, f"id long, _rated {kind}, invented array<struct<text:string,confidence:string>>")
+    got = table.withColumn("g", evaluators._greedy()).withColumn("score", evaluators.finding_score(F.col("g")["out"], F.col("invented"))).collect()
+    for x in got:
+        used, out = brute_greedy(rows[x.id][1])
+        assert (list(x.g.used), [tuple(m) for m in x.g.out]) == (used, out)
+        assert x.score == pytest.approx(brute_score(out, [h for _, h in rows[x.id][2]]))
+
+
+def brute_tokens(text):
+    """Words that count, by the lexicon's own tables."""
+    import re
+
+    from assaykit.functions import lexicon
+
+    x = f" {re.sub('<[^>]+>', '', text)} "
+    for p, by in lexicon.CAPITALS:
+        x = re.sub(p, by, x)
+    x = re.sub("[^a-z0-9]+", " ", fold_plain(x))
+    for p, by in lexicon.WRITTEN_OUT:
+        x = re.sub(p, by, x)
+    return list(dict.fromkeys(t for t in x.split() if len(t) > 2 and t not in lexicon.STOPWORDS))
+
+
+def fold_plain(t):
+    import re
+    import unicodedata
+
+    return re.sub(r"\s+", " ", re.sub("[̀-ͯ]", "", unicodedata.normalize("NFD", t))).strip().lower()
+
+
+def test_folding_and_tokens_equal_python(spark):
+    from assaykit.functions import clinical, text
+
+    r = random.Random(19)
+    pieces = ["Éffusão", "nódulo", "<b>", "</b>", "CT", "RM", "the", " ", "  ", "\t", " ", " ", "é", "left lung", "5 mm", "ÅNGSTRÖM", "ﬁbrosis", "\n", "US", "no", "of"]
+    texts = [None, "", " a ", "plain ascii  text\twith\x0bruns \r\n of blanks"] + ["".join(r.choice(pieces) + r.choice(["", " "]) for _ in range(r.randint(0, 12))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", text.fold(F.col("t")).alias("f"), text.fold(F.concat("t", F.lit(" x"))).alias("g"), clinical.tokens(F.col("t")).alias("w"))
+    for x in rows.collect():
+        t = texts[x.id]
+        assert (x.f, x.g) == ((None, None) if t is None else (fold_plain(t), fold_plain(t + " x")))
+        assert x.w == (None if t is None else brute_tokens(t))
