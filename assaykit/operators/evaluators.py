@@ -430,6 +430,19 @@ def _backed(text: Column, lex: Lexicon) -> Column:
     return let(nearest, lambda top: let(F.regexp_extract_all(text, F.lit(clinical.any_case(lex.bands[0][1])), 0), lambda terms: of(top, terms)))
 
 
+def told_by(column: str | None):
+    """A detector that takes a model's word: the column lists the labels that the report affirms (see models.detected). None is an
+    error, so a model is never assumed silently."""
+    if not column:
+        raise ValueError("a model's detector needs the column of its answers")
+
+    def detect(lex: Lexicon) -> Column:
+        affirmed = lambda x: F.coalesce(F.array_contains(F.col(column), x), F.lit(False))
+        return F.struct(F.expr("cast(array() as array<int>)").alias("used"), F.transform("_labels", lambda x: F.struct(x.alias("label"), affirmed(x).alias("hit"))).alias("out"))
+
+    return detect
+
+
 def rates(tp: Column, fn: Column, fp: Column) -> tuple[Column, Column, Column]:
     """recall, precision and their harmonic mean; 1 where there is nothing to find."""
     recall = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(1.0)

@@ -135,7 +135,7 @@ SPOTS = [
     "concat('cases/clean_10k/', page_id, '.jsonl')", "concat('docs/', page_id, '.md')", "'DATA_ACCESS_POLICY.md'", "concat('site/', page_id, '.html')",
 ]
 SAYS = [
-    "All cases were clinically validated.", "This was not clinically validated.", "We never overclaim, and the cases were externally validated", "\"goldFindings\" : []", "key ghp_abcdefghijklmnop", "on 12/03/2024 it ran", "public-merged-csv", "plain text", "no claim",
+    "All cases were clinically validated.", "This was not clinically validated.", "No images are shared here, but the cases were externally validated", "\"goldFindings\" : []", "key ghp_abcdefghijklmnop", "on 12/03/2024 it ran", "public-merged-csv", "plain text", "no claim",
     "No doubt; independent review was made", "token supabase_service_role_abcdefghijkl",
 ]
 PATH = "CASE page_id % 10 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(SPOTS)) + " END"

@@ -56,11 +56,12 @@ def read_case_objects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """instance_id, model_output, metadata (JSON text), unknown keys, and the raw line. All malformed lines are named in one error."""
+    """instance_id, model_output, metadata (JSON text), unknown keys, and the raw line. Malformed lines stop the read: their number, and the first 20 of them, are in one error."""
     lines = spark.read.text(path).where(F.trim("value") != "").withColumn("parsed", F.try_parse_json(F.trim("value")))
-    bad = [r.value[:80] for r in lines.where("parsed is null").select("value").limit(20).collect()]
-    if bad:
-        raise ValueError(f"malformed lines in {path}: {bad}")
+    bad = lines.where("parsed is null").select("value")
+    first = [r.value[:80] for r in bad.limit(20).collect()]
+    if first:
+        raise ValueError(f"{bad.count()} malformed lines in {path}: {first}")
     fields = F.from_json("value", "map<string,string>")
     return lines.select(
         F.get_json_object("value", "$.instance_id").alias("instance_id"), F.get_json_object("value", "$.model_output").alias("model_output"), F.get_json_object("value", "$.metadata").alias("metadata"),

@@ -14,7 +14,7 @@ PICKS = {
         "Acute subdural hematoma along the left convexity", "Pulmonary nodule of 6 mm in the right lung", "Thyroid nodule of 1,2 cm in the left lobe", "Breast mass in the right breast", "Simple renal cyst of 3 x 2 cm", "Disc herniation at L4-L5",
         "Small bowel obstruction", "Suspicious area in the prostate", "Pleural effusion on the left", "Rib fracture on the right", "Gallstone without thickening",
     ], "p_partkey % 11"),
-    "second": (["no midline shift", "without pneumothorax", "mild steatosis", "no effusion but acute hemorrhage in the spleen", "stable granuloma", "pulmonary embolism was excluded", "CVC in place", "stroke of the left hemisphere not seen"], "p_size % 8"),
+    "second": (["no midline shift", "without pneumothorax", "mild steatosis", "no stones but hemorrhage around the pancreas", "stable granuloma", "pulmonary embolism was excluded", "CVC in place", "stroke of the left hemisphere not seen"], "p_size % 8"),
     "said": ([
         "Acute subdural hematoma along the left convexity", "Pulmonary nodule of 6 mm in the left lung", "Nodule of the thyroid of 1,2 cm in the left lobe", "Mass of the right breast", "Simple renal cyst of 3 x 2 cm", "No disc herniation",
         "Bowel obstruction", "Suspicious area in the prostate", "Renal cell carcinoma of the right kidney", "Rib fracture on the right", "Gallstone",

@@ -59,6 +59,8 @@ class Service:
         content = [{"type": "text", "text": "parts of "}, {"content": text}] if "parts" in text else f"re: {text}"
         if "QA judge" in text:
             content = '```json\n{"verdict": "fail", "scores": {"CRIT": 40, "QUAL": 140, "TERM": 80.04}, "overall": 55, "critical_failures": [{"issue": "missed"}], "missing": ["a", 3], "fix": "x",}\n```' if "second" in text else "I can't say."
+        if "Which of the findings" in text:
+            content = 'Here: {"found": ["Acute hematoma", "made up"]}' if "clear" not in text else "none of them"
         return 200, {"choices": [{"message": {"content": content}}], "usage": {"prompt_tokens": 1000, "completion_tokens": 500}}, {}
 
 
@@ -120,6 +122,21 @@ def test_verdicts():
     assert x == {"verdict": "PARTIAL", "scores": {"CRIT": 0.0}, "overall": None, "critical_failures": [{"dim": "CRIT", "issue": "unspecified", "evidence": ""}], "missing": [], "hallucinated": [], "spot_checks": [{"claim": "c", "ok": True, "by": ""}], "fix": ""}
 
 
+def test_a_model_detects_urgent_findings(spark, service, tmp_path):
+    from assaykit.operators import evaluators
+
+    rows = [("1", "en-US", "x", "words that no rule knows", ["Acute hematoma", "Pneumothorax"]), ("2", "en-US", "x", "all clear", ["Acute hematoma"]), ("3", "en-US", "x", "y", [])]
+    cases = spark.createDataFrame(rows, "case_id string, locale string, findings string, html string, urgent array<string>")
+    told = models.detected(cases, quick(service), f"file://{tmp_path}/detect")
+    assert {x.case_id: x.affirmed for x in told.collect()} == {"1": ["Acute hematoma"], "2": None, "3": []} and len(service.calls) == 2
+    got = {x.case_id: x for x in evaluators.critical(told, evaluators.told_by("affirmed")).collect()}
+    assert got["1"].true_positives == ["Acute hematoma"] and got["1"].false_negatives == ["Pneumothorax"] and got["2"].false_negatives == ["Acute hematoma"]
+    plain = {x.case_id: x for x in evaluators.critical(cases).collect()}
+    assert plain["1"].true_positives == []
+    with pytest.raises(ValueError, match="needs the column"):
+        evaluators.told_by(None)
+
+
 def test_a_judge_counts_in_the_results(spark, service, tmp_path):
     html = "<center><b>CT OF THE HEAD</b></center><br><br><b>Findings</b><br>Mass in the right lobe.<br><br><b>Impression</b><br>Mass in the right lobe."
     rows = [("1", "en-US", "first", html), ("2", "en-US", "second", html)]
