@@ -11,6 +11,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import fold_any
 from .operators import adjudication, agreement, board, calibration, contamination, pairing, provenance, release, reporting, robustness, submission, summary
 from .sources import artifacts, scratch, tracked
 from .sources.scratch import with_position
@@ -161,10 +162,13 @@ def provenance_(spark, a) -> DataFrame:
 
 
 def report(spark, a) -> DataFrame:
-    """Markdown lines: the failed checks by run and stratum, or with --kind whole the report of the first run by name."""
+    """Markdown lines: the failed checks by run and stratum, with --kind audit with what is to blame, or with --kind whole the report of the first run by name."""
     runs = scratch.stored(_runs(spark, a.runs, a))
     if a.kind == "strata":
         return reporting.strata_lines(reporting.strata(_results(runs)))
+    if a.kind == "audit":
+        flat = _results(runs).select("run", "case_id", fold_any("html").alias("report"), F.inline("checks")).withColumn("report", F.coalesce("report", F.lit("")))
+        return reporting.audit_lines(reporting.audit_cube(pairing.failed_issues(flat).withColumns({"stratum": pairing.stratum(), "adjudication": pairing.adjudication(True)})))
     given = artifacts.read_json(spark, a.provenance, "scoringHash string, suites array<struct<suiteId:string,suiteHash:string>>") if a.provenance else None
     return reporting.consolidated_lines(runs, _results(runs), scratch.stored(_results(_runs(spark, a.baseline, a))) if a.baseline else None, given, a.resamples)
 

@@ -110,3 +110,23 @@ def telemetry(events: DataFrame, allowed: tuple[str, ...], salt: str) -> DataFra
     return events.where(F.col("event").isin(*allowed)).select(
         "id", "event", clean("target", 180).alias("target"), F.when(F.col("sender").isNotNull(), F.substring(F.sha2(F.concat_ws(":", F.lit(salt), "sender"), 256), 1, 24)).alias("sender_hash")
     )
+
+
+# How much of each field is kept.
+KEPT = {"path": 180, "target": 180, "label": 80, "country": 8}
+
+
+def telemetry_record(requests: DataFrame, allowed: tuple[str, ...], artifact: str, salt: str) -> DataFrame:
+    """(id, ts, event, artifact_id, path, target, label, country, referrer_host, ip_hash, ua_hash) of requests with an allowed event, ready for a webhook.
+
+    requests: id, ts, event, path, target, label, country, referrer (an address), ip (the first of forwarded ones counts), user_agent. Who
+    sent them is kept as salted hashes only; what isn't there stays null.
+    """
+    clean = lambda c, n: F.nullif(F.substring(F.regexp_replace(c, r"[^A-Za-z0-9_ .:/?#=&%+@-]", ""), 1, n), F.lit(""))
+    hashed = lambda x: F.when(F.nullif(x, F.lit("")).isNotNull(), F.substring(F.sha2(F.concat_ws(":", F.lit(salt), x), 256), 1, 24))
+    event = clean(F.col("event"), 48)
+    rows = requests.where(event.isin(*allowed))
+    return rows.select(
+        "id", "ts", event.alias("event"), F.lit(artifact).alias("artifact_id"), *(clean(F.col(c), n).alias(c) for c, n in KEPT.items()),
+        F.substring(F.try_parse_url("referrer", F.lit("HOST")), 1, 120).alias("referrer_host"), hashed(F.trim(F.split_part("ip", F.lit(","), F.lit(1)))).alias("ip_hash"), hashed(F.col("user_agent")).alias("ua_hash"),
+    )

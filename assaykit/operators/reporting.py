@@ -143,6 +143,25 @@ def comparison_lines(totals: DataFrame, a: str, b: str) -> DataFrame:
     return _lines(totals.sparkSession, [f"# Stratified comparison: {a} and {b}", "", *table])
 
 
+def audit_lines(cube: DataFrame) -> DataFrame:
+    """Lines of an audit (see audit_cube): totals, then each run's strata, what weighs more as a failure of the system first."""
+    rows = [r.asDict() for r in cube.where("part in ('', 'run', 'run,stratum')").orderBy("part", "run", F.desc("system_weight"), F.desc("failed_checks"), "stratum").collect()]  # a row for each run and stratum
+    head = ["Stratum", "Failed", "System", "Evaluator", "Review", "System weight", "Weight"]
+    figures = lambda r: (r["failed_checks"], r["system_errors"], r["evaluator_limitations"], r["review_needed"], f"{r['system_weight']:.1f}", f"{r['raw_weight']:.1f}")
+    whole = [("all runs", *figures(r)) for r in rows if r["part"] == ""]
+    lines = ["# Audit of failed checks", "", *_table(["Runs", *head[1:]], whole)]
+    for run in [r for r in rows if r["part"] == "run"]:
+        own = [(r["stratum"], *figures(r)) for r in rows if r["part"] == "run,stratum" and r["run"] == run["run"]]
+        lines += ["", f"## {run['run']}", "", *_table(head, [*own, ("**total**", *figures(run))])]
+    return _lines(cube.sparkSession, lines)
+
+
+def robustness_lines(per_kind: DataFrame) -> DataFrame:
+    """Lines on perturbations that were noticed, by kind in order of name (kind, n, caught, rate)."""
+    rows = per_kind.orderBy("kind").collect()  # a row for each kind
+    return _lines(per_kind.sparkSession, ["# Robustness", "", *_table(["Kind", "n", "caught", "rate"], [(r.kind, r.n, r.caught, f"{r.rate}%") for r in rows])])
+
+
 def summary_tex(summaries: DataFrame) -> DataFrame:
     """Lines of a LaTeX table of run summaries (run, average_overall, all_pass_rate, criterion_pass_rate, strict_pass_rate, pass_rate), best first."""
     safe = lambda x: "".join("\\" + c if c in "&%$#_{}" else {"~": r"\textasciitilde{}", "^": r"\textasciicircum{}", "\\": r"\textbackslash{}"}.get(c, c) for c in str(x))

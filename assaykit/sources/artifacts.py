@@ -48,6 +48,18 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return read_json(spark, path, CASE)
 
 
+def read_suite_cases(spark: SparkSession, path: str) -> DataFrame:
+    """The cases that a suite's file names, relative to that file, with suite_id. A suite that ships none, or a file that is no list, is an error."""
+    suite = read_suite(spark, path).first()
+    if suite is None or not suite.casesPath:
+        raise ValueError(f"suite {suite.id if suite else path} does not ship cases")
+    base, _, _ = path.rpartition("/")
+    at = suite.casesPath if "://" in suite.casesPath or suite.casesPath.startswith("/") else f"{base}/{suite.casesPath}"
+    if not read_text(spark, at).select(F.ltrim("value").startswith("[")).first()[0]:
+        raise ValueError(f"cases must be a JSON array: {at}")
+    return read_cases(spark, at).withColumn("suite_id", F.lit(suite.id))
+
+
 def read_case_objects(spark: SparkSession, path: str) -> DataFrame:
     """(path, case): each case of a file's array (or the file's only one) as a variant, with whatever keys it has."""
     rows = read_text(spark, path).select("path", F.parse_json("value").alias("v"))

@@ -438,3 +438,38 @@ def test_folding_and_tokens_equal_python(spark):
         t = texts[x.id]
         assert (x.f, x.g) == ((None, None) if t is None else (fold_plain(t), fold_plain(t + " x")))
         assert x.w == (None if t is None else brute_tokens(t))
+
+
+def test_cases_of_a_suite(spark, tmp_path):
+    (tmp_path / "suites").mkdir()
+    (tmp_path / "cases").mkdir()
+    put_ = lambda name, x: (tmp_path / name).write_text(json.dumps(x))
+    put_("cases/c.json", [{"id": "a", "exam": "CT"}, {"id": "b"}])
+    put_("cases/one.json", {"id": "a"})
+    put_("suites/s.json", {"benchmarkName": "n", "id": "s", "casesPath": "../cases/c.json"})
+    put_("suites/bad.json", {"benchmarkName": "n", "id": "t", "casesPath": "../cases/one.json"})
+    put_("suites/none.json", {"benchmarkName": "n", "id": "u"})
+    read = lambda n: artifacts.read_suite_cases(spark, str(tmp_path / "suites" / n))
+    assert [(x.id, x.exam, x.suite_id) for x in read("s.json").orderBy("id").collect()] == [("a", "CT", "s"), ("b", None, "s")]
+    with pytest.raises(ValueError, match="must be a JSON array"):
+        read("bad.json")
+    with pytest.raises(ValueError, match="suite u does not ship cases"):
+        read("none.json")
+
+
+def test_lines_of_audits_and_robustness(spark, made, tmp_path):
+    lines = [r["value"] for r in run(spark, tmp_path, "report", put(tmp_path / "runs", made), "--kind", "audit")[1]]
+    assert lines[0] == "# Audit of failed checks" and "| all runs | 13 | 13 | 0 | 0 | 16.0 | 16.0 |" in lines and "## b" in lines and lines[-1] == "| **total** | 12 | 12 | 0 | 0 | 12.0 | 12.0 |"
+    rows = [("x", s, "D", f"c{k}", a, w) for k, (s, a, w) in enumerate([("low", "system_error", 1.0), ("high", "system_error", 4.0), ("many", "review_needed", 1.0), ("many", "review_needed", 1.0), ("none", "review_needed", 1.0)])]
+    cube = reporting.audit_cube(spark.createDataFrame(rows, "run string, stratum string, dim string, case_id string, adjudication string, weight double"))
+    got = [x.value.split(" | ")[0][2:] for x in reporting.audit_lines(cube).collect() if x.value.startswith("| ") and "Stratum" not in x.value and "---" not in x.value]
+    assert got == ["Runs", "all runs", "high", "low", "many", "none", "**total**"]
+    kinds = spark.createDataFrame([("b", 2, 1, 50.0), ("a", 3, 3, 100.0)], "kind string, n long, caught long, rate double")
+    assert [x.value for x in reporting.robustness_lines(kinds).collect()][-2:] == ["| a | 3 | 3 | 100.0% |", "| b | 2 | 1 | 50.0% |"]
+
+
+def test_telemetry_records(spark):
+    rows = [(1, "t", "page_view<>", "/a", "x" * 200, "l", "DE", "https://user@some.host.org:8080/p?q=1", "1.2.3.4, 5.6.7.8", "agent"), (2, "t", "other", None, None, None, None, None, None, None), (3, "t", "page_view", None, "", None, None, "not an address", "", None)]
+    got = {x.id: x for x in release.telemetry_record(spark.createDataFrame(rows, "id long, ts string, event string, path string, target string, label string, country string, referrer string, ip string, user_agent string"), ("page_view",), "A1", "salt").collect()}
+    assert got.keys() == {1, 3} and got[1].event == "page_view" and len(got[1].target) == 180 and got[1].referrer_host == "some.host.org" and got[1].artifact_id == "A1"
+    assert got[1].ip_hash == hashlib.sha256(b"salt:1.2.3.4").hexdigest()[:24] and got[3].ip_hash is None and got[3].ua_hash is None and got[3].target is None and got[3].referrer_host is None
