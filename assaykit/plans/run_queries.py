@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.rounding import to_fixed_sql as fx
 from ..operators import adjudication, board, calibration, robustness, submission
 from ..operators.scoring import DIMS
 from ..sources import adapters, reports
@@ -109,8 +110,31 @@ def pearson_det_judge(spark, sf_dir):
     return calibration.pearson(calibration.det_judge_pairs(_judged(spark, sf_dir))).select(F.round("r", 4).alias("r"), "n")
 
 
-@add()
+def _alpha_sql(name: str, rows: str) -> str:
+    """Steps that end in `name`: the interval alpha (column a) of (unit, value) rows."""
+    x = "CAST(round(value * 10) AS BIGINT)"
+    return f"""{name}_u AS (SELECT unit, count(*) AS m, sum({x}) AS s, sum({x} * {x}) AS q FROM ({rows}) GROUP BY 1),
+{name}_g AS (SELECT m, count(*) AS units, sum(m * q - s * s) AS d, sum(s) AS s, sum(q) AS q FROM {name}_u GROUP BY 1),
+{name}_t AS (SELECT CAST(sum(m * units) AS DOUBLE) AS v, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(q) AS DOUBLE) AS q, sum(2.0::DOUBLE * d::DOUBLE / (m - 1)) FILTER (WHERE m > 1) AS num, CAST(sum(m * units) FILTER (WHERE m > 1) AS DOUBLE) AS den FROM {name}_g),
+{name}_r AS (SELECT 1 - (num / den) / (2.0::DOUBLE * (v * q - s * s) / (v * (v - 1))) AS raw FROM {name}_t), {name} AS (SELECT {fx("raw", 6)} AS a FROM {name}_r)"""
+
+
+MEAN = "CAST(sum(round(overall * 10)) AS DOUBLE) / count(*) / 10.0::DOUBLE"
+RANKED = "CAST(2 * rank() OVER (ORDER BY {0}) + count(*) OVER (PARTITION BY {0}) - 1 AS BIGINT)"
+CALIBRATED = f"""WITH {JUDGED}, {_alpha_sql("retest", f"SELECT case_id AS unit, {MEAN} AS value FROM j WHERE judge = 'judge0' GROUP BY case_id, run")}, {_alpha_sql("crossed", f"SELECT case_id AS unit, {MEAN} AS value FROM j GROUP BY case_id, judge")},
+f AS (SELECT case_id, judge, arg_min(verdict, run) AS v FROM j GROUP BY 1, 2), p AS (SELECT a.v AS a, b.v AS b FROM f a JOIN f b USING (case_id) WHERE a.judge = 'judge0' AND b.judge = 'judge1'),
+po AS (SELECT count(*) AS n, count(*) FILTER (WHERE a = b)::DOUBLE / count(*) AS po FROM p), pe AS (SELECT CAST(sum(na * nb) AS DOUBLE) AS c FROM (SELECT (SELECT count(*) FROM p WHERE a = v) AS na, (SELECT count(*) FROM p WHERE b = v) AS nb FROM (VALUES ('PASS'), ('PARTIAL'), ('FAIL')) c(v))),
+kr AS (SELECT (po - c / (n::DOUBLE * n)) / (1 - c / (n::DOUBLE * n)) AS raw FROM po, pe), k AS (SELECT {fx("raw", 6)} AS kappa FROM kr),
+ranks AS (SELECT {RANKED.format("det_overall")} AS x, {RANKED.format("judge_overall")} AS y FROM j WHERE judge_overall IS NOT NULL),
+sums AS (SELECT count(*) AS n, sum(x) AS a, sum(y) AS b, sum(x * x) AS aa, sum(y * y) AS bb, sum(x * y) AS ab FROM ranks),
+rr AS (SELECT n, (n::DOUBLE * ab::DOUBLE - a::DOUBLE * b::DOUBLE) / sqrt((n::DOUBLE * aa::DOUBLE - a::DOUBLE * a::DOUBLE) * (n::DOUBLE * bb::DOUBLE - b::DOUBLE * b::DOUBLE)) AS raw FROM sums), r AS (SELECT {fx("raw", 6)} AS spearman, n FROM rr)
+SELECT (SELECT count(DISTINCT case_id) FROM j) AS case_count, retest.a AS test_retest_alpha, crossed.a AS cross_judge_alpha, kappa AS cross_judge_kappa, spearman, n,
+  CASE WHEN least(retest.a, crossed.a) >= 0.8 AND spearman >= 0.4 THEN 'calibrated' WHEN least(retest.a, crossed.a) >= 0.667 AND spearman >= 0.2 THEN 'weak' ELSE 'uncalibrated' END AS verdict FROM retest, crossed, k, r"""
+
+
+@add(CALIBRATED)
 def calibration_report(spark, sf_dir):
+    """Agreement of two judges with themselves, with each other and with the checks, and the verdict on it."""
     return calibration.calibrate(stored(_judged(spark, sf_dir))).drop("judges")
 
 

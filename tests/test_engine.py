@@ -344,7 +344,7 @@ def test_stream_of_predictions(spark, tmp_path):
     assert [(r.instance_id, r.pos) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", 2)]
 
 
-LIGHT = ["criterion_stats", "all_pass_rate", "dim_scores", "severity_cap", "submission_validation", "latest_prediction", "strata_excess", "audit_totals", "failure_taxonomy", "retrieval_metrics", "text_fold", "sanitize_html", "language_signal", "token_coverage", "contamination_scan", "case_hash", "suite_hash", "release_scan", "phi_scan", "telemetry_clean", "negation_scope", "report_classifications", "report_recommendations", "report_critical_mentions", "report_findings", "mention_denial", "copy_ratio", "section_tokens", "recall_precision_f1", "finding_score", "weighted_check_score", "catalogue_core", "perturb_reports", "calibration_matrix", "verdict_pairs", "pearson_det_judge", "adjudication_records", "public_board", "run_suite_check", "limit_cases", "suite_hash", "pareto_frontier", "site_order", "bootstrap_ci", "paired_bootstrap", "run_integrity", "verified_runs", "provenance_tree", "provenance_changes", "audit_cube", "score_cube", "groups_in_order"]
+LIGHT = ["criterion_stats", "all_pass_rate", "dim_scores", "severity_cap", "submission_validation", "latest_prediction", "strata_excess", "audit_totals", "failure_taxonomy", "retrieval_metrics", "text_fold", "sanitize_html", "language_signal", "token_coverage", "contamination_scan", "case_hash", "suite_hash", "release_scan", "phi_scan", "telemetry_clean", "negation_scope", "report_classifications", "report_recommendations", "report_critical_mentions", "report_findings", "mention_denial", "copy_ratio", "section_tokens", "recall_precision_f1", "finding_score", "weighted_check_score", "catalogue_core", "perturb_reports", "calibration_matrix", "verdict_pairs", "pearson_det_judge", "adjudication_records", "public_board", "run_suite_check", "limit_cases", "suite_hash", "pareto_frontier", "site_order", "bootstrap_ci", "paired_bootstrap", "run_integrity", "verified_runs", "provenance_tree", "provenance_changes", "audit_cube", "score_cube", "groups_in_order", "calibration_report"]
 
 
 @pytest.mark.parametrize("name", LIGHT)
