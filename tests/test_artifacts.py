@@ -473,3 +473,45 @@ def test_telemetry_records(spark):
     got = {x.id: x for x in release.telemetry_record(spark.createDataFrame(rows, "id long, ts string, event string, path string, target string, label string, country string, referrer string, ip string, user_agent string"), ("page_view",), "A1", "salt").collect()}
     assert got.keys() == {1, 3} and got[1].event == "page_view" and len(got[1].target) == 180 and got[1].referrer_host == "some.host.org" and got[1].artifact_id == "A1"
     assert got[1].ip_hash == hashlib.sha256(b"salt:1.2.3.4").hexdigest()[:24] and got[3].ip_hash is None and got[3].ua_hash is None and got[3].target is None and got[3].referrer_host is None
+
+
+def test_retrieval_evaluator_equals_loops(spark):
+    import math
+
+    r = random.Random(23)
+    rows = []
+    for k in range(300):
+        graded = {f"d{i}": r.randint(0, 3) for i in range(r.randint(0, 6))}
+        rows.append((str(k), "x", "x", [f"d{r.randrange(9)}" for _ in range(r.randint(0, 8))], graded))
+    table = spark.createDataFrame(rows, "case_id string, html string, findings string, retrieved array<string>, relevance map<string,int>")
+    half_up = lambda x: math.floor(x + 0.5)
+    gain = lambda grades: sum((2**g - 1) / math.log2(i + 2) for i, g in enumerate(grades))
+    for x in evaluators.retrieval(table).collect():
+        _, _, _, said, graded = rows[int(x.case_id)]
+        docs = list(dict.fromkeys(said))
+        if not graded or not docs:
+            assert x.retrieval_mode == ("retrieval-gold-present-no-pipeline" if graded else "unscored") and x.retrieval_score == -1
+            continue
+        grades, k = [graded.get(d, 0) for d in docs], min(5, len(docs))
+        top, ideal = grades[:k], sorted(graded.values(), reverse=True)[:k]
+        found, wanted = sum(g >= 1 for g in top), sum(g >= 1 for g in graded.values())
+        first = next((i + 1 for i, g in enumerate(grades) if g >= 1), None)
+        p, rc, n, m = found / len(top), found / wanted if wanted else 1.0, gain(top) / gain(ideal) if gain(ideal) else 0.0, 1 / first if first else 0.0
+        assert x.retrieval_score == min(100, half_up(rc * 40 + p * 20 + n * 25 + m * 15)), x
+        assert [(c.id, c.passed) for c in x.retrieval_checks] == [("RG01", p >= 0.6), ("RG02", rc >= 0.5), ("RG03", n >= 0.5), ("RG04", m >= 0.5)]
+
+
+def test_shares_of_checks_and_rates_equal_loops(spark):
+    import math
+
+    r = random.Random(29)
+    weights = evaluators.CHECK_WEIGHTS
+    rows = [(k, [(r.choice(["critical", "major", "minor", "odd"]), r.random() < 0.6) for _ in range(r.randint(0, 7))], r.randint(0, 4), r.randint(0, 4), r.randint(0, 4)) for k in range(200)]
+    table = spark.createDataFrame(rows, "id long, checks array<struct<severity:string,passed:boolean>>, tp int, fn int, fp int")
+    recall, precision, f1 = evaluators.rates(F.col("tp"), F.col("fn"), F.col("fp"))
+    for x in table.select("id", evaluators.weighted_share(F.col("checks"), weights).alias("share"), recall.alias("r"), precision.alias("p"), f1.alias("f")).collect():
+        _, checks, tp, fn, fp = rows[x.id]
+        w = lambda s: weights.get(s, weights["minor"])
+        assert x.share == (math.floor(sum(w(s) for s, ok in checks if ok) / sum(w(s) for s, _ in checks) * 100 + 0.5) if checks else 100)
+        want = (tp / (tp + fn) if tp + fn else 1.0, tp / (tp + fp) if tp + fp else 1.0)
+        assert (x.r, x.p) == want and x.f == pytest.approx(2 * want[0] * want[1] / sum(want) if sum(want) else 0.0)
