@@ -62,14 +62,6 @@ def test_honest_runs_are_read(spark, made, tmp_path):
 
 
 def test_forged_runs_stop_the_read(spark, made, tmp_path):
-    def forged(change, name="b"):
-        runs = copy(made)
-        change(runs[name])
-        folder = tmp_path / f"f{len(list(tmp_path.iterdir()))}"
-        with pytest.raises(Exception, match="integrity check failed") as e:
-            artifacts.read_suite_runs(spark, put(folder, {name: runs[name]})).select("source").collect()
-        return str(e.value).split("integrity check failed: ")[1].split("\n")[0].split(" SQLSTATE")[0]
-
     def flip(r):
         r["results"][3]["verdict"] = "PASS"
         r["results"][3]["combinedOverall"] = 90.0
@@ -77,24 +69,31 @@ def test_forged_runs_stop_the_read(spark, made, tmp_path):
         r["results"][6]["costUsd"] = -3.0
         r["summary"]["passRate"] = 100.0
 
-    said = forged(flip)
+    judge = {"verdict": "FAIL", "scores": {}, "overall": None, "critical_failures": [{"issue": "x"}], "missing": [], "hallucinated": []}
+    changes = {
+        "flip": flip, "twice": lambda r: r["results"][1]["case"].update(id="c00"), "short": lambda r: r["results"].pop(), "nameless": lambda r: r["results"][0]["case"].pop("id"), "mode": lambda r: r["manifest"].update(scoreMode="judge-primary"),
+        "dims": lambda r: r["results"][2]["detDims"].pop("RAG"), "none": lambda r: r.update(results=[]), "absent": lambda r: r["summary"]["averagePerDim"].update(GUIDE=50.0), "counts": lambda r: r["summary"]["verdictCounts"].update(PASS=12),
+        "summary": lambda r: r.pop("summary"), "veto": lambda r: r["results"][0].update(judge=judge), "honest": lambda r: None,
+    }
+    runs = {name: copy(made["b"]) for name in changes}
+    for name, change in changes.items():
+        change(runs[name])
+    read = lambda folder: spark.read.json(folder, schema=artifacts.RUN, multiLine=True).withColumn("source", F.col("_metadata.file_name"))
+    found = {x.source.removesuffix(".json"): x.errors for x in integrity.audited(read(put(tmp_path / "all", runs))).select("source", "errors").collect()}
+    said = {k: "; ".join(v) for k, v in found.items()}
+    assert found["honest"] == [] and found["summary"] == ["missing summary"]
     for part in ("case c03 verdict mismatch: expected FAIL, got PASS", "case c03 combinedOverall mismatch: expected 59.9, got 90", "case c03 verdict must be FAIL", "case c05 allPass mismatch: expected true, got false", "case c06 has negative cost", "summary.passRate mismatch: expected 91.7, got 100", "summary.averageOverall mismatch", "summary.totalCostUsd mismatch: expected 2.5, got 6"):
-        assert part in said, (part, said)
-    assert said.index("case c03") < said.index("case c05") < said.index("summary.")
-    assert "valid run has duplicate case ids" in forged(lambda r: r["results"][1]["case"].update(id="c00"))
-    assert "expected 12 unique ids, got 11" in forged(lambda r: r["results"].pop())
-    assert "a result row with no case id" in forged(lambda r: r["results"][0]["case"].pop("id"))
-    assert "comparableKey mismatch: expected 1::s::en-US::model::model::none::none::none::judge-primary, got 1::s::en-US::model::model::none::none::none::conservative-min" in forged(lambda r: r["manifest"].update(scoreMode="judge-primary"))
-    assert "case c02: missing deterministic dimension summaries" in forged(lambda r: r["results"][2]["detDims"].pop("RAG"))
-    assert "run has no case results" in forged(lambda r: r.update(results=[]))
-    assert "summary.averagePerDim.GUIDE should be absent" in forged(lambda r: r["summary"]["averagePerDim"].update(GUIDE=50.0))
-    assert "summary.verdictCounts.PASS mismatch: expected 11, got 12" in forged(lambda r: r["summary"]["verdictCounts"].update(PASS=12))
-    assert forged(lambda r: r.pop("summary")) == "missing summary"
-    assert "case c00 verdict must be FAIL" in forged(lambda r: r["results"][0].update(judge={"verdict": "FAIL", "scores": {}, "overall": None, "critical_failures": [{"issue": "x"}], "missing": [], "hallucinated": []}))
-    none = copy(made)
-    none["a"]["results"] = []
-    found = integrity.audited(spark.read.json(put(tmp_path / "none", {"a": none["a"]}), schema=artifacts.RUN, multiLine=True), require_results=False).first().errors
-    assert not any("no case results" in e for e in found) and any("id-set" in e for e in found)
+        assert part in said["flip"], (part, said["flip"])
+    assert said["flip"].index("case c03") < said["flip"].index("case c05") < said["flip"].index("summary.")
+    assert "valid run has duplicate case ids" in said["twice"] and "expected 12 unique ids, got 11" in said["short"] and "a result row with no case id" in said["nameless"]
+    assert "comparableKey mismatch: expected 1::s::en-US::model::model::none::none::none::judge-primary, got 1::s::en-US::model::model::none::none::none::conservative-min" in said["mode"]
+    assert "case c02: missing deterministic dimension summaries" in said["dims"] and "run has no case results" in said["none"] and "summary.averagePerDim.GUIDE should be absent" in said["absent"]
+    assert "summary.verdictCounts.PASS mismatch: expected 11, got 12" in said["counts"] and "case c00 verdict must be FAIL" in said["veto"]
+    with pytest.raises(Exception, match="integrity check failed") as e:
+        artifacts.read_suite_runs(spark, put(tmp_path / "one", {"flip": runs["flip"]})).select("source").collect()
+    assert said["flip"] in str(e.value)  # all mismatches in one error
+    loose = integrity.audited(read(put(tmp_path / "empty", {"none": runs["none"]})), require_results=False).first().errors
+    assert not any("no case results" in x for x in loose) and any("id-set" in x for x in loose)
 
 
 def test_judged_runs(spark, made, tmp_path):
