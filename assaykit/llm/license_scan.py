@@ -29,6 +29,8 @@ from .text import pieces, raw, with_columns, words
 
 #: Phrases whose words stand consecutively, and their labels.
 PHRASES = [("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
+#: The base phrases of op6's contract, which begins the first of them one word earlier.
+CONTRACT = [("under the mit license", "mit"), *PHRASES[1:]]
 #: Short notices by which texts commonly name their license.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),

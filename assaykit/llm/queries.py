@@ -50,7 +50,7 @@ def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(table(spark, sf_dir, "documents"), phrases=license_scan.CONTRACT)
 
 
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

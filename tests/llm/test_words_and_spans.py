@@ -147,6 +147,15 @@ def test_license_base_places_equal_brute_force(spark):
         assert set(filter(None, x.base_labels.split(","))) <= set(x.labels.split(",")) and 0 <= x.score <= 1
 
 
+def test_license_query_takes_the_phrases_of_its_contract(spark, tmp_path):
+    from assaykit.llm import queries
+
+    texts = ["this is under the mit license", "the mit license alone", "Apache License, Version 2", "cc by-nc", "under under the mit license", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: (x.n_base, x.first_word, x.last_word, x.base_labels) for x in queries.op6_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {0: (1, 2, 2, "mit"), 1: (0, None, None, ""), 2: (1, 0, 0, "apache-2"), 3: (1, 0, 0, "cc-by-nc"), 4: (1, 1, 1, "mit"), 5: (0, None, None, "")}
+
+
 def test_license_texts_as_templates(spark):
     from assaykit.llm.license_texts import MIT, ZLIB
 
