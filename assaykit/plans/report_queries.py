@@ -164,7 +164,8 @@ def weighted_check_score(spark, sf_dir):
 @add()
 def greedy_match(spark, sf_dir):
     """Gold findings matched with a report's own, in order of gold."""
-    rows = evaluators.quality(reports.cases(spark, sf_dir))
+    # A case without gold has no match, so it isn't evaluated.
+    rows = evaluators.quality(reports.cases(spark, sf_dir).where(F.size("gold") > 0))
     return stored(rows.select("case_id", "matches")).select("case_id", F.posexplode("matches").alias("n", "m")).select("case_id", "n", "m.finding", "m.severity", "m.match", F.round("m.score", 6).alias("score"))
 
 
