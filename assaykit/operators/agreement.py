@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import to_fixed
+from ..sources.scratch import ship
 
 MASK = 0xFFFFFFFF
 
@@ -110,22 +113,88 @@ def draw_seeded(seed: Column, index: Column) -> Column:
 
 #: Scores of 16 bytes each that are broadcast at most.
 SCORES = 1_000_000
+#: The generator's draws repeat after so many: the index counts modulo 2^32, and each step maps the 32-bit numbers one to one.
+PERIOD = 1 << 32
+#: Tasks that walk the period, and draws that one of them holds at once.
+WALKS, WALK = 256, 1 << 20
 
 
 def resampled_sums(scores: DataFrame, n: int, resamples: int, seed: int) -> DataFrame:
     """(r, total): sums of tenths of n draws with replacement. scores: pos from 0, tenths.
 
-    Draws are made where they are needed, joined with the scores on their place, and summed before they are shuffled: n *
-    resamples draws in all (10^10 for a million cases: minutes on a thousand cores). Scores are broadcast up to SCORES of them.
+    Up to a period of the generator draws are made where they are needed, joined with the broadcast scores (SCORES at most) on their
+    place, and summed before they are shuffled. Beyond, see period_sums: the same totals with the work of one period.
     """
+    if n > SCORES or n * resamples > PERIOD:
+        return period_sums(scores, n, resamples, seed)
     draws = scores.sparkSession.range(resamples * n)
-    scores = scores.select("pos", "tenths")
-    scores = F.broadcast(scores) if n <= SCORES else scores
     at = F.floor(draw(seed, F.col("id") + 1) * F.lit(float(n))).cast("long")
-    hits = draws.select(F.expr(f"id div {n}").alias("r"), at.alias("pos")).join(scores, "pos")
+    hits = draws.select(F.expr(f"id div {n}").alias("r"), at.alias("pos")).join(F.broadcast(scores.select("pos", "tenths")), "pos")
     return hits.groupBy("r").agg(F.sum("tenths").alias("total"))
 
 
+def drawn_by(x: np.ndarray, seed: int) -> np.ndarray:
+    """Ids (from 0) of the draws that give the 32-bit numbers x: the steps of draw() backwards."""
+    inverse = lambda k: np.uint32(pow(k, -1, PERIOD))
+    x = x ^ (x >> np.uint32(15)) ^ (x >> np.uint32(30))
+    x = x * inverse(0x735A2D97)
+    x = x ^ (x >> np.uint32(15)) ^ (x >> np.uint32(30))
+    x = x * inverse(0x21F0AAAD)
+    x = x ^ (x >> np.uint32(16))
+    return (x - np.uint32(seed % PERIOD)) * inverse(-1640531527 % PERIOD) - np.uint32(1)
+
+
+def first_number(pos: np.ndarray, n: int) -> np.ndarray:
+    """The least 32-bit number that draw() turns into the place pos of n (pos < n), in doubles as it does. pos from 0 to n, long."""
+    x = -((-pos * PERIOD) // n)
+    before = np.floor((x - 1).astype(np.float64) / float(PERIOD) * float(n))
+    return np.where((x > 0) & (pos < n) & (before >= pos), x - 1, x)
+
+
+def period_sums(scores: DataFrame, n: int, resamples: int, seed: int) -> DataFrame:
+    """resampled_sums by way of one period of draws, without a join or a broadcast of scores.
+
+    A place is drawn by one range of 32-bit numbers, and the generator runs backwards, so each row finds its own draws in the
+    period. They are summed between the borders of resamples (modulo the period) before they are shuffled; running sums at the
+    borders, and the sum of the period as often as it is passed, give each resample's total. Sums are whole numbers.
+    """
+    if n > PERIOD // 2:
+        raise ValueError("more scores than the generator can tell apart")
+    spark = scores.sparkSession
+    ship(spark)
+    borders = np.unique(np.fromiter((r * n % PERIOD for r in range(resamples + 1)), np.int64, resamples + 1))
+    cell = 12
+    # The segment where each cell of 2^12 ids begins; later borders inside a cell are looked for one by one.
+    begins = (np.searchsorted(borders, np.arange(0, PERIOD, 1 << cell), side="right") - 1).astype(np.int32)
+    ends = np.append(borders[1:], PERIOD)
+
+    def run(batches):
+        sums = np.zeros(len(borders), dtype=np.int64)
+        for b in batches:
+            pos, tenths = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "tenths"))
+            start, size = first_number(pos, n), first_number(pos + 1, n) - first_number(pos, n)
+            upto = np.append(0, np.cumsum(size))
+            for low in range(0, int(upto[-1]), WALK):
+                high = min(low + WALK, int(upto[-1]))
+                i, j = int(np.searchsorted(upto, low, side="right")) - 1, int(np.searchsorted(upto, high, side="left"))
+                own = np.minimum(upto[i + 1 : j + 1], high) - np.maximum(upto[i:j], low)
+                x = np.repeat(start[i:j] - upto[i:j], own) + np.arange(low, high)
+                ids = drawn_by(x.astype(np.uint32), seed)
+                at = begins[ids >> np.uint32(cell)]
+                later = np.flatnonzero(ids >= ends[at])
+                at[later] = np.searchsorted(borders, ids[later], side="right") - 1
+                sums += np.bincount(at, np.repeat(tenths[i:j], own), len(borders)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(borders), pa.array(sums)], ["border", "sum"])
+
+    dealt = scores.select(F.col("pos").cast("long"), F.coalesce(F.col("tenths").cast("long"), F.lit(0)).alias("tenths")).repartition(WALKS, "pos")
+    parts = dealt.mapInArrow(run, "border long, sum long").groupBy("border").agg(F.sum("sum").alias("sum"))
+    # One row for each border, resamples + 1 at most.
+    running = parts.select("border", (F.sum("sum").over(Window.orderBy("border")) - F.col("sum")).alias("before"), F.sum("sum").over(Window.partitionBy()).alias("whole"))
+    cuts = spark.range(resamples + 1).select(F.col("id").alias("r"), (F.col("id") * n).alias("_k"))
+    at = cuts.join(running, F.col("_k") % PERIOD == F.col("border")).select("r", (F.expr(f"_k div {PERIOD}") * F.col("whole") + F.col("before")).alias("_upto"))
+    return at.select("r", (F.lead("_upto").over(Window.orderBy("r")) - F.col("_upto")).alias("total")).where(F.col("total").isNotNull())
+
+
 def bootstrap_interval(scores: DataFrame, resamples: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """Mean of the scores and the percentile interval of resampled means (rows at floor(alpha / 2 * R) and floor((1 - alpha / 2) * R) - 1)."""
     n = scores.count()

@@ -22,3 +22,29 @@ def test_cases_without_gold_have_no_matches(spark):
     every = evaluators.quality(reports.cases(spark, SF)).select("case_id", F.posexplode("matches").alias("n", "m")).select("case_id", "n", "m.finding", "m.match")
     got = report_queries.greedy_match(spark, SF).select("case_id", "n", "finding", "match")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_a_period_gives_the_same_resamples(spark, monkeypatch):
+    """The join's totals and the period's, where both can be had; draws beyond the period repeat it."""
+    import random
+
+    from assaykit.operators import agreement
+
+    r = random.Random(4)
+    scores = spark.createDataFrame([(i, r.randint(-1000, 1000)) for i in range(1237)], "pos long, tenths long")
+    want = {x.r: x.total for x in agreement.resampled_sums(scores, 1237, 50, 42).collect()}
+    assert {x.r: x.total for x in agreement.period_sums(scores, 1237, 50, 42).collect()} == want and len(want) == 50
+
+
+def test_numbers_of_places_and_draws_backwards(spark):
+    import numpy as np
+
+    from assaykit.operators import agreement
+
+    got = spark.range(2000).select("id", (agreement.draw(7, F.col("id") + 1) * 4294967296.0).cast("long").alias("x")).toPandas()
+    assert (agreement.drawn_by(got["x"].to_numpy().astype(np.uint32), 7) == got["id"].to_numpy()).all()
+    for n in (1, 7, 1000, 7_200_003, 50_000_017):
+        pos = np.unique(np.clip(np.array([0, 1, n // 3, n // 2, n - 2, n - 1]), 0, n - 1)).astype(np.int64)
+        first, after = agreement.first_number(pos, n), agreement.first_number(pos + 1, n)
+        place = lambda x: np.floor(x.astype(np.float64) / 4294967296.0 * float(n))  # noqa: E731, B023
+        assert (place(first) == pos).all() and (place(after - 1) == pos).all() and ((first == 0) | (place(first - 1) < pos)).all()
