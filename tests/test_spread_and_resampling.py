@@ -48,3 +48,25 @@ def test_numbers_of_places_and_draws_backwards(spark):
         first, after = agreement.first_number(pos, n), agreement.first_number(pos + 1, n)
         place = lambda x: np.floor(x.astype(np.float64) / 4294967296.0 * float(n))  # noqa: E731, B023
         assert (place(first) == pos).all() and (place(after - 1) == pos).all() and ((first == 0) | (place(first - 1) < pos)).all()
+
+
+def test_searches_by_products_equal_brute_force(spark, monkeypatch):
+    """Copies, repeated ids, null and zero vectors, slices and blocks of a few rows; the old pairwise join is gone from the plan."""
+    import math
+    import random
+
+    from assaykit.operators import retrieval
+
+    r = random.Random(3)
+    kinds = [[r.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(4)] for _ in range(30)]
+    rows = [(i, r.choice(kinds)) for i in range(300)] + [(7, kinds[0]), (7, kinds[0]), (301, None), (302, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    monkeypatch.setattr(retrieval, "BLOCK", 8)
+    monkeypatch.setattr(retrieval, "SLICE", 200)
+    queries = [x for x in rows if x[0] % 15 == 0 and x[1] and any(x[1])]
+    found = retrieval.nearest(spark.createDataFrame(queries, "id long, v array<float>"), df, 5)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    sim = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / (norm(a) * norm(b)), 9) if b and any(b) else -9
+    want = {(q, d, k + 1) for q, a in queries for k, (_, d) in enumerate(sorted((-sim(a, b), d) for d, b in rows if d != q)[:5])}
+    assert {(x["query"], x["doc"], x["pos"]) for x in found.collect()} == want
