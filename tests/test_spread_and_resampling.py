@@ -70,3 +70,16 @@ def test_searches_by_products_equal_brute_force(spark, monkeypatch):
     sim = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / (norm(a) * norm(b)), 9) if b and any(b) else -9
     want = {(q, d, k + 1) for q, a in queries for k, (_, d) in enumerate(sorted((-sim(a, b), d) for d, b in rows if d != q)[:5])}
     assert {(x["query"], x["doc"], x["pos"]) for x in found.collect()} == want
+
+
+def test_measurements_end_before_other_letters_too(spark, tmp_path):
+    import duckdb
+
+    from assaykit.plans import text_queries
+
+    texts = ["231.87 enßielich", "ß12 mm", "12 mm, 3cm and 4 mm\u00e9", "5 mmx 6 mm_ 7,5 cmß", "no", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(text_queries.registry.sql["measurements"]).fetchall()
+    assert sorted(map(tuple, text_queries.measurements(spark, str(tmp_path)).collect())) == sorted(want) and dict((i, n) for i, n, _ in want)[0] == 1
