@@ -19,6 +19,7 @@ from ..functions.lexicon import ENGLISH as ENGLISH_WORDS
 from ..functions.lexicon import NEVER, PORTUGUESE as PORTUGUESE_WORDS
 from ..functions.lexicon import Lexicon
 from .evaluators import CHECK, check
+from .scoring import DIMS
 
 
 def unmarked(x: Column) -> Column:
@@ -251,13 +252,14 @@ def _order(pack: Pack) -> Column:
     return let(held, in_order)
 
 
-def checks(pack: Pack) -> Column:
-    """All checks that apply, as an array, over the columns of with_parts."""
+def checks(pack: Pack, dims: tuple[str, ...] = DIMS) -> Column:
+    """All checks of these dimensions that apply, as an array, over the columns of with_parts."""
     c, made, always = F.col, [], F.lit(True)
     ok = lambda passed, evidence: F.when(passed, "ok").otherwise(evidence if isinstance(evidence, Column) else F.lit(evidence))
 
     def add(dim: str, name: str, label: str, severity: str, passed: Column, evidence: Column | str = "not ok", when: Column = always) -> None:
-        made.append(F.when(when, check(dim, name, label, severity, passed, ok(passed, evidence))))
+        if dim in dims:
+            made.append(F.when(when, check(dim, name, label, severity, passed, ok(passed, evidence))))
 
     html, plain, said, bare = c("html"), c("_plain"), c("_conclusion"), c("_bare")
     add("CRIT", "C01", "No contrast language in non-contrast exam", "critical", ~html.rlike(any_case(pack.contrast)), F.regexp_extract(html, any_case(pack.contrast), 0), ~c("contrast"))
@@ -277,7 +279,8 @@ def checks(pack: Pack) -> Column:
     add("QUAL", "Q06", "Only allowed tags", "major", ~html.rlike(r"(?i)<(?!/?(?:center|b|br)\s*/?>)[a-z][^>]*>"), "ok")
     add("QUAL", "Q07", "No placeholders", "critical", ~html.rlike(r"\[[A-Z_]{2,}\]|_{3,}|(?<!\w)XXX(?!\w)|####"), "ok")
     add("QUAL", "Q08", "Analysis section present", "critical", html.rlike(any_case(pack.analysis)), "ok")
-    made.append(F.when(c("modality") == "US", check("QUAL", "Q09", "Ultrasound technique section is optional and non-gating", "minor", always, F.when(html.rlike(any_case(pack.technique)), "technique section present").otherwise("technique section absent"))))
+    if "QUAL" in dims:
+        made.append(F.when(c("modality") == "US", check("QUAL", "Q09", "Ultrasound technique section is optional and non-gating", "minor", always, F.when(html.rlike(any_case(pack.technique)), "technique section present").otherwise("technique section absent"))))
     add("QUAL", "Q10", "Conclusion is synthesis not copy-paste of analysis", "major", c("_copied") <= 1, F.concat(c("_copied").cast("string"), F.lit(" lines copied")))
     add("QUAL", "Q11", "Conclusion section present and non-empty", "critical", F.char_length(clinical.trim(c("_said"))) > 10, "missing")
     add("QUAL", "Q12", "Analysis has substantive content", "major", _words(text.strip_tags(c("_analysis"))) >= 15, F.concat(_words(text.strip_tags(c("_analysis"))).cast("string"), F.lit(" words")))
@@ -301,7 +304,8 @@ def checks(pack: Pack) -> Column:
     holds = lambda variants: clinical.any_of(F.contains("_head", F.lit(folded_variant(v))) for v in variants)
     named = F.coalesce(*(F.when(c("modality") == m, _every(holds(slot.split("|")) for slot in slots)) for m, slots in pack.title_words.items()), always)
     region = F.coalesce(*(F.when(c("region") == r, holds(words)) for r, words in pack.region_words.items()), always)
-    made.append(check("RAG", "R01", "Title preserves modality and region", "critical", named & region, F.coalesce(F.nullif(c("_title"), F.lit("")), F.lit("missing title"))))
+    if "RAG" in dims:
+        made.append(check("RAG", "R01", "Title preserves modality and region", "critical", named & region, F.coalesce(F.nullif(c("_title"), F.lit("")), F.lit("missing title"))))
     # How the report may name a side.
     there = {"right": "right|direit", "left": "left|esquerd", "bilateral": "bilateral|bilater"}
     present = F.forall("_sides", lambda s: F.coalesce(*(F.when(s == n, plain.rlike(p)) for n, p in there.items())))
@@ -334,10 +338,10 @@ def with_meta(reports: DataFrame, pack: Pack = ENGLISH) -> DataFrame:
     return reports.withColumns({k: v for k, v in meta.items() if k not in reports.columns})
 
 
-def with_checks(reports: DataFrame, pack: Pack = ENGLISH) -> DataFrame:
-    """reports with the array structural of all checks that apply."""
+def with_checks(reports: DataFrame, pack: Pack = ENGLISH, dims: tuple[str, ...] = DIMS) -> DataFrame:
+    """reports with the array structural of all checks of these dimensions that apply."""
     full = with_meta(reports, pack)
-    return with_parts(full, pack).withColumn("structural", checks(pack)).select(*full.columns, "structural")
+    return with_parts(full, pack).withColumn("structural", checks(pack, dims)).select(*full.columns, "structural")
 
 
 def structural_checks(reports: DataFrame, pack: Pack = ENGLISH, keys=("case_id",)) -> DataFrame:

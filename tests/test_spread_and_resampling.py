@@ -83,3 +83,13 @@ def test_measurements_end_before_other_letters_too(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = con.execute(text_queries.registry.sql["measurements"]).fetchall()
     assert sorted(map(tuple, text_queries.measurements(spark, str(tmp_path)).collect())) == sorted(want) and dict((i, n) for i, n, _ in want)[0] == 1
+
+
+def test_checks_of_one_dimension_are_those_of_all(spark):
+    from assaykit.operators import catalogue
+    from assaykit.sources import reports
+
+    rows = reports.cases(spark, SF)
+    own = catalogue.with_checks(rows, dims=("GUIDE",)).select("case_id", F.inline("structural")).where("id is not null")
+    every = catalogue.structural_checks(rows).where("dim = 'GUIDE'")
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, every.select(own.columns).collect())) and own.count() > 0
