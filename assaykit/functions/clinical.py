@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import lexicon
 from .lexicon import Lexicon
-from .text import fold, strip_tags, token_matches
+from .text import CONFUSABLE, fold, strip_tags, token_matches
 
 EMPTY = "cast(array() as array<string>)"
 
@@ -61,8 +61,19 @@ def let(x: Column, body) -> Column:
 
 
 def hits(needle: Column, haystack: Column) -> Column:
-    """Number of the needle's tokens that match one of the haystack's."""
-    return F.size(F.filter(needle, lambda t: F.exists(haystack, lambda c: token_matches(t, c))))
+    """Number of the needle's tokens that match one of the haystack's, see text.token_matches.
+
+    Pairs aren't compared one by one: a token stands in the haystack, or its first five letters start a token there. Only
+    words that can be confused are held against each token.
+    """
+    confusable = sorted({w for pair in CONFUSABLE for w in pair.split("|")})
+    starts = lambda hs: F.transform(F.filter(hs, lambda c: F.char_length(c) >= 5), lambda c: F.substring(c, 1, 5))
+
+    def matched(t: Column, hs: Column, five: Column) -> Column:
+        begun = (F.char_length(t) >= 5) & F.array_contains(five, F.substring(t, 1, 5))
+        return F.array_contains(hs, t) | (begun & (~one_of(t, confusable) | F.exists(hs, lambda c: token_matches(t, c))))
+
+    return let(haystack, lambda hs: let(starts(hs), lambda five: F.size(F.filter(needle, lambda t: matched(t, hs, five)))))
 
 
 def coverage(needle: Column, haystack: Column) -> Column:

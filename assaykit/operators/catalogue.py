@@ -229,7 +229,7 @@ def with_parts(reports: DataFrame, pack: Pack = ENGLISH) -> DataFrame:
         "_pt": pt, "_en": en, "_folded_said": text.fold(c("_said")), "_long": F.filter(lines_of(c("_analysis")), lambda s: F.char_length(s) > 25),
         "_lead": F.coalesce(F.get(F.filter(lines_of(c("_conclusion")), lambda s: s != ""), F.lit(0)), F.lit("")),
         "_findings": F.greatest(F.size(F.filter(F.transform(F.split("findings", r"[.\n]"), clinical.trim), lambda s: F.char_length(s) > 5)), F.lit(1)),
-        "_labels": F.transform(F.regexp_extract_all("html", F.lit("(?i)<b>([^<]+)</b>"), 1), clinical.trim),
+        "_labels": F.transform(F.regexp_extract_all("html", F.lit("(?i)<b>([^<]+)</b>"), 1), clinical.trim), "_place": F.concat_ws(":", "modality", "region"),
     })
     ours, theirs = (c("_en"), c("_pt")) if pack.words.key == "en-US" else (c("_pt"), c("_en"))
     return out.withColumns({
@@ -297,10 +297,9 @@ def checks(pack: Pack, dims: tuple[str, ...] = DIMS) -> Column:
         add("TERM", name, label, severity, ~bare.rlike(p), F.regexp_extract(bare, p, 0), c("modality") == modality)
     add("QUAL", "Q14", "Conclusion not excessively hedged", "minor", c("_hedged") / F.size("_sentences") <= 0.4, F.concat(c("_hedged").cast("string"), F.lit("/"), F.size("_sentences").cast("string"), F.lit(" sentences hedged")), F.size("_sentences") > 0)
     add("QUAL", "Q15", "Report not excessively verbose", "minor", _words(c("_stripped")) / c("_findings") <= 200, F.concat(F.round(_words(c("_stripped")) / c("_findings")).cast("int").cast("string"), F.lit(" words/finding")), c("_findings") >= 2)
-    place = F.concat_ws(":", "modality", "region")
     for key, tokens in pack.coverage.items():
         for i, t in enumerate(tokens):
-            add("GUIDE", f"G{i + 1:02d}", f"Anatomical coverage: {t}", "major", F.contains(plain, F.lit(t)), f"missing: {t}", place == key)
+            add("GUIDE", f"G{i + 1:02d}", f"Anatomical coverage: {t}", "major", F.contains(plain, F.lit(t)), f"missing: {t}", c("_place") == key)
     holds = lambda variants: clinical.any_of(F.contains("_head", F.lit(folded_variant(v))) for v in variants)
     named = F.coalesce(*(F.when(c("modality") == m, _every(holds(slot.split("|")) for slot in slots)) for m, slots in pack.title_words.items()), always)
     region = F.coalesce(*(F.when(c("region") == r, holds(words)) for r, words in pack.region_words.items()), always)

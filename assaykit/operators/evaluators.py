@@ -170,6 +170,7 @@ def _rated(lex: Lexicon) -> Column:
     return F.transform("_gold", one)
 
 
+INVENTED = "array<struct<text:string,confidence:string>>"
 MATCHES = "array<struct<finding:string,severity:string,match:string,score:double>>"
 
 
@@ -211,20 +212,23 @@ def _invented(lex: Lexicon) -> Column:
     reference = F.filter("gold", lambda g: ~F.coalesce(g["negated"], F.lit(False)) & ~fold(g["finding"]).rlike(lex.normality))
     reference = F.transform(reference, lambda g: clinical.tokens(fold(g["finding"])))
 
-    def judged(f: Column, folded: Column, near: Column, term: Column) -> Column:
-        backed = (F.char_length(folded) >= 8) & (F.contains("_source", folded) | (coverage(f["tokens"], F.col("_source_tokens")) >= 0.58))
+    # What a row has once is bound outside of the lambdas: the optimizer moves a column that is named once into them.
+    def judged(f: Column, folded: Column, row: Column) -> Column:
+        backed = (F.char_length(folded) >= 8) & (F.contains(row["source"], folded) | (coverage(f["tokens"], row["tokens"]) >= 0.58))
         clauses = F.filter(F.transform(F.split(folded, "[.,;]"), clinical.trim), lambda c: c != "")
         normal = let(clauses, lambda cs: (F.size(cs) > 0) & F.forall(cs, lambda c: c.rlike(lex.normality) | (F.size(clinical.tokens(c)) < 2)))
-        grave = (term != "") & ~F.col("_known") & ~clinical.mention_denied(f["text"], term, lex)
-        confidence = F.when(backed | normal, F.lit(None)).when(grave | (near < 0.1), "high").when(near < 0.2, "medium")
+        grave = let(F.regexp_extract(folded, lexicon.MALIGNANT, 0), lambda term: (term != "") & ~row["known"] & ~clinical.mention_denied(f["text"], term, lex))
+        nearest = F.coalesce(F.array_max(F.transform(row["reference"], lambda r: similarity(r, f["tokens"]))), F.lit(0.0))
+        far = let(nearest, lambda near: F.when(near < 0.1, "high").when(near < 0.2, "medium"))
+        confidence = F.when(backed | normal, F.lit(None)).when(grave, "high").otherwise(far)
         return F.struct(f["text"].alias("text"), confidence.alias("confidence"))
 
-    def one(f: Column) -> Column:
-        nearest = F.coalesce(F.array_max(F.transform("_reference", lambda r: similarity(r, f["tokens"]))), F.lit(0.0))
-        return let(fold(f["text"]), lambda t: let(nearest, lambda near: let(F.regexp_extract(t, lexicon.MALIGNANT, 0), lambda term: judged(f, t, near, term))))
+    def of(row: Column) -> Column:
+        left = F.filter(F.transform("_found", lambda f, i: F.when(~F.array_contains(row["used"], i), f)), lambda f: f.isNotNull())
+        return F.filter(F.transform(left, lambda f: let(fold(f["text"]), lambda t: judged(f, t, row))), lambda h: h["confidence"].isNotNull())
 
-    left = F.filter(F.transform("_found", lambda f, i: F.when(~F.array_contains(F.col("_greedy")["used"], i), f)), lambda f: f.isNotNull())
-    return reference, known_malignant, F.filter(F.transform(left, one), lambda h: h["confidence"].isNotNull())
+    row = F.struct(F.col("_greedy")["used"].alias("used"), F.col("_source").alias("source"), F.col("_source_tokens").alias("tokens"), F.col("_reference").alias("reference"), F.col("_known").alias("known"))
+    return reference, known_malignant, let(row, of)
 
 
 def utility_floor(matches: Column, invented: Column) -> Column:
@@ -304,22 +308,24 @@ def side_kept(g: Column, sentences: Column, report: Column) -> Column:
 
 def _quality(rows: DataFrame, lex: Lexicon) -> DataFrame:
     c = F.col
+    # What only gold is compared with isn't made for cases without it.
+    some = lambda x: F.when(F.size("gold") > 0, x)
     rows = rows.withColumns({
-        "_folded": fold(strip_tags(c("html"))), "_clauses": clinical.source_clauses(c("findings")), "_gold": _gold_structs(lex),
-        "_sentences": F.transform(clinical.sentences(c("html"), r"[.\n;]", 4), lambda s: F.struct(s.alias("text"), fold(s).alias("folded"))),
-        "_found": F.transform(extraction.findings(c("html"), lex), lambda f: F.struct(f["text"].alias("text"), f["location"].alias("location"), f["laterality"].alias("laterality"), f["negated"].alias("negated"), clinical.has_cue(clinical.primary_clause(f["text"]), lex).alias("cue"), clinical.tokens(f["text"]).alias("tokens"))),
-        "_said": strip_tags(F.concat_ws("\n", "findings", F.coalesce("reference", F.lit("")))), "_conclusion": clinical.conclusion(c("html"), lex),
+        "_folded": fold(strip_tags(c("html"))), "_clauses": some(clinical.source_clauses(c("findings"))), "_gold": _gold_structs(lex),
+        "_sentences": some(F.transform(clinical.sentences(c("html"), r"[.\n;]", 4), lambda s: F.struct(s.alias("text"), fold(s).alias("folded")))),
+        "_found": some(F.transform(extraction.findings(c("html"), lex), lambda f: F.struct(f["text"].alias("text"), f["location"].alias("location"), f["laterality"].alias("laterality"), f["negated"].alias("negated"), clinical.has_cue(clinical.primary_clause(f["text"]), lex).alias("cue"), clinical.tokens(f["text"]).alias("tokens")))),
+        "_said": strip_tags(F.concat_ws("\n", "findings", F.coalesce("reference", F.lit("")))), "_conclusion": some(clinical.conclusion(c("html"), lex)),
     })
-    rows = rows.withColumns({"_tokens": clinical.tokens(c("_folded")), "_source": fold(c("_said")), "_source_tokens": clinical.tokens(c("_said")), "_conclusion_tokens": clinical.tokens(c("_conclusion"))})
+    rows = rows.withColumns({"_tokens": some(clinical.tokens(c("_folded"))), "_source": some(fold(c("_said"))), "_source_tokens": some(clinical.tokens(c("_said"))), "_conclusion_tokens": clinical.tokens(c("_conclusion"))})
     rows = rows.withColumns({"_rated": _rated(lex), "_principal": F.filter("_gold", lambda g: ~g["negated"] & g["severity"].isin("critical", "major"))})
     rows = rows.withColumn("_greedy", _greedy())
     reference, known, invented = _invented(lex)
-    rows = rows.withColumns({"_reference": reference, "_known": known, "matches": c("_greedy")["out"]}).withColumn("invented", invented)
+    rows = rows.withColumns({"_reference": reference, "_known": known, "matches": c("_greedy")["out"]}).withColumn("invented", F.coalesce(some(invented), F.expr(f"cast(array() as {INVENTED})")))
     given, said = synthesis_words(c("findings")), synthesis_words(c("html"))
     source = F.concat_ws(" ", F.coalesce("reference", F.lit("")), F.array_join(F.transform("gold", lambda g: g["finding"]), " "), F.array_join("urgent", " "))
-    rows = rows.withColumns({"_given": F.array_distinct(given), "_words": said, "_known_words": F.array_distinct(synthesis_words(source)), "_whole": clinical.has_conclusion(c("html"), lex), "_echo": clinical.conclusion_repeats_findings(c("html"), lex)})
+    rows = rows.withColumns({"_given": some(F.array_distinct(given)), "_words": some(said), "_known_words": some(F.array_distinct(synthesis_words(source))), "_whole": some(clinical.has_conclusion(c("html"), lex)), "_echo": some(clinical.conclusion_repeats_findings(c("html"), lex))})
     rows = rows.withColumns({"_added": F.array_except(F.array_distinct("_words"), "_given"), "_copied": F.try_divide(F.size(F.filter("_words", lambda t: F.array_contains("_given", t))), F.size("_words"))})
-    rows = rows.withColumn("synthesis", _synthesis())
+    rows = rows.withColumn("synthesis", some(_synthesis()))
     rows = _stored_sections(rows, lex)
     return rows.withColumns({
         "quality_mode": F.when(F.size("gold") > 0, "gold-findings").when(c("_has_reference"), "reference-comparison").otherwise("structural-fallback"),
@@ -333,7 +339,7 @@ def _stored_sections(rows: DataFrame, lex: Lexicon) -> DataFrame:
     c = F.col
     plain = fold(clinical.lines(c("html")))
     rows = rows.withColumns({
-        "_lined": plain, "_sections": clinical.section_scores(c("html"), c("reference"), lex), "_qual": F.filter("structural", lambda s: s["dim"] == "QUAL"),
+        "_lined": plain, "_sections": F.when(F.size("gold") == 0, clinical.section_scores(c("html"), c("reference"), lex)), "_qual": F.filter("structural", lambda s: s["dim"] == "QUAL"),
         "_has_reference": c("reference").isNotNull() & (c("reference") != ""), "_sided": F.filter("_gold", lambda g: g["laterality"].isNotNull()),
         "_measured": F.flatten(F.transform(F.filter("_gold", lambda g: F.size(g["measurements"]) > 0), lambda g: g["measurements"])),
         "_urgent": F.filter("_principal", lambda g: g["severity"] == "critical"),
@@ -372,7 +378,9 @@ def _gold_checks() -> Column:
 
 
 def quality(cases: DataFrame) -> DataFrame:
-    """cases with matches, invented, synthesis, quality_mode, quality_score and quality_checks."""
+    """cases with matches, invented, synthesis, quality_mode, quality_score and quality_checks.
+
+    What is invented and what a report synthesises is told against gold: without gold none and null."""
     names = [*cases.columns, *QUALITY]
     full = with_defaults(cases)
     return by_locale(full, lambda rows, lex: _added(rows, _quality, lex).select(*dict.fromkeys([*full.columns, *names]))).select(*dict.fromkeys(names))
@@ -532,8 +540,12 @@ def guidelines(cases: DataFrame, registry: tuple[lexicon.Guideline, ...] = lexic
     the source calls for it. Without any expectation the guidelines that a report names itself are checked, else the
     structural coverage checks whose word the source has.
     """
+    return _added(with_defaults(cases), _guidelines, registry).select(*cases.columns, "guide_mode", "guide_score", "guide_checks")
+
+
+def _guidelines(rows: DataFrame, registry: tuple[lexicon.Guideline, ...]) -> DataFrame:
     c = F.col
-    rows = with_defaults(cases).withColumns({"_plain": strip_tags(c("html")), "_ref": strip_tags(F.coalesce("reference", F.lit(""))), "_wide": _context(True), "_narrow": _context(False)})
+    rows = rows.withColumns({"_plain": strip_tags(c("html")), "_ref": strip_tags(F.coalesce("reference", F.lit(""))), "_wide": _context(True), "_narrow": _context(False)})
     rows = rows.withColumns({"_found": extraction.classifications(c("html")), "_ref_found": extraction.classifications(F.coalesce("reference", F.lit("")))})
     has_ref = c("reference").isNotNull() & (c("reference") != "")
     expected, observed, any_expected, any_observed = [], [], [], []
@@ -562,7 +574,7 @@ def guidelines(cases: DataFrame, registry: tuple[lexicon.Guideline, ...] = lexic
             return F.when(when, made).otherwise(F.expr(f"cast(array() as {CHECK})"))
 
         content = F.filter(F.split(fold(explicit["recommendation"]), r"\s+"), lambda t: F.char_length(t) > 3)
-        held = F.filter(content, lambda t: F.contains(fold(c("_plain")), t))
+        held = let(fold(c("_plain")), _standing(content))
         correct = F.when(right.isNotNull(), check("GUIDE", f"GE-{g.id}-correct", f"{g.name}: classification correct", "critical", right, F.concat(F.lit("found="), F.when(right, F.coalesce(first, F.lit("undefined"))).otherwise(F.coalesce(first, F.lit("none"))), F.lit(" expected="), wanted_class))).when(
             present & first.isNull(), check("GUIDE", f"GE-{g.id}-correct", f"{g.name}: classification correct", "critical", F.lit(False), F.concat(F.lit("guideline named but no actionable category supplied; expected="), wanted_class)))
         expected.append(F.concat(
@@ -590,8 +602,11 @@ def guidelines(cases: DataFrame, registry: tuple[lexicon.Guideline, ...] = lexic
     })
     share = weighted_share(c("guide_checks"), CHECK_WEIGHTS)
     floor = lambda n: F.when(F.size("guide_checks") == 0, 100).otherwise(F.greatest(F.lit(n), share))
-    out = out.withColumn("guide_score", F.when(c("_wanted"), floor(55)).when(c("_seen"), floor(75)).otherwise(share))
-    return out.select(*cases.columns, "guide_mode", "guide_score", "guide_checks")
+    return out.withColumn("guide_score", F.when(c("_wanted"), floor(55)).when(c("_seen"), floor(75)).otherwise(share))
+
+
+def _standing(words: Column):
+    return lambda text: F.filter(words, lambda w: F.contains(text, w))
 
 
 def _is(name: str):

@@ -93,3 +93,25 @@ def test_checks_of_one_dimension_are_those_of_all(spark):
     own = catalogue.with_checks(rows, dims=("GUIDE",)).select("case_id", F.inline("structural")).where("id is not null")
     every = catalogue.structural_checks(rows).where("dim = 'GUIDE'")
     assert sorted(map(tuple, own.collect())) == sorted(map(tuple, every.select(own.columns).collect())) and own.count() > 0
+
+
+def test_tokens_match_as_pair_by_pair(spark):
+    """Matching tokens counted by words and beginnings, against each pair in a loop; what gold is told against isn't made without gold."""
+    import random
+
+    from assaykit.functions import clinical, text
+    from assaykit.operators import evaluators
+
+    r = random.Random(5)
+    words = ["fracture", "fractional", "fractured", "fraction", "hemorrhage", "hemorrhoid", "hemorrhoids", "hemor", "frac", "nodule", "nodular", "node", "left", "mass", "masses", "mas", "acute"]
+    rows = [(i, r.choices(words, k=r.randint(0, 6)), r.choices(words, k=r.randint(0, 6))) for i in range(300)]
+
+    def alike(a, b):
+        return a == b or (min(len(a), len(b)) >= 5 and a[:5] == b[:5] and "|".join(sorted((a, b))) not in text.CONFUSABLE)
+
+    got = spark.createDataFrame(rows, "id long, a array<string>, b array<string>").select("id", clinical.hits(F.col("a"), F.col("b")).alias("n"))
+    assert {x.id: x.n for x in got.collect()} == {i: sum(any(alike(x, y) for y in b) for x in a) for i, a, b in rows}
+    gold = "array<struct<finding:string,severity:string,location:string,laterality:string,measurements:array<string>,negated:boolean>>"
+    cases = spark.createDataFrame([(1, "<b>Findings</b><br>Large hepatic metastasis.", "a mass")], "case_id int, html string, findings string").withColumn("gold", F.expr(f"cast(array() as {gold})"))
+    one = evaluators.quality(cases).first()
+    assert one.matches == [] and one.invented == [] and one.synthesis is None and one.quality_mode == "structural-fallback"
