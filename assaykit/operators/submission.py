@@ -6,12 +6,14 @@ of the checks by case.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.models import judge_columns
-from ..sources.scratch import stored
+from ..sources.scratch import spread, stored
 from . import catalogue, evaluators, pairing, scoring
 from .evaluators import CHECK, check
 from .scoring import DIMS
@@ -49,13 +51,17 @@ def merged_checks() -> Column:
 
 def checked(cases: DataFrame) -> DataFrame:
     """cases (with html) with all_checks, and the evaluators' scores. failed (optional): an operational failure with its message in failure."""
-    rows = cases.withColumn("html", text.normalize_generated(F.col("html")))
     # Each step is stored: the next one names its columns many times, and its filters must not be rewritten into their expressions.
+    # What joins leave in a few tasks is dealt out first.
+    rows = stored(spread(cases.withColumn("html", text.normalize_generated(F.col("html"))), "case_id"))
+    # Expressions for a locale take seconds to make, so only the locales that occur are evaluated (an unknown one is an error here).
+    there = sorted(r.key for r in rows.select(evaluators.served(catalogue.PACKS).alias("key")).distinct().collect()) if "locale" in rows.columns else []
     parts = []
-    for key, pack in catalogue.PACKS.items():
+    for key in there or ["en-US"]:
+        pack = catalogue.PACKS[key]
         structural = stored(catalogue.with_checks(rows.where(evaluators.served(catalogue.PACKS) == key), pack))
         parts.append(stored(evaluators.evaluate(evaluators.with_defaults(structural), (pack.words,))))
-    out = parts[0].unionByName(parts[1]).withColumn("_rich", has_rich_gold())
+    out = reduce(DataFrame.unionByName, parts).withColumn("_rich", has_rich_gold())
     own, merged = merged_checks()
     out = out.withColumn("_own", own).withColumn("all_checks", merged)
     if "failed" in cases.columns:

@@ -115,3 +115,20 @@ def test_tokens_match_as_pair_by_pair(spark):
     cases = spark.createDataFrame([(1, "<b>Findings</b><br>Large hepatic metastasis.", "a mass")], "case_id int, html string, findings string").withColumn("gold", F.expr(f"cast(array() as {gold})"))
     one = evaluators.quality(cases).first()
     assert one.matches == [] and one.invented == [] and one.synthesis is None and one.quality_mode == "structural-fallback"
+
+
+def test_a_submission_is_dealt_out_and_evaluated_by_the_locales_it_has(spark, monkeypatch):
+    from assaykit.operators import catalogue, submission
+    from assaykit.sources import reports
+
+    packs, parts, own = [], [], catalogue.with_checks
+
+    def with_checks(rows, pack):
+        packs.append(pack.words.key)
+        parts.append(rows.groupBy(F.input_file_name().alias("f")).count().count())
+        return own(rows, pack)
+
+    monkeypatch.setattr(catalogue, "with_checks", with_checks)
+    cases = reports.cases(spark, SF).coalesce(1)
+    assert submission.checked(cases).count() == cases.count()
+    assert packs == ["en-US"] and parts[0] >= 4
