@@ -132,3 +132,16 @@ def test_a_submission_is_dealt_out_and_evaluated_by_the_locales_it_has(spark, mo
     cases = reports.cases(spark, SF).coalesce(1)
     assert submission.checked(cases).count() == cases.count()
     assert packs == ["en-US"] and parts[0] >= 4
+
+
+def test_scores_to_resample_come_from_their_run_alone(spark, monkeypatch):
+    """The resampled scores are counted from the checks of their run; nothing is stored but case, score and position's part."""
+    from assaykit.plans import pairing_queries
+    from assaykit.sources import scratch
+
+    kept, own = [], scratch.stored
+    for place in (scratch, pairing_queries.adapters):
+        monkeypatch.setattr(place, "stored", lambda df: kept.append(df.columns) or own(df))
+    plan = pairing_queries.bootstrap_ci(spark, SF)
+    assert plan.first()["n"] == pairing_queries.adapters.results(spark, SF).where("run = 0").count()
+    assert kept == [["case_id", "tenths", "_part"]]
