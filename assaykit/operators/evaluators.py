@@ -666,9 +666,10 @@ def retrieval(cases: DataFrame) -> DataFrame:
     return _added(with_defaults(cases), _retrieval).select(*cases.columns, "retrieval_mode", "retrieval_score", "retrieval_checks")
 
 
-def evaluate(cases: DataFrame, locales=LOCALES) -> DataFrame:
-    """cases of these locales with the results of all four evaluators."""
+def evaluate(cases: DataFrame, locales=LOCALES, guide: bool = True) -> DataFrame:
+    """cases of these locales with the results of all four evaluators, or of those but the guidelines' (guide=False)."""
     new = [*QUALITY, *CRITICAL]
     full = with_defaults(cases)
     both = by_locale(full, lambda rows, lex: _added(_added(rows, _quality, lex).select(*dict.fromkeys([*full.columns, *QUALITY])), _critical, lex, None).select(*dict.fromkeys([*full.columns, *new])), locales)
-    return retrieval(guidelines(both)).select(*dict.fromkeys([*cases.columns, *new, "guide_mode", "guide_score", "guide_checks", "retrieval_mode", "retrieval_score", "retrieval_checks"]))
+    guided = ["guide_mode", "guide_score", "guide_checks"] if guide else []
+    return retrieval(guidelines(both) if guide else both).select(*dict.fromkeys([*cases.columns, *new, *guided, "retrieval_mode", "retrieval_score", "retrieval_checks"]))

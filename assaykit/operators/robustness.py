@@ -22,6 +22,8 @@ KINDS = [
     ("terminology_corrupt", ("TERM", "QUAL"), "major"), ("structure_break", ("QUAL", "RAG"), "major"),
 ]
 FLOOR = {"critical": 60.0, "major": 80.0, "minor": 90.0}
+#: Dimensions that should notice some kind.
+NOTICING = tuple(dict.fromkeys(d for _, dims, _ in KINDS for d in dims))
 
 
 def kinds(spark: SparkSession) -> DataFrame:
@@ -252,14 +254,16 @@ def applicable(kind: str, source: Column, changed: Column, gold: Column, urgent:
     return (source != changed) & when.get(kind, F.lit(True))
 
 
-def matrix(cases: DataFrame, only: tuple[str, ...] | None = None, applicable_only: bool = False) -> DataFrame:
-    """(case_id, kind, prediction_id, text): each case's reference report (or findings) changed in each way. The kinds are unrolled: one pass, no join."""
+def matrix(cases: DataFrame, only: tuple[str, ...] | None = None, applicable_only: bool = False, locales=LOCALES) -> DataFrame:
+    """(case_id, kind, prediction_id, text): each case's reference report (or findings) changed in each way. The kinds are unrolled: one pass, no join.
+
+    locales: those that occur, where they are known; a case of another one is an error."""
     names = [k for k, _, _ in KINDS if only is None or k in only]
     full = with_defaults(cases).withColumn("_source", F.coalesce(F.nullif("reference", F.lit("")), F.col("findings")))
     id_text = F.col("case_id").cast("string")
     parts = []
-    for lex in LOCALES:
-        rows = full.where(served([x.key for x in LOCALES]) == lex.key).withColumns({"_affirmed": F.transform(F.filter("gold", lambda g: ~F.coalesce(g["negated"], F.lit(False))), lambda g: g["finding"])})
+    for lex in locales:
+        rows = full.where(served([x.key for x in locales]) == lex.key).withColumns({"_affirmed": F.transform(F.filter("gold", lambda g: ~F.coalesce(g["negated"], F.lit(False))), lambda g: g["finding"])})
         rows = rows.withColumns({f"_seed_{k}": _seeds(F.concat(id_text, F.lit(f"::{k}"))) for k in names if k in ("measurement_scramble", "critical_invent")})
         made = []
         for k in names:
@@ -268,7 +272,8 @@ def matrix(cases: DataFrame, only: tuple[str, ...] | None = None, applicable_onl
             row = let(text, _row(k, F.col("_source"), F.col("gold"), F.col("urgent")))
             made.append(row)
         listed = F.filter(F.array(*made), lambda r: r["applies"]) if applicable_only else F.array(*made)
-        parts.append(rows.select("case_id", F.explode(listed).alias("r")).select("case_id", "r.kind", id_text.alias("prediction_id"), "r.text"))
+        # The outer form, as the optimizer would else put a filter on the array's size, and all its changes, below it.
+        parts.append(rows.select("case_id", F.explode_outer(listed).alias("r")).where(F.col("r").isNotNull()).select("case_id", "r.kind", id_text.alias("prediction_id"), "r.text"))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

@@ -165,3 +165,19 @@ def test_measurements_have_no_marks_of_any_script(spark, tmp_path):
     spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {x.doc_id: (x.n, x.n_metric) for x in text_queries.measurements(spark, str(tmp_path)).collect()}
     assert got == {i: (n + (i == 4), n) for i, n in enumerate(texts.values())} | {9: (None, None)}
+
+
+def test_perturbed_reports_are_looked_at_by_what_should_notice_them(spark, monkeypatch):
+    """The same counts as over all dimensions, without the guidelines; changes are made once, not again to see whether there are any."""
+    from assaykit.operators import evaluators, robustness, scoring
+    from assaykit.plans import run_queries
+    from assaykit.sources import reports
+
+    assert set(robustness.NOTICING) == {d for _, dims, _ in robustness.KINDS for d in dims} and "GUIDE" not in robustness.NOTICING
+    with monkeypatch.context() as m:
+        m.setattr(robustness, "NOTICING", scoring.DIMS)
+        want = sorted(map(tuple, run_queries.perturbation_run(spark, SF).collect()))
+    monkeypatch.setattr(evaluators, "guidelines", lambda *_: pytest.fail("guidelines are evaluated"))
+    assert sorted(map(tuple, run_queries.perturbation_run(spark, SF).collect())) == want and len(want) == 8
+    plan = robustness.matrix(reports.cases(spark, SF), applicable_only=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(filter(" not in plan
