@@ -240,6 +240,33 @@ def test_pii_learns_from_the_corpus(spark):
     assert {k for *_, k in pii.spans(text, fitted)[1]} == {"localphone", "spelled"}
 
 
+def test_pii_learns_from_every_row(spark, monkeypatch):
+    """Sums over all documents and pages, however many and however dealt, equal brute force; no sample is taken."""
+    import zlib
+
+    import numpy as np
+
+    monkeypatch.setattr(pii, "sampled", None)
+    r = random.Random(15)
+    rows = [(i, f"{prose(r, 6)} call +1 (415) 555-{i % 9000 + 1000} or cue{i % 50} {10**15 + 7 * i} end") for i in range(pii.SAMPLE + 500)] + [(7, None), (None, ""), (8, "ab abc")]
+    pages = [(f"<a href='//site{i}.org/some/long/path-of-{i}/{i + 1000}'>x</a> " * (1 + 60 * (i == 3)),) for i in range(300)] + [(None,)]
+    corpora = [pii.Corpus(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), plain=spark.createDataFrame(pages, "html string").repartition(n)) for n in (1, 5)]
+    own = [x for i, t in rows for x in pii.corpus_examples(t or "") if zlib.crc32(str(i).encode()) % 3 != 1]
+    found = []
+    for c in corpora:
+        no, yes, total = np.zeros(4 * pii.BUCKETS), np.zeros(4 * pii.BUCKETS), np.zeros((4, 2))
+        c.words(no, yes, total)
+        assert np.allclose(total[2, 1] / c.weight[0], sum(x[3] == "localphone" and x[4] for x in own)) and c.weight == [pii.MASS / len(rows), 1]
+        at = pii.buckets("see cue7 0123456789012345", 9, 25, "secret")[-1][1]  # "cue" before digits
+        assert np.allclose(no[at] / c.weight[0], sum(("before", at) in pii.buckets(*x[:4]) for x in own if not x[4]))
+        assert (c.pairs == pii.letter_pairs([t or "" for _, t in rows])).all()
+        assert c.n == len(own) + c.fit.where("src = 1").count() and c.found.where("src = 1 and seen is null").count() == 360  # no page is cut
+        found.append((no, yes, total))
+    assert all((x == y).all() for x, y in zip(*found, strict=True))
+    fitted = [pii.model_of(c) for c in corpora]
+    assert fitted[0].trees.trees == fitted[1].trees.trees and fitted[0].limits == fitted[1].limits and fitted[0].curve == fitted[1].curve
+
+
 @pytest.mark.parametrize(("late", "least"), [(False, 0.8), (True, 0.65)])
 def test_pii_trees_hold_on_fresh_examples(late, least):
     """With words around them that the trees learned from, and with words kept from them: these leave out more, but let nothing false in."""
