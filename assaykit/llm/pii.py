@@ -409,8 +409,9 @@ def examples(n: int, seed: int, late: bool = False) -> list[tuple[str, int, int,
 
 def corpus_examples(text: str) -> list[tuple[str, int, int, str, int]]:
     """Examples that a text gives by its base spans: (text around, start, end, kind, 1 if personal)."""
-    base = base_spans(text) if TRIGGER.search(text) else []
-    out = []
+    if not TRIGGER.search(text):
+        return []
+    base, out = base_spans(text), []
     for s, e, kind in base:
         span, before, after = text[s:e], text[max(0, s - 60) : s], text[e : e + 20]
         new, name = span, None
@@ -582,7 +583,7 @@ class Corpus:
 
         def run(batches):
             found: dict[int, np.ndarray] = {}
-            for batch in batches:
+            for batch in (x for x in batches if x.num_rows):
                 b, src, y, n = Corpus._matrix(batch, "b", np.uint8), *(batch.column(c).to_numpy() for c in ("src", "y", "n"))
                 for s in np.unique(src).tolist():
                     found[s] = found.get(s, 0) + sums(b[src == s], y[src == s], n[src == s], trees, nodes, bins)
@@ -651,8 +652,8 @@ class Fitted:
 
 def learn(fit: list, held: list, seen=(), corpus: Corpus | None = None, precision: float = PRECISION) -> Fitted:
     """Fitted on examples given as rows (weight 1) and on those of a corpus."""
-    corpus = corpus if corpus is not None and corpus.n else None
-    letters = Letters([*PLAIN * 3, *seen], corpus.pairs if corpus else None)
+    letters, rows = Letters([*PLAIN * 3, *seen], corpus.pairs if corpus else None), corpus
+    corpus = corpus if corpus and corpus.n else None  # there may be none to fit on
     no, yes, total = np.zeros(len(MORE) * BUCKETS), np.zeros(len(MORE) * BUCKETS), np.zeros((len(MORE), 2))
     for t, s, e, k, y in fit:
         total[MORE.index(k), y] += 1
@@ -680,7 +681,7 @@ def learn(fit: list, held: list, seen=(), corpus: Corpus | None = None, precisio
     words.no = words.yes = None  # only examples' own counts needed them
     fitted = Fitted(letters, words, trees)
     own = [(k, y, fitted.raw(t, s, e, k), 1.0) for t, s, e, k, y in held]
-    return fitted.calibrate([*own, *(corpus.scores(fitted) if corpus else ())], precision)
+    return fitted.calibrate([*own, *(rows.scores(fitted) if rows else ())], precision)
 
 
 @functools.lru_cache(maxsize=2)

@@ -265,6 +265,10 @@ def test_pii_learns_from_every_row(spark, monkeypatch):
     assert all((x == y).all() for x, y in zip(*found, strict=True))
     fitted = [pii.model_of(c) for c in corpora]
     assert fitted[0].trees.trees == fitted[1].trees.trees and fitted[0].limits == fitted[1].limits and fitted[0].curve == fitted[1].curve
+    held = next(x for x in rows if zlib.crc32(str(x[0]).encode()) % 3 == 1)  # a corpus with nothing to fit on still counts in the calibration
+    alone = pii.Corpus(spark.createDataFrame([held], "doc_id long, text string"))
+    assert alone.n == 0 and sum(n for *_, n in alone.scores(fitted[0])) == len(pii.corpus_examples(held[1])) > 0
+    assert pii.model_of(alone).trees.trees == pii.model_of(pii.Corpus(spark.createDataFrame([held], "doc_id long, text string").repartition(3))).trees.trees
 
 
 @pytest.mark.parametrize(("late", "least"), [(False, 0.8), (True, 0.65)])
