@@ -78,6 +78,16 @@ def capped(score: Column, crit: Column, major: Column) -> Column:
     return F.when(crit > 0, F.least(score, by_crit)).when(major >= 3, F.least(score, F.lit(70.0))).otherwise(score)
 
 
+def share(passed: Column, total: Column, crit: Column, major: Column) -> Column:
+    """Score of a dimension by its checks; null without any."""
+    return F.when(total > 0, capped(to_fixed(passed.cast("double") / total * 100.0, 1), crit, major))
+
+
+def given(e: Column) -> Column:
+    """Score of a dimension that an evaluator gives. e: score, crit, major."""
+    return capped(to_fixed(F.greatest(F.lit(0.0), F.least(F.lit(100.0), e["score"])), 1), e["crit"], e["major"])
+
+
 def weighted(score: dict[str, Column], weights: dict[str, float]) -> Column:
     """Mean of the scored dimensions, weights renormalised; summed in the fixed order, so both engines agree to the bit."""
     total = F.lit(0.0)
@@ -97,8 +107,7 @@ def score_dimensions(counts: DataFrame) -> DataFrame:
     """score_, verdict_ for each dimension, and the deterministic overall."""
     out = counts
     for d in DIMS:
-        n, p, crit, major = (F.col(f"{k}_{d}") for k in ("total", "pass", "crit", "major"))
-        out = out.withColumn(f"score_{d}", F.when(n > 0, capped(to_fixed(p.cast("double") / n * 100.0, 1), crit, major)))
+        out = out.withColumn(f"score_{d}", share(*(F.col(f"{k}_{d}") for k in ("pass", "total", "crit", "major"))))
     verdicts = {}
     for d in DIMS:
         s = F.col(f"score_{d}")
@@ -120,9 +129,9 @@ def overlay_scores(scored: DataFrame, evaluator: DataFrame, keys=KEYS) -> DataFr
     new = {}
     for d in DIMS:
         e = F.col(f"eval_{d}")
-        given = capped(to_fixed(F.greatest(F.lit(0.0), F.least(F.lit(100.0), e["score"])), 1), e["crit"], e["major"])
-        ladder = F.when(e["crit"] > 0, "FAIL").when(given >= 80, F.when(e["pass"] == e["total"], "PASS").otherwise("PARTIAL")).when(given >= 50, "PARTIAL").otherwise("FAIL")
-        new |= {f"score_{d}": F.when(e.isNull(), F.col(f"score_{d}")).otherwise(given), f"verdict_{d}": F.when(e.isNull(), F.col(f"verdict_{d}")).otherwise(ladder)}
+        own = given(e)
+        ladder = F.when(e["crit"] > 0, "FAIL").when(own >= 80, F.when(e["pass"] == e["total"], "PASS").otherwise("PARTIAL")).when(own >= 50, "PARTIAL").otherwise("FAIL")
+        new |= {f"score_{d}": F.when(e.isNull(), F.col(f"score_{d}")).otherwise(own), f"verdict_{d}": F.when(e.isNull(), F.col(f"verdict_{d}")).otherwise(ladder)}
         for k in ("pass", "total", "crit"):
             new[f"{k}_{d}"] = F.when(e.isNull(), F.col(f"{k}_{d}")).otherwise(e[k])
     out = out.withColumns(new).drop(*(f"eval_{d}" for d in DIMS))

@@ -6,6 +6,7 @@ of the checks by case.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -49,20 +50,24 @@ def merged_checks(dims: tuple[str, ...] = DIMS) -> Column:
     return own, F.when(F.col("_rich"), F.concat(kept, F.col("_own"))).otherwise(F.col("structural"))
 
 
-def checked(cases: DataFrame, dims: tuple[str, ...] = DIMS) -> DataFrame:
-    """cases (with html) with all_checks of these dimensions, and the evaluators' scores. failed (optional): an operational failure with its message in failure.
-
-    Guidelines' checks and scores are no other dimension's, so without GUIDE they aren't made."""
+def structured(cases: DataFrame, dims: tuple[str, ...] = DIMS) -> Iterator[tuple[catalogue.Pack, DataFrame]]:
+    """cases (with html) with their structural checks of these dimensions, a stored table for each locale that occurs."""
     # Each step is stored: the next one names its columns many times, and its filters must not be rewritten into their expressions.
     # What joins leave in a few tasks is dealt out first.
-    rows = stored(spread(cases.withColumn("html", text.normalize_generated(F.col("html"))), "case_id"))
+    rows = stored(spread(cases.withColumn("html", text.normalize_generated(F.col("html"))), *(["case_id"] if "case_id" in cases.columns else [])))
     # Expressions for a locale take seconds to make, so only the locales that occur are evaluated (an unknown one is an error here).
     there = sorted(r.key for r in rows.select(evaluators.served(catalogue.PACKS).alias("key")).distinct().collect()) if "locale" in rows.columns else []
-    parts = []
+    some = () if dims == DIMS else (dims,)
     for key in there or ["en-US"]:
         pack = catalogue.PACKS[key]
-        structural = stored(catalogue.with_checks(rows.where(evaluators.served(catalogue.PACKS) == key), pack, dims))
-        parts.append(stored(evaluators.evaluate(evaluators.with_defaults(structural), (pack.words,), "GUIDE" in dims)))
+        yield pack, stored(catalogue.with_checks(rows.where(evaluators.served(catalogue.PACKS) == key), pack, *some))
+
+
+def checked(cases: DataFrame, dims: tuple[str, ...] = DIMS) -> DataFrame:
+    """cases (with html) with all_checks of these dimensions, and the evaluators' scores. failed (optional): an operational failure with its message in failure.
+
+    Guidelines' checks and scores are no other dimension's, so without GUIDE they aren't made."""
+    parts = [stored(evaluators.evaluate(evaluators.with_defaults(rows), (pack.words,), "GUIDE" in dims)) for pack, rows in structured(cases, dims)]
     out = reduce(DataFrame.unionByName, parts).withColumn("_rich", has_rich_gold())
     own, merged = merged_checks(dims)
     out = out.withColumn("_own", own).withColumn("all_checks", merged)
@@ -93,7 +98,7 @@ def results(reports: DataFrame, policy: str = "research", judgements: DataFrame
     flat = rows.select(F.lit("run").alias("run"), "case_id", F.inline("all_checks"))
     counts = scoring.case_counts(flat, scoring.KEYS)
     scored = scoring.score_dimensions(counts)
-    mine = rows.where("_rich").select(F.lit("run").alias("run"), "case_id", F.inline(F.array(*(_given(d, p) for d, p in evaluated.items())))).where("score >= 0")
+    mine = rows.where("_rich").select(F.lit("run").alias("run"), "case_id", F.inline(F.array(*(given(d, p) for d, p in evaluated.items())))).where("score >= 0")
     scored = scoring.overlay_scores(scored, mine)
     if judgements is None:
         return scoring.combine(scored, policy=scoring.POLICIES[policy])
@@ -101,7 +106,7 @@ def results(reports: DataFrame, policy: str = "research", judgements: DataFrame
     return scoring.combine(told.withColumns(judge_columns(F.col("judge"))).drop("judge"), True, scoring.POLICIES[policy], judge_primary)
 
 
-def _given(dim: str, name: str) -> Column:
+def given(dim: str, name: str) -> Column:
     """An evaluator's score with the counts of its own checks."""
     own = F.col(f"{name}_checks")
     n = lambda keep: F.size(F.filter(own, keep))

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import LOCALES
 from ..functions.rounding import to_fixed_sql as fx
-from ..operators import adjudication, board, calibration, evaluators, robustness, submission
+from ..operators import adjudication, board, calibration, noticing, robustness, submission
 from ..operators.scoring import DIMS
 from ..sources import adapters, reports
 from ..sources.scratch import stored
@@ -53,13 +52,7 @@ def perturbation_matrix(spark, sf_dir):
 @add()
 def perturbation_run(spark, sf_dir):
     """Changed reports evaluated like any others, and how often the checks notice, by kind and over all."""
-    cases = stored(reports.cases(spark, sf_dir))
-    there = {r.key for r in cases.select(evaluators.served([x.key for x in LOCALES]).alias("key")).distinct().collect()}
-    links = stored(robustness.matrix(cases, applicable_only=True, locales=[x for x in LOCALES if x.key in there] or LOCALES).withColumn("prediction_id", F.concat_ws("__", "prediction_id", "kind")))
-    texts = links.select(F.col("case_id").alias("_case"), F.col("prediction_id").alias("_id"), F.col("text").alias("html"))
-    changed = cases.drop("html").join(texts, F.col("case_id") == F.col("_case")).drop("case_id", "_case").withColumnRenamed("_id", "case_id")
-    # Only the dimensions that should notice a kind are looked at.
-    per_kind = robustness.summarize_links(submission.results(changed, dims=robustness.NOTICING), links)
+    per_kind = noticing.rates(reports.cases(spark, sf_dir))
     return per_kind.withColumn("verdict", robustness.verdict(F.col("rate")))
 
 
